@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +50,19 @@ def words_of(text: Column) -> Column:
 def n_words_of(text: Column) -> Column:
     """Number of words as long."""
     return F.regexp_count(text, F.lit(WORD)).cast("long")
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written to a table of its own in the shared folder and read again; it goes when this Python ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):
+            jvm = spark.sparkContext._jvm
+            jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm.org.apache.hadoop.fs.Path(path), True)
+
+    atexit.register(drop)
+    return spark.read.schema(schema).parquet(path)

@@ -7,11 +7,13 @@ from veilwork.llm.mixing import SQL as MIXING_SQL
 from veilwork.llm.mixing import op1_mixing
 from veilwork.llm.quality_rules import SQL as QUALITY_SQL
 from veilwork.llm.quality_rules import op2_quality_rules
+from veilwork.llm.simhash import op5_simhash
 from veilwork.llm.token_counts import op10_token_counts
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_rules": op2_quality_rules,
+    "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
     "op10_token_counts": op10_token_counts,
 }

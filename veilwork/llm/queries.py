@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from veilwork.llm.bpe import op6_bpe
+from veilwork.llm.chat_format import SQL as CHAT_SQL
+from veilwork.llm.chat_format import op4_chat_format
 from veilwork.llm.mixing import SQL as MIXING_SQL
 from veilwork.llm.mixing import op1_mixing
 from veilwork.llm.quality_rules import SQL as QUALITY_SQL
@@ -13,11 +15,13 @@ from veilwork.llm.token_counts import op10_token_counts
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_rules": op2_quality_rules,
+    "op4_chat_format": op4_chat_format,
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL = {
+    "op4_chat_format": CHAT_SQL,
     "op1_mixing": MIXING_SQL,
     "op2_quality_rules": QUALITY_SQL,
 }

@@ -11,16 +11,20 @@ from veilwork.llm.quality_rules import SQL as QUALITY_SQL
 from veilwork.llm.quality_rules import op2_quality_rules
 from veilwork.llm.simhash import op5_simhash
 from veilwork.llm.token_counts import op10_token_counts
+from veilwork.llm.warc import SQL as WARC_SQL
+from veilwork.llm.warc import op3_warc
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_rules": op2_quality_rules,
+    "op3_warc": op3_warc,
     "op4_chat_format": op4_chat_format,
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL = {
+    "op3_warc": WARC_SQL,
     "op4_chat_format": CHAT_SQL,
     "op1_mixing": MIXING_SQL,
     "op2_quality_rules": QUALITY_SQL,

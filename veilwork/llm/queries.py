@@ -9,6 +9,7 @@ from veilwork.llm.mixing import SQL as MIXING_SQL
 from veilwork.llm.mixing import op1_mixing
 from veilwork.llm.quality_rules import SQL as QUALITY_SQL
 from veilwork.llm.quality_rules import op2_quality_rules
+from veilwork.llm.secret_scan import op7_secret_scan
 from veilwork.llm.simhash import op5_simhash
 from veilwork.llm.token_counts import op10_token_counts
 from veilwork.llm.warc import SQL as WARC_SQL
@@ -21,6 +22,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
+    "op7_secret_scan": op7_secret_scan,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from veilwork.llm.bpe import op6_bpe
 from veilwork.llm.chat_format import SQL as CHAT_SQL
 from veilwork.llm.chat_format import op4_chat_format
+from veilwork.llm.media import op8_media
 from veilwork.llm.mixing import SQL as MIXING_SQL
 from veilwork.llm.mixing import op1_mixing
 from veilwork.llm.quality_rules import SQL as QUALITY_SQL
@@ -23,6 +24,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
     "op7_secret_scan": op7_secret_scan,
+    "op8_media": op8_media,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL = {

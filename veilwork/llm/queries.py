@@ -8,6 +8,7 @@ from veilwork.llm.chat_format import op4_chat_format
 from veilwork.llm.media import op8_media
 from veilwork.llm.mixing import SQL as MIXING_SQL
 from veilwork.llm.mixing import op1_mixing
+from veilwork.llm.quality_classifier import op9_quality_classifier
 from veilwork.llm.quality_rules import SQL as QUALITY_SQL
 from veilwork.llm.quality_rules import op2_quality_rules
 from veilwork.llm.secret_scan import op7_secret_scan
@@ -25,6 +26,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_secret_scan": op7_secret_scan,
     "op8_media": op8_media,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL = {

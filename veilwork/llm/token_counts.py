@@ -3,8 +3,8 @@
 A pre-token is a run of word marks with what follows up to the next one, or a line feed: no piece of the model reaches over such
 a bound, so the counts of a text's pre-tokens add up to the text's.
 
-The join has two ways. The pre-tokens that occur in most tasks, up to HEAD of them, are broadcast as 64-bit hashes with counts
-(9 bytes each, so at most 36 MB); pre-tokens of the corpus that share a hash are left out of it, so a hash found there is exact.
+The join has two ways. The pre-tokens that most tasks have met (two at least: what only one has met is not worth sending to all),
+up to HEAD of them, are broadcast as 64-bit hashes with counts (9 bytes each, so at most 36 MB); pre-tokens of the corpus that share a hash are left out of it, so a hash found there is exact.
 All others are joined by a shuffle on the pre-token; these are rare ones, so no key is hot.
 
 Defined results: a null text is an empty one with no token. Texts are read whole. Repeated rows each get their own result, an
@@ -90,7 +90,7 @@ def head_of(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bool
     by_spread = sorted(counted.groupBy("spread").count().collect(), reverse=True)  # at most a row for each task
     least, held, total = None, 0, sum(n for _, n in by_spread)
     for spread, n in by_spread:
-        if held + n > most:
+        if spread < 2 or held + n > most:
             break
         least, held = spread, held + n
     if least is None:

@@ -97,8 +97,13 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass, with their columns as they were."""
-    return quality_rules(docs, text, rules).filter("kept").select("doc.*")
+    """The documents that pass, with their columns as they were.
+
+    The verdict is exploded from an array of one: a filter on it would else be pushed below the projections, which would then
+    compute the metrics once for each use of a use.
+    """
+    found = quality_rules(docs, text, rules).select("doc", F.explode(F.array("kept")).alias("kept"))
+    return found.filter("kept").select("doc.*")
 
 
 def _sql() -> str:

@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column functions: patterns, spans, tokens, risk, hashes."""

@@ -1 +1 @@
-"""Operators of the engine."""
+"""Operators: DataFrames in, DataFrames out."""

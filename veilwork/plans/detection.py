@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import hmac
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,13 +164,25 @@ QUERIES = {
 
 _plain = spans_sql(PLAIN.patterns())
 _by_source = spans_sql(PLAIN.patterns(), keys="source, doc_id")
-_session = f"""{_by_source},
-met AS (SELECT source, doc_id, -"start" AS back, category, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS key FROM spans),
+_key = "trim({}, ' ' || chr(9) || chr(10) || chr(13))"
+
+
+def session_sql(patterns) -> str:
+    """CTEs that end in `tokens` (source, key, category, token)."""
+    return f"""{spans_sql(patterns, keys="source, doc_id")},
+met AS (SELECT source, doc_id, -"start" AS back, category, {_key.format("text")} AS key FROM spans),
 first AS (SELECT source, key, min(ROW(doc_id, back, category)) AS p FROM met GROUP BY source, key),
 flat AS (SELECT source, key, p[1] AS doc_id, p[2] AS back, p[3] AS category FROM first),
 tokens AS (SELECT source, key, category, '[' || category || '_' || (row_number() OVER (PARTITION BY source, category ORDER BY doc_id, back) - 1) || ']' AS token FROM flat)"""
-_pieces = "pieces AS (SELECT s.source, s.doc_id, s.\"start\", s.\"end\", t.token FROM spans s JOIN tokens t ON s.source = t.source AND trim(s.text, ' ' || chr(9) || chr(10) || chr(13)) = t.key)"
-_tokenized = f"{_session},\n{_pieces},{masked_sql(keys='source, doc_id')}"
+
+
+def tokenized_sql(patterns) -> str:
+    """CTEs that end in `masked` (source, doc_id, masked)."""
+    pieces = f'pieces AS (SELECT s.source, s.doc_id, s."start", s."end", t.token FROM spans s JOIN tokens t ON s.source = t.source AND {_key.format("s.text")} = t.key)'
+    return f"{session_sql(patterns)},\n{pieces},{masked_sql(keys='source, doc_id')}"
+
+
+_session, _tokenized = session_sql(PLAIN.patterns()), tokenized_sql(PLAIN.patterns())
 _redacted = f"""{_plain},
 pieces AS (SELECT doc_id, "start", "end", '[' || category || '_REDACTED]' AS token FROM spans),{masked_sql()}"""
 
@@ -186,8 +195,6 @@ def _hash_sql(category: str, value: str) -> str:
     return f"sha256(CAST('{pad(0x5C)}' AS BLOB) || unhex({inner}))"
 
 
-assert hmac.new(bytes.fromhex(KEY), b"", hashlib.sha256).digest()
-
 _risk_words = ", ".join(q(w) for w in DESCRIPTORS)
 _any_token = r"\[[a-zA-Z][a-zA-Z0-9_]*_(?:[0-9]+|[rR][eE][dD][aA][cC][tT][eE][dD])\]"
 _ties = " UNION ALL ".join(f"SELECT doc_id, {q(p)} AS phrase, l, string_split(l, {q(p)}) AS parts FROM low WHERE contains(l, {q(p)})" for p in sorted(RELATIONS))

@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Structured Streaming operators."""

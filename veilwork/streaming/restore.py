@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veilwork.errors import VeilError
 from veilwork.functions.tokens import CLOSE, MAX_TOKEN, OPEN

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -15,3 +15,20 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilwork-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+#: Bytes of a table that is small enough to be dealt out anew.
+SMALL = 32 << 20
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A small table of fewer splits than there are cores, dealt out over all cores; any other as it is.
+
+    Work on texts is bound by CPU, so a shuffle of a few MB pays. Large tables have splits enough and are never shuffled for this.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    plan = table._jdf.queryExecution()
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    if size <= SMALL and plan.toRdd().getNumPartitions() < cores:
+        return table.repartition(cores)
+    return table

@@ -20,6 +20,13 @@ CONFIDENCE = 0.95
 SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
+#: What every match of a pattern holds; a text without it is not searched. Each is much quicker to look for than the pattern.
+NEEDS = {
+    "EMAIL": "@", "JWT": "eyJ", "AWS_KEY": "AKIA|ASIA", "SSN": r"(?U)\d{3}", "CREDIT_CARD": r"(?U)\d{4}", "PHONE": r"(?U)\d\d",
+    "IBAN": r"(?U)[A-Z]{2}\d\d", "IP_ADDRESS": r"(?U)\d\.\d|[A-Fa-f0-9:]:", "API_KEY": "sk|pk|api|key|token|secret|bearer", "IL_ID": r"(?U)\d{9}",
+}
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -44,6 +51,8 @@ def matches(text: Column, pattern: Pattern) -> Column:
         return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.expr(NONE).alias("out")), step)["out"]
 
     spans = let(found, lambda m: F.when(F.size(m) == 0, F.expr(NONE)).otherwise(placed(m)))
+    if need := NEEDS.get(pattern.category):
+        spans = F.when(text.rlike(need), spans).otherwise(F.expr(NONE))
     if pattern.category == "PHONE":
         spans = F.filter(spans, lambda d: F.length(F.regexp_replace(d["text"], r"[-. ]", "")) >= 7)
     return spans

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from veilwork.errors import ScopeError, SessionState, SessionTimeout
 from veilwork.functions.patterns import SPECIAL_CATEGORIES
+from veilwork.functions.spans import strip
 from veilwork.operators import masking
 from veilwork.operators.audit_schema import metadata_faults
 
@@ -60,11 +61,12 @@ class BiasSession:
         found = found.withColumn("session", F.lit(self.id))
         if self.tokens is not None:
             raise SessionState("a session masks one table; later tables need a session of their own")
-        self.tokens = masking.session_tokens(found, "session", "id").cache()
+        values = masking.entities(found, "session", "id").select("session", "id", "start", "end", "category", strip(F.col("text")).alias("key")).cache()
+        self.tokens = masking.session_tokens(values, "session", "id").cache()
         used = {r[0]: r[1] for r in d.groupBy("category").count().collect()}
         self.entries += 1
         self._say("bias_pseudonymise", categories_used=used, entity_count=sum(used.values()))
-        return masking.tokenized(found, self.tokens, "session", "id").select("id", "masked")
+        return masking.tokenized(found, values, self.tokens, "session", "id").select("id", "masked")
 
     def finding(self, summary: str, **metrics: float) -> None:
         self._alive()

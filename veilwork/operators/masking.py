@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from veilwork.config import Detect
 from veilwork.functions import tokens as T
+from veilwork.functions.shared import shared_folder
 from veilwork.functions.spans import SPAN, detect, strip
 
 
@@ -27,7 +28,8 @@ def detected(texts: DataFrame, how: Detect, text: str = "text", to: str = "spans
 def entities(found: DataFrame, *keys: str, spans: str = "spans") -> DataFrame:
     """One row per span; where a key has the name of a span's field, the field is called span_<name>."""
     fields = ("start", "end", "category", "text", "confidence", "source")
-    d = found.select(*[F.col(k).alias(f"key_{k}") for k in keys], F.explode(spans).alias("d"))
+    # explode() would put a filter on the array below itself, and the array would be computed for it once more.
+    d = found.select(*[F.col(k).alias(f"key_{k}") for k in keys], F.explode_outer(spans).alias("d")).filter("d is not null")
     return d.select(*[F.col(f"key_{k}").alias(k) for k in keys], *[F.col(f"d.{f}").alias(f"span_{f}" if f in keys else f) for f in fields])
 
 
@@ -43,24 +45,34 @@ def redacted(found: DataFrame, text: str = "text", to: str = "masked") -> DataFr
     return found.withColumn(to, T.redact(F.col(text), F.col("spans")))
 
 
-def session_tokens(found: DataFrame, session: str, order: str) -> DataFrame:
-    """(session, key, category, token): a number for each distinct value of a session and category.
+def met(found: DataFrame, session: str, order: str) -> DataFrame:
+    """(session, order, start, end, category, key): the values met, stored once, so that texts are searched once.
+
+    These are few bytes against the texts; they go to the shared folder.
+    """
+    shared_folder(found.sparkSession)
+    d = entities(found, session, order)
+    return d.select(session, order, "start", "end", "category", strip(F.col("text")).alias("key")).checkpoint(eager=True)
+
+
+def session_tokens(values: DataFrame, session: str, order: str) -> DataFrame:
+    """(session, key, category, token) of values met: a number for each distinct value of a session and category.
 
     Texts are met by `order`, the values of one text from its end to its start; the first place at which a value is met gives its
     category and its turn to be numbered. A value met again keeps its token, whatever category it is then found in.
     """
-    met = entities(found, session, order).select(session, order, "category", strip(F.col("text")).alias("key"), (-F.col("start")).alias("back"))
-    first = met.groupBy(session, "key").agg(F.min(F.struct(order, "back", "category")).alias("at"))
+    each = values.select(session, order, "category", "key", (-F.col("start")).alias("back"))
+    first = each.groupBy(session, "key").agg(F.min(F.struct(order, "back", "category")).alias("at"))
     by_turn = Window.partitionBy(session, "at.category").orderBy(f"at.{order}", "at.back")
     n = F.row_number().over(by_turn) - 1
     return first.select(session, "key", F.col("at.category").alias("category"), F.concat(F.lit("["), F.col("at.category"), F.lit("_"), n, F.lit("]")).alias("token"))
 
 
-def tokenized(found: DataFrame, tokens: DataFrame, session: str, order: str, text: str = "text", to: str = "masked") -> DataFrame:
-    """Texts with each span replaced by its session's token. (session, order) tells a text from all others."""
-    met = entities(found.filter(F.size("spans") > 0), session, order).select(session, order, "start", "end", strip(F.col("text")).alias("key"))
-    pieces = met.join(tokens.select(session, "key", "token"), [session, "key"]).groupBy(session, order).agg(F.sort_array(F.collect_list(F.struct("start", "end", "token"))).alias("pieces"))
-    both = found.join(pieces, [session, order], "left")
+def tokenized(texts: DataFrame, values: DataFrame, tokens: DataFrame, session: str, order: str, text: str = "text", to: str = "masked") -> DataFrame:
+    """Texts with each value met replaced by its session's token. (session, order) tells a text from all others."""
+    places = values.select(session, order, "start", "end", "key")
+    pieces = places.join(tokens.select(session, "key", "token"), [session, "key"]).groupBy(session, order).agg(F.sort_array(F.collect_list(F.struct("start", "end", "token"))).alias("pieces"))
+    both = texts.join(pieces, [session, order], "left")
     none = F.expr("cast(array() as array<struct<start:int,end:int,token:string>>)")
     return both.withColumn(to, T.splice(T.escape(F.col(text)), F.coalesce("pieces", none))).drop("pieces")
 
@@ -113,9 +125,9 @@ def skipped(model: Column, prefixes: tuple[str, ...]) -> Column:
 
 def masked_conversations(rows: DataFrame, how: Detect, hint: str | None = HINT) -> tuple[DataFrame, DataFrame]:
     """(conv_id, turn, role, text) masked per conversation, and its tokens; a conversation with tokens gets a hint as its first row."""
-    found = detected(rows, how)
-    tokens = session_tokens(found, "conv_id", "turn")
-    masked = tokenized(found, tokens, "conv_id", "turn").select("conv_id", "turn", "role", F.col("masked").alias("text"))
+    values = met(detected(rows, how), "conv_id", "turn")
+    tokens = session_tokens(values, "conv_id", "turn")
+    masked = tokenized(rows, values, tokens, "conv_id", "turn").select("conv_id", "turn", "role", F.col("masked").alias("text"))
     if hint:
         first = tokens.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit("system").alias("role"), F.lit(hint).alias("text"))
         masked = masked.unionByName(first)

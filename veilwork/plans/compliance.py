@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.config import Detect
-from veilwork.functions.shared import shared_folder
+from veilwork.functions.shared import shared_folder, spread
 from veilwork.operators import attest as AT
 from veilwork.operators import audit as A
 from veilwork.operators import evaluate as E
@@ -158,14 +158,14 @@ def chain_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merkle_root(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
     levels = AT.merkle_levels(AT.numbered(docs, "doc_id", "h"))
     return levels[-1].select(F.col("hash").alias("root"), F.lit(len(levels)).cast("long").alias("levels"))
 
 
 def merkle_proofs(spark: SparkSession, sf: str) -> DataFrame:
     """The root that each document's proof leads to: one root for all."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
     proofs = AT.merkle_proofs(AT.numbered(docs, "doc_id", "h").cache())
     return proofs.groupBy(AT.proven_root(F.col("hash"), F.col("proof")).alias("root")).agg(F.count("*").alias("leaves"))
 
@@ -179,7 +179,7 @@ def _labels(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     from veilwork.functions.patterns import Pattern
     from veilwork.functions.spans import claimed, matches
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet"))
     marked = docs.withColumn("labels", claimed(*[matches(F.col("text"), Pattern(c, p)) for c, p in LABELS]))
     found = M.detected(marked, FOUND)
     card = lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), F.when(d["category"] == "CARDISH", "CREDIT_CARD").otherwise(d["category"]).alias("category"))
@@ -203,7 +203,7 @@ def native_vs_reference_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Rows in which the column engine and a sequential scan in Python differ: none."""
     from veilwork.sources.backends import PatternBackend, with_backends
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "text")
     native = M.entities(M.detected(docs, Detect()), "doc_id").select("doc_id", "start", "end", "category")
     scanned = M.entities(with_backends(docs, [PatternBackend(Detect())]), "doc_id").select("doc_id", "start", "end", "category")
     return E.differences(native, scanned)
@@ -214,10 +214,12 @@ STREAMED = Detect(only=("EMAIL",), custom=(("CARD_DIGITS", r"\b[3-6]\d{15}\b"),)
 
 def stream_restore(spark: SparkSession, sf: str) -> DataFrame:
     """Masked texts cut to chunks, restored by the stateful stream and joined again; compared with the batch restore."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("stream_id"), "source", "text").filter("text is not null")
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet")).select(F.col("doc_id").alias("stream_id"), "source", "text").filter("text is not null")
     found = M.detected(docs, STREAMED)
-    tokens = M.session_tokens(found, "source", "stream_id")
-    masked = M.tokenized(found, tokens, "source", "stream_id").filter(F.size("spans") > 0)
+    values = M.met(found, "source", "stream_id")
+    tokens = M.session_tokens(values, "source", "stream_id")
+    some = docs.join(values.select("source", "stream_id").distinct(), ["source", "stream_id"], "left_semi")
+    masked = M.tokenized(some, values, tokens, "source", "stream_id")
     maps = tokens.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("token", "key"))).alias("tokens"))
     cuts = F.posexplode(F.regexp_extract_all("masked", F.lit(r"(?s).{1,7}"), F.lit(0))).alias("seq", "chunk")
     rows = masked.join(maps, "source").select("stream_id", F.length("masked").alias("n"), cuts, "tokens")

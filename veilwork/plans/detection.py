@@ -9,6 +9,7 @@ from veilwork.config import Detect
 from veilwork.functions import tokens as T
 from veilwork.functions.patterns import LOCALES, Pattern, registry
 from veilwork.functions.risk import DESCRIPTORS, RELATIONS, assess
+from veilwork.functions.shared import spread
 from veilwork.operators import masking as M
 from veilwork.plans.sql import masked_sql, q, spans_sql
 
@@ -19,7 +20,7 @@ KEY = "00112233445566778899aabbccddeeff00112233445566778899aabbccddeeff"
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
 def plain(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,29 +75,31 @@ def redact_documents(spark: SparkSession, sf: str) -> DataFrame:
     return M.redacted(plain(spark, sf)).select("doc_id", F.sha2("masked", 256).alias("masked_sha256"), F.length("masked").alias("n_chars"), F.size("spans").alias("entity_count"))
 
 
+def by_source(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts, the values met in them, and the tokens of each source, which is the session here."""
+    values = M.met(plain(spark, sf), "source", "doc_id")
+    return docs(spark, sf), values, M.session_tokens(values, "source", "doc_id")
+
+
 def session_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return M.session_tokens(plain(spark, sf), "source", "doc_id")
+    return by_source(spark, sf)[2]
 
 
 def tokenize_documents(spark: SparkSession, sf: str) -> DataFrame:
-    found = plain(spark, sf)
-    return M.tokenized(found, M.session_tokens(found, "source", "doc_id"), "source", "doc_id").select("doc_id", F.sha2("masked", 256).alias("masked_sha256"), F.length("masked").alias("n_chars"))
+    return M.tokenized(*by_source(spark, sf), "source", "doc_id").select("doc_id", F.sha2("masked", 256).alias("masked_sha256"), F.length("masked").alias("n_chars"))
 
 
 def restore_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """How many texts come back as they were after masking by session and restoring."""
-    found = plain(spark, sf)
-    tokens = M.session_tokens(found, "source", "doc_id")
-    back = M.restored(M.tokenized(found, tokens, "source", "doc_id"), tokens, "source", "doc_id")
+    texts, values, tokens = by_source(spark, sf)
+    back = M.restored(M.tokenized(texts, values, tokens, "source", "doc_id"), tokens, "source", "doc_id")
     return back.groupBy("lang").agg(F.count("*").alias("documents"), F.sum((F.col("restored") == F.col("text")).cast("long")).alias("same"), F.sum((F.col("masked") != F.col("text")).cast("long")).alias("masked"))
 
 
 def present_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    found = plain(spark, sf)
-    tokens = M.session_tokens(found, "source", "doc_id")
-    masked = M.tokenized(found, tokens, "source", "doc_id").filter(F.size("spans") > 0)
-    held = masked.select("doc_id", F.array_join(T.present_tokens(F.col("masked"), F.array_distinct(F.regexp_extract_all("masked", F.lit(T.TOKEN), F.lit(0)))), ",").alias("tokens"))
-    return held
+    texts, values, tokens = by_source(spark, sf)
+    masked = M.tokenized(texts.join(values.select("source", "doc_id").distinct(), ["source", "doc_id"], "left_semi"), values, tokens, "source", "doc_id")
+    return masked.select("doc_id", F.array_join(T.present_tokens(F.col("masked"), F.array_distinct(F.regexp_extract_all("masked", F.lit(T.TOKEN), F.lit(0)))), ",").alias("tokens"))
 
 
 def entity_details(spark: SparkSession, sf: str) -> DataFrame:

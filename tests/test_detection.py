@@ -134,6 +134,16 @@ def test_sessions_number_and_restore(spark):
     assert all(r["restored"] == r["text"] for r in back.collect())
 
 
+def test_messages_with_parts_and_tool_calls(spark):
+    kind = "conv_id long, messages array<struct<role:string,content:array<string>,tool_args:array<string>>>"
+    chats = [(1, [("user", ["mail a@b.co", "x"], None), ("assistant", None, ['{"to": "a@b.co", "cc": "c@d.co"}']), ("user", [], [])]), (2, [("user", ["none"], [])])]
+    rows, tokens = M.masked_messages(spark.createDataFrame(chats, kind), Detect())
+    got = {r["conv_id"]: [(m["role"], m["content"], m["tool_args"]) for m in r["messages"]] for r in rows.collect()}
+    assert got[1] == [("user", ["mail [EMAIL_0]", "x"], []), ("assistant", [], ['{"to": "[EMAIL_0]", "cc": "[EMAIL_1]"}']), ("user", [], [])]
+    assert got[2] == [("user", ["none"], [])]
+    assert tokens.count() == 2
+
+
 def test_entity_hash_is_hmac(spark):
     import hashlib
     import hmac

@@ -1,3 +1,4 @@
+import base64
 import json
 import threading
 
@@ -5,12 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilwork.__main__ import parser
+from veilwork.config import Mask
 from veilwork.errors import ChainIntegrityError, ConfigError, SchemaViolation, ScopeError, SessionState, SessionTimeout
 from veilwork.functions.canonical import canonical, entry_hash, text_hash
 from veilwork.functions.ed25519 import Keys
-from veilwork.operators import attest, audit, report
+from veilwork.operators import attest, audit, report, settings
 from veilwork.operators.audit_schema import violations
 from veilwork.operators.bias import BiasSession
+from veilwork.operators.timestamps import inspect
 from veilwork.sources.audit_log import AuditLog, last_valid, read_lines, records
 
 
@@ -130,6 +133,47 @@ def test_report(spark, tmp_path):
     assert (counts["generation_events"], unlabeled.count()) == (2, 1)
 
 
+def der(tag, *parts):
+    body = b"".join(parts)
+    return bytes([tag, len(body)]) + body if len(body) < 128 else bytes([tag, 0x82]) + len(body).to_bytes(2, "big") + body
+
+
+def token(digest):
+    oid = lambda h: der(6, bytes.fromhex(h))
+    info = der(0x30, der(2, b"\1"), oid("2a03"), der(0x30, der(0x30, oid("608648016503040201"), der(5)), der(4, digest)), der(2, b"\7"), der(0x18, b"20260701100000Z"))
+    signed = der(0x30, der(2, b"\3"), der(0x31), der(0x30, oid("2a864886f70d0109100104"), der(0xA0, der(4, info))), der(0x31))
+    return base64.b64encode(der(0x30, oid("2a864886f70d010702"), der(0xA0, signed))).decode()
+
+
+def test_timestamp_tokens_are_read_but_never_verified(spark, tmp_path):
+    digest = bytes(range(32))
+    assert inspect(token(digest), digest.hex()) == {"status": "UNVERIFIED", "gen_time": "2026-07-01T10:00:00+00:00", "hash_algorithm": "sha256", "reason": None}
+    assert inspect(token(digest), "00" * 32)["status"] == "MISMATCH"
+    whole = base64.b64decode(token(digest))
+    for n in range(len(whole)):
+        assert inspect(base64.b64encode(whole[:n]).decode(), digest.hex())["status"] == "MALFORMED"
+    log = chain(tmp_path, 1)
+    for stamped in (digest.hex(), "00" * 32):
+        log.append({"event_type": "chain_checkpoint", "checkpoint_context": {"stamped_entry_hash": stamped, "tsa_url": "https://tsa.example", "tst_token_b64": token(digest), "hash_algorithm": "sha256", "stamped_seq": 0}})
+    lines = read_lines(spark, str(tmp_path))
+    got = report.build(records(lines), audit.verify(lines))
+    p = got["attestation"]["provenance_summary"]
+    assert (p["timestamped_checkpoints"], p["checkpoints_verified"], p["earliest_claimed_time"]) == (2, 0, "2026-07-01T10:00:00+00:00")
+    assert "seq=2: checkpoint token MISMATCH" in got["chain_integrity"]["anomalies"]
+    assert got["verdict"] == "NON_COMPLIANT"
+
+
+def test_settings(tmp_path):
+    path = tmp_path / "s.json"
+    settings.export(Mask(hash_key="aa"), str(path))
+    got = json.loads(path.read_text())
+    assert got["options"]["hash_key"] == "set"
+    assert "EMAIL" in got["categories"]
+    (tmp_path / "link").symlink_to(path)
+    with pytest.raises(ConfigError):
+        settings.export(Mask(), str(tmp_path / "link"))
+
+
 def test_percentages():
     assert [report.pct_of(n, d) for n, d in ((1, 800), (1, 3), (2, 2), (0, 0))] == [0.13, 33.33, 100, 0]
 

@@ -18,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: Bytes of a table that is small enough to be dealt out anew.
-SMALL = 32 << 20
+SMALL = 20 << 20
 
 
 def spread(table: DataFrame) -> DataFrame:

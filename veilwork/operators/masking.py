@@ -132,3 +132,24 @@ def masked_conversations(rows: DataFrame, how: Detect, hint: str | None = HINT)
         first = tokens.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit("system").alias("role"), F.lit(hint).alias("text"))
         masked = masked.unionByName(first)
     return masked, tokens
+
+
+def masked_messages(chats: DataFrame, how: Detect, key: str = "conv_id") -> tuple[DataFrame, DataFrame]:
+    """Chats (key, messages array<struct<role, content array<string>, tool_args array<string>>>), a row each, and their tokens.
+
+    Parts of contents and arguments of tool calls are texts like any other; within a chat they share tokens, in the order in which
+    they stand. Everything comes back in its place.
+    """
+    none = F.expr("cast(array() as array<string>)")
+    each = chats.select(key, F.posexplode("messages").alias("m", "msg"))
+    content, args = F.coalesce("msg.content", none), F.coalesce("msg.tool_args", none)
+    each = each.select(key, "m", "msg.role", F.size(content).alias("n"), F.concat(content, args).alias("parts"))
+    texts = each.select(key, "m", F.posexplode("parts").alias("p", "text")).select(key, (F.col("m").cast("long") * (1 << 20) + F.col("p")).alias("place"), "text")
+    values = met(detected(texts, how), key, "place")
+    tokens = session_tokens(values, key, "place")
+    done = tokenized(texts, values, tokens, key, "place").select(key, F.shiftright("place", 20).cast("int").alias("m"), "place", "masked")
+    parts = done.groupBy(key, "m").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "masked"))), lambda x: x["masked"]).alias("masked"))
+    back = each.join(parts, [key, "m"], "left").withColumn("masked", F.coalesce("masked", none))
+    message = F.struct("m", "role", F.slice("masked", F.lit(1), F.col("n")).alias("content"), F.slice("masked", F.col("n") + 1, F.greatest(F.size("masked") - F.col("n"), F.lit(0))).alias("tool_args"))
+    rows = back.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(message)), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), x["tool_args"].alias("tool_args"))).alias("messages"))
+    return rows, tokens

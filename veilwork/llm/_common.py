@@ -4,32 +4,22 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilwork.functions.shared import shared_folder as shared_dir
+from veilwork.functions.shared import spread
+
 #: A word is a run of anything but the six ASCII blanks. Java, Python and RE2 read it alike.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the given folder, by whatever path Spark can read."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only if the session names none, as in tests."""
-    context = spark.sparkContext
-    named = context._jsc.sc().getCheckpointDir()
-    if named.isDefined():
-        return named.get()
-    if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
-        folder = tempfile.mkdtemp(prefix="veilwork-")
-    context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
+    """A table of the given folder, by whatever path Spark can read; a small one of few splits is dealt out over the cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def cut(df: DataFrame) -> DataFrame:

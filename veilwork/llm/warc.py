@@ -130,7 +130,8 @@ def write_warc(pages: DataFrame, out: str, least: int = 0, shard_bytes: int = SH
     marks = keys.join(shared, "dg").select("page_id", "dg", "target").distinct()
     page = rows.select(shard, "page_id", F.sha1(F.col("html").cast("binary")).alias("dg"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("target"), "url", "html")
     mark = marks.select(shard, "page_id", "dg", F.lit(0).alias("kind"), "target", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
-    ordered = page.unionByName(mark).repartition(n_shards, "shard").sortWithinPartitions("shard", "page_id", "dg", "kind", "url")
+    # More partitions than shards, so that few of them meet by hash; Spark puts empty ones together.
+    ordered = page.unionByName(mark).repartition(4 * n_shards, "shard").sortWithinPartitions("shard", "page_id", "dg", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()

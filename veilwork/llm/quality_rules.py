@@ -35,13 +35,14 @@ class Rule:
     least: int = 0
 
 
-#: The method's thresholds. Ratios are per word, of lines with a word for repeated lines.
+#: The method's thresholds. Ratios are per word, of lines with a word for repeated lines; a stutter is a word equal to the one before.
 RULES = (
     Rule("mean_word_length", 2.0, 12.0),
     Rule("symbol_ratio", high=0.25),
     Rule("stop_word_ratio", low=0.02, least=40),
     Rule("dup_line_ratio", high=0.6),
     Rule("mean_line_words", low=1.2, least=40),
+    Rule("stutter_ratio", high=0.3),
 )
 
 
@@ -58,10 +59,11 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("words", lambda w: w.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(F.filter("words", lambda w, i: w == F.get("words", i - 1))).cast("long").alias("n_stutters"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
     windows = F.transform(F.sequence(F.lit(1), (F.col("n_words") - (WINDOW - 1)).cast("int")), lambda i: F.xxhash64(F.slice("hashes", i, WINDOW)))
-    rest = ["doc", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words"]
+    rest = ["doc", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_stutters"]
     d = d.select(*rest, F.when(F.col("n_words") > WINDOW, windows).alias("windows"))
     # Few texts have a window twice; only those are sorted.
     twice = F.size(F.array_distinct("windows")) < F.size("windows")
@@ -84,6 +86,7 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
         "stop_word_ratio": F.col("n_stop_words") / F.greatest(n, F.lit(1)),
         "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "mean_line_words": n / F.greatest(F.col("n_lines"), F.lit(1)),
+        "stutter_ratio": F.col("n_stutters") / F.greatest(n, F.lit(1)),
     }
     failed = (n < 20) | (100 * F.col("n_repeat_words") > 30 * n)
     passes = [(n < r.least) | ratio[r.metric].between(r.low, r.high) for r in rules]
@@ -115,6 +118,7 @@ def _sql() -> str:
         "stop_word_ratio": "n_stop_words / greatest(n_words, 1)",
         "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
         "mean_line_words": "n_words / greatest(n_lines, 1)",
+        "stutter_ratio": "n_stutters / greatest(n_words, 1)",
     }
     bound = lambda r: f"({tests[r.metric]} BETWEEN {r.low if r.low > -1e9 else -1e9} AND {r.high if r.high < 1e9 else 1e9})"
     rules = " AND ".join(f"(n_words < {r.least} OR {bound(r)})" for r in RULES)
@@ -130,6 +134,7 @@ m AS (SELECT w.r, doc_id, CAST(len(ws) AS BIGINT) AS n_words,
   CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
   CAST(len(list_filter(ws, lambda x: x IN ({stop}))) AS BIGINT) AS n_stop_words,
+  CAST(len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS BIGINT) AS n_stutters,
   CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN cov ON w.r = cov.r),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

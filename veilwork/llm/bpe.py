@@ -7,7 +7,7 @@ Defined results: a null text is an empty one and has no ids. Texts are encoded w
 get their own result, an empty table gives an empty one, and other columns are left aside.
 
 The vocabulary is a fixed file of some MB, read on the driver and broadcast. Each worker keeps the ids of the chunks it has met,
-up to CACHE of them, the latest met: memory stays bounded whatever the corpus holds.
+and of the pre-tokens in them, the latest met up to CHUNKS and PIECES of them: memory stays bounded whatever the corpus holds.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilwork.llm._common import table
 
-CACHE = 400_000
+CHUNKS, PIECES = 600_000, 200_000
 #: The white space of the file's patterns; Python's own class also holds \x1c-\x1f.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -41,6 +41,23 @@ def byte_alphabet() -> list[str]:
     return [c or chr(next(spare)) for c in out]
 
 
+class Latest:
+    """Of what was put or got, the latest `most` entries at most and half as many at least."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.new, self.old = max(1, most // 2), {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        if (value := self.new.get(key)) is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self.most:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
+
+
 class WordBpe:
     """Of a vocabulary file: white space dropped, lower case, word ends marked by a suffix."""
 
@@ -60,8 +77,7 @@ class WordBpe:
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
         self.inner = [self.vocab.get(c) for c in byte_alphabet()]
         self.final = [self.vocab.get(c + self.suffix) for c in byte_alphabet()]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known, self.known_pieces = Latest(CHUNKS), Latest(PIECES)
 
     def merged(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -101,31 +117,37 @@ class WordBpe:
             return text.lower()
         return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
 
-    def chunk(self, text: str) -> list[int]:
+    def chunk(self, text: str) -> bytes:
         """Ids of a run without white space: no piece reaches over white space, nor does the normal form."""
-        out: list[int] = []
+        out: list[bytes] = []
+        known = self.known_pieces
         for piece in self.pieces.findall(self.normal(text)):
-            out += self.merged(piece.encode())
-        return out
-
-    def lookup(self, text: str) -> bytes:
-        if (ids := self.known.get(text)) is None:
-            if (ids := self.older.get(text)) is None:
-                ids = array("I", self.chunk(text)).tobytes()
-            if len(text) <= 64:
-                if len(self.known) >= CACHE // 2:  # what was not met since goes
-                    self.known, self.older = {}, self.known
-                self.known[text] = ids
-        return ids
+            if (ids := known.get(piece)) is None:
+                ids = array("I", self.merged(piece.encode())).tobytes()
+                if len(piece) <= 64:
+                    known.put(piece, ids)
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers. Strings of special tokens stand for their ids, as the library has it."""
         out: list[bytes] = []
-        found = self.marks.findall(text)
+        known = self.known
+        found = self.marks.findall(text) if "<|" in text else []
         for at, segment in enumerate(self.marks.split(text) if found else [text]):
             if at:
                 out.append(array("I", [self.special[found[at - 1]]]).tobytes())
-            out += map(self.lookup, CHUNK.findall(segment) if ODD_SPACE.search(segment) else segment.split())
+            chunks = CHUNK.findall(segment) if ODD_SPACE.search(segment) else segment.split()
+            ids = list(map(known.new.get, chunks))
+            if None in ids:
+                for i, chunk in enumerate(chunks):
+                    if ids[i] is None:
+                        if (one := known.get(chunk)) is None:
+                            one = self.chunk(chunk)
+                            if len(chunk) <= 64:
+                                known.put(chunk, one)
+                        ids[i] = one
+            out += ids
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:

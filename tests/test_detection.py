@@ -12,6 +12,7 @@ from veilwork.functions.patterns import LOCALES
 from veilwork.functions.risk import assess
 from veilwork.functions.spans import placed_values
 from veilwork.operators import masking as M
+from veilwork.operators.ranking import ranked
 from veilwork.sources.backends import LanguageModelBackend, NamedEntityBackend, PatternBackend, asked_once, safe_url, with_backends
 
 
@@ -95,6 +96,8 @@ def test_null_empty_and_long_texts(spark):
     assert [r[0] for r in rows] == [0, 0, 1]
     with pytest.raises(Exception, match="over 10 characters"):
         M.detected(texts(spark, "x" * 11), Detect(max_chars=10)).collect()
+    fine, over = M.within_cap(texts(spark, "x" * 11, "y", None), Detect(max_chars=10))
+    assert (fine.count(), over.count()) == (2, 1)
 
 
 def test_redact_and_escape(spark):
@@ -134,6 +137,14 @@ def test_sessions_number_and_restore(spark):
     assert all(r["restored"] == r["text"] for r in back.collect())
 
 
+def test_ranks_of_a_hot_group(spark):
+    rows = [("hot" if i % 3 else None if i % 2 else f"g{i % 5}", (i * 7919) % 1009, i) for i in range(900)]
+    got = ranked(spark.createDataFrame(rows, "g string, o int, id int"), ["g"], ["o", "id"]).collect()
+    for g in {r[0] for r in rows}:
+        mine = sorted(r for r in rows if r[0] == g) if g else sorted((r for r in rows if r[0] is None), key=lambda r: r[1:])
+        assert [r["rank"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: (r["o"], r["id"]))] == list(range(len(mine)))
+
+
 def test_messages_with_parts_and_tool_calls(spark):
     kind = "conv_id long, messages array<struct<role:string,content:array<string>,tool_args:array<string>>>"
     chats = [(1, [("user", ["mail a@b.co", "x"], None), ("assistant", None, ['{"to": "a@b.co", "cc": "c@d.co"}']), ("user", [], [])]), (2, [("user", ["none"], [])])]

@@ -187,7 +187,7 @@ def test_merkle_for_every_size(spark):
         level = hashes
         while len(level) > 1:
             level = [sha(level[i] + level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        leaves = attest.numbered(spark.createDataFrame(list(enumerate(hashes)), "id long, h string"), "id", "h", per_block=4)
+        leaves = attest.numbered(spark.createDataFrame(list(enumerate(hashes)), "id long, h string"), "id", "h")
         assert attest.merkle_root(leaves) == level[0]
         proofs = attest.merkle_proofs(leaves)
         assert {r[0] for r in proofs.select(attest.proven_root(F.col("hash"), F.col("proof"))).collect()} == {level[0]}

@@ -11,24 +11,21 @@ from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.errors import ConfigError
 from veilwork.functions.canonical import canonical, digest
 from veilwork.functions.ed25519 import Keys, b64, key_id
+from veilwork.operators.ranking import ranked
 from veilwork.operators.report import manifest_fields
 
 # Merkle trees
 
 
-def numbered(rows: DataFrame, order: str, hash_: str, per_block: int = 4096) -> DataFrame:
-    """(idx, hash): rows numbered in order without a window over them all: by range, then by running totals of the ranges."""
-    n = max(1, -(-rows.count() // per_block))
-    parts = rows.select(order, hash_).repartitionByRange(n, order).withColumn("p", F.spark_partition_id()).cache()
-    before = parts.groupBy("p").count().select("p", (F.sum("count").over(Window.orderBy("p")) - F.col("count")).alias("before"))
-    at = F.row_number().over(Window.partitionBy("p").orderBy(order, hash_)) - 1
-    return parts.withColumn("at", at).join(before, "p").select((F.col("before") + F.col("at")).alias("idx"), F.col(hash_).alias("hash"))
+def numbered(rows: DataFrame, order: str, hash_: str) -> DataFrame:
+    """(idx, hash): rows numbered in order."""
+    return ranked(rows.select(order, hash_), [], [order, hash_], "idx").select("idx", F.col(hash_).alias("hash"))
 
 
 def pair(left: Column, right: Column) -> Column:

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.config import Detect
 from veilwork.functions import tokens as T
 from veilwork.functions.shared import shared_folder
 from veilwork.functions.spans import SPAN, detect, strip
+from veilwork.operators.ranking import ranked
 
 
 def detected(texts: DataFrame, how: Detect, text: str = "text", to: str = "spans") -> DataFrame:
@@ -25,6 +26,12 @@ def detected(texts: DataFrame, how: Detect, text: str = "text", to: str = "spans
     return texts.withColumn(to, detect(value, how.patterns()))
 
 
+def within_cap(texts: DataFrame, how: Detect, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(texts within the cap, texts over it): for jobs that set long texts aside instead of failing on the first."""
+    over = F.coalesce(T.too_long(F.col(text), how.max_chars), F.lit(False))
+    return texts.filter(~over), texts.filter(over)
+
+
 def entities(found: DataFrame, *keys: str, spans: str = "spans") -> DataFrame:
     """One row per span; where a key has the name of a span's field, the field is called span_<name>."""
     fields = ("start", "end", "category", "text", "confidence", "source")
@@ -62,10 +69,9 @@ def session_tokens(values: DataFrame, session: str, order: str) -> DataFrame:
     category and its turn to be numbered. A value met again keeps its token, whatever category it is then found in.
     """
     each = values.select(session, order, "category", "key", (-F.col("start")).alias("back"))
-    first = each.groupBy(session, "key").agg(F.min(F.struct(order, "back", "category")).alias("at"))
-    by_turn = Window.partitionBy(session, "at.category").orderBy(f"at.{order}", "at.back")
-    n = F.row_number().over(by_turn) - 1
-    return first.select(session, "key", F.col("at.category").alias("category"), F.concat(F.lit("["), F.col("at.category"), F.lit("_"), n, F.lit("]")).alias("token"))
+    first = each.groupBy(session, "key").agg(F.min(F.struct(order, "back", "category")).alias("at")).select(session, "key", f"at.{order}", "at.back", "at.category")
+    token = F.concat(F.lit("["), F.col("category"), F.lit("_"), F.col("rank"), F.lit("]"))
+    return ranked(first, [session, "category"], [order, "back"]).select(session, "key", "category", token.alias("token"))
 
 
 def tokenized(texts: DataFrame, values: DataFrame, tokens: DataFrame, session: str, order: str, text: str = "text", to: str = "masked") -> DataFrame:

@@ -172,7 +172,7 @@ def merkle_proofs(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Labels for evaluation: a plain rule of our own for addresses and for 16 digits, against the patterns.
 LABELS = (("EMAIL", r"[a-z0-9.]+@[a-z.]+"), ("CREDIT_CARD", r"\b[0-9]{16}\b"))
-FOUND = Detect(only=("EMAIL",), custom=(("CARDISH", r"\b4\d{15}\b"),))
+FOUND = Detect(max_chars=0, only=("EMAIL",), custom=(("CARDISH", r"\b4\d{15}\b"),))
 
 
 def _labels(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -204,12 +204,12 @@ def native_vs_reference_scan(spark: SparkSession, sf: str) -> DataFrame:
     from veilwork.sources.backends import PatternBackend, with_backends
 
     docs = spread(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "text")
-    native = M.entities(M.detected(docs, Detect()), "doc_id").select("doc_id", "start", "end", "category")
-    scanned = M.entities(with_backends(docs, [PatternBackend(Detect())]), "doc_id").select("doc_id", "start", "end", "category")
+    native = M.entities(M.detected(docs, Detect(max_chars=0)), "doc_id").select("doc_id", "start", "end", "category")
+    scanned = M.entities(with_backends(docs, [PatternBackend(Detect(max_chars=0))]), "doc_id").select("doc_id", "start", "end", "category")
     return E.differences(native, scanned)
 
 
-STREAMED = Detect(only=("EMAIL",), custom=(("CARD_DIGITS", r"\b[3-6]\d{15}\b"),))
+STREAMED = Detect(max_chars=0, only=("EMAIL",), custom=(("CARD_DIGITS", r"\b[3-6]\d{15}\b"),))
 
 
 def stream_restore(spark: SparkSession, sf: str) -> DataFrame:

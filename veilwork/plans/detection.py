@@ -13,9 +13,9 @@ from veilwork.functions.shared import spread
 from veilwork.operators import masking as M
 from veilwork.plans.sql import masked_sql, q, spans_sql
 
-#: The built-in patterns that RE2 can read too, and two patterns of ours: they stand for all wherever SQL checks a query.
-PLAIN = Detect(only=("EMAIL", "IBAN", "API_KEY", "AWS_KEY", "JWT"), custom=(("DOTTED_QUAD", r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"), ("CARD_DIGITS", r"\b[3-6]\d{15}\b"), ("HEX_SECRET", r"\b[0-9a-f]{40}\b")))
-ALL = Detect()
+#: Queries read whole tables and have no cap. The built-in patterns that RE2 can read too, and two patterns of ours: they stand for all wherever SQL checks a query.
+PLAIN = Detect(max_chars=0, only=("EMAIL", "IBAN", "API_KEY", "AWS_KEY", "JWT"), custom=(("DOTTED_QUAD", r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"), ("CARD_DIGITS", r"\b[3-6]\d{15}\b"), ("HEX_SECRET", r"\b[0-9a-f]{40}\b")))
+ALL = Detect(max_chars=0)
 KEY = "00112233445566778899aabbccddeeff00112233445566778899aabbccddeeff"
 
 
@@ -28,7 +28,7 @@ def plain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def email_by_lang(spark: SparkSession, sf: str) -> DataFrame:
-    found = M.detected(docs(spark, sf).select("lang", "text"), Detect(only=("EMAIL",)))
+    found = M.detected(docs(spark, sf).select("lang", "text"), Detect(only=("EMAIL",), max_chars=0))
     return found.groupBy("lang").agg(F.sum(F.size("spans")).cast("long").alias("emails"), F.count("*").alias("documents"))
 
 
@@ -55,13 +55,13 @@ def source_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def custom_pattern(spark: SparkSession, sf: str) -> DataFrame:
-    how = Detect(only=(), custom=(("SECRET_TOKEN", r'token = "[0-9a-f]{40}"'),))
+    how = Detect(max_chars=0, only=(), custom=(("SECRET_TOKEN", r'token = "[0-9a-f]{40}"'),))
     return M.entities(M.detected(docs(spark, sf), how), "doc_id").select("doc_id", "start", "end", "category")
 
 
 def locale(name: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return M.entities(M.detected(docs(spark, sf), Detect(locale=name, only=("EMAIL",))), "doc_id").select("doc_id", "start", "end", "category", "text")
+        return M.entities(M.detected(docs(spark, sf), Detect(locale=name, only=("EMAIL",), max_chars=0)), "doc_id").select("doc_id", "start", "end", "category", "text")
 
     return run
 
@@ -136,7 +136,7 @@ def context_risk(spark: SparkSession, sf: str) -> DataFrame:
 def masked_conversations(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf}/conversations.parquet")
     mail = F.when((F.col("role") == "user") & (F.col("conv_id") % 3 == 0), F.concat("text", F.lit(" user"), F.col("conv_id"), F.lit("@example.com"))).otherwise(F.col("text"))
-    masked, _ = M.masked_conversations(rows.withColumn("text", mail), Detect(only=("EMAIL",)))
+    masked, _ = M.masked_conversations(rows.withColumn("text", mail), Detect(only=("EMAIL",), max_chars=0))
     return masked.select("conv_id", "turn", "role", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -1,7 +1,7 @@
 """Detecting, masking and restoring over tables of texts.
 
-Detection and redaction are projections: nothing is shuffled. Numbered tokens need one shuffle of the found values (never of the
-texts) to number them and one to bring the tokens back to their documents; texts without a finding pass by both.
+Detection and redaction are projections: nothing is shuffled. Numbered tokens need shuffles of the values met to number them; then
+they are brought back to their texts, by a broadcast while they are few, else by a join that moves the texts once.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ from veilwork.functions.spans import SPAN, detect, strip
 from veilwork.operators.ranking import ranked
 
 
+#: Values of some 100 bytes: 20 MB at most.
+BROADCAST_ROWS = 200_000
+
+
 def detected(texts: DataFrame, how: Detect, text: str = "text", to: str = "spans") -> DataFrame:
     """texts with the spans of each; a text over the cap raises."""
     value = F.col(text)
@@ -75,10 +79,14 @@ def session_tokens(values: DataFrame, session: str, order: str) -> DataFrame:
 
 
 def tokenized(texts: DataFrame, values: DataFrame, tokens: DataFrame, session: str, order: str, text: str = "text", to: str = "masked") -> DataFrame:
-    """Texts with each value met replaced by its session's token. (session, order) tells a text from all others."""
+    """Texts with each value met replaced by its session's token. (session, order) tells a text from all others.
+
+    Up to BROADCAST_ROWS values are sent to the texts; beyond, texts and values are shuffled to meet.
+    """
     places = values.select(session, order, "start", "end", "key")
     pieces = places.join(tokens.select(session, "key", "token"), [session, "key"]).groupBy(session, order).agg(F.sort_array(F.collect_list(F.struct("start", "end", "token"))).alias("pieces"))
-    both = texts.join(pieces, [session, order], "left")
+    few = values.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    both = texts.join(F.broadcast(pieces) if few else pieces, [session, order], "left")
     none = F.expr("cast(array() as array<struct<start:int,end:int,token:string>>)")
     return both.withColumn(to, T.splice(T.escape(F.col(text)), F.coalesce("pieces", none))).drop("pieces")
 

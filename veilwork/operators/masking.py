@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwork.config import Detect
@@ -66,6 +66,11 @@ def met(found: DataFrame, session: str, order: str) -> DataFrame:
     return d.select(session, order, "start", "end", "category", strip(F.col("text")).alias("key")).checkpoint(eager=True)
 
 
+def few(values: DataFrame) -> bool:
+    """Whether so few values were met that they may be sent about."""
+    return values.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def session_tokens(values: DataFrame, session: str, order: str) -> DataFrame:
     """(session, key, category, token) of values met: a number for each distinct value of a session and category.
 
@@ -75,7 +80,11 @@ def session_tokens(values: DataFrame, session: str, order: str) -> DataFrame:
     each = values.select(session, order, "category", "key", (-F.col("start")).alias("back"))
     first = each.groupBy(session, "key").agg(F.min(F.struct(order, "back", "category")).alias("at")).select(session, "key", f"at.{order}", "at.back", "at.category")
     token = F.concat(F.lit("["), F.col("category"), F.lit("_"), F.col("rank"), F.lit("]"))
-    return ranked(first, [session, "category"], [order, "back"]).select(session, "key", "category", token.alias("token"))
+    if few(values):
+        placed = first.withColumn("rank", F.row_number().over(Window.partitionBy(session, "category").orderBy(order, "back")) - 1)
+    else:  # a session may then be too large for one task
+        placed = ranked(first, [session, "category"], [order, "back"])
+    return placed.select(session, "key", "category", token.alias("token"))
 
 
 def tokenized(texts: DataFrame, values: DataFrame, tokens: DataFrame, session: str, order: str, text: str = "text", to: str = "masked") -> DataFrame:
@@ -85,8 +94,7 @@ def tokenized(texts: DataFrame, values: DataFrame, tokens: DataFrame, session: s
     """
     places = values.select(session, order, "start", "end", "key")
     pieces = places.join(tokens.select(session, "key", "token"), [session, "key"]).groupBy(session, order).agg(F.sort_array(F.collect_list(F.struct("start", "end", "token"))).alias("pieces"))
-    few = values.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    both = texts.join(F.broadcast(pieces) if few else pieces, [session, order], "left")
+    both = texts.join(F.broadcast(pieces) if few(values) else pieces, [session, order], "left")
     none = F.expr("cast(array() as array<struct<start:int,end:int,token:string>>)")
     return both.withColumn(to, T.splice(T.escape(F.col(text)), F.coalesce("pieces", none))).drop("pieces")
 

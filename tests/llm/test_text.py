@@ -107,6 +107,16 @@ def test_simhash_equals_brute_force(spark, data):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_one_row_of_each_component_stays_whatever_the_ids(spark):
+    text = lambda seed: " ".join(str(random.Random(seed).random()) for _ in range(40))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (3, text(5)), (7, text(5)), (None, text(5)), (9, text(6)), (9, text(6)), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n long")
+    for got in (simhash.keep_one(docs), simhash.keep_one(docs.drop("n").repartition(3))):
+        assert got.columns[:2] == ["doc_id", "text"]
+        got = sorted((r["doc_id"] or -1, r["text"] or "") for r in got.collect())
+        assert got == sorted([(-1, text(1)), (-1, text(2)), (7, text(3)), (7, text(4)), (3, text(5)), (9, text(6)), (-1, "")])
+
+
 @pytest.mark.parametrize("paired", [0, 8, 32])
 def test_links_join_exactly_what_two_bits_join(spark, monkeypatch, paired):
     monkeypatch.setattr(simhash, "PAIRED", paired)

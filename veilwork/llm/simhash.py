@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.llm._common import WORD, cut, table
@@ -123,17 +123,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return prints.join(of_print, "f").select(key, "f", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
-    """One row of docs for each component: that of its id; of several rows with that id, the least by all columns."""
-    found = cut(near_duplicates(docs, key, text, size).filter(F.col(key).eqNullSafe(F.col("component_id"))))
-    keep = cut(found.groupBy(F.col(key).alias("kept")).count())
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{key}`").alias("k"))
-    out = rows.join(keep, rows["k"].eqNullSafe(keep["kept"]), "left_semi")
-    if keep.filter("count > 1").head(1):  # ids are not unique
-        out = out.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("doc"))).filter("n = 1")
+def identified(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs with who(none, id, row): whether the id is null, the id, and a digest of the whole row. Only rows that are wholly alike share it."""
+    row = F.xxhash64(*[part for c in docs.columns for part in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
+    return docs.withColumn("who", F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("id"), row.alias("row")))
+
+
+def only(rows: DataFrame, keep: DataFrame) -> DataFrame:
+    """Of the rows of identified(docs) those that keep(who) names, each once, without who."""
+    keep = cut(keep.groupBy("who").count())
+    doc = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "who"]).alias("doc")
+    out = rows.select(doc, "who").join(keep.select("who"), "who", "left_semi")
+    if keep.filter("count > 1").head(1):  # rows wholly alike; partial aggregates leave one a task, so any number of them may be
+        again = keep.filter("count > 1").select("who")
+        out = out.join(again, "who", "left_anti").select("doc").union(out.join(again, "who", "left_semi").groupBy("who").agg(F.first("doc").alias("doc")).select("doc"))
     return out.select("doc.*")
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
+    """One row of docs for each component: that of the least id, nulls last; of several rows with that id, the one of the least digest."""
+    rows = identified(docs, key)
+    found = near_duplicates(rows, "who", text, size)
+    return only(rows, found.filter(F.col("who") == F.col("component_id")).select("who"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")

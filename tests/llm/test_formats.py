@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import struct
 import uuid
 
@@ -325,3 +326,21 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, data):
     want = sorted((d["doc_id"], hashlib.sha256(model.encode(d["text"])).hexdigest()) for d in single for _ in range(taken[d["doc_id"]]))
     got = sorted((r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, data).collect())
     assert got == want
+
+
+def test_pipeline_keeps_one_of_near_copies_by_jaccard(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    good = corpus_pipeline.good(spark, docs, data).select("doc_id", "text").collect()
+    sets = {}
+    for i, text in good:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    root = {}
+    for i in sorted(sets):
+        near = {root[j] for j in root if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+        root[i] = min(near, default=i)
+        root |= {j: root[i] for j, r in root.items() if r in near}
+    out = corpus_pipeline.single(spark, corpus_pipeline.good(spark, docs, data), data)
+    assert out.columns == docs.columns
+    assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == sorted(set(root.values()))
+    assert any((simhash.fingerprint(dict(good)[i] or "") ^ simhash.fingerprint(dict(good)[r] or "")).bit_count() > 2 for i, r in root.items())

@@ -13,7 +13,7 @@ import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
 
-from veilwork.llm import bpe, queries, quality_classifier, secret_scan, simhash, token_counts
+from veilwork.llm import bpe, near_copies, queries, quality_classifier, secret_scan, simhash, token_counts
 from veilwork.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -135,6 +135,34 @@ def test_links_join_exactly_what_two_bits_join(spark, monkeypatch, paired):
     assert len(set(want.values())) < len(prints)
 
 
+def shingle_set(text, k=5):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def alike(a, b):
+    return a == b or 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)
+
+
+@pytest.mark.parametrize(("paired", "sampled"), [(32, 32), (2, 1), (0, 2)])
+def test_near_copies_equal_brute_force(spark, monkeypatch, paired, sampled):
+    monkeypatch.setattr(near_copies, "PAIRED", paired)
+    monkeypatch.setattr(near_copies, "SAMPLED", sampled)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r[0], r[1]) for r in docs.collect()] + [(10_000 + i, t) for i, t in enumerate(ODD)]
+    rnd = random.Random(paired)
+    for base in range(3):  # copies with more and more changes, near one another rather than near the first
+        words = [str(rnd.randrange(10**6)) for _ in range(120)]
+        for k in range(25):
+            rows.append((20_000 + 100 * base + k, " ".join(words)))
+            words[rnd.randrange(120)] = f"new{k}"
+    sets = {i: shingle_set(t) for i, t in rows}
+    want = classes(sorted(sets), lambda a, b: alike(sets[a], sets[b]))
+    kept = near_copies.keep_one(spark.createDataFrame([*rows, rows[0], rows[0]], "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    assert near_copies.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(100, 180)] + [(7, i) for i in range(300, 400)] + [(5, 5), (2, 1)]
     got = {r[0]: r[1] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -234,6 +234,21 @@ def test_network_adds_spans_and_long_candidates_are_whole(spark):
     assert got[2] == ""
 
 
+def test_keys_without_digits_are_read_and_long_words_are_left(spark):
+    key, word = "qXvBnTzKwLpRdHsMfGcJ", "internationalisation"
+    assert secret_scan.candidates(f"a {key} b {word} {'1' * 16} c", []) == [(2, 22), (25, 45), (46, 62)]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_scan(frame(spark, [f"bearer {key} end", f"the {word} of counterrevolutionaries", "a line " + "-" * 40])).collect()}
+    assert got == {0: f"net:7:{7 + len(key)}", 1: "", 2: ""}
+    made = secret_scan.labelled_findings(3000, seed=78)
+    bare = [(t, a, b, k) for t, a, b, k in made if not re.search("[0-9]", t[a:b])]
+    net = secret_scan.trained()
+    taken = net.probabilities([secret_scan.window(t, a, b) for t, a, b, _ in bare]) >= net.threshold
+    y = np.array([k for *_, k in bare])
+    assert y.sum() >= 100
+    assert taken[y == 1].mean() >= 0.9
+    assert taken[y == 0].mean() <= 0.05
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "a token=12345678 b", 18), (2, None, None), (3, "clean", 5), (4, "secret=" + "a1" * 20, 47)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secret_scan.redacted(docs).collect()}

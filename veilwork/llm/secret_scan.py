@@ -1,6 +1,6 @@
 """Secret scans: three fixed patterns, and a character convolutional network over every other candidate.
 
-A candidate is a run of 16 or more of [A-Za-z0-9+/_=-] with a letter and a digit that no pattern has found. The network reads it
+A candidate is any run of 16 or more of [A-Za-z0-9+/_=-] that no pattern has found, with or without digits. The network reads it
 whole, with CONTEXT characters on either side: characters become classes, one layer of filters of width 5 is pooled (greatest and
 mean) over the run and its surroundings, and two dense layers follow. It is trained in numpy, with a fixed seed, on labelled
 findings made by a generator of keys and of look-alikes. Scores are calibrated on findings held out (Platt scaling), and the
@@ -38,9 +38,7 @@ _names = "|".join([_either("password"), _either("passwd"), _either("secret"), _e
 _assign = re.compile(rf"""({_names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _access = re.compile(r"AKIA[A-Z0-9]+")
 _hex = re.compile(r"[0-9a-f]{32,}")  # runs are taken whole, so shorter ones may as well not match
-_digit = re.compile(r"[0-9]")
-_run = re.compile(r"[A-Za-z0-9+/_=-]+")
-_letter = re.compile(r"[A-Za-z]")
+_run = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _run_chars = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 Span = tuple[int, int, int]
 
@@ -57,16 +55,8 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, spans: list[Span]) -> list[tuple[int, int]]:
-    """Runs with a digit and a letter that no span touches. Digits are rare in prose, so they are looked for first."""
-    out, at = [], 0
-    while m := _digit.search(text, at):
-        start = m.start()
-        while start > at and text[start - 1] in _run_chars:
-            start -= 1
-        at = _run.match(text, start).end()
-        if at - start >= 16 and _letter.search(text, start, at) and not any(s < at and start < e for s, _, e in spans):
-            out.append((start, at))
-    return out
+    """Runs that no span touches, of whatever characters."""
+    return [(m.start(), m.end()) for m in _run.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in spans)]
 
 
 # The network
@@ -168,25 +158,29 @@ def labelled_findings(n: int, seed: int = 11) -> list[tuple[str, int, int, int]]
     mixed = lower + lower.upper() + digits
     word = lambda: some(lower, 2, 9)
     prose = lambda k: " ".join(word() for _ in range(k))
+    said = lambda k: "".join(some("bcdfghklmnprstvw", 1, 1 + (r.random() < 0.25)) + some("aeiou", 1, 1 + (r.random() < 0.15)) for _ in range(k)) + r.choice(["", "n", "s", "t", "r"])
+    many = lambda a, b: [said(r.randint(1, 4)) for _ in range(r.randint(a, b))]
     keys = (
         lambda: some(mixed, 20, 64), lambda: some(mixed + "+/", 24, 88) + r.choice(["", "=", "=="]),
         lambda: r.choice(["sk_live_", "pk_test_", "ghp_", "gho_", "glpat-", "xoxb-", "npm_", "hf_", "AIza", "SG_"]) + some(mixed, 20, 40),
         lambda: "eyJ" + some(mixed + "_-", 30, 120), lambda: some(digits + "ABCDEF", 32, 64), lambda: some(lower + digits, 24, 48),
-        lambda: some(digits + "abcdef", 20, 31),
+        lambda: some(digits + "abcdef", 20, 31), lambda: some(lower + lower.upper(), 16, 40), lambda: some(lower + lower.upper(), 16, 24), lambda: some(mixed, 16, 24),
     )
     alike = (
         lambda: "-".join(word() for _ in range(r.randint(3, 6))) + "-" + some(digits, 1, 4), lambda: "/".join(["", *(word() for _ in range(r.randint(3, 6)))]) + some(digits, 1, 4),
         lambda: f"20{some(digits, 2, 2)}-{some(digits, 2, 2)}-{some(digits, 2, 2)}T{some(digits, 2, 2)}-{some(digits, 2, 2)}-{some(digits, 2, 2)}Z", lambda: "_".join([r.choice(["IMG", "file", "backup", "report", "scan"]), some(digits, 8, 8), some(digits, 6, 6)]),
         lambda: word() + word() + word() + word()[:3] + some(digits, 1, 4), lambda: word().capitalize() + word().capitalize() + word().capitalize() + word().capitalize() + some(digits, 1, 2), lambda: (word()[:2] + some(digits, 1, 1)) * r.randint(6, 12),
         lambda: "a" * r.randint(8, 30) + some(digits, 8, 12), lambda: "=" * r.randint(8, 40) + word() + some(digits, 1, 3) + "=" * r.randint(4, 8), lambda: "-".join([some(digits, 3, 3), some(digits, 1, 1), some(digits, 2, 4), some(digits, 4, 6), "x" + some(digits, 1, 1)]),
+        lambda: said(r.randint(7, 13)), lambda: said(r.randint(7, 13)).capitalize(), lambda: said(r.randint(7, 13)).upper(), lambda: some(lower + lower.upper(), 1, 1) * r.randint(16, 60), lambda: r.choice("-=_+/") * r.randint(16, 80), lambda: some(digits, 16, 24),
+        lambda: r.choice("-_/").join(many(4, 8)), lambda: "".join(w.capitalize() for w in many(3, 6)), lambda: "_".join(many(3, 6)).upper(), lambda: said(2) + "".join(w.capitalize() for w in many(3, 5)),
         lambda: "-".join([some(digits, 4, 4)] * 3) + "-" + word(), lambda: "v" + "-".join(some(digits, 1, 3) for _ in range(6)) + "-release",
     )
     out = []
     for i in range(n):
         label = i % 2
         run = r.choice(keys if label else alike)()
-        if len(run) < 16 or not _digit.search(run) or not _letter.search(run):
-            run = some(mixed, 20, 40) + "7a" if label else "-".join(word() for _ in range(5)) + "-2019"
+        if len(run) < 16:
+            run = some(mixed, 20, 40) if label else "-".join(word() for _ in range(5)) + "-in-between"
         if r.random() < (0.5 if label else 0.25):
             before = prose(r.randint(0, 4)) + r.choice(["\n", " "]) + r.choice(["key", "auth", "bearer", "credential", "client_id", "signature", "private", "access", "id", "name", "path", "ref"]) + r.choice([": ", "=", ' = "', " ", "='"])
         else:

@@ -304,6 +304,20 @@ def test_templates_that_rewrite_history_are_found(spark):
     assert (r["formatted"], r["spans"], r["rewrites_history"]) == ("2:ab", [], True)
 
 
+def test_templates_that_rewrite_turns_far_back_are_found(spark):
+    last = lambda turns: "".join(f"<{r}:{t}>" for r, t in turns[-100:])
+    reasons = lambda turns: "".join(f"<{r}:{t if r != 'assistant' or not any(x == 'user' for x, _ in turns[k:]) else ''}>" for k, (r, t) in enumerate(turns))
+    for template, turns in ((last, [("user", str(k)) for k in range(150)]), (reasons, [("user", "a"), ("assistant", "b"), *[("tool", str(k)) for k in range(90)], ("user", "c")])):
+        assert chat_format.rewrites_history(template, turns)
+        assert not chat_format.rewrites_history(template, turns[:90])
+        r = chat_format.formatted(spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id long, turn int, role string, text string"), template).head()
+        assert (r["formatted"], r["rewrites_history"]) == (template(turns), True)
+    local = chat_format.Located(chat_format.inst_template)
+    for k in range(1000):
+        local.add(("user", str(k)))
+        assert len(local.prefix) <= chat_format.BLOCK + 1
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, data):
     docs = [r.asDict() for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     one = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

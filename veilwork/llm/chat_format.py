@@ -4,9 +4,10 @@ Prefixes of a conversation are rendered turn by turn. If a rendering does not be
 history; that is reported and no spans are given. Otherwise what was added is the turn's span, and where its text lies in it is
 seen by rendering the same prefix with a mark in the text's place.
 
-Conversations are streamed in order of turns. After BLOCK turns the prefix is cut down to the last turn, if the next turn is
-rendered after it just as after the whole prefix (which is checked each time); a template that looks further back gets whole
-prefixes. So work and memory of rendering stay bounded for conversations of any length, as of rows without an id.
+Conversations are streamed in order of turns. A template is given whole prefixes, since it may look back as far as it likes, so its
+work grows with the square of the turns. Only for a template declared turn_local (each turn is rendered without regard to others,
+as by inst_template) the prefix is cut down to the last turn after BLOCK turns, if the next turn is rendered after it as after the
+whole prefix; its work and memory stay bounded for conversations of any length, as of rows without an id.
 
 Defined results: a null text or role is an empty one. Rows are ordered by turn, null first, then role, text; rows alike are turns
 of their own. Rows with a null conv_id are one conversation. An empty table gives an empty result.
@@ -47,6 +48,9 @@ def inst_template(turns: list[Turn]) -> str:
     return "".join(f"<s>[INST]{escape(role)}[/INST]{escape(text)}</s>" for role, text in turns)
 
 
+inst_template.turn_local = True
+
+
 def parse(formatted: str) -> list[Turn]:
     """The turns of what inst_template has rendered."""
     return [(unescape(r), unescape(t)) for r, t in _turn.findall(formatted)]
@@ -59,7 +63,7 @@ class Located:
         self.template, self.block = template, block
         self.prefix: list[Turn] = []
         self.before = ""
-        self.local = True
+        self.local = getattr(template, "turn_local", False)
         self.rewrites = False
 
     def add(self, turn: Turn) -> tuple[str, int, int] | None:

@@ -87,7 +87,9 @@ def test_options_are_checked():
     assert not safe_pattern("(")
     assert not safe_pattern("(a+)+$")
     with pytest.warns(UserWarning):
-        assert Detect(only=(), custom=(("BROKEN", "("),)).patterns() == ()
+        assert Detect(only=(), custom=(("BROKEN", "("),), lenient=True).patterns() == ()
+    with pytest.raises(ConfigError):
+        Detect(only=(), custom=(("BROKEN", "("),)).patterns()
 
 
 def test_null_empty_and_long_texts(spark):
@@ -120,9 +122,9 @@ def sequential(sessions):
     return out
 
 
-@pytest.mark.parametrize("most", [200_000, 1])
+@pytest.mark.parametrize("most", [20 << 20, 1])
 def test_sessions_number_and_restore(spark, monkeypatch, most):
-    monkeypatch.setattr(M, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(M, "BROADCAST_BYTES", most)
     rows = [("s", 0, "a@b.co and c@d.co"), ("s", 1, "c@d.co 10.0.0.1 e@f.co"), ("t", 0, "e@f.co"), ("t", 1, "none"), ("t", 2, None)]
     df = spark.createDataFrame(rows, "session string, turn int, text string")
     how = Detect()
@@ -132,12 +134,40 @@ def test_sessions_number_and_restore(spark, monkeypatch, most):
     for r in M.detected(df, how).orderBy("session", "turn").collect():
         spans.setdefault(r["session"], []).append([(d["category"], d["text"]) for d in r["spans"]])
     assert {s: {r["key"]: r["token"] for r in tokens.filter(F.col("session") == s).collect()} for s in "st"} == sequential(spans)
-    masked = M.tokenized(df, values, tokens, "session", "turn")
+    masked = M.tokenized(df, values, tokens, "session")
     assert masked.filter("session = 's' and turn = 0").head()["masked"] == "[EMAIL_1] and [EMAIL_0]"
-    back = M.restored(masked.withColumn("masked", F.lower("masked")), tokens, "session", "turn")
+    back = M.restored(masked.withColumn("masked", F.lower("masked")), tokens, "session")
     assert all(r["restored"] == r["text"] for r in back.collect())
 
 
+def test_null_and_repeated_keys_leave_nothing_in_clear(spark):
+    rows = [(None, 0, "user", "mail a@b.com now"), (1, None, "user", "or c@d.com"), (7, 1, "user", "x g@h.com"), (7, 1, "user", "longer text here i@j.com end"), (7, 1, "user", "x g@h.com"), (None, None, None, None)]
+    masked, tokens = M.masked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), Detect(), hint=None)
+    got = sorted((r["conv_id"] or -1, r["text"] or "") for r in masked.collect())
+    said = {r["key"]: r["token"] for r in tokens.collect()}
+    assert got == sorted([(-1, "mail [EMAIL_0] now"), (1, "or [EMAIL_0]"), (7, f"x {said['g@h.com']}"), (7, f"x {said['g@h.com']}"), (7, f"longer text here {said['i@j.com']} end"), (-1, "")])
+    assert {said["g@h.com"], said["i@j.com"]} == {"[EMAIL_0]", "[EMAIL_1]"}
+    back = M.restored_conversations(masked, tokens)
+    assert sorted(r["text"] or "" for r in back.collect()) == sorted(r[3] or "" for r in rows)
+
+
+def test_many_spans_in_one_text(spark):
+    import time
+
+    def seconds(n):
+        text = " ".join(f"a{i}@b.co 10.0.{i % 250}.1" for i in range(n))
+        df = texts(spark, text)
+        began = time.process_time_ns(), time.monotonic()
+        got = M.detected(df, Detect(only=("EMAIL", "IP_ADDRESS"))).select("spans").head()[0]
+        assert len(got) == 2 * n
+        assert all(text[d["start"] : d["end"]] == d["text"] for d in got)
+        return time.monotonic() - began[1]
+
+    seconds(500)
+    one, four = seconds(2000), seconds(8000)
+    assert four < 8 * one + 2
+
+
 def test_ranks_of_a_hot_group(spark):
     rows = [("hot" if i % 3 else None if i % 2 else f"g{i % 5}", (i * 7919) % 1009, i) for i in range(900)]
     got = ranked(spark.createDataFrame(rows, "g string, o int, id int"), ["g"], ["o", "id"]).collect()
@@ -156,6 +186,17 @@ def test_messages_with_parts_and_tool_calls(spark):
     assert tokens.count() == 2
 
 
+def test_legacy_calls_repeated_chats_hints_and_answers(spark):
+    kind = "conv_id long, messages array<struct<role:string,content:array<string>,tool_args:array<string>,function_args:string>>"
+    chats = [(None, [("system", ["be kind"], [], None), ("user", ["a@b.co"], None, '{"to": "c@d.co"}')]), (3, [("user", ["x@y.co"], [], None)]), (3, [("user", ["x@y.co"], [], None)]), (4, []), (5, None)]
+    rows, tokens = M.masked_messages(spark.createDataFrame(chats, kind), Detect(), hint="HINT")
+    got = sorted(((r["conv_id"] or 0, [(m["role"], m["content"], m["function_args"]) for m in r["messages"] or []]) for r in rows.collect()), key=repr)
+    assert got == sorted([(0, [("system", ["be kind", "HINT"], None), ("user", ["[EMAIL_0]"], '{"to": "[EMAIL_1]"}')]), *[(3, [("system", ["HINT"], None), ("user", ["[EMAIL_0]"], None)])] * 2, (4, []), (5, [])], key=repr)
+    back = {r["conv_id"]: r["messages"] for r in M.restored_messages(rows, tokens).collect()}
+    assert back[None][1]["content"] == ["a@b.co"]
+    assert back[None][1]["function_args"] == '{"to": "c@d.co"}'
+
+
 def test_entity_hash_is_hmac(spark):
     import hashlib
     import hmac

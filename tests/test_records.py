@@ -1,6 +1,7 @@
 import base64
 import json
 import threading
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -228,8 +229,15 @@ def test_bias_session(spark):
     with BiasSession("fairness", "no other data", ["ETHNICITY", "RELIGION"], record=said.append) as s:
         got = {r["id"]: r["masked"] for r in s.pseudonymise(texts, spans).collect()}
         s.finding("parity", gap=0.1)
+        later = spark.createDataFrame([(9, "Eva met Ana")], "id long, text string"), spark.createDataFrame([(9, 0, 3, "ETHNICITY"), (9, 8, 11, "ETHNICITY")], "id long, start int, end int, category string")
+        more = s.pseudonymise(*later)
+        written = [p for p in Path(spark.conf.get("spark.checkpoint.dir")).rglob("*.parquet") if s.id in str(p)]
+        assert written
+    assert not any(p.exists() for p in written)
+    assert said[-1]["bias_context"]["wipe_confirmed"]
+    assert more.head()["masked"] == "[ETHNICITY_1] met [ETHNICITY_0]"
     assert got == {1: "[ETHNICITY_0] is from Peru and [ETHNICITY_0] [RELIGION_0]", 2: "none"}
-    assert [e["event_type"] for e in said] == ["bias_session_start", "bias_pseudonymise", "bias_finding", "bias_session_end"]
+    assert [e["event_type"] for e in said] == ["bias_session_start", "bias_pseudonymise", "bias_finding", "bias_pseudonymise", "bias_session_end"]
     assert not [v for e in said for v in violations(e)]
     with pytest.raises(SessionState):
         s.finding("late")

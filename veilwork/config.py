@@ -17,16 +17,20 @@ PROBE_S = 0.1
 
 
 def safe_pattern(regex: str) -> bool:
-    """Whether the pattern compiles and stays quick on every probe."""
+    """Whether the pattern compiles and stays quick on every probe, by this thread's CPU time.
+
+    A probe is tried from its end on, two characters more each time, so a pattern that doubles with each is found out early.
+    """
     try:
         compiled = re.compile(regex)
     except re.error:
         return False
     for probe in PROBES:
-        began = time.perf_counter()
-        compiled.search(probe)
-        if time.perf_counter() - began >= PROBE_S:
-            return False
+        for n in range(8, len(probe) + 2, 2):
+            began = time.thread_time()
+            compiled.search(probe[-n:])
+            if time.thread_time() - began >= PROBE_S:
+                return False
     return True
 
 
@@ -38,6 +42,7 @@ class Detect:
     custom: tuple[tuple[str, str], ...] = ()
     only: tuple[str, ...] | None = None
     max_chars: int = 1_000_000
+    lenient: bool = False
 
     def __post_init__(self) -> None:
         if self.max_chars < 0:
@@ -51,11 +56,13 @@ class Detect:
             raise ConfigError(f"unknown categories {sorted(unknown)}")
 
     def patterns(self) -> tuple[Pattern, ...]:
-        """Custom, locale, built-in: the order in which they claim text. Unsafe custom patterns are left out with a warning."""
+        """Custom, locale, built-in: the order in which they claim text. Unsafe custom patterns raise; if lenient they are left out with a warning."""
         custom = []
         for name, regex in self.custom:
             if safe_pattern(regex):
                 custom.append(Pattern(name, regex))
+            elif not self.lenient:
+                raise ConfigError(f"custom pattern {name} is invalid or too slow")
             else:
                 warnings.warn(f"custom pattern {name} is invalid or too slow; it is left out", stacklevel=2)
         on = [p for p in BUILT_IN if (p.category in self.only if self.only is not None else p.category not in OFF)]

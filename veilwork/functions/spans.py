@@ -36,45 +36,54 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
 
 
+def _q(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _on(value: Column, body: str) -> Column:
+    """body, SQL over t, with the value as t. As text such an expression is built in one step."""
+    return F.element_at(F.call_function("transform", F.array(value), F.expr(f"t -> {body}")), 1)
+
+
+#: A fold copies what it has made at every step, so sums over many matches go by blocks: in time that grows with the matches.
+BLOCK = 64
+_INTS = "cast(array() as array<int>)"
+_BEGINS = f"aggregate(bs, named_struct('at', 0, 'out', {_INTS}), (acc, block) -> named_struct('at', acc.at + aggregate(block, 0, (n, v) -> n + v.gap + v.n), 'out', concat(acc.out, array(acc.at)))).out"
+_WITHIN = f"aggregate(block, named_struct('at', begin, 'out', {_INTS}), (acc, v) -> named_struct('at', acc.at + v.gap + v.n, 'out', concat(acc.out, array(acc.at + v.gap)))).out"
+#: Where each of gaps, an array of struct<gap, n>, begins, n long after its gap: first the blocks, then what is in them.
+_STARTS = _let(f"transform(sequence(0, cast((size(gaps) - 1) / {BLOCK} as int)), b -> slice(gaps, b * {BLOCK} + 1, {BLOCK}))", "bs", f"flatten(zip_with(bs, {_BEGINS}, (block, begin) -> {_WITHIN}))")
+
+
 def matches(text: Column, pattern: Pattern) -> Column:
     """All matches of one pattern, from left to right."""
-    regex = "(?U)" + pattern.regex
-    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-
-    def placed(m: Column) -> Column:
-        between = F.split(text, regex, -1)
-        step = lambda acc, pair: F.struct(
-            (acc["at"] + F.length(pair["s"]) + F.length(pair["m"])).alias("at"),
-            F.concat(acc["out"], F.array(_span(acc["at"] + F.length(pair["s"]), pair["m"], pattern.category))).alias("out"),
-        )
-        pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(m)).alias("s"), m.alias("m"))
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.expr(NONE).alias("out")), step)["out"]
-
-    spans = let(found, lambda m: F.when(F.size(m) == 0, F.expr(NONE)).otherwise(placed(m)))
+    regex = _q("(?U)" + pattern.regex)
+    span = f"named_struct('start', at, 'end', at + length(said), 'category', {_q(pattern.category)}, 'text', said, 'confidence', {CONFIDENCE}D, 'source', 'regex')"
+    gaps = f"zip_with(slice(split(t, {regex}, -1), 1, size(m)), m, (s, said) -> named_struct('gap', length(s), 'n', length(said)))"
+    placed = f"zip_with(m, {_let(gaps, 'gaps', _STARTS)}, (said, at) -> {span})"
+    spans = _let(f"regexp_extract_all(t, {regex}, 0)", "m", f"CASE WHEN size(m) = 0 THEN {NONE} ELSE cast({placed} as array<{SPAN}>) END")
     if need := NEEDS.get(pattern.category):
-        spans = F.when(text.rlike(need), spans).otherwise(F.expr(NONE))
+        spans = f"CASE WHEN t RLIKE {_q(need)} THEN {spans} ELSE {NONE} END"
     if pattern.category == "PHONE":
-        spans = F.filter(spans, lambda d: F.length(F.regexp_replace(d["text"], r"[-. ]", "")) >= 7)
-    return spans
-
+        spans = f"filter({spans}, d -> length(regexp_replace(d.text, '[-. ]', '')) >= 7)"
+    return _on(text, spans)
 
-def _span(start: Column, said: Column, category: str, confidence: float = CONFIDENCE, source: str = "regex") -> Column:
-    return F.struct(
-        start.cast("int").alias("start"), (start + F.length(said)).cast("int").alias("end"), F.lit(category).alias("category"),
-        said.alias("text"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"),
-    ).cast(SPAN)
 
-
-def overlaps(a: Column, b: Column) -> Column:
-    """Half-open intervals with a place in common."""
-    return (a["start"] < b["end"]) & (a["end"] > b["start"])
+#: Whether d overlaps none of acc, disjoint spans by place: the last of them that begins before d ends is found by halving.
+_FREE = _let("aggregate(ps, 0, (n, p) -> CASE WHEN get(acc, n + p - 1).start < d.`end` THEN n + p ELSE n END)", "n", "n = 0 OR get(acc, n - 1).`end` <= d.start")
+_KEPT = _let(f"filter(array({', '.join(str(1 << k) for k in range(24, -1, -1))}), p -> p <= size(acc))", "ps", f"filter(found, d -> {_FREE})")
 
 
 def claimed(*candidates: Column) -> Column:
-    """Arrays of spans in order of precedence -> one array by place: a span that overlaps an earlier one is passed over."""
-    free = lambda acc, d: ~F.exists(acc, lambda a: overlaps(d, a))
-    fold = F.aggregate(F.array(*candidates), F.expr(NONE), lambda acc, found: F.concat(acc, F.filter(found, lambda d: free(acc, d))))
-    return F.sort_array(fold)
+    """Arrays of spans in order of precedence -> one array by place: a span that overlaps one of an earlier array is passed over.
+
+    Each array holds disjoint spans by place, as the matches of a pattern are.
+    """
+    step = f"(acc, found) -> CASE WHEN size(found) = 0 THEN acc WHEN size(acc) = 0 THEN found ELSE sort_array(concat(acc, {_KEPT})) END"
+    return F.call_function("aggregate", F.array(*candidates), F.expr(NONE), F.expr(step))
 
 
 def detect(text: Column, patterns: Iterable[Pattern], more: Iterable[Column] = ()) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from veilwork.errors import ScopeError, SessionState, SessionTimeout
 from veilwork.functions.patterns import SPECIAL_CATEGORIES
+from veilwork.functions.shared import removed, shared_folder
 from veilwork.functions.spans import strip
 from veilwork.operators import masking
 from veilwork.operators.audit_schema import metadata_faults
@@ -21,7 +22,7 @@ _hidden = re.compile("[\u200e\u200f\u202a-\u202e\u2066-\u2069\x00-\x08\x0b-\x1f]
 
 
 class BiasSession:
-    """A context manager. record takes each evidence record (a dict); a session's tokens live in a cached table until its end."""
+    """A context manager. record takes each evidence record (a dict); values and tokens live in a folder of the session until its end."""
 
     def __init__(self, purpose: str, justification: str, categories: list[str], lifetime_s: int = 3600, record: Callable[[dict], object] = lambda e: None, clock: Callable[[], float] = time.monotonic) -> None:
         for name, text, most in (("purpose", purpose, 500), ("justification", justification, 2000)):
@@ -33,6 +34,7 @@ class BiasSession:
             raise ScopeError(f"lifetime must be 1 to {MAX_LIFETIME_S} seconds")
         self.id, self.categories, self.lifetime, self.clock, self.record = str(uuid.uuid4()), frozenset(categories), lifetime_s, clock, record
         self.state, self.tokens, self.entries, self.began = "open", None, 0, clock()
+        self.spark, self.folder, self.tables, self.used = None, None, 0, {}
         self._say("bias_session_start", purpose=purpose, necessity_justification=justification, categories_allowed=sorted(categories), max_lifetime_seconds=lifetime_s)
 
     def _say(self, event: str, **context) -> None:
@@ -46,10 +48,12 @@ class BiasSession:
             raise SessionTimeout("the session's lifetime is over")
 
     def pseudonymise(self, texts: DataFrame, spans: DataFrame) -> DataFrame:
-        """texts (id, text) with the spans (id, start, end, category) replaced by the session's tokens, as `masked`."""
+        """texts (id, text) with the spans (id, start, end, category) replaced by the session's tokens, as `masked`.
+
+        Any number of tables: a value that an earlier one has met keeps its token, new ones are numbered on.
+        """
         self._alive()
-        found = masking.with_caller_spans(texts, spans, "id")
-        d = masking.entities(found, "id")
+        spark = texts.sparkSession
         size = F.length("text")
         bad = texts.join(spans, "id").agg(
             F.count_if((F.col("start") < 0) | (F.col("end") > size) | (F.col("start") >= F.col("end"))).alias("outside"),
@@ -58,15 +62,32 @@ class BiasSession:
         most = spans.groupBy("id").count().agg(F.max("count")).head()[0] or 0
         if bad["outside"] or bad["scope"] or most > MAX_SPANS:
             raise ScopeError(f"{bad['outside']} spans outside their text, {bad['scope']} out of scope, {most} spans in a text")
-        found = found.withColumn("session", F.lit(self.id))
-        if self.tokens is not None:
-            raise SessionState("a session masks one table; later tables need a session of their own")
-        values = masking.entities(found, "session", "id").select("session", "id", "start", "end", "category", strip(F.col("text")).alias("key")).cache()
-        self.tokens = masking.session_tokens(values, "session", "id").cache()
-        used = {r[0]: r[1] for r in d.groupBy("category").count().collect()}
+        self.spark, self.folder = spark, self.folder or f"{shared_folder(spark)}/session-{self.id}"
+        session, d = F.lit(self.id).alias("session"), F.explode_outer("spans").alias("d")
+        found = masking.with_caller_spans(texts, spans, "id")
+        met = found.select(session, "id", masking.text_id(F.col("text")).alias("of"), d).filter("d is not null")
+        values = self._kept(met.select("session", "id", "of", "d.start", "d.end", "d.category", strip(F.col("d.text")).alias("key")))
+        fresh = values if self.tokens is None else self._kept(values.join(self.tokens.select("key"), "key", "left_anti"))
+        new = masking.session_tokens(fresh, "session", "id", keep=self._kept)
+        number = F.regexp_extract("token", r"_(\d+)\]$", 1).cast("long")
+        before = F.element_at(F.create_map(*[F.lit(x) for pair in self.used.items() for x in pair]), F.col("category")) if self.used else F.lit(0)
+        new = self._kept(new.withColumn("token", F.concat(F.lit("["), "category", F.lit("_"), number + F.coalesce(before, F.lit(0)), F.lit("]"))))
+        for category, n in new.groupBy("category").count().collect():  # one row a special category
+            self.used[category] = self.used.get(category, 0) + n
+        self.tokens = new if self.tokens is None else self.tokens.union(new)
+        # What is returned holds no value and outlives the session.
+        masked = masking.tokenized(found.withColumn("session", session), values, self.tokens, "session").select("id", "masked").checkpoint(eager=True)
+        used = {r[0]: r[1] for r in values.groupBy("category").count().collect()}
         self.entries += 1
         self._say("bias_pseudonymise", categories_used=used, entity_count=sum(used.values()))
-        return masking.tokenized(found, values, self.tokens, "session", "id").select("id", "masked")
+        return masked
+
+    def _kept(self, rows: DataFrame) -> DataFrame:
+        """rows stored in the session's own folder, the only place where values are written."""
+        self.tables += 1
+        path, kind = f"{self.folder}/{self.tables}", rows.schema
+        rows.write.parquet(path)
+        return self.spark.read.schema(kind).parquet(path)
 
     def finding(self, summary: str, **metrics: float) -> None:
         self._alive()
@@ -75,14 +96,12 @@ class BiasSession:
         self._say("bias_finding", finding_summary=summary, bias_metrics=metrics)
 
     def end(self, reason: str = "clean") -> None:
-        """Wipes the tokens; a second end does nothing."""
+        """Deletes the session's folder and says whether it is gone; a second end does nothing. Files are deleted, not overwritten."""
         if self.state != "open":
             return
-        self.state = "ended"
-        if self.tokens is not None:
-            self.tokens.unpersist()
-            self.tokens = None
-        self._say("bias_session_end", exit_reason=reason, wipe_confirmed=self.tokens is None, entries_processed=self.entries, duration_seconds=round(self.clock() - self.began, 3))
+        self.state, self.tokens = "ended", None
+        wiped = self.folder is None or removed(self.spark, self.folder)
+        self._say("bias_session_end", exit_reason=reason, wipe_confirmed=wiped, entries_processed=self.entries, duration_seconds=round(self.clock() - self.began, 3))
 
     def __enter__(self) -> BiasSession:
         return self

@@ -2,10 +2,15 @@
 
 Detection and redaction are projections: nothing is shuffled. Numbered tokens need shuffles of the values met to number them; then
 they are brought back to their texts, by a broadcast while they are few, else by a join that moves the texts once.
+
+What is done to a text depends on its session and on the text alone, so pieces and values find their way back by these two (a text
+by its digest). Neither order nor session need tell rows apart or be there: a null session is a session like any other, rows alike
+are masked alike, and texts of equal order are met by their digests, null orders first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,9 +22,8 @@ from veilwork.functions.shared import shared_folder
 from veilwork.functions.spans import SPAN, detect, strip
 from veilwork.operators.ranking import ranked
 
-
-#: Values of some 100 bytes: 20 MB at most.
-BROADCAST_ROWS = 200_000
+#: Values and pieces up to so many bytes are sent to all tasks.
+BROADCAST_BYTES = 20 << 20
 
 
 def detected(texts: DataFrame, how: Detect, text: str = "text", to: str = "spans") -> DataFrame:
@@ -56,56 +60,88 @@ def redacted(found: DataFrame, text: str = "text", to: str = "masked") -> DataFr
     return found.withColumn(to, T.redact(F.col(text), F.col("spans")))
 
 
-def met(found: DataFrame, session: str, order: str) -> DataFrame:
-    """(session, order, start, end, category, key): the values met, stored once, so that texts are searched once.
+def text_id(text: Column) -> Column:
+    """What tells a text from all others; null for null."""
+    return F.unhex(F.md5(text))
+
+
+def met(found: DataFrame, session: str, order: str, text: str = "text") -> DataFrame:
+    """(session, order, of, start, end, category, key): the values met, stored once, so that texts are searched once. of names the text.
 
     These are few bytes against the texts; they go to the shared folder.
     """
     shared_folder(found.sparkSession)
-    d = entities(found, session, order)
-    return d.select(session, order, "start", "end", "category", strip(F.col("text")).alias("key")).checkpoint(eager=True)
+    d = F.explode_outer("spans").alias("d")
+    each = found.select(F.col(session).alias("a"), F.col(order).alias("b"), text_id(F.col(text)).alias("of"), d).filter("d is not null")
+    return each.select(F.col("a").alias(session), F.col("b").alias(order), "of", "d.start", "d.end", "d.category", strip(F.col("d.text")).alias("key")).checkpoint(eager=True)
 
 
-def few(values: DataFrame) -> bool:
-    """Whether so few values were met that they may be sent about."""
-    return values.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def few(rows: DataFrame, *texts: str) -> bool:
+    """Whether stored rows with these texts are so few bytes that they may be sent about."""
+    size = sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(96))
+    return (rows.agg(F.sum(size)).head()[0] or 0) <= BROADCAST_BYTES
 
 
-def session_tokens(values: DataFrame, session: str, order: str) -> DataFrame:
+def session_tokens(values: DataFrame, session: str, order: str, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(session, key, category, token) of values met: a number for each distinct value of a session and category.
 
     Texts are met by `order`, the values of one text from its end to its start; the first place at which a value is met gives its
-    category and its turn to be numbered. A value met again keeps its token, whatever category it is then found in.
+    category and its turn to be numbered. A value met again keeps its token, whatever category it is then found in. keep stores what
+    must be stored on the way; a checkpoint by default.
     """
-    each = values.select(session, order, "category", "key", (-F.col("start")).alias("back"))
-    first = each.groupBy(session, "key").agg(F.min(F.struct(order, "back", "category")).alias("at")).select(session, "key", f"at.{order}", "at.back", "at.category")
+    each = values.select(session, order, "of", "category", "key", (-F.col("start")).alias("back"))
+    place = [order, "of", "back"]
+    first = each.groupBy(session, "key").agg(F.min(F.struct(*place, "category")).alias("at")).select(session, "key", *[f"at.{c}" for c in place], "at.category")
     token = F.concat(F.lit("["), F.col("category"), F.lit("_"), F.col("rank"), F.lit("]"))
-    if few(values):
-        placed = first.withColumn("rank", F.row_number().over(Window.partitionBy(session, "category").orderBy(order, "back")) - 1)
+    if few(values, "key", "category"):
+        placed = first.withColumn("rank", F.row_number().over(Window.partitionBy(session, "category").orderBy(*place)) - 1)
     else:  # a session may then be too large for one task
-        placed = ranked(first, [session, "category"], [order, "back"])
+        placed = ranked(first, [session, "category"], place, keep=keep)
     return placed.select(session, "key", "category", token.alias("token"))
 
 
-def tokenized(texts: DataFrame, values: DataFrame, tokens: DataFrame, session: str, order: str, text: str = "text", to: str = "masked") -> DataFrame:
-    """Texts with each value met replaced by its session's token. (session, order) tells a text from all others.
+def brought(texts: DataFrame, side: DataFrame, session: str, text: str, what: str, small: bool) -> DataFrame:
+    """texts with `what` of side (session, of, what) as __what, by session and text."""
+    there = side.select(F.col(session).alias("__session"), F.col("of").alias("__of"), F.col(what).alias("__what"))
+    same = F.col(session).eqNullSafe(F.col("__session")) & (text_id(F.col(text)) == F.col("__of"))
+    return texts.join(F.broadcast(there) if small else there, same, "left").drop("__session", "__of")
+
+
+def _alike(a: DataFrame, b: DataFrame, session: str, *names: str) -> DataFrame:
+    """Inner join by names and by session, null sessions alike."""
+    b = b.withColumnsRenamed({session: "__session", **{n: f"__{n}" for n in names}})
+    same = reduce(lambda x, n: x & (F.col(n) == F.col(f"__{n}")), names, F.col(session).eqNullSafe(F.col("__session")))
+    return a.join(b, same).drop("__session", *[f"__{n}" for n in names])
 
-    Up to BROADCAST_ROWS values are sent to the texts; beyond, texts and values are shuffled to meet.
+
+def tokenized(texts: DataFrame, values: DataFrame, tokens: DataFrame, session: str, text: str = "text", to: str = "masked") -> DataFrame:
+    """Texts with each value met replaced by its session's token.
+
+    Up to BROADCAST_BYTES of values are sent to the texts; beyond, texts and values are shuffled to meet.
     """
-    places = values.select(session, order, "start", "end", "key")
-    pieces = places.join(tokens.select(session, "key", "token"), [session, "key"]).groupBy(session, order).agg(F.sort_array(F.collect_list(F.struct("start", "end", "token"))).alias("pieces"))
-    both = texts.join(F.broadcast(pieces) if few(values) else pieces, [session, order], "left")
+    places = values.select(session, "of", "start", "end", "key").distinct()
+    pieces = _alike(places, tokens.select(session, "key", "token"), session, "key").groupBy(session, "of").agg(F.sort_array(F.collect_list(F.struct("start", "end", "token"))).alias("pieces"))
+    both = brought(texts, pieces, session, text, "pieces", few(values, "category"))
     none = F.expr("cast(array() as array<struct<start:int,end:int,token:string>>)")
-    return both.withColumn(to, T.splice(T.escape(F.col(text)), F.coalesce("pieces", none))).drop("pieces")
+    return both.withColumn(to, T.splice(T.escape(F.col(text)), F.coalesce("__what", none))).drop("__what")
+
 
+def held_values(masked: DataFrame, tokens: DataFrame, session: str, text: str = "masked") -> DataFrame:
+    """(session, of, values): for each masked text the tokens that it holds, in lower case, and their values; stored."""
+    shared_folder(masked.sparkSession)
+    each = F.explode(F.array_distinct(F.transform(T.tokens_in(F.col(text)), F.lower))).alias("t")
+    held = masked.select(session, text_id(F.col(text)).alias("of"), each).distinct()
+    known = _alike(held, tokens.select(session, F.lower("token").alias("t"), "key"), session, "t")
+    return known.groupBy(session, "of").agg(F.map_from_entries(F.collect_list(F.struct("t", "key"))).alias("values")).checkpoint(eager=True)
 
-def restored(masked: DataFrame, tokens: DataFrame, session: str, order: str, text: str = "masked", to: str = "restored") -> DataFrame:
+
+def restored(masked: DataFrame, tokens: DataFrame, session: str, text: str = "masked", to: str = "restored") -> DataFrame:
     """Tokens become values again, in either case of letters; only the tokens that a text holds are brought to it."""
-    held = masked.select(session, order, F.explode(F.array_distinct(F.transform(T.tokens_in(F.col(text)), F.lower))).alias("t"))
-    known = held.join(tokens.select(session, F.lower("token").alias("t"), "key"), [session, "t"])
-    values = known.groupBy(session, order).agg(F.map_from_entries(F.collect_list(F.struct("t", "key"))).alias("values"))
-    both = masked.join(values, [session, order], "left")
-    return both.withColumn(to, T.restore(F.col(text), F.coalesce("values", F.expr("cast(map() as map<string,string>)")))).drop("values")
+    values = held_values(masked, tokens, session, text)
+    said = values.select(F.array_join(F.map_values("values"), "").alias("said"), (F.size("values") * 96).alias("n"))
+    small = (said.agg(F.sum(F.octet_length("said") + F.col("n"))).head()[0] or 0) <= BROADCAST_BYTES
+    both = brought(masked, values, session, text, "values", small)
+    return both.withColumn(to, T.restore(F.col(text), F.coalesce("__what", F.expr("cast(map() as map<string,string>)")))).drop("__what")
 
 
 def categories(found: DataFrame) -> DataFrame:
@@ -129,10 +165,12 @@ def linked(found: DataFrame, key: str, hash_key: str) -> DataFrame:
 
 
 def with_caller_spans(texts: DataFrame, spans: DataFrame, *keys: str, source: str = "caller") -> DataFrame:
-    """texts with spans (keys, start, end, category) that the caller names, of confidence 1, by place."""
-    made = texts.select(*keys, "text").join(spans, list(keys)).withColumn("d", F.struct("start", "end", "category", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), F.lit(1.0).alias("confidence"), F.lit(source).alias("source")).cast(SPAN))
-    by_text = made.groupBy(*keys).agg(F.sort_array(F.collect_list("d")).alias("spans"))
-    return texts.join(by_text, list(keys), "left").withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as array<{SPAN}>)")))
+    """texts with spans (keys, start, end, category) that the caller names, of confidence 1, by place. Null keys are alike; of texts with equal keys each gets the spans."""
+    named = spans.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("start", "end", "category"))).alias("__named")).withColumnsRenamed({k: f"__{k}" for k in keys})
+    both = texts.join(named, reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"__{k}")), keys, F.lit(True)), "left")
+    said = lambda d: F.substring(F.col("text"), d["start"] + 1, d["end"] - d["start"])
+    made = F.transform("__named", lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), d["category"].alias("category"), said(d).alias("text"), F.lit(1.0).alias("confidence"), F.lit(source).alias("source")).cast(SPAN))
+    return both.withColumn("spans", F.coalesce(made, F.expr(f"cast(array() as array<{SPAN}>)"))).drop("__named", *[f"__{k}" for k in keys])
 
 
 # Conversations
@@ -149,29 +187,64 @@ def masked_conversations(rows: DataFrame, how: Detect, hint: str | None = HINT)
     """(conv_id, turn, role, text) masked per conversation, and its tokens; a conversation with tokens gets a hint as its first row."""
     values = met(detected(rows, how), "conv_id", "turn")
     tokens = session_tokens(values, "conv_id", "turn")
-    masked = tokenized(rows, values, tokens, "conv_id", "turn").select("conv_id", "turn", "role", F.col("masked").alias("text"))
+    masked = tokenized(rows, values, tokens, "conv_id").select("conv_id", "turn", "role", F.col("masked").alias("text"))
     if hint:
         first = tokens.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit("system").alias("role"), F.lit(hint).alias("text"))
         masked = masked.unionByName(first)
     return masked, tokens
 
 
-def masked_messages(chats: DataFrame, how: Detect, key: str = "conv_id") -> tuple[DataFrame, DataFrame]:
-    """Chats (key, messages array<struct<role, content array<string>, tool_args array<string>>>), a row each, and their tokens.
+def restored_conversations(rows: DataFrame, tokens: DataFrame, text: str = "text") -> DataFrame:
+    """rows (conv_id and a text, answers of a model for instance) with the tokens of their conversation restored."""
+    return restored(rows, tokens, "conv_id", text, text)
 
-    Parts of contents and arguments of tool calls are texts like any other; within a chat they share tokens, in the order in which
-    they stand. Everything comes back in its place.
-    """
+
+def _with_texts(chats: DataFrame, key: str, change: Callable[[DataFrame], tuple[DataFrame, str, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """chats with each text of their messages changed; change takes (key, chat, place, text) and returns (rows, the new text's name, tokens)."""
     none = F.expr("cast(array() as array<string>)")
-    each = chats.select(key, F.posexplode("messages").alias("m", "msg"))
+    chat = F.unhex(F.md5(F.to_json(F.struct(F.col(key).alias("k"), F.col("messages").alias("m")))))
+    # Rows alike are changed alike, so each distinct chat is taken once.
+    each = chats.select(key, chat.alias("chat"), "messages").dropDuplicates(["chat"]).select(key, "chat", F.posexplode("messages").alias("m", "msg"))
+    legacy = "function_args" in chats.schema["messages"].dataType.elementType.names
     content, args = F.coalesce("msg.content", none), F.coalesce("msg.tool_args", none)
-    each = each.select(key, "m", "msg.role", F.size(content).alias("n"), F.concat(content, args).alias("parts"))
-    texts = each.select(key, "m", F.posexplode("parts").alias("p", "text")).select(key, (F.col("m").cast("long") * (1 << 20) + F.col("p")).alias("place"), "text")
-    values = met(detected(texts, how), key, "place")
-    tokens = session_tokens(values, key, "place")
-    done = tokenized(texts, values, tokens, key, "place").select(key, F.shiftright("place", 20).cast("int").alias("m"), "place", "masked")
-    parts = done.groupBy(key, "m").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "masked"))), lambda x: x["masked"]).alias("masked"))
-    back = each.join(parts, [key, "m"], "left").withColumn("masked", F.coalesce("masked", none))
-    message = F.struct("m", "role", F.slice("masked", F.lit(1), F.col("n")).alias("content"), F.slice("masked", F.col("n") + 1, F.greatest(F.size("masked") - F.col("n"), F.lit(0))).alias("tool_args"))
-    rows = back.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(message)), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), x["tool_args"].alias("tool_args"))).alias("messages"))
+    call = F.col("msg.function_args") if legacy else F.lit(None).cast("string")
+    each = each.select(key, "chat", "m", "msg.role", F.size(content).alias("n"), F.size(args).alias("k"), F.concat(content, args, F.array(call)).alias("parts"))
+    place = F.concat(F.hex("chat"), F.lpad(F.col("m").cast("string"), 9, "0"), F.lpad(F.col("p").cast("string"), 9, "0"))
+    texts = each.select(key, "chat", "m", F.posexplode("parts").alias("p", "text")).select(key, "chat", "m", "p", place.alias("place"), "text")
+    done, changed, tokens = change(texts)
+    parts = done.groupBy("chat", "m").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", F.col(changed).alias("t")))), lambda x: x["t"]).alias("t"))
+    back = each.drop("parts").join(parts, ["chat", "m"])
+    fields = [F.col("role"), F.slice("t", F.lit(1), F.col("n")).alias("content"), F.slice("t", F.col("n") + 1, F.col("k")).alias("tool_args"), *([F.get("t", F.col("n") + F.col("k")).alias("function_args")] if legacy else [])]
+    whole = back.groupBy("chat").agg(F.transform(F.sort_array(F.collect_list(F.struct("m", F.struct(*fields).alias("msg")))), lambda x: x["msg"]).alias("__messages")).withColumnRenamed("chat", "__chat")
+    out = chats.join(whole, chat == F.col("__chat"), "left")
+    return out.withColumn("messages", F.coalesce("__messages", "messages")).drop("__messages", "__chat"), tokens
+
+
+def masked_messages(chats: DataFrame, how: Detect, key: str = "conv_id", hint: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Chats (key, messages array<struct<role, content array<string>, tool_args array<string>>>), a row each, and their tokens.
+
+    Parts of contents, arguments of tool calls and those of a legacy call (function_args, a string; the struct may lack it) are texts
+    like any other; within a chat they share tokens, in the order in which they stand. Everything comes back in its place. With a
+    hint, a chat with tokens has it as a part of its first message if that is the system's, else as a message before all others.
+    """
+
+    def change(texts: DataFrame) -> tuple[DataFrame, str, DataFrame]:
+        values = met(detected(texts, how), key, "place")
+        tokens = session_tokens(values, key, "place")
+        return tokenized(texts, values, tokens, key), "masked", tokens
+
+    rows, tokens = _with_texts(chats, key, change)
+    if hint:
+        named = tokens.select(F.col(key).alias("__key"), F.lit(True).alias("__named")).distinct()
+        kind = rows.schema["messages"].dataType.elementType
+        first = F.get("messages", F.lit(0))
+        own = F.struct(*[{"role": F.lit("system"), "content": F.array(F.lit(hint))}.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in kind.fields])
+        more = F.struct(*[(F.concat(first["content"], F.array(F.lit(hint))) if f.name == "content" else first[f.name]).alias(f.name) for f in kind.fields])
+        told = F.when(first["role"] == "system", F.concat(F.array(more), F.slice("messages", F.lit(2), F.greatest(F.size("messages") - 1, F.lit(0))))).otherwise(F.concat(F.array(own), F.col("messages")))
+        rows = rows.join(named, F.col(key).eqNullSafe(F.col("__key")), "left").withColumn("messages", F.when(F.col("__named"), told).otherwise(F.col("messages"))).drop("__key", "__named")
     return rows, tokens
+
+
+def restored_messages(chats: DataFrame, tokens: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Chats of the same form (a model's answers) with the tokens of their chat restored in contents and in arguments of calls."""
+    return _with_texts(chats, key, lambda texts: (restored(texts, tokens, key, "text"), "restored", tokens))[0]

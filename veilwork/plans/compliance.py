@@ -219,10 +219,10 @@ def stream_restore(spark: SparkSession, sf: str) -> DataFrame:
     values = M.met(found, "source", "stream_id")
     tokens = M.session_tokens(values, "source", "stream_id")
     some = docs.join(values.select("source", "stream_id").distinct(), ["source", "stream_id"], "left_semi")
-    masked = M.tokenized(some, values, tokens, "source", "stream_id")
-    maps = tokens.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("token", "key"))).alias("tokens"))
+    masked = M.tokenized(some, values, tokens, "source")
+    held = M.held_values(masked, tokens, "source")  # the tokens that a stream holds, no others
     cuts = F.posexplode(F.regexp_extract_all("masked", F.lit(r"(?s).{1,7}"), F.lit(0))).alias("seq", "chunk")
-    rows = masked.join(maps, "source").select("stream_id", F.length("masked").alias("n"), cuts, "tokens")
+    rows = M.brought(masked, held, "source", "masked", "values", False).select("stream_id", F.length("masked").alias("n"), cuts, F.col("__what").alias("tokens"))
     last = F.col("seq") == F.ceil(F.col("n") / 7) - 1
     chunks = rows.select("stream_id", F.col("seq").cast("long"), "chunk", last.alias("last"), F.when(F.col("seq") == 0, F.col("tokens")).alias("tokens"))
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"

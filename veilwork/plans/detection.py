@@ -13,6 +13,13 @@ from veilwork.functions.shared import spread
 from veilwork.operators import masking as M
 from veilwork.plans.sql import masked_sql, q, spans_sql
 
+#: Conversations with null and repeated keys, in the language that Spark and DuckDB share.
+ODD = {
+    "conv_id": "CASE WHEN conv_id % 7 <> 0 THEN CAST(floor(conv_id / 2) AS BIGINT) END",
+    "turn": "CASE WHEN turn % 3 <> 0 THEN CAST(floor(turn / 2) AS BIGINT) END",
+    "role": "role",
+    "text": "CASE WHEN conv_id % 3 = 0 THEN concat(text, ' u', CAST(conv_id % 11 AS {text}), '@example.com or v', CAST(turn AS {text}), '@example.com') ELSE text END",
+}
 #: Queries read whole tables and have no cap. The built-in patterns that RE2 can read too, and two patterns of ours: they stand for all wherever SQL checks a query.
 PLAIN = Detect(max_chars=0, only=("EMAIL", "IBAN", "API_KEY", "AWS_KEY", "JWT"), custom=(("DOTTED_QUAD", r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"), ("CARD_DIGITS", r"\b[3-6]\d{15}\b"), ("HEX_SECRET", r"\b[0-9a-f]{40}\b")))
 ALL = Detect(max_chars=0)
@@ -86,19 +93,19 @@ def session_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tokenize_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return M.tokenized(*by_source(spark, sf), "source", "doc_id").select("doc_id", F.sha2("masked", 256).alias("masked_sha256"), F.length("masked").alias("n_chars"))
+    return M.tokenized(*by_source(spark, sf), "source").select("doc_id", F.sha2("masked", 256).alias("masked_sha256"), F.length("masked").alias("n_chars"))
 
 
 def restore_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """How many texts come back as they were after masking by session and restoring."""
     texts, values, tokens = by_source(spark, sf)
-    back = M.restored(M.tokenized(texts, values, tokens, "source", "doc_id"), tokens, "source", "doc_id")
+    back = M.restored(M.tokenized(texts, values, tokens, "source"), tokens, "source")
     return back.groupBy("lang").agg(F.count("*").alias("documents"), F.sum((F.col("restored") == F.col("text")).cast("long")).alias("same"), F.sum((F.col("masked") != F.col("text")).cast("long")).alias("masked"))
 
 
 def present_tokens(spark: SparkSession, sf: str) -> DataFrame:
     texts, values, tokens = by_source(spark, sf)
-    masked = M.tokenized(texts.join(values.select("source", "doc_id").distinct(), ["source", "doc_id"], "left_semi"), values, tokens, "source", "doc_id")
+    masked = M.tokenized(texts.join(values.select("source", "doc_id").distinct(), ["source", "doc_id"], "left_semi"), values, tokens, "source")
     return masked.select("doc_id", F.array_join(T.present_tokens(F.col("masked"), F.array_distinct(F.regexp_extract_all("masked", F.lit(T.TOKEN), F.lit(0)))), ",").alias("tokens"))
 
 
@@ -140,6 +147,13 @@ def masked_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return masked.select("conv_id", "turn", "role", F.sha2("text", 256).alias("text_sha256"))
 
 
+def masked_odd_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """The same where conversations and turns are null or shared by several texts."""
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").selectExpr(*[f"{x.format(text='STRING')} AS {c}" for c, x in ODD.items()])
+    masked, _ = M.masked_conversations(rows, Detect(only=("EMAIL",), max_chars=0))
+    return masked.select("conv_id", "turn", "role", F.sha2("text", 256).alias("text_sha256"))
+
+
 def skip_models(spark: SparkSession, sf: str) -> DataFrame:
     d = docs(spark, sf).select(F.concat("source", F.lit("/model")).alias("model"))
     return d.groupBy(M.skipped(F.col("model"), ("src1", "local/")).alias("skipped")).agg(F.count("*").alias("n"))
@@ -161,7 +175,7 @@ QUERIES = {
     "redact_documents": redact_documents, "session_tokens": session_tokens, "tokenize_documents": tokenize_documents,
     "restore_roundtrip": restore_roundtrip, "present_tokens": present_tokens, "entity_details": entity_details,
     "entity_hash_linkage": entity_hash_linkage, "token_summary": token_summary, "token_grammar": token_grammar,
-    "escape_lookalikes": escape_lookalikes, "context_risk": context_risk, "masked_conversations": masked_conversations,
+    "escape_lookalikes": escape_lookalikes, "context_risk": context_risk, "masked_conversations": masked_conversations, "masked_odd_conversations": masked_odd_conversations,
     "skip_models": skip_models, "category_registry": category_registry, "prompt_hashes": text_digests,
 } | {f"locale_{name}": locale(name) for name in LOCALES}
 
@@ -225,6 +239,16 @@ pieces AS (SELECT s.conv_id, s.turn, s."start", s."end", t.token FROM spans s JO
 SELECT r.conv_id, r.turn, r.role, sha256(m.masked) AS text_sha256 FROM rows_ r JOIN masked m ON r.conv_id = m.conv_id AND r.turn = m.turn
 UNION ALL SELECT DISTINCT conv_id, -1, 'system', sha256({q(M.HINT)}) FROM tokens"""
 
+_odd = f"""WITH rows_ AS (SELECT {", ".join(f"{x.format(text='VARCHAR')} AS {c}" for c, x in ODD.items())} FROM conversations),
+each AS (SELECT DISTINCT conv_id, turn, text, md5(text) AS h FROM rows_),
+{spans_sql([_email], view="each", keys="conv_id, turn, h").removeprefix("WITH ")},
+met AS (SELECT *, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn NULLS FIRST, h, "start" DESC) AS k FROM spans),
+tokens AS (SELECT conv_id, text AS key, '[EMAIL_' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, h, "start" DESC) - 1) || ']' AS token FROM met WHERE k = 1),
+texts_of AS (SELECT DISTINCT conv_id, h, text FROM each),
+pieces AS (SELECT DISTINCT s.conv_id, s.h, s."start", s."end", t.token FROM spans s JOIN tokens t ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s.text = t.key),{masked_sql(keys="conv_id, h", view="texts_of")}
+SELECT r.conv_id, r.turn, r.role, sha256(m.masked) AS text_sha256 FROM rows_ r JOIN masked m ON r.conv_id IS NOT DISTINCT FROM m.conv_id AND md5(r.text) = m.h
+UNION ALL SELECT DISTINCT conv_id, -1, 'system', sha256({q(M.HINT)}) FROM tokens"""
+
 SQL = {
     "detect_email_by_lang": spans_sql([_email]) + " SELECT lang, CAST(count(s.doc_id) AS BIGINT) AS emails, count(DISTINCT d.doc_id) AS documents FROM documents d LEFT JOIN spans s ON d.doc_id = s.doc_id GROUP BY lang",
     "detect_spans": _plain + ' SELECT *, 0.95::DOUBLE AS confidence, \'regex\' AS source FROM spans',
@@ -249,6 +273,7 @@ SELECT ok AND length(t) <= 40 AS valid, ok AND ends_with(t, '_REDACTED]') AS is_
 SELECT doc_id, sha256(regexp_replace(t, '{T.TOKEN}', '［\1］', 'g')) AS escaped_sha256, CAST(length(t) AS INT) AS n_chars, true AS back FROM t""",
     "context_risk": _risk,
     "masked_conversations": _conv,
+    "masked_odd_conversations": _odd,
     "skip_models": "SELECT starts_with(source || '/model', 'src1') OR starts_with(source || '/model', 'local/') AS skipped, count(*) AS n FROM documents GROUP BY 1",
     "category_registry": "SELECT * FROM (VALUES " + ", ".join(f"({q(c)}, {q(f)})" for c, f in registry()) + ") v(category, family)",
     "prompt_hashes": "SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN '' ELSE sha256(text) END AS prompt_hash FROM documents",

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,20 @@ def _groups() -> list[tuple[int, int]]:
     return out
 
 
+def chained(apart: list[Column], bits: int) -> Column:
+    """Whether some chain of consecutive segments of the ring, given how far apart two fingerprints are in each, keeps within its share of bits at each length.
+
+    The longest chain is the whole ring, so what passes differs in at most `bits` bits.
+    """
+    m = len(apart)
+
+    def chain(i: int) -> Column:
+        sums = [sum(apart[(i + k) % m] for k in range(n)) for n in range(1, m + 1)]
+        return reduce(lambda a, b: a & b, [s * m <= bits * n for n, s in enumerate(sums, 1)])
+
+    return reduce(lambda a, b: a | b, [chain(i) for i in range(m)])
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """distinct(f) -> (a, b): links that connect exactly the fingerprints that chains of links of at most BITS bits connect."""
     groups = _groups()

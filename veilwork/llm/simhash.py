@@ -18,7 +18,6 @@ without any id has none. An empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm._common import WORD, cut, table
+from veilwork.llm._common import cut, table
 from veilwork.llm.components import components
 
 SEED = 42
@@ -36,13 +35,16 @@ BITS = 2
 PAIRED = 32
 #: (first bit, number of bits) of the ring's segments, and of the halves of each.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_word = re.compile(WORD.encode())
+
+
+def lower_words(text: str) -> list[bytes]:
+    """Words in UTF-8, A-Z in lower case. Of bytes, lower() changes these alone and split() parts at the six ASCII blanks alone."""
+    return text.encode().lower().split()
 
 
 def fingerprint(text: str, size: int = 3) -> int:
     """A bit is 1 if more than half of the shingles' hashes have it; 0 without words."""
-    words = _word.findall(text.translate(LOWER).encode())
+    words = lower_words(text)
     if not words:
         return 0
     joined = b" ".join(words)

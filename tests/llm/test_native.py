@@ -61,6 +61,19 @@ def test_mixing_fills_targets_and_repeats_whole_documents(spark):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def test_rows_alike_are_taken_one_by_one(spark):
+    rows = [(1, "ten words " * 5, "a")] * 50 + [(i, "ten words " * 5, "b") for i in range(100, 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(got) == 2
+    assert all(abs(r["taken"] - r["target"]) <= 10 for r in got)
+    out = [r["source"] for r in mixing.mixed(docs).collect()]
+    assert 98 <= len(out) <= 100
+    assert {s: out.count(s) // 10 for s in "ab"} == {"a": 3, "b": 6}
+    firsts = [out[:k].count("a") / k for k in (30, 60, 90)]  # the sources take turns all along
+    assert all(0.25 < f < 0.42 for f in firsts)
+
+
 def test_capped_sources_leave_their_share(spark):
     docs = documents(spark, [(1, "w " * 10, "a", None, None), (2, "w " * 1000, "b", None, None), (3, "w " * 5, "c", None, None)])
     got = {r["doc_id"]: r["target"] for r in mixing.mix(docs).collect()}

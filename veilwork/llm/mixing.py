@@ -4,13 +4,15 @@ The documents of each source are shuffled (by a digest of their id) and may be t
 other. A copy's virtual finish time is the tokens of its source up to its end, divided by the source's target; copies are sorted
 by it over all sources and taken as long as the total stays within the budget. At virtual time 1 every source has given its target.
 
-Running sums are taken in two levels, so that no task holds a whole source: by source and bucket of the shuffle, then within a
-bucket; likewise by slice of virtual time, then within the one slice where the budget ends. Buckets and slices are as many as the
-square root of the number of documents, so both levels stay far below the input.
-
-Defined results: a null text has size 0. A null source is a source like any other, sorted last; a null id is shuffled as an empty
-string. Rows alike in source, id and size are queued at once and taken together or not at all. A source of size 0 has target 0.
-An empty table gives an empty result. Columns besides those named are carried along only by mixed().
+Running sums are taken in two levels, so that no task holds a whole source: documents are dealt out by ranges of source and place,
+sums go over the ranges of a source, then within a range; likewise by slice of virtual time, then within the one slice where the
+budget ends. Ranges part rows alike too, so neither one id nor null ids make a hot task. Slices are as many as the square root of the
+number of documents. The mix itself is sorted globally by ranges of virtual finish time.
+
+Defined results: a null text has size 0. A null source is a source like any other, sorted last; a null id is shuffled by its text.
+Rows of equal id are queued in order of size and text; rows wholly alike follow one another and each takes its own place, so any of
+them may be taken as often as it comes. A source of size 0 has target 0. An empty table gives an empty result. Columns besides those
+named are carried along only by mixed(), whatever their names.
 """
 
 from __future__ import annotations
@@ -20,15 +22,15 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilwork.llm._common import WORD, cut, n_words_of, table
+from veilwork.llm._common import WORD, cut, identified, n_words_of, table
 
 SEED = "mix-1"
 #: Digits of the digest that order the shuffle; as many as fit a long.
 DIGITS = 15
 
 
-def shuffle_key(id_: Column) -> Column:
-    digest = F.md5(F.concat(F.lit(SEED + "-"), F.coalesce(id_.cast("string"), F.lit(""))))
+def shuffle_key(id_: Column, text: Column) -> Column:
+    digest = F.md5(F.concat(F.lit(SEED + "-"), F.coalesce(id_.cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce(text, F.lit("")))))))
     return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("long")
 
 
@@ -52,71 +54,74 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], repeats: int, share: flo
 
 
 def queued(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, share: float = 1.0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """id, size, source, source_size, target, finish (of the first copy; null for size 0) and copies, for each row of docs.
+    """who (of identified), id, size, source, source_size, target, order, copies and finish (of each copy taken) for each row of docs.
 
     share: of the summed sizes, the budget.
     """
-    sized = cut(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{source}`").alias("source"), F.coalesce(n_words_of(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("size"), shuffle_key(F.col(f"`{key}`")).alias("order")))
-    buckets = max(1, math.isqrt(sized.count()))
+    rows, said = identified(docs, key), F.col(f"`{text}`")
+    sized = rows.select("who", F.col(f"`{key}`").alias("id"), F.col(f"`{source}`").alias("source"), F.coalesce(n_words_of(said), F.lit(0)).cast("long").alias("size"), shuffle_key(F.col(f"`{key}`"), said).alias("order"), F.unhex(F.md5(said)).alias("h"))
+    sized = cut(sized.withColumn("row", F.monotonically_increasing_id()))
+    slices_n = max(1, math.isqrt(sized.count()))
     goals = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats, share))
-    sized = sized.withColumn("bucket", F.floor(F.col("order") / F.lit(16.0**DIGITS / buckets)))
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    place = ["order", "id", "size", "h", "row"]
+    dealt = cut(sized.repartitionByRange("source", *place).withColumn("part", F.spark_partition_id()))
+    sums = dealt.groupBy("source", "part").agg(F.sum("size").alias("n"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     offsets = sums.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    offsets = offsets.join(goals, same(offsets, goals)).select(offsets["source"].alias("s"), F.col("bucket").alias("b"), "offset", "source_size", "target", "budget")
-    d = sized.join(offsets, sized["source"].eqNullSafe(offsets["s"]) & (sized["bucket"] == offsets["b"]))
-    within = Window.partitionBy("source", "bucket").orderBy("order", "id", "size")  # rows alike count together
+    offsets = offsets.join(goals, same(offsets, goals)).select(offsets["source"].alias("s"), F.col("part").alias("p"), "offset", "source_size", "target", "budget")
+    d = dealt.join(offsets, dealt["source"].eqNullSafe(offsets["s"]) & (dealt["part"] == offsets["p"]))
+    within = Window.partitionBy("part", "source").orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.col("offset") + F.sum("size").over(within)
-    times = d.select("id", "source", "size", "order", "source_size", "target", "budget", end.alias("end"))
-    times = cut(times)
-    copies = times.filter("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("round"))
-    finish = (F.col("round") * F.col("source_size") + F.col("end")) / F.col("target")
-    copies = copies.select("size", "order", "id", "source", "budget", finish.alias("finish"))
-    slice_of = lambda c: F.floor(c * F.lit(float(buckets)))
+    times = cut(d.select("who", "id", "source", "size", "order", "source_size", "target", "budget", end.alias("end")))
+
+    due = lambda r: (F.lit(r) * F.col("source_size") + F.col("end")) / F.col("target")
+    copies = times.filter("size > 0").select("size", "order", "id", "source", "budget", F.explode(F.array(*map(due, range(repeats)))).alias("finish"))
+    slice_of = lambda c: F.floor(c * F.lit(float(slices_n)))
     slices = copies.groupBy(slice_of(F.col("finish")).alias("slice")).agg(F.sum("size").alias("n"), F.first("budget").alias("budget"))
     upto = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = slices.withColumn("total", F.sum("n").over(upto)).filter("total > budget").orderBy("slice").select("slice", (F.col("total") - F.col("n")).alias("given")).head()
-    place = ["finish", "order", F.col("source").asc_nulls_last(), "id", "size"]
+    # Copies of one source finish at different times, so no two share a place.
+    order = ["finish", "order", F.col("source").asc_nulls_last()]
     cutoff = None
     if last is not None:  # within the slice where the budget ends
-        cut_slice = copies.filter(slice_of(F.col("finish")) == last["slice"]).withColumn("total", last["given"] + F.sum("size").over(Window.orderBy(*place)))
-        cutoff = cut_slice.filter("total > budget").orderBy(*place).select("finish", "order", F.col("source").isNull().alias("none"), "source", "id", "size").head()
-    kinds = {f.name: f.dataType for f in times.schema}
-    taken = F.lit(0).cast("long")
-    for r in range(repeats):
-        due = F.when(F.col("size") > 0, (F.lit(r) * F.col("source_size") + F.col("end")) / F.col("target"))
-        inside = due.isNotNull()
-        if cutoff is not None:
-            here = F.struct(due.alias("a"), F.col("order").alias("b"), F.col("source").isNull().alias("c"), F.col("source").alias("d"), F.col("id").alias("e"), F.col("size").alias("f"))
-            values = zip("abcdef", cutoff, ("double", "long", "boolean", kinds["source"], kinds["id"], "long"), strict=True)
-            there = F.struct(*[F.lit(v).cast(t).alias(n) for n, v, t in values])
-            inside = inside & (here < there)
-        taken = taken + inside.cast("long")
-    return times.select("id", "size", "source", "source_size", "target", F.when(F.col("size") > 0, F.col("end") / F.col("target")).alias("finish"), taken.alias("copies"))
+        upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cut_slice = copies.filter(slice_of(F.col("finish")) == last["slice"]).withColumn("total", last["given"] + F.sum("size").over(upto))
+        cutoff = cut_slice.filter("total > budget").orderBy(*order).select("finish", "order", F.col("source").isNull().alias("none"), "source").head()
+    inside = lambda f: F.col("size") > 0
+    if cutoff is not None:
+        values = zip("abcd", cutoff, ("double", "long", "boolean", times.schema["source"].dataType), strict=True)
+        there = F.struct(*[F.lit(v).cast(t).alias(n) for n, v, t in values])
+        inside = lambda f: (F.col("size") > 0) & (F.struct(f.alias("a"), F.col("order").alias("b"), F.col("source").isNull().alias("c"), F.col("source").alias("d")) < there)
+    finish = F.filter(F.array(*map(due, range(repeats))), inside)
+    return times.select("who", "id", "size", "source", "source_size", "target", "order", finish.alias("finish")).withColumn("copies", F.size("finish").cast("long"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """For each document what the mix takes of it."""
-    out = queued(docs, **options)
     key = options.get("key", "doc_id")
-    return out.select(F.col("id").alias(key), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return queued(docs, **options).select(F.col("id").alias(key), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken. Rows alike in key and size are taken alike."""
-    out = queued(docs, key=key, **options).filter("copies > 0").select("id", F.col("size").alias("n"), F.col("source").alias("s"), "copies").distinct()
-    text, source = options.get("text", "text"), options.get("source", "source")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{key}`").alias("k"), F.coalesce(n_words_of(F.col(f"`{text}`")), F.lit(0)).alias("m"), F.col(f"`{source}`").alias("o"))
-    found = rows.join(out, rows["k"].eqNullSafe(out["id"]) & (rows["m"] == out["n"]) & rows["o"].eqNullSafe(out["s"]))
-    return found.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("doc.*")
+    """The mix itself: the rows of docs, each as often as it is taken, in order of virtual finish time."""
+    out = cut(queued(docs, key=key, **options).select("who", "order", "finish"))
+    rows = identified(docs, key)
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = rows.select("who", doc)
+    again = cut(out.groupBy("who").count().filter("count > 1").select("who"))
+    if again.head(1):  # rows wholly alike: one of them stands for all; partial aggregates leave one a task
+        one = rows.join(again, "who", "left_semi").groupBy("who").agg(F.first("doc").alias("doc"))
+        rows = rows.join(again, "who", "left_anti").union(one)
+    taken = out.filter("size(finish) > 0").select("who", "order", F.explode("finish").alias("finish"))
+    return rows.join(taken, "who").orderBy("finish", "order", "who").select("doc.*")
 
 
 def sql_of(view: str = "documents") -> str:
     """The mix of a view with doc_id, text and source, one row per row, with copies."""
     return f"""
-WITH d AS (SELECT doc_id AS id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size,
-  CAST('0x' || substr(md5('{SEED}-' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, {DIGITS}) AS BIGINT) AS ord FROM {view}),
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id AS id, source, md5(text) AS h, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size,
+  CAST('0x' || substr(md5('{SEED}-' || coalesce(CAST(doc_id AS VARCHAR), '-' || md5(coalesce(text, '')))), 1, {DIGITS}) AS BIGINT) AS ord FROM {view}),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
 v AS (SELECT *, sum(source_size) OVER () AS budget, 3 * source_size AS cap,
@@ -125,15 +130,16 @@ v AS (SELECT *, sum(source_size) OVER () AS budget, 3 * source_size AS cap,
 l AS (SELECT *, CAST(budget - capped AS DOUBLE) / open AS level FROM v),
 t AS (SELECT source, source_size, budget, least(CAST(cap AS DOUBLE),
   max(level) OVER () * weight) AS target FROM l),
-e AS (SELECT d.*, source_size, target, budget, sum(size) OVER (PARTITION BY d.source ORDER BY ord, id NULLS FIRST, size) AS fin
+e AS (SELECT d.*, source_size, target, budget,
+  sum(size) OVER (PARTITION BY d.source ORDER BY ord, id NULLS FIRST, size, h NULLS FIRST, rn ROWS UNBOUNDED PRECEDING) AS fin
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT DISTINCT id, source, size, ord, budget, round_no, (round_no * source_size + fin) / target AS finish, count(*) OVER (PARTITION BY id, source, size, ord, round_no) AS alike
+c AS (SELECT rn, source, size, ord, budget, (round_no * source_size + fin) / target AS finish
   FROM e, (SELECT unnest(range(3)) AS round_no) WHERE size > 0),
-k AS (SELECT *, sum(size * alike) OVER (ORDER BY finish, ord, source NULLS LAST, id NULLS FIRST, size) AS total FROM c),
-n AS (SELECT id, source, size, count(*) AS copies FROM k WHERE total <= budget GROUP BY id, source, size)
+k AS (SELECT *, sum(size) OVER (ORDER BY finish, ord, source NULLS LAST ROWS UNBOUNDED PRECEDING) AS total FROM c),
+n AS (SELECT rn, count(*) AS copies FROM k WHERE total <= budget GROUP BY rn)
 SELECT e.id AS doc_id, e.size, CAST(source_size AS BIGINT) AS source_size, target,
   CAST(coalesce(copies, 0) * e.size AS BIGINT) AS taken, CAST(coalesce(copies, 0) AS BIGINT) AS copies
-FROM e LEFT JOIN n ON e.id IS NOT DISTINCT FROM n.id AND e.source IS NOT DISTINCT FROM n.source AND e.size = n.size"""
+FROM e LEFT JOIN n ON e.rn = n.rn"""
 
 
 SQL = sql_of()

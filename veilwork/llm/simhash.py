@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm._common import cut, table
+from veilwork.llm._common import cut, identified, table
 from veilwork.llm.components import components
 
 SEED = 42
@@ -140,12 +140,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return prints.join(of_print, "f").select(key, "f", "component_id")
 
 
-def identified(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with who(none, id, row): whether the id is null, the id, and a digest of the whole row. Only rows that are wholly alike share it."""
-    row = F.xxhash64(*[part for c in docs.columns for part in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
-    return docs.withColumn("who", F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("id"), row.alias("row")))
-
-
 def only(rows: DataFrame, keep: DataFrame) -> DataFrame:
     """Of the rows of identified(docs) those that keep(who) names, each once, without who."""
     keep = cut(keep.groupBy("who").count())

@@ -6,6 +6,7 @@ import random
 import re
 import struct
 import uuid
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -34,6 +35,32 @@ def test_media_round_trip(spark):
     assert media.media_features(frame(spark, [])).count() == 0
 
 
+def test_texts_go_through_the_format(monkeypatch):
+    """What the encoder writes uses real prefix codes, back-references, the cache and transforms, and comes back whole."""
+    rnd = random.Random(3)
+    ways, met, seen = Counter(), Counter(), webp.transformed
+    monkeypatch.setattr(webp, "transformed", lambda a: (lambda r: ways.update([r[0]]) or r)(seen(a)))
+    read = webp._values
+    monkeypatch.setattr(webp, "_values", lambda p, a: met.update({"copies": len(p)}) or read(p, a))
+    quick = webp._read_quick
+    monkeypatch.setattr(webp, "_read_quick", lambda b, g, t, w, c: met.update({"cache": c > 0, "lengths": len(g[0].lengths) > 1}) or quick(b, g, t, w, c))
+    words = ["word" + str(rnd.randrange(400)) for _ in range(3000)]
+    ramp = bytes((3 * i + rnd.randrange(2)) & 0xFF for i in range(192 * 40))
+    grey = bytes(b for _ in range(64 * 30) for b in [rnd.randrange(256)] * 3)
+    tinted = bytes(b for _ in range(64 * 40) for g in [rnd.randrange(256)] for b in (((g - ((g & 128) << 1)) * 13 >> 5) + rnd.randrange(4) & 255, g, ((g - ((g & 128) << 1)) * -21 >> 5) + rnd.randrange(4) & 255))
+    texts = [" ".join(words).encode(), b"", b"ab" * 3000, ("the same line of text\n" * 300).encode(), bytes(rnd.randrange(256) for _ in range(20_000)), ramp, grey, tinted]
+    down = bytearray(rnd.randrange(256) for _ in range(192))
+    for _ in range(60):
+        down += bytes((b + rnd.randrange(3)) & 0xFF for b in down[-192:])
+    for raw in [*texts, bytes(down)]:
+        payload = media.padded(raw)
+        stored = media.to_media(payload)
+        assert media.from_media(stored) == payload
+    assert len(media.to_media(media.padded(texts[0]))) < 0.75 * len(texts[0])
+    assert {"none", "green", "colour", "palette", "predict1", "predict2"} <= set(ways)
+    assert min(met["copies"], met["cache"], met["lengths"]) > 0
+
+
 def test_payloads_beyond_one_image():
     payload = bytes(random.Random(1).randrange(256) for _ in range(192)) * 16500
     stored = media.to_media(payload)
@@ -222,7 +249,7 @@ def test_cross_colour_subtract_green_and_palette():
 
 
 def test_broken_images_are_refused():
-    good = webp.encode(b"a" * 192)
+    good = webp.encode(random.Random(1).randbytes(1920))
     for bad in (b"RIFX" + good[4:], good[:12] + b"VP8 " + good[16:], good[:20] + b"\0" + good[21:], good[:-150]):
         with pytest.raises(ValueError):
             webp.decode(bad[:4] + struct.pack("<I", len(bad) - 8) + bad[8:])

@@ -1,5 +1,7 @@
 """Media columns: payloads stored as lossless WebP images and read back as pixels.
 
+Images are written and read by the whole format (see webp): prefix codes of their own, back-references, cache and transforms.
+
 Defined results: a null text is an empty payload, padded to 192 blanks. A payload beyond one image's rows is stored as several
 images, one after the other. Rows alike each get their own result, an empty table gives an empty one, other columns are left aside.
 """

@@ -1,13 +1,15 @@
 """Secret scans: three fixed patterns, and a character convolutional network over every other candidate.
 
 A candidate is any run of 16 or more of [A-Za-z0-9+/_=-] that no pattern has found, with or without digits. The network reads it
-whole, with CONTEXT characters on either side: characters become classes, one layer of filters of width 5 is pooled (greatest and
-mean) over the run and its surroundings, and two dense layers follow. It is trained in numpy, with a fixed seed, on labelled
-findings made by a generator of keys and of look-alikes. Scores are calibrated on findings held out (Platt scaling), and the
-threshold is the greatest at which their recall is RECALL at least, and no less than LEAST.
+whole, with CONTEXT characters on either side; a run of more than PIECE characters is read in overlapping pieces, and the greatest
+score of a piece is that of the run, so memory is bounded for runs of any length. Characters become classes, one layer of filters of
+width 5 is pooled (greatest and mean) over the run and its surroundings, and two dense layers follow. It is trained in numpy, with a
+fixed seed, on labelled findings made by a generator of keys and of look-alikes (words, paths, times, UUIDs, commits, checksums).
+Scores are calibrated on findings held out of the fit (Platt scaling), and the threshold is the greatest at which the recall of yet
+others is RECALL at least. Nothing else bounds it.
 
 Defined results: a null text is an empty one without spans. Texts are read whole. Spans are in code points. Rows alike each get
-their own result, an empty table gives an empty one.
+their own result, an empty table gives an empty one. secret_scan leaves other columns aside, redacted carries them along.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from veilwork.llm._common import table
 
 CONTEXT = 24
-RECALL = 0.97
-LEAST = 0.5
+RECALL = 0.96
+PIECE = 256
+AT_ONCE = 1024
 KINDS = ("assign", "access", "hex", "net")
 
 
@@ -54,26 +57,41 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-def candidates(text: str, spans: list[Span]) -> list[tuple[int, int]]:
-    """Runs that no span touches, of whatever characters."""
-    return [(m.start(), m.end()) for m in _run.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in spans)]
+def candidates(text: str, spans: list[Span]) -> Iterator[tuple[int, int]]:
+    """Runs that no span (in order of start) touches, of whatever characters; both lists are gone through once."""
+    at, covered = 0, 0
+    for m in _run.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            covered = max(covered, spans[at][2])
+            at += 1
+        if covered <= m.start():
+            yield m.start(), m.end()
+
+
+def pieces(start: int, end: int) -> Iterator[tuple[int, int]]:
+    """What the network reads of a run at once: all of it, or stretches of PIECE that overlap by half."""
+    if end - start <= PIECE:
+        yield start, end
+        return
+    for at in range(start, end - PIECE // 2, PIECE // 2):
+        yield at, min(end, at + PIECE)
 
 
 # The network
 
-_classes = np.full(128, 1, np.int64)
+_classes = np.full(128, 1, np.int8)
 for _n, _c in enumerate("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \n\"'`:=,.;()[]{}<>/+-_@#&?%$!*|\\~^"):
     _classes[ord(_c)] = _n + 3
 N_CLASSES = int(_classes.max()) + 1
 OTHER, NO_CHAR = 2, 0
-WIDTH, FILTERS, HIDDEN = 5, 24, 16
+WIDTH, FILTERS, HIDDEN = 5, 32, 16
 
 
 def window(text: str, start: int, end: int) -> tuple[np.ndarray, int, int]:
     """Classes of the candidate and its context, and where the candidate lies in them."""
     a, b = max(0, start - CONTEXT), min(len(text), end + CONTEXT)
     codes = np.frombuffer(text[a:b].encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(codes < 128, _classes[np.minimum(codes, 127)], OTHER), start - a, end - a
+    return np.where(codes < 128, _classes[np.minimum(codes, 127)], np.int8(OTHER)), start - a, end - a
 
 
 def batch_of(windows: list[tuple[np.ndarray, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +115,7 @@ class Net:
             "u": g.normal(0, 0.15, (3 * FILTERS + 1, HIDDEN)), "c": np.zeros(HIDDEN),
             "v": g.normal(0, 0.3, (HIDDEN, 1)), "d": np.zeros(1),
         }
-        self.scale, self.shift, self.threshold = 1.0, 0.0, LEAST
+        self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
 
     def forward(self, x: np.ndarray, inside: np.ndarray, near: np.ndarray):
         p, n = self.p, inside.shape[1]
@@ -126,10 +144,8 @@ class Net:
         dz[rows, top_near, each] += df[:, 2 * FILTERS : 3 * FILTERS] * near[rows, top_near]
         dz *= z > 0
         grad["b"] = dz.sum((0, 1))
-        grad["w"] = np.zeros_like(p["w"])
-        flat = dz.reshape(-1, FILTERS)
-        for k in range(WIDTH):
-            np.add.at(grad["w"][k], x[:, k : k + n].ravel(), flat)
+        flat, of_class = dz.reshape(-1, FILTERS), (x[..., None] == np.arange(N_CLASSES)).astype(float)
+        grad["w"] = np.stack([of_class[:, k : k + n].reshape(-1, N_CLASSES).T @ flat for k in range(WIDTH)])
         t = state["t"] = state.get("t", 0) + 1
         for k, d in grad.items():
             m = state[f"m{k}"] = 0.9 * state.get(f"m{k}", 0) + 0.1 * d
@@ -171,17 +187,24 @@ def labelled_findings(n: int, seed: int = 11) -> list[tuple[str, int, int, int]]
         lambda: f"20{some(digits, 2, 2)}-{some(digits, 2, 2)}-{some(digits, 2, 2)}T{some(digits, 2, 2)}-{some(digits, 2, 2)}-{some(digits, 2, 2)}Z", lambda: "_".join([r.choice(["IMG", "file", "backup", "report", "scan"]), some(digits, 8, 8), some(digits, 6, 6)]),
         lambda: word() + word() + word() + word()[:3] + some(digits, 1, 4), lambda: word().capitalize() + word().capitalize() + word().capitalize() + word().capitalize() + some(digits, 1, 2), lambda: (word()[:2] + some(digits, 1, 1)) * r.randint(6, 12),
         lambda: "a" * r.randint(8, 30) + some(digits, 8, 12), lambda: "=" * r.randint(8, 40) + word() + some(digits, 1, 3) + "=" * r.randint(4, 8), lambda: "-".join([some(digits, 3, 3), some(digits, 1, 1), some(digits, 2, 4), some(digits, 4, 6), "x" + some(digits, 1, 1)]),
-        lambda: said(r.randint(7, 13)), lambda: said(r.randint(7, 13)).capitalize(), lambda: said(r.randint(7, 13)).upper(), lambda: some(lower + lower.upper(), 1, 1) * r.randint(16, 60), lambda: r.choice("-=_+/") * r.randint(16, 80), lambda: some(digits, 16, 24),
+        lambda: said(r.randint(7, 13)), lambda: said(r.randint(7, 13)).capitalize(), lambda: said(r.randint(7, 13)).upper(), lambda: some(lower + lower.upper(), 1, 1) * r.randint(16, 60), lambda: r.choice("-=_+/") * r.randint(16, 80), lambda: some(digits, 16, 24), *[lambda: some(digits, 16, 16)] * 2,
         lambda: r.choice("-_/").join(many(4, 8)), lambda: "".join(w.capitalize() for w in many(3, 6)), lambda: "_".join(many(3, 6)).upper(), lambda: said(2) + "".join(w.capitalize() for w in many(3, 5)),
+        lambda: "-".join(some(digits + "abcdef", n, n) for n in (8, 4, 4, 4, 12)), lambda: "-".join(some(digits + "abcdef", n, n) for n in (8, 4, 4, 4, 12)).upper(),
         lambda: "-".join([some(digits, 4, 4)] * 3) + "-" + word(), lambda: "v" + "-".join(some(digits, 1, 3) for _ in range(6)) + "-release",
     )
+    # Digests and ids that only the word before them tells from keys.
+    named_hashes = [(w, lambda: some(digits + "abcdef", 16, 40)) for w in ("commit", "merge", "sha1", "md5", "etag", "checksum", "build", "rev", "digest")]
+    named_hashes += [(w, lambda: some(mixed + "+/", 27, 43) + "=") for w in ("integrity", "sha256", "checksum", "digest")] + [(w, lambda: some(digits + "ABCDEF", 16, 40)) for w in ("serial", "crc", "fingerprint")]
     out = []
     for i in range(n):
         label = i % 2
-        run = r.choice(keys if label else alike)()
+        named = None if label or r.random() > 0.15 else r.choice(named_hashes)
+        run = named[1]() if named else r.choice(keys if label else alike)()
         if len(run) < 16:
             run = some(mixed, 20, 40) if label else "-".join(word() for _ in range(5)) + "-in-between"
-        if r.random() < (0.5 if label else 0.25):
+        if named:
+            before = prose(r.randint(0, 4)) + r.choice(["\n", " "]) + named[0] + r.choice([" ", ": ", "=", ' = "', " (", ":"])
+        elif r.random() < (0.5 if label else 0.25):
             before = prose(r.randint(0, 4)) + r.choice(["\n", " "]) + r.choice(["key", "auth", "bearer", "credential", "client_id", "signature", "private", "access", "id", "name", "path", "ref"]) + r.choice([": ", "=", ' = "', " ", "='"])
         else:
             before = prose(r.randint(0, 6)) + r.choice([" ", "\n", ""])
@@ -195,18 +218,18 @@ def labelled_findings(n: int, seed: int = 11) -> list[tuple[str, int, int, int]]
 
 
 @functools.cache
-def trained(findings: int = 4000, rounds: int = 6) -> Net:
-    """A network fitted to three quarters of the findings, calibrated on the rest."""
+def trained(findings: int = 6000, rounds: int = 9) -> Net:
+    """A network fitted to three fifths of the findings, calibrated on a fifth; the threshold comes from the last fifth."""
     made = labelled_findings(findings)
     windows, y = [window(t, a, b) for t, a, b, _ in made], np.array([k for *_, k in made], float)
-    cut = findings * 3 // 4
+    cut, more = findings * 3 // 5, findings * 4 // 5
     net, state, g = Net(), {}, np.random.default_rng(5)
     for k in range(rounds):
         order = g.permutation(cut)
         for at in range(0, cut, 64):
             rows = order[at : at + 64]
-            net.step(*batch_of([windows[i] for i in rows]), y[rows], state, 0.01 / (1 + k))
-    held, labels = windows[cut:], y[cut:]
+            net.step(*batch_of([windows[i] for i in rows]), y[rows], state, 0.012 * 0.75**k)
+    held, labels = windows[cut:more], y[cut:more]
     raw = np.concatenate([net.forward(*batch_of(held[i : i + 256]))[0] for i in range(0, len(held), 256)])
     for _ in range(200):  # Newton steps with a little shrinkage
         q = 1 / (1 + np.exp(-(net.scale * raw + net.shift)))
@@ -214,24 +237,38 @@ def trained(findings: int = 4000, rounds: int = 6) -> Net:
         grad = np.array([((q - labels) * raw).sum() + 0.1 * (net.scale - 1), (q - labels).sum() + 0.1 * net.shift])
         hess = np.array([[(s * raw * raw).sum() + 0.1, (s * raw).sum()], [(s * raw).sum(), s.sum() + 0.1]])
         net.scale, net.shift = np.array([net.scale, net.shift]) - 0.5 * np.linalg.solve(hess, grad)
-    q = np.sort((1 / (1 + np.exp(-(net.scale * raw + net.shift))))[labels == 1])
-    net.threshold = max(LEAST, float(q[int((1 - RECALL) * len(q))]))
+    q = np.sort(net.probabilities(windows[more:])[y[more:] == 1])
+    net.threshold = float(q[int((1 - RECALL) * len(q))])
     return net
 
 
 def scan(texts: list[str], net: Net) -> Iterator[tuple[list[Span], list[Span], int]]:
     """For each text its base spans, all spans, and how many base spans the network would have taken too. It reads them all."""
     base = [base_spans(t) for t in texts]
-    found = [(i, a, k, b) for i, t in enumerate(texts) for a, k, b in [*base[i], *((a, 3, b) for a, b in candidates(t, base[i]))]]
+    best: dict[tuple[int, int, int, int], float] = {}  # of a run or base span the greatest score of its pieces
+    held: list[tuple[tuple[int, int, int, int], int, int]] = []
+
+    def read() -> None:
+        for (of, _, _), q in zip(held, net.probabilities([window(texts[of[0]], a, b) for of, a, b in held]), strict=True):
+            best[of] = max(best.get(of, 0.0), float(q))
+        held.clear()
+
+    for i, t in enumerate(texts):
+        for spans in (base[i], ((a, 3, b) for a, b in candidates(t, base[i]))):
+            for a, k, b in spans:
+                for x, y in pieces(a, b):
+                    held.append(((i, a, k, b), x, y))
+                    if len(held) >= AT_ONCE:
+                        read()
+    if held:
+        read()
     more: dict[int, list[Span]] = {}
     confirmed: dict[int, int] = {}
-    for at in range(0, len(found), 2048):
-        part = found[at : at + 2048]
-        for (i, a, k, b), q in zip(part, net.probabilities([window(texts[i], a, b) for i, a, _, b in part]), strict=True):
-            if q >= net.threshold and k == 3:
-                more.setdefault(i, []).append((a, 3, b))
-            elif q >= net.threshold:
-                confirmed[i] = confirmed.get(i, 0) + 1
+    for (i, a, k, b), q in best.items():
+        if q >= net.threshold and k == 3:
+            more.setdefault(i, []).append((a, 3, b))
+        elif q >= net.threshold:
+            confirmed[i] = confirmed.get(i, 0) + 1
     for i, spans in enumerate(base):
         yield spans, sorted(spans + more.get(i, [])), confirmed.get(i, 0)
 

@@ -1,16 +1,20 @@
 """Lossless WebP: a decoder of the whole format, and an encoder for payloads.
 
 The decoder reads prefix codes, back-references and the colour cache, and inverts the predictor, cross-colour, subtract-green and
-palette transforms; it returns a pixel array (height, width, 4) of alpha, red, green, blue. Where every code of an image has one
-length and neither cache nor back-reference can occur, all pixels are read at once by numpy.
+palette transforms; it returns a pixel array (height, width, 4) of alpha, red, green, blue. Where an image has one group of codes,
+numpy looks up at every bit what a token beginning there would be and where the next one would begin; the tokens are then found by
+following these jumps, and pixels, back-references and cache are made of them in order.
 
-The encoder writes samples as red, green, blue with such codes: 7 bits a sample if all are below 128, else 8.
+The encoder writes samples as red, green, blue. It takes what it reckons shortest of no transform, subtract-green, cross-colour,
+prediction from the left or from above, and a palette; equal stretches become back-references, repeated colours go by the cache,
+and each image has prefix codes of its own.
 """
 
 from __future__ import annotations
 
 import functools
 import struct
+from collections import Counter
 
 import numpy as np
 
@@ -40,11 +44,14 @@ class Bits:
         self.at += 8
         self.n += 64
 
+    def more(self) -> None:
+        if self.at > len(self.data) + 16:
+            raise ValueError("the stream ends too early")
+        self.fill()
+
     def read(self, n: int) -> int:
         if self.n < n:
-            if self.at > len(self.data) + 16:
-                raise ValueError("the stream ends too early")
-            self.fill()
+            self.more()
         value = self.held & ((1 << n) - 1)
         self.held >>= n
         self.n -= n
@@ -59,6 +66,13 @@ class Bits:
         self.read(place % 8)
 
 
+@functools.cache
+def _backwards() -> np.ndarray:
+    """Each 15-bit number with its bits in reverse."""
+    n = np.arange(1 << 15)
+    return sum((n >> k & 1) << (14 - k) for k in range(15))
+
+
 class Code:
     """A canonical prefix code."""
 
@@ -70,14 +84,27 @@ class Code:
         self.first: dict[int, tuple[int, int, int]] = {}  # by length: the first code, how many, and where in symbols they begin
         code = at = 0
         last = 0
+        counts = Counter(lengths)
         for n in sorted(self.lengths):
             code <<= n - last
-            k = sum(1 for s in used if lengths[s] == n)
+            k = counts[n]
             self.first[n] = (code, k, at)
             code, at, last = code + k, at + k, n
         if self.one is None and code != 1 << last:
             raise ValueError("the prefix code is not complete")
 
+    def table(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """By the next bits: how many they are, and for each value of them the symbol and the length of its code."""
+        if self.one is not None:
+            return 0, np.array([self.one], np.int32), np.zeros(1, np.int32)
+        wide = max(self.lengths)
+        symbol, length = np.zeros(1 << wide, np.int32), np.zeros(1 << wide, np.int32)
+        for n, (code, k, at) in self.first.items():
+            for i, back in enumerate((_backwards()[code : code + k] >> (15 - n)).tolist()):
+                symbol[back :: 1 << n] = self.symbols[at + i]
+                length[back :: 1 << n] = n
+        return (1 << wide) - 1, symbol, length
+
     def read(self, bits: Bits) -> int:
         if self.one is not None:
             return self.one
@@ -101,22 +128,30 @@ def read_code(bits: Bits, alphabet: int) -> Code:
     of_lengths = [0] * 19
     for k in range(4 + bits.read(4)):
         of_lengths[CODE_LENGTH_ORDER[k]] = bits.read(3)
-    code = Code(of_lengths)
+    mask, symbols, sizes = (x if isinstance(x, int) else x.tolist() for x in Code(of_lengths).table())
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     at, before = 0, 8
     while at < alphabet and left:
         left -= 1
-        symbol = code.read(bits)
+        if bits.n < 16:
+            bits.more()
+        ahead = bits.held
+        symbol, n = symbols[ahead & mask], sizes[ahead & mask]
         if symbol < 16:
             lengths[at] = symbol
             before = symbol or before
             at += 1
-            continue
-        value, times = (before, 3 + bits.read(2)) if symbol == 16 else (0, 3 + bits.read(3)) if symbol == 17 else (0, 11 + bits.read(7))
-        if at + times > alphabet:
-            raise ValueError("code lengths beyond the alphabet")
-        lengths[at : at + times] = [value] * times
-        at += times
+        else:
+            ahead >>= n
+            value, times, k = (before, 3 + (ahead & 3), 2) if symbol == 16 else (0, 3 + (ahead & 7), 3) if symbol == 17 else (0, 11 + (ahead & 127), 7)
+            n += k
+            if at + times > alphabet:
+                raise ValueError("code lengths beyond the alphabet")
+            if value:
+                lengths[at : at + times] = [value] * times
+            at += times
+        bits.held >>= n
+        bits.n -= n
     return Code(lengths)
 
 
@@ -140,8 +175,8 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     groups = [[read_code(bits, n) for n in sizes] for _ in range(n_groups)]
     total = width * height
-    if n_groups == 1 and not cache_bits and (out := _read_even(bits, groups[0], total)) is not None:
-        return out.reshape(height, width)
+    if n_groups == 1 and total >= QUICK:
+        return np.array(_read_quick(bits, groups[0], total, width, cache_bits), np.uint32).reshape(height, width)
     pixels = [0] * total
     cache = [0] * (1 << cache_bits)
     shift = 32 - cache_bits
@@ -179,29 +214,106 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(pixels, np.uint32).reshape(height, width)
 
 
-def _read_even(bits: Bits, group: list[Code], total: int) -> np.ndarray | None:
-    """All pixels at once if each code has one length and none of them is a back-reference."""
-    channels = group[:4]
-    if any(len(c.lengths) > 1 for c in channels) or max(group[0].symbols, default=0) > 255:
-        return None
-    sizes = [0 if c.one is not None else next(iter(c.lengths)) for c in channels]
-    start, per = bits.place(), sum(sizes)
-    data = np.frombuffer(bits.data, np.uint8)[start // 8 : (start + per * total + 7) // 8]
-    flat = np.unpackbits(data, bitorder="little")[start % 8 : start % 8 + per * total]
-    if len(flat) < per * total:
-        raise ValueError("the stream ends too early")
-    flat = flat.reshape(total, per)
-    out, at = np.zeros(total, np.uint32), 0
-    for code, n, shift in zip(channels, sizes, (8, 16, 0, 24), strict=True):
-        if n == 0:
-            out |= np.uint32(code.one << shift)
-            continue
-        index = np.packbits(flat[:, at : at + n], axis=1)  # the first bit read is the highest
-        index = index[:, 0].astype(np.uint32) >> (8 - n) if n <= 8 else (index[:, 0].astype(np.uint32) << 8 | index[:, 1]) >> (16 - n)
-        out |= np.array(code.symbols, np.uint32)[index] << np.uint32(shift)
-        at += n
-    bits.seek(start + per * total)
-    return out
+#: Smaller images are read token by token.
+QUICK = 32
+#: Bytes looked up at once, and bits that no token exceeds.
+CHUNK, TOKEN = 1 << 12, 192
+
+
+def _values(prefix: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of length or distance prefixes the values, and how many of the bits ahead they take."""
+    extra = np.where(prefix < 4, 0, (prefix - 2) >> 1)
+    return np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << extra) + (ahead & ((1 << extra) - 1))) + 1, extra
+
+
+def _read_quick(bits: Bits, group: list[Code], total: int, width: int, cache_bits: int) -> list[int]:
+    """Pixels of an image of one group."""
+    tables = [c.table() for c in group]
+    data, place, near = np.frombuffer(bits.data, np.uint8), bits.place(), near_distances()
+    pixels: list[int] = []
+    cache, shift = [0] * (1 << cache_bits), np.uint32(32 - cache_bits)
+    while len(pixels) < total:
+        begin = place >> 3
+        part = np.zeros(min(CHUNK, max(0, len(data) - begin)) + TOKEN // 4, np.uint8)
+        have = data[begin : begin + len(part)]
+        part[: len(have)] = have
+        four = part.astype(np.uint32)
+        four = four[:-3] | four[1:-2] << 8 | four[2:-1] << 16 | four[3:] << 24
+        ahead = (four[:, None] >> np.arange(8, dtype=np.uint32)).ravel() & np.uint32(0x1FFFFFF)  # what lies ahead of each bit
+        ahead = ahead.view(np.int32)
+
+        def look(k: int, at: np.ndarray, ahead: np.ndarray = ahead) -> tuple[np.ndarray, np.ndarray]:
+            mask, symbol, length = tables[k]
+            if not mask:
+                return symbol, at
+            key = ahead.take(at) & mask
+            return symbol.take(key), at + length.take(key)
+
+        every = np.arange(len(ahead) - TOKEN, dtype=np.int32)
+        first, after = look(0, every)
+        first = np.broadcast_to(first, every.shape)
+        red, jump = look(1, after)
+        blue, jump = look(2, jump)
+        alpha, jump = look(3, jump)
+        grows, far = None, None
+        copies = np.flatnonzero((first >= 256) & (first < 280))
+        if len(copies) or cache_bits:
+            grows, far, jump = np.ones(len(every), np.int32), np.zeros(len(every), np.int32), jump.copy()
+            jump = np.where(first >= 280, after, jump)
+            grows[copies], extra = _values(first[copies] - 256, ahead[after[copies]])
+            prefix, at = look(4, after[copies] + extra)
+            far[copies], extra = _values(np.broadcast_to(prefix, at.shape), ahead[at])
+            jump[copies] = at + extra
+        at, n, left, end = place & 7, 0, total - len(pixels), len(every)
+        seen, to, by = [], np.broadcast_to(jump, every.shape).tolist(), grows.tolist() if grows is not None else []
+        if by:
+            while n < left and at < end:
+                seen.append(at)
+                n += by[at]
+                at = to[at]
+        else:
+            while len(seen) < left and at < end:
+                seen.append(at)
+                at = to[at]
+        if not seen or (begin << 3) + at > len(data) * 8:
+            raise ValueError("the stream ends too early")
+        place = (begin << 3) + at
+        tokens = np.array(seen)
+        kind = first[tokens]
+        pick = lambda a, tokens=tokens: a[tokens] if len(a) > 1 else a
+        plain = np.broadcast_to(pick(alpha).astype(np.int64) << 24 | pick(red) << 16 | (kind & 0xFF) << 8 | pick(blue), kind.shape)
+        keys = (plain.astype(np.uint32) * np.uint32(HASH) >> shift).tolist() if cache_bits else []
+        plain, said, come = plain.tolist(), 0, far[tokens].tolist() if far is not None else []
+        for t in [*np.flatnonzero(kind >= 256).tolist(), len(seen)]:
+            pixels += plain[said:t]
+            if cache_bits:
+                for k, v in zip(keys[said:t], plain[said:t], strict=True):
+                    cache[k] = v
+            said = t + 1
+            if t == len(seen):
+                break
+            begun = len(pixels)
+            if kind[t] >= 280:
+                pixels.append(cache[int(kind[t]) - 280])
+                continue  # what the cache holds is in its place already
+            length, back = by[seen[t]], come[t]
+            if back > 120:
+                back -= 120
+            else:
+                x, y = near[back - 1]
+                back = max(1, x + y * width)
+            if back > begun or begun + length > total:
+                raise ValueError("a back-reference leaves the image")
+            if back >= length:
+                pixels += pixels[begun - back : begun - back + length]
+            else:  # it overlaps what it writes
+                for k in range(begun, begun + length):
+                    pixels.append(pixels[k - back])
+            if cache_bits:
+                for v in pixels[begun:]:
+                    cache[(HASH * v & 0xFFFFFFFF) >> int(shift)] = v
+    bits.seek(place)
+    return pixels
 
 
 def _split(argb: np.ndarray) -> np.ndarray:
@@ -356,13 +468,31 @@ def _join(px: np.ndarray) -> np.ndarray:
 class BitsOut:
     def __init__(self) -> None:
         self.value, self.n = 0, 0
+        self.done: list[bytes] = []
 
     def put(self, value: int, n: int) -> None:
         self.value |= value << self.n
         self.n += n
 
+    def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Many at once, in parts, so that memory is bounded."""
+        for at in range(0, len(values), 1 << 15):
+            v, n = values[at : at + (1 << 15)], sizes[at : at + (1 << 15)]
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            place = np.arange(total) - np.repeat(ends - n, n)
+            self.flush(np.packbits(np.repeat(v, n) >> place & 1, bitorder="little").tobytes(), total)
+
+    def flush(self, data: bytes, n: int) -> None:
+        self.value |= int.from_bytes(data, "little") << self.n
+        self.n += n
+        whole = self.n // 8
+        self.done.append((self.value & ((1 << 8 * whole) - 1)).to_bytes(whole, "little"))
+        self.value >>= 8 * whole
+        self.n -= 8 * whole
+
     def bytes(self) -> bytes:
-        return self.value.to_bytes(-(-self.n // 8), "little")
+        return b"".join(self.done) + self.value.to_bytes(-(-self.n // 8), "little")
 
 
 def put_one(out: BitsOut, symbol: int) -> None:
@@ -373,31 +503,33 @@ def put_one(out: BitsOut, symbol: int) -> None:
 
 def put_lengths(out: BitsOut, lengths: list[int]) -> None:
     """A code by its lengths, runs of zeros and repeats shortened."""
+    array = np.array(lengths)
+    begins = np.concatenate(([0], np.flatnonzero(array[1:] != array[:-1]) + 1))
     tokens: list[tuple[int, int, int]] = []
-    at = 0
-    while at < len(lengths):
-        run = next((k for k in range(at, len(lengths)) if lengths[k] != lengths[at]), len(lengths)) - at
-        if lengths[at] == 0 and run >= 11:
-            tokens.append((18, min(run, 138) - 11, 7))
-            at += min(run, 138)
-        elif lengths[at] and at and lengths[at - 1] == lengths[at] and run >= 3:
-            tokens.append((16, min(run, 6) - 3, 2))
-            at += min(run, 6)
-        else:
-            tokens.append((lengths[at], 0, 0))
-            at += 1
+    for value, run in zip(array[begins].tolist(), np.diff(begins, append=len(array)).tolist(), strict=True):
+        if value:
+            tokens.append((value, 0, 0))
+            run -= 1
+        while run >= 3:
+            most, symbol, least, n = (6, 16, 3, 2) if value else (138, 18, 11, 7) if run >= 11 else (10, 17, 3, 3)
+            tokens.append((symbol, min(run, most) - least, n))
+            run -= min(run, most)
+        tokens += [(value, 0, 0)] * run
     used = sorted({t[0] for t in tokens})
     width = max(1, (len(used) - 1).bit_length())
     spare = (s for s in range(19) if s not in used)
     coded = sorted([*used, *(next(spare) for _ in range((1 << width) - len(used)))])
-    out.put(0, 1)
-    out.put(15, 4)
+    value, n = 15 << 1, 5
     for s in CODE_LENGTH_ORDER:
-        out.put(width if s in coded else 0, 3)
-    out.put(0, 1)
-    for symbol, extra, n in tokens:
-        put_code(out, coded.index(symbol), width)
-        out.put(extra, n)
+        value |= (width if s in coded else 0) << n
+        n += 3
+    n += 1
+    back = (_backwards()[: 1 << width] >> (15 - width)).tolist()
+    code = {s: back[i] for i, s in enumerate(coded)}
+    for symbol, extra, k in tokens:
+        value |= (code[symbol] | extra << width) << n
+        n += width + k
+    out.put(value, n)
 
 
 def put_code(out: BitsOut, code: int, n: int) -> None:
@@ -410,30 +542,212 @@ def container(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-@functools.cache
-def _codes(size: int) -> tuple[int, int]:
-    """Between the image's size and its pixels: no transform, no cache, one group; red, green and blue alike, alpha opaque."""
-    out = BitsOut()
-    out.put(0, 3)
-    even = [size] * (1 << size)
-    for alphabet in (280, 256, 256):
-        put_lengths(out, even + [0] * (alphabet - len(even)))
-    put_one(out, 255)
-    put_one(out, 0)
-    return out.value, out.n
+def code_lengths(counts: list[int]) -> list[int]:
+    """Lengths of a best prefix code of at most 15 bits; counts flatten until it has none longer."""
+    while True:
+        leaves = sorted((n, s) for s, n in enumerate(counts) if n)
+        lengths = [0] * len(counts)
+        if len(leaves) < 2:
+            for _, s in leaves:
+                lengths[s] = 1
+            return lengths
+        # Two queues in order of weight: what is left of the leaves, and the joined ones. A node's parent is noted.
+        n, parent, weights = len(leaves), [0] * (2 * len(leaves) - 1), [w for w, _ in leaves]
+        i, j = 0, n
+        for k in range(n, 2 * n - 1):
+            weight = 0
+            for _ in range(2):
+                if i < n and (j >= k or weights[i] <= weights[j]):
+                    x, i = i, i + 1
+                else:
+                    x, j = j, j + 1
+                parent[x] = k
+                weight += weights[x]
+            weights.append(weight)
+        depth = [0] * (2 * n - 1)
+        for x in range(2 * n - 3, -1, -1):
+            depth[x] = depth[parent[x]] + 1
+        if max(depth) <= 15:
+            for (_, s), d in zip(leaves, depth, strict=False):
+                lengths[s] = d
+            return lengths
+        counts = [-(-c // 4) for c in counts]
+
+
+def put_prefix_code(out: BitsOut, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes the code for symbols of these counts; returns each symbol's code, first bit lowest, and its length."""
+    used = np.flatnonzero(counts)
+    codes, sizes = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    if len(used) <= 1 and (not len(used) or used[0] < 256):
+        put_one(out, int(used[0]) if len(used) else 0)
+        return codes, sizes
+    if len(used) == 1:  # beyond what a code of one symbol can name
+        counts = counts.copy()
+        counts[0] = 1
+    lengths = code_lengths(counts.tolist())
+    put_lengths(out, lengths)
+    code = last = 0
+    for n, symbol in sorted((n, symbol) for symbol, n in enumerate(lengths) if n):
+        code <<= n - last
+        codes[symbol], sizes[symbol], last = int(_backwards()[code]) >> (15 - n), n, n
+        code += 1
+    return codes, sizes
+
+
+def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lengths or distances the prefix, the extra bits and how many they are."""
+    v = values - 1
+    high = np.maximum(np.frexp(np.maximum(v, 1).astype(float))[1] - 1, 1)
+    extra = np.where(v < 4, 0, high - 1)
+    prefix = np.where(v < 4, v, 2 * high + (v >> extra & 1))
+    return prefix, v & ((1 << extra) - 1), extra
+
+
+#: Back-references of fewer pixels are not made; the cache has so many bits if it holds one pixel in CACHE_PAYS.
+LEAST_COPY, MOST_COPY, CACHE_BITS, CACHE_PAYS = 3, 4096, 6, 8
+
+
+def _copies(px: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of back-references, from left to right: the latest place at which the next two pixels stood before."""
+    pairs = px[:-1].astype(np.uint64) << np.uint64(32) | px[1:].astype(np.uint64)
+    order = np.argsort(pairs, kind="stable")
+    same = pairs[order[1:]] == pairs[order[:-1]]
+    places, befores = order[1:][same], order[:-1][same]
+    if not len(places):
+        return []
+    sort = np.argsort(places)
+    out, end, n = [], 0, len(px)
+    for i, j in zip(places[sort].tolist(), befores[sort].tolist(), strict=True):
+        if i < end:
+            continue
+        most, length, step = min(n - i, MOST_COPY), 2, 32
+        while length < most:
+            a, b = px[i + length : min(i + length + step, i + most)], px[j + length : min(j + length + step, j + most)]
+            wrong = np.flatnonzero(a != b)
+            length += int(wrong[0]) if len(wrong) else len(a)
+            if len(wrong):
+                break
+            step *= 4
+        if length >= LEAST_COPY:
+            out.append((i, length, i - j))
+            end = i + length
+    return out
+
+
+def put_image(out: BitsOut, argb: np.ndarray, main: bool) -> None:
+    """Entropy-coded pixels, a row after the other."""
+    px = argb.ravel().astype(np.uint32)
+    n = len(px)
+    copies = _copies(px) if n > 8 else []
+    covered = np.zeros(n + 1, np.int64)
+    for at, length, _ in copies:
+        covered[at] += 1
+        covered[at + length] -= 1
+    alone = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    cache_bits = 0
+    if n >= 64:
+        slot = (px * np.uint32(HASH) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        held = np.zeros(n, bool)  # every pixel is put into the cache, so a pixel is there if the latest of its slot is equal
+        held[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (px[order[1:]] == px[order[:-1]])
+        if held[alone].sum() * CACHE_PAYS >= max(1, len(alone)):
+            cache_bits = CACHE_BITS
+    out.put(1 if cache_bits else 0, 1)
+    if cache_bits:
+        out.put(cache_bits, 4)
+    if main:
+        out.put(0, 1)
+    # Tokens in order of place, then their parts: green, red, blue, alpha or length, distance.
+    cached = alone[held[alone]] if cache_bits else alone[:0]
+    plain = alone[~held[alone]] if cache_bits else alone
+    places = np.array([c[0] for c in copies], np.int64)
+    length, length_bits, length_n = _prefixed(np.array([c[1] for c in copies], np.int64))
+    far, far_bits, far_n = _prefixed(np.array([c[2] for c in copies], np.int64) + 120)
+    channel = lambda shift: (px[plain] >> np.uint32(shift) & np.uint32(0xFF)).astype(np.int64)
+    first = [channel(8), 256 + length, 280 + slot[cached] if cache_bits else cached]
+    rest = [channel(16), channel(0), channel(24)]
+    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
+    coded = [put_prefix_code(out, np.bincount(v, minlength=k)) for v, k in zip([np.concatenate(first), *rest, far], sizes, strict=True)]
+    parts = [(plain, 0, coded[0], first[0]), *((plain, 1 + k, coded[1 + k], v) for k, v in enumerate(rest)), (cached, 0, coded[0], first[2]), (places, 0, coded[0], first[1]), (places, 2, coded[4], far)]
+    key = [at * 4 + k for at, k, _, _ in parts] + [places * 4 + 1, places * 4 + 3]
+    value = [c[v] for _, _, (c, _), v in parts] + [length_bits, far_bits]
+    width = [w[v] for _, _, (_, w), v in parts] + [length_n, far_n]
+    order = np.argsort(np.concatenate(key), kind="stable")
+    out.put_all(np.concatenate(value)[order], np.concatenate(width)[order])
+
+
+def _reckoned(argb: np.ndarray) -> float:
+    """Bits of the pixels if each channel had a best code."""
+    n = np.bincount((argb.ravel().view(np.uint8).reshape(-1, 4)[:, :3] + np.array([0, 256, 512])).ravel(), minlength=768)
+    n = n[n > 0]
+    return float((n * np.log2(argb.size / n)).sum()) + 6 * len(n)
+
+
+def _with_channels(argb: np.ndarray, red: np.ndarray, blue: np.ndarray) -> np.ndarray:
+    return (argb & np.uint32(0xFF00FF00)) | (red & 0xFF).astype(np.uint32) << np.uint32(16) | (blue & 0xFF).astype(np.uint32)
+
+
+def _slope(a: np.ndarray, b: np.ndarray) -> int:
+    """The multiplier, in 32nds, by which a tells most of b; both signed."""
+    a, b = a - ((a & 0x80) << 1), b - ((b & 0x80) << 1)
+    square = float((a * a).sum())
+    return int(np.clip(round(32 * float((a * b).sum()) / square), -128, 127)) if square else 0
+
+
+def transformed(argb: np.ndarray) -> tuple[str, np.ndarray, tuple]:
+    """The shortest as reckoned: name, pixels to be coded, and what the transform needs."""
+    px = _split(argb)
+    red, green, blue = px[..., 1], px[..., 2], px[..., 3]
+    signed = lambda v: v - ((v & 0x80) << 1)
+    ways: dict[str, tuple[np.ndarray, tuple, int]] = {"none": (argb, (), 0)}
+    ways["green"] = (_with_channels(argb, red - green, blue - green), (), 3)
+    by = (_slope(green, red), _slope(green, blue), _slope(red, blue))
+    delta = lambda m, v: m * signed(v) >> 5
+    ways["colour"] = (_with_channels(argb, red - delta(by[0], green), blue - delta(by[1], green) - delta(by[2], red)), by, 60)
+    for mode in (1, 2):
+        guess = np.zeros_like(px)
+        guess[0, 1:], guess[1:, 0] = px[0, :-1], px[:-1, 0]
+        guess[1:, 1:] = px[1:, :-1] if mode == 1 else px[:-1, 1:]
+        guess[0, 0] = (255, 0, 0, 0)
+        ways[f"predict{mode}"] = (_join(px - guess & 0xFF), (mode,), 60)
+    colours, index = np.unique(argb, return_inverse=True)
+    if len(colours) <= 256:
+        n, index = len(colours), index.reshape(argb.shape)
+        per_bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+        per = 1 << per_bits
+        packed = np.zeros((argb.shape[0], -(-argb.shape[1] // per)), np.int64)
+        for k in range(per):
+            column = index[:, k::per]
+            packed[:, : column.shape[1]] |= column << (k * (8 >> per_bits))
+        ways["palette"] = (packed.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), (colours,), 24 * n + 40)
+    name = min(ways, key=lambda w: _reckoned(ways[w][0]) + ways[w][2])
+    return name, *ways[name][:2]
 
 
 def encode(samples: bytes) -> bytes:
     """An image of width 64 from red, green, blue samples, a positive multiple of 192 of them."""
-    px = np.frombuffer(samples, np.uint8).reshape(-1, 3)[:, [1, 0, 2]]  # in the order of the stream
-    size = 7 if px.max() < 128 else 8
+    rgb = np.frombuffer(samples, np.uint8).reshape(-1, WIDTH, 3).astype(np.uint32)
+    argb = np.uint32(0xFF000000) | rgb[..., 0] << np.uint32(16) | rgb[..., 1] << np.uint32(8) | rgb[..., 2]
+    name, px, needs = transformed(argb)
     out = BitsOut()
     out.put(SIGNATURE, 8)
     out.put(WIDTH - 1, 14)
-    out.put(len(px) // WIDTH - 1, 14)
+    out.put(len(argb) - 1, 14)
     out.put(0, 4)
-    value, n = _codes(size)
-    out.put(value, n)
-    head = np.unpackbits(np.frombuffer(out.bytes(), np.uint8), bitorder="little")[: out.n]
-    body = np.unpackbits(px.reshape(-1, 1), axis=1)[:, 8 - size :].ravel()
-    return container(np.packbits(np.concatenate([head, body]), bitorder="little").tobytes())
+    if name != "none":
+        out.put(1, 1)
+        out.put({"predict1": 0, "predict2": 0, "colour": 1, "green": 2, "palette": 3}[name], 2)
+    if name in ("predict1", "predict2", "colour"):
+        side = 9  # the largest blocks
+        out.put(side - 2, 3)
+        shape = (-(-len(argb) >> side), -(-WIDTH >> side))
+        value = needs[0] << 8 if name != "colour" else (needs[2] & 0xFF) << 16 | (needs[1] & 0xFF) << 8 | needs[0] & 0xFF
+        put_image(out, np.full(shape, 0xFF000000 | value, np.uint32), False)
+    elif name == "palette":
+        out.put(len(needs[0]) - 1, 8)
+        steps = _split(needs[0][None])
+        steps[:, 1:] -= steps[:, :-1].copy()
+        put_image(out, _join(steps & 0xFF), False)
+    out.put(0, 1)
+    put_image(out, px, True)
+    return container(out.bytes())

@@ -61,6 +61,18 @@ def test_texts_go_through_the_format(monkeypatch):
     assert min(met["copies"], met["cache"], met["lengths"]) > 0
 
 
+def test_codes_of_every_length():
+    """Counts that grow like Fibonacci numbers need all lengths up to the longest."""
+    lengths = webp.code_lengths([1, 1, *(int(1.618**k) for k in range(2, 40)), 0, 0, 0, 0])
+    assert max(lengths) == 15
+    assert sum(2.0**-n for n in lengths if n) == 1
+    for alphabet in ([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 15] + [0] * 20, lengths + [0] * 6, [1, 0, 2, 3, 0, 0, 0, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 15] + [0] * 30, [8] * 256 + [0] * 24):
+        out = webp.BitsOut()
+        webp.put_lengths(out, alphabet)
+        got = webp.read_code(webp.Bits(out.bytes() + b"\0" * 8), len(alphabet))
+        assert got.symbols == sorted((s for s, n in enumerate(alphabet) if n), key=lambda s: (alphabet[s], s))
+
+
 def test_payloads_beyond_one_image():
     payload = bytes(random.Random(1).randrange(256) for _ in range(192)) * 16500
     stored = media.to_media(payload)

@@ -516,19 +516,26 @@ def put_lengths(out: BitsOut, lengths: list[int]) -> None:
             run -= min(run, most)
         tokens += [(value, 0, 0)] * run
     used = sorted({t[0] for t in tokens})
-    width = max(1, (len(used) - 1).bit_length())
+    # Codes of one width; of more than 16 symbols the last ones are a bit longer.
+    width = min(4, max(1, (len(used) - 1).bit_length()))
     spare = (s for s in range(19) if s not in used)
     coded = sorted([*used, *(next(spare) for _ in range((1 << width) - len(used)))])
+    longer = max(0, 2 * len(used) - 32)
+    size = {s: width + (i >= len(coded) - longer) for i, s in enumerate(coded)}
     value, n = 15 << 1, 5
     for s in CODE_LENGTH_ORDER:
-        value |= (width if s in coded else 0) << n
+        value |= size.get(s, 0) << n
         n += 3
     n += 1
-    back = (_backwards()[: 1 << width] >> (15 - width)).tolist()
-    code = {s: back[i] for i, s in enumerate(coded)}
+    code, at, last = {}, 0, width
+    for s in sorted(coded, key=lambda s: (size[s], s)):
+        at <<= size[s] - last
+        last = size[s]
+        code[s] = int(_backwards()[at]) >> (15 - last)
+        at += 1
     for symbol, extra, k in tokens:
-        value |= (code[symbol] | extra << width) << n
-        n += width + k
+        value |= (code[symbol] | extra << size[symbol]) << n
+        n += size[symbol] + k
     out.put(value, n)
 
 

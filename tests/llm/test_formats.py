@@ -357,17 +357,41 @@ def test_templates_that_rewrite_turns_far_back_are_found(spark):
         assert len(local.prefix) <= chat_format.BLOCK + 1
 
 
+def jaccard_roots(texts):
+    """The least id that each text reaches by links of texts whose five-word shingles have a Jaccard similarity of 4/5 at least."""
+    sets = {}
+    for i, text in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    root = {}
+    for i in sorted(sets):
+        near = {root[j] for j in root if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+        root[i] = min(near, default=i)
+        root |= {j: root[i] for j, r in root.items() if r in near}
+    return root
+
+
+def test_pipeline_of_odd_and_no_rows(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("bdlmnrst") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 4)))
+    prose = "\n".join(f"The {word()} of {word()} and the {word()} is in {word()} with a {word()} to be {word()}." for _ in range(20))
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, prose, "en", None, len(prose)), (2, prose, "en", None, len(prose)), (None, prose + " token = abcdefgh12345", "en", "b", None)]
+    for docs in (spark.createDataFrame(rows, kind), spark.createDataFrame([], kind)):
+        out = docs
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, out, "")
+        got = out.collect()
+        assert {r["doc_id"] for r in got} <= {None, 2}
+        assert bool(got) == bool(docs.head(1))
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, data):
     docs = [r.asDict() for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     one = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     verdicts = {r["doc"]["doc_id"]: r["kept"] for r in quality_rules.quality_rules(one(docs)).collect()}
     good = [d for d in docs if verdicts[d["doc_id"]]]
-    prints = {d["doc_id"]: simhash.fingerprint(d["text"] or "") for d in good}
-    root = {}
-    for i in sorted(prints):
-        near = {root[j] for j in root if (prints[i] ^ prints[j]).bit_count() <= 2}
-        root[i] = min(near, default=i)
-        root |= {j: root[i] for j, r in root.items() if r in near}
+    root = jaccard_roots({d["doc_id"]: d["text"] for d in good})
     single = [d for d in good if root[d["doc_id"]] == d["doc_id"]]
     net = secret_scan.trained()
     for d, (_, spans, _) in zip(single, list(secret_scan.scan([d["text"] or "" for d in single], net)), strict=True):
@@ -384,15 +408,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, data):
 def test_pipeline_keeps_one_of_near_copies_by_jaccard(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     good = corpus_pipeline.good(spark, docs, data).select("doc_id", "text").collect()
-    sets = {}
-    for i, text in good:
-        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
-    root = {}
-    for i in sorted(sets):
-        near = {root[j] for j in root if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
-        root[i] = min(near, default=i)
-        root |= {j: root[i] for j, r in root.items() if r in near}
+    root = jaccard_roots(dict(good))
     out = corpus_pipeline.single(spark, corpus_pipeline.good(spark, docs, data), data)
     assert out.columns == docs.columns
     assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == sorted(set(root.values()))

@@ -305,6 +305,20 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, none).count() == 0
 
 
+def test_shards_are_even_whatever_the_ids(spark):
+    far = [*range(2000), 2**40, -(2**63), 2**63 - 1]
+    sized = spark.createDataFrame([(i, 1000) for i in far] + [(None, 1000)], "page_id long, n long")
+    bounds = warc._bounds(sized, 50_000)
+    shard = lambda i: sum(b <= i for b in bounds)
+    sizes = Counter(shard(i) for i in far)
+    assert 35 <= len(sizes) <= 45
+    assert max(sizes.values()) <= 110
+    got = sized.filter("page_id is not null").select("page_id", warc._below(bounds, F.col("page_id")).alias("s")).collect()
+    assert all(r["s"] == shard(r["page_id"]) for r in got)
+    assert warc._bounds(sized.limit(0), 50_000) == []
+    assert warc._bounds(spark.createDataFrame([(7, 1000)] * 300, "page_id long, n long"), 50_000) == []
+
+
 def test_chat_escapes_reversibly():
     rnd = random.Random(2)
     for _ in range(3000):

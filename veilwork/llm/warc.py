@@ -1,7 +1,8 @@
 """A deterministic, sharded WARC writer, and a reader.
 
-Records are put in ranges of page_id that hold about shard_bytes of payload each; the ranges come from an exact histogram, so they
-are the same in every run. A task writes its ranges in order; within one, files are rolled by their compressed size. Headers and
+Records are put in ranges of page_id that hold about shard_bytes of payload each (more if there would be over MOST_SHARDS of them: at
+16 MiB a shard that is beyond some 320 GB); the ranges come from exact histograms, each finer where one cell still holds too much, so
+they are the same in every run and no far id spoils them. A task writes its ranges in order; within one, files are rolled by their compressed size. Headers and
 digests are made anew. Each attempt writes files of its own under temporary names and reports them in rows; Spark keeps the rows
 of one attempt per task, these become the manifest, and only files of the manifest are renamed to their final names (a renaming
 that is done again finds the final name and goes on). A reader looks at the manifest only, so what a lost attempt has left behind
@@ -26,10 +27,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm._common import shared_dir, table
+from veilwork.llm._common import cut, shared_dir, table
 
 DATE = "2024-01-01T00:00:00Z"
 SHARD_BYTES = 16 << 20
@@ -99,19 +100,44 @@ class Roller:
 MANIFEST = "name string, temporary string, shard long, bytes long, records long, sha256 string"
 
 
-def _shards(sized: DataFrame, shard_bytes: int) -> tuple[int, int, list[int]]:
-    """The least id, the width of a cell, and each cell's shard: at most CELLS rows come to the driver."""
+def _below(bounds: list[int], id_: Column) -> Column:
+    """How many of the sorted bounds are at most the id; found by halving. Null for null."""
+    if not bounds:
+        return F.when(id_.isNotNull(), F.lit(0))
+    many, steps = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>"), [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
+    step = lambda n, p: F.when(F.get(many, n + p - 1) <= id_, n + p).otherwise(n)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
+
+
+def _bounds(sized: DataFrame, shard_bytes: int) -> list[int]:
+    """The least id of each shard but the first. Of sized (page_id, n) some CELLS sums at a time come to the driver."""
     low, high, total = sized.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).head()
     if low is None:
-        return 0, 1, [0]
-    width = (high - low) // CELLS + 1
-    cells = sized.filter("page_id is not null").groupBy(((F.col("page_id") - low) / F.lit(width)).cast("long").alias("cell")).agg(F.sum("n").alias("n")).collect()
+        return []
     shard_bytes = max(shard_bytes, total // MOST_SHARDS)
-    of, seen, by_cell = [], 0, dict(cells)
-    for cell in range((high - low) // width + 1):
-        of.append(seen // shard_bytes)
-        seen += by_cell.get(cell, 0)
-    return low, width, of
+    cells = {low: (high, total)}  # least id: greatest id, bytes
+    while heavy := sorted(a for a, (b, n) in cells.items() if n > shard_bytes and b > a):
+        # Each heavy cell is cut into parts of one width. Distances are decimals: ids may lie as far apart as a long can say.
+        parts = max(2, CELLS // len(heavy))
+        widths = [(cells[a][0] - a) // parts + 1 for a in heavy]
+        of = _below(heavy[1:], F.col("page_id"))
+        text = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<decimal(20,0)>")
+        begin, width, end = (F.get(text(v), F.col("of")) for v in (heavy, widths, [cells[a][0] for a in heavy]))
+        far = F.col("page_id").cast("decimal(20,0)") - begin
+        cell = ((far - F.pmod(far, width)) / width).cast("decimal(20,0)")
+        inside = sized.withColumn("of", of).filter(F.col("page_id").cast("decimal(20,0)").between(begin, end))
+        found = inside.groupBy("of", cell.alias("cell")).agg(F.sum("n").alias("n")).collect()
+        ends = {a: cells.pop(a)[0] for a in heavy}
+        for i, k, n in found:
+            a = heavy[i] + int(k) * widths[i]
+            cells[a] = (min(ends[heavy[i]], a + widths[i] - 1), n)
+    out, seen, shard = [], 0, 0
+    for a in sorted(cells):
+        if seen // shard_bytes > shard:
+            out.append(a)
+            shard = seen // shard_bytes
+        seen += cells[a][1]
+    return out
 
 
 def write_warc(pages: DataFrame, out: str, least: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> str:
@@ -119,11 +145,10 @@ def write_warc(pages: DataFrame, out: str, least: int = 0, shard_bytes: int = SH
     spark = pages.sparkSession
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("html"))
-    keys = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("dg"), F.octet_length("html").cast("long").alias("n"))
-    low, width, of = _shards(keys.select("page_id", (F.col("n") + 400).alias("n")), shard_bytes)
-    n_shards = of[-1] + 1
-    cells = F.array(*map(F.lit, of)) if len(of) > 1 else F.array(F.lit(0))
-    shard = F.coalesce(F.element_at(cells, ((F.col("page_id") - low) / F.lit(width)).cast("int") + 1), F.lit(0)).alias("shard")
+    keys = cut(rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("dg"), F.octet_length("html").cast("long").alias("n")))
+    bounds = _bounds(keys.select("page_id", (F.col("n") + 400).alias("n")), shard_bytes)
+    n_shards = len(bounds) + 1
+    shard = F.coalesce(_below(bounds, F.col("page_id")), F.lit(0)).cast("long").alias("shard")
 
     shared = keys.filter(F.col("n") >= least).groupBy("dg").agg(F.max("page_id").alias("target"), F.count("*").alias("c"), F.sum(F.col("page_id").isNull().cast("int")).alias("nulls")).filter("c > 1")
     # A row before each page that has a copy with a larger id; those of the same id are told apart when written.

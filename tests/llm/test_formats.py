@@ -342,6 +342,14 @@ def test_spans_hold_the_texts_of_the_assistant(spark):
     assert chat_format.formatted(df.limit(0)).count() == 0
 
 
+def test_texts_under_other_templates_are_read_as_they_are(spark):
+    plain = lambda turns: "".join(f"<{r}>{t}</{r}>\n" for r, t in turns)
+    read = lambda said: [(r, t) for r, t in re.findall(r"<(\w+)>(.*?)</\1>\n", said, re.S)]
+    rows = spark.createDataFrame([(None, 0, "user", "see \\quad", 1), (None, 1, "assistant", "a \\l [b", 2)], "conv_id long, turn long, role string, text string, formatted int")
+    got = chat_format.formatted(rows, plain, digest=True, read=read).head()
+    assert (got["n_turns"], got["loss_chars"], got["loss_sha256"]) == (2, 7, hashlib.sha256(b"a \\l [b").hexdigest())
+
+
 def test_templates_that_rewrite_history_are_found(spark):
     rewriting = lambda turns: f"{len(turns)}:" + "".join(t for _, t in turns)
     looking_back = lambda turns: "".join(f"({r if k == 0 else turns[0][0]}:{t})" for k, (r, t) in enumerate(turns))

@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilwork.functions.shared import removed, spread
 from veilwork.functions.shared import shared_folder as shared_dir
-from veilwork.functions.shared import spread
 
 #: A word is a run of anything but the six ASCII blanks. Java, Python and RE2 read it alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,17 +48,21 @@ def n_words_of(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written to a table of its own in the shared folder and read again; it goes when this Python ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
+def passing(spark: SparkSession, path: str) -> str:
+    """path, a folder that goes when this Python ends."""
 
     def drop() -> None:
         with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm.org.apache.hadoop.fs.Path(path), True)
+            removed(spark, path)
 
     atexit.register(drop)
+    return path
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written to a table of its own in the shared folder and read again; it goes when this Python ends."""
+    spark = df.sparkSession
+    path = passing(spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    schema = df.schema
+    df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -10,7 +10,9 @@ as by inst_template) the prefix is cut down to the last turn after BLOCK turns,
 whole prefix; its work and memory stay bounded for conversations of any length, as of rows without an id.
 
 Defined results: a null text or role is an empty one. Rows are ordered by turn, null first, then role, text; rows alike are turns
-of their own. Rows with a null conv_id are one conversation. An empty table gives an empty result.
+of their own. Rows with a null conv_id are one conversation, which is streamed, so its task holds no more of it than of any other.
+Under the mask texts are un-escaped by the template's own `unescape`; a template without one is taken to escape nothing. An empty
+table gives an empty result; other columns are left aside.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ def inst_template(turns: list[Turn]) -> str:
     return "".join(f"<s>[INST]{escape(role)}[/INST]{escape(text)}</s>" for role, text in turns)
 
 
-inst_template.turn_local = True
+inst_template.turn_local, inst_template.unescape = True, unescape
 
 
 def parse(formatted: str) -> list[Turn]:
@@ -126,7 +128,7 @@ def formatted(rows: DataFrame, template: Template = inst_template, digest: bool
                 self.n += 1
                 self.turns.update(f"{r}\n{t}\n".encode())
             if role == "assistant":
-                said = unescape(added[start:end])
+                said = getattr(template, "unescape", str)(added[start:end])
                 self.loss_chars += len(said)
                 self.loss.update(said.encode())
 

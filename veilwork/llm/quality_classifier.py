@@ -1,6 +1,7 @@
 """Quality scores by random-indexing word vectors pooled per document and a two-layer numpy network.
 
-Tokens (runs of letters and digits, or of other marks) fall into TABLE buckets. Each bucket has a fixed sparse index vector; its
+Tokens (runs of letters and digits, or of other marks) fall into TABLE buckets by hash; words that share one share a vector, which is
+the price of a table of fixed size. Each bucket has a fixed sparse index vector; its
 context vector is the sum of the index vectors of its neighbours within two places, over the whole corpus. These sums are whole
 numbers, so their order does not matter; a task adds up its own and passes on one row per bucket, and Spark adds up the rows.
 A document is the mean of its tokens' context vectors (of unit length), and the length of that mean.
@@ -9,7 +10,8 @@ The network is fitted on at most SAMPLE labelled documents (those whose id's has
 of them is kept apart to fit the temperature that calibrates its scores. Labels, language, source and id are no inputs.
 
 Defined results: a null or empty text has the zero vector and gets the network's score of that. Rows alike get the same score;
-a null id is not held out. Without any labelled row every score is 0.5. An empty table gives an empty result.
+a null id is not held out. Unless both labels occur every score is 0.5; few labelled rows are fitted like many. Of repeated ids each row is fitted with each
+label that its id has. Other columns are left aside. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -131,11 +133,13 @@ class Network:
 def fitted(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.01, decay: float = 1e-3) -> Network:
     """Adam on the logistic loss, both labels weighed alike in the fit; the temperature is fitted on a fifth kept apart."""
     net = Network()
-    if len(y) < 10 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return net
     g = np.random.default_rng(3)
     order = g.permutation(len(y))
     kept, rows = order[: len(y) // 5], order[len(y) // 5 :]
+    if y[rows].min() == y[rows].max():  # so few that a label would be missing
+        rows = order
     net.mean, net.scale = x[rows].mean(0), x[rows].std(0) + 1e-6
     z = (x - net.mean) / net.scale
     p = [g.normal(0, INPUTS**-0.5, (INPUTS, HIDDEN)), np.zeros(HIDDEN), g.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
@@ -157,7 +161,8 @@ def fitted(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.01, d
     net.u, net.b, net.v, net.c = p[0], p[1], p[2], float(p[3][0])
     raw, labels = net.logits(x[kept]), y[kept]
     loss = lambda temperature: np.logaddexp(0, np.where(labels == 1, -raw, raw) / temperature).mean()
-    net.temperature = min(np.geomspace(0.1, 20, 120), key=loss)
+    if len(kept):
+        net.temperature = min(np.geomspace(0.1, 20, 120), key=loss)
     return net
 
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm._common import cut, shared_dir, table
+from veilwork.llm._common import cut, passing, shared_dir, table
 
 DATE = "2024-01-01T00:00:00Z"
 SHARD_BYTES = 16 << 20
@@ -273,6 +273,6 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    out = passing(spark, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     write_warc(table(spark, sf_dir, "pages"), out)
     return read_warc(spark, out)

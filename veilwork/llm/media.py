@@ -41,7 +41,8 @@ def images(media: bytes) -> Iterator[np.ndarray]:
 
 
 def from_media(media: bytes) -> bytes:
-    return b"".join(px[..., 1:].tobytes() for px in images(media))
+    """The samples: of grey images one a pixel, of others three."""
+    return b"".join((px[..., 2] if px.shape[1] == webp.GREY_WIDTH else px[..., 1:]).tobytes() for px in images(media))
 
 
 def feature(payload: bytes) -> str:

@@ -5,9 +5,10 @@ palette transforms; it returns a pixel array (height, width, 4) of alpha, red, g
 numpy looks up at every bit what a token beginning there would be and where the next one would begin; the tokens are then found by
 following these jumps, and pixels, back-references and cache are made of them in order.
 
-The encoder writes samples as red, green, blue. It takes what it reckons shortest of no transform, subtract-green, cross-colour,
-prediction from the left or from above, and a palette; equal stretches become back-references, repeated colours go by the cache,
-and each image has prefix codes of its own.
+The encoder writes samples as red, green, blue or, if it reckons this shorter, each as a grey pixel. Colours: it takes what it reckons
+shortest of no transform, subtract-green, cross-colour, prediction from the left or from above, and a palette; repeated colours go
+by the cache. Grey: subtract-green leaves one channel, as it is or predicted, and few greys become a palette; a cache cannot shorten
+one channel. Equal stretches become back-references, and each image has prefix codes of its own.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 HASH = 0x1E35A7BD
 SIGNATURE = 0x2F
-WIDTH, MOST_ROWS = 64, 16384
+WIDTH, GREY_WIDTH, MOST_ROWS = 64, 192, 16384
 
 
 @functools.cache
@@ -176,7 +177,7 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     groups = [[read_code(bits, n) for n in sizes] for _ in range(n_groups)]
     total = width * height
     if n_groups == 1 and total >= QUICK:
-        return np.array(_read_quick(bits, groups[0], total, width, cache_bits), np.uint32).reshape(height, width)
+        return _read_quick(bits, groups[0], total, width, cache_bits).reshape(height, width)
     pixels = [0] * total
     cache = [0] * (1 << cache_bits)
     shift = 32 - cache_bits
@@ -226,13 +227,19 @@ def _values(prefix: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << extra) + (ahead & ((1 << extra) - 1))) + 1, extra
 
 
-def _read_quick(bits: Bits, group: list[Code], total: int, width: int, cache_bits: int) -> list[int]:
+def _read_quick(bits: Bits, group: list[Code], total: int, width: int, cache_bits: int) -> np.ndarray:
     """Pixels of an image of one group."""
     tables = [c.table() for c in group]
     data, place, near = np.frombuffer(bits.data, np.uint8), bits.place(), near_distances()
-    pixels: list[int] = []
-    cache, shift = [0] * (1 << cache_bits), np.uint32(32 - cache_bits)
-    while len(pixels) < total:
+    pixels, done = np.zeros(total, np.uint32), 0
+    cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
+
+    def remember(start: int, end: int) -> None:
+        """Puts pixels into the cache in their order."""
+        for v in pixels[start:end].tolist():
+            cache[(HASH * v & 0xFFFFFFFF) >> shift] = v
+
+    while done < total:
         begin = place >> 3
         part = np.zeros(min(CHUNK, max(0, len(data) - begin)) + TOKEN // 4, np.uint8)
         have = data[begin : begin + len(part)]
@@ -264,54 +271,53 @@ def _read_quick(bits: Bits, group: list[Code], total: int, width: int, cache_bit
             prefix, at = look(4, after[copies] + extra)
             far[copies], extra = _values(np.broadcast_to(prefix, at.shape), ahead[at])
             jump[copies] = at + extra
-        at, n, left, end = place & 7, 0, total - len(pixels), len(every)
-        seen, to, by = [], np.broadcast_to(jump, every.shape).tolist(), grows.tolist() if grows is not None else []
-        if by:
-            while n < left and at < end:
-                seen.append(at)
-                n += by[at]
-                at = to[at]
-        else:
-            while len(seen) < left and at < end:
-                seen.append(at)
-                at = to[at]
-        if not seen or (begin << 3) + at > len(data) * 8:
+        at, left, end = place & 7, total - done, len(every)
+        seen, to = [], np.broadcast_to(jump, every.shape).tolist()
+        follow = seen.append
+        for _ in range(left):  # every token makes a pixel at least
+            follow(at)
+            at = to[at]
+            if at >= end:
+                break
+        tokens = np.array(seen, np.int64)
+        sizes = grows[tokens] if grows is not None else np.ones(len(tokens), np.int32)
+        ends = np.cumsum(sizes)
+        if len(ends) and ends[-1] > left:  # followed beyond the image
+            tokens = tokens[: int(np.searchsorted(ends, left)) + 1]
+            sizes, ends = sizes[: len(tokens)], ends[: len(tokens)]
+            at = to[int(tokens[-1])]
+        if not len(tokens) or (begin << 3) + at > len(data) * 8:
             raise ValueError("the stream ends too early")
         place = (begin << 3) + at
-        tokens = np.array(seen)
-        kind = first[tokens]
+        kind, starts = first[tokens], ends - sizes + done
+        if done + int(ends[-1]) > total:
+            raise ValueError("a back-reference leaves the image")
         pick = lambda a, tokens=tokens: a[tokens] if len(a) > 1 else a
-        plain = np.broadcast_to(pick(alpha).astype(np.int64) << 24 | pick(red) << 16 | (kind & 0xFF) << 8 | pick(blue), kind.shape)
-        keys = (plain.astype(np.uint32) * np.uint32(HASH) >> shift).tolist() if cache_bits else []
-        plain, said, come = plain.tolist(), 0, far[tokens].tolist() if far is not None else []
-        for t in [*np.flatnonzero(kind >= 256).tolist(), len(seen)]:
-            pixels += plain[said:t]
+        pixels[starts] = pick(alpha).astype(np.uint32) << 24 | pick(red).astype(np.uint32) << 16 | (kind & 0xFF).astype(np.uint32) << 8 | pick(blue).astype(np.uint32)
+        said = done
+        for t in np.flatnonzero(kind >= 256).tolist():
+            begun, length = int(starts[t]), int(sizes[t])
             if cache_bits:
-                for k, v in zip(keys[said:t], plain[said:t], strict=True):
-                    cache[k] = v
-            said = t + 1
-            if t == len(seen):
-                break
-            begun = len(pixels)
+                remember(said, begun)
+                said = begun
             if kind[t] >= 280:
-                pixels.append(cache[int(kind[t]) - 280])
-                continue  # what the cache holds is in its place already
-            length, back = by[seen[t]], come[t]
+                pixels[begun] = cache[int(kind[t]) - 280]
+                continue
+            back = int(far[tokens[t]])
             if back > 120:
                 back -= 120
             else:
                 x, y = near[back - 1]
                 back = max(1, x + y * width)
-            if back > begun or begun + length > total:
+            if back > begun:
                 raise ValueError("a back-reference leaves the image")
             if back >= length:
-                pixels += pixels[begun - back : begun - back + length]
+                pixels[begun : begun + length] = pixels[begun - back : begun - back + length]
             else:  # it overlaps what it writes
-                for k in range(begun, begun + length):
-                    pixels.append(pixels[k - back])
-            if cache_bits:
-                for v in pixels[begun:]:
-                    cache[(HASH * v & 0xFFFFFFFF) >> int(shift)] = v
+                pixels[begun : begun + length] = np.resize(pixels[begun - back : begun], length)
+        done += int(ends[-1])
+        if cache_bits:
+            remember(said, done)
     bits.seek(place)
     return pixels
 
@@ -610,30 +616,38 @@ def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return prefix, v & ((1 << extra) - 1), extra
 
 
-#: Back-references of fewer pixels are not made; the cache has so many bits if it holds one pixel in CACHE_PAYS.
-LEAST_COPY, MOST_COPY, CACHE_BITS, CACHE_PAYS = 3, 4096, 6, 8
+#: Back-references of fewer pixels are not made; of grey pixels, SEED equal ones are looked for. The cache has so many bits if it holds one pixel in CACHE_PAYS.
+LEAST_COPY, SEED, MOST_COPY, CACHE_BITS, CACHE_PAYS = 3, 8, 4096, 6, 8
 
 
-def _copies(px: np.ndarray) -> list[tuple[int, int, int]]:
-    """(place, length, distance) of back-references, from left to right: the latest place at which the next two pixels stood before."""
-    pairs = px[:-1].astype(np.uint64) << np.uint64(32) | px[1:].astype(np.uint64)
-    order = np.argsort(pairs, kind="stable")
-    same = pairs[order[1:]] == pairs[order[:-1]]
+def _copies(px: np.ndarray, grey: bool) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of back-references, from left to right: the latest place at which the next pixels (2, SEED grey ones) stood before."""
+    seed, n = (SEED, len(px)) if grey else (2, len(px))
+    wide = (px >> np.uint32(8) & np.uint32(0xFF) if grey else px).astype(np.uint64)
+    step = 8 if grey else 32
+    keys = wide[: n - seed + 1].copy()
+    for k in range(1, seed):
+        keys |= wide[k : n - seed + 1 + k] << np.uint64(step * k)
+    order = np.argsort(keys, kind="stable")
+    found = keys[order]
+    same = found[1:] == found[:-1]
     places, befores = order[1:][same], order[:-1][same]
     if not len(places):
         return []
     sort = np.argsort(places)
-    out, end, n = [], 0, len(px)
+    out, end = [], 0
     for i, j in zip(places[sort].tolist(), befores[sort].tolist(), strict=True):
         if i < end:
             continue
-        most, length, step = min(n - i, MOST_COPY), 2, 32
+        most, length, step = min(n - i, MOST_COPY), seed, 32
         while length < most:
-            a, b = px[i + length : min(i + length + step, i + most)], px[j + length : min(j + length + step, j + most)]
-            wrong = np.flatnonzero(a != b)
-            length += int(wrong[0]) if len(wrong) else len(a)
-            if len(wrong):
+            size = min(step, most - length)
+            wrong = px[i + length : i + length + size] != px[j + length : j + length + size]
+            at = int(wrong.argmax())
+            if wrong[at]:
+                length += at
                 break
+            length += size
             step *= 4
         if length >= LEAST_COPY:
             out.append((i, length, i - j))
@@ -641,18 +655,18 @@ def _copies(px: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def put_image(out: BitsOut, argb: np.ndarray, main: bool) -> None:
-    """Entropy-coded pixels, a row after the other."""
+def put_image(out: BitsOut, argb: np.ndarray, main: bool, grey: bool = False) -> None:
+    """Entropy-coded pixels, a row after the other; grey ones differ in green alone."""
     px = argb.ravel().astype(np.uint32)
     n = len(px)
-    copies = _copies(px) if n > 8 else []
+    copies = _copies(px, grey) if n > 8 else []
     covered = np.zeros(n + 1, np.int64)
     for at, length, _ in copies:
         covered[at] += 1
         covered[at + length] -= 1
     alone = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
     cache_bits = 0
-    if n >= 64:
+    if n >= 64 and not grey:
         slot = (px * np.uint32(HASH) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
         held = np.zeros(n, bool)  # every pixel is put into the cache, so a pixel is there if the latest of its slot is equal
@@ -676,6 +690,7 @@ def put_image(out: BitsOut, argb: np.ndarray, main: bool) -> None:
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     coded = [put_prefix_code(out, np.bincount(v, minlength=k)) for v, k in zip([np.concatenate(first), *rest, far], sizes, strict=True)]
     parts = [(plain, 0, coded[0], first[0]), *((plain, 1 + k, coded[1 + k], v) for k, v in enumerate(rest)), (cached, 0, coded[0], first[2]), (places, 0, coded[0], first[1]), (places, 2, coded[4], far)]
+    parts = [part for part in parts if part[2][1].any()]  # a code of one symbol takes no bits
     key = [at * 4 + k for at, k, _, _ in parts] + [places * 4 + 1, places * 4 + 3]
     value = [c[v] for _, _, (c, _), v in parts] + [length_bits, far_bits]
     width = [w[v] for _, _, (_, w), v in parts] + [length_n, far_n]
@@ -683,78 +698,118 @@ def put_image(out: BitsOut, argb: np.ndarray, main: bool) -> None:
     out.put_all(np.concatenate(value)[order], np.concatenate(width)[order])
 
 
-def _reckoned(argb: np.ndarray) -> float:
-    """Bits of the pixels if each channel had a best code."""
-    n = np.bincount((argb.ravel().view(np.uint8).reshape(-1, 4)[:, :3] + np.array([0, 256, 512])).ravel(), minlength=768)
+def _reckoned(samples: np.ndarray) -> float:
+    """Bits of the samples (..., channel) if each channel had a best code."""
+    channels = samples.shape[-1]
+    n = np.bincount((samples.reshape(-1, channels) + np.arange(0, 256 * channels, 256, dtype=np.int16)).ravel())
     n = n[n > 0]
-    return float((n * np.log2(argb.size / n)).sum()) + 6 * len(n)
-
-
-def _with_channels(argb: np.ndarray, red: np.ndarray, blue: np.ndarray) -> np.ndarray:
-    return (argb & np.uint32(0xFF00FF00)) | (red & 0xFF).astype(np.uint32) << np.uint32(16) | (blue & 0xFF).astype(np.uint32)
+    return float((n * np.log2(samples.size // channels / n)).sum()) + 6 * len(n)
 
 
 def _slope(a: np.ndarray, b: np.ndarray) -> int:
     """The multiplier, in 32nds, by which a tells most of b; both signed."""
-    a, b = a - ((a & 0x80) << 1), b - ((b & 0x80) << 1)
-    square = float((a * a).sum())
-    return int(np.clip(round(32 * float((a * b).sum()) / square), -128, 127)) if square else 0
-
-
-def transformed(argb: np.ndarray) -> tuple[str, np.ndarray, tuple]:
-    """The shortest as reckoned: name, pixels to be coded, and what the transform needs."""
-    px = _split(argb)
-    red, green, blue = px[..., 1], px[..., 2], px[..., 3]
-    signed = lambda v: v - ((v & 0x80) << 1)
-    ways: dict[str, tuple[np.ndarray, tuple, int]] = {"none": (argb, (), 0)}
-    ways["green"] = (_with_channels(argb, red - green, blue - green), (), 3)
-    by = (_slope(green, red), _slope(green, blue), _slope(red, blue))
-    delta = lambda m, v: m * signed(v) >> 5
-    ways["colour"] = (_with_channels(argb, red - delta(by[0], green), blue - delta(by[1], green) - delta(by[2], red)), by, 60)
+    square = float(a @ a)
+    return int(np.clip(round(32 * float(a @ b) / square), -128, 127)) if square else 0
+
+
+def _residuals(samples: np.ndarray, mode: int) -> np.ndarray:
+    """samples (row, column, channel) less their neighbours to the left (1) or above (2)."""
+    out = samples.copy()
+    out[0, 1:] -= samples[0, :-1]
+    out[1:, 0] -= samples[:-1, 0]
+    out[1:, 1:] -= samples[1:, :-1] if mode == 1 else samples[:-1, 1:]
+    return out
+
+
+def _packed(index: np.ndarray, n: int) -> np.ndarray:
+    """Indices into n colours as green values, several to a pixel if they are few."""
+    per_bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+    per = 1 << per_bits
+    packed = np.zeros((index.shape[0], -(-index.shape[1] // per)), np.uint8)
+    for k in range(per):
+        column = index[:, k::per]
+        packed[:, : column.shape[1]] |= (column << (k * (8 >> per_bits))).astype(np.uint8)
+    return packed
+
+
+def _argb(alpha: int, samples: np.ndarray) -> np.ndarray:
+    """Pixels of samples blue, green, red, or of green alone."""
+    out = np.zeros((*samples.shape[:2], 4), np.uint8)
+    out[..., 3] = alpha
+    if samples.shape[-1] == 1:
+        out[..., 1] = samples[..., 0]
+    else:
+        out[..., :3] = samples
+    return out.view("<u4")[..., 0]
+
+
+def transformed(argb: np.ndarray) -> tuple[str, np.ndarray, tuple, float]:
+    """The shortest as reckoned: name, pixels to be coded, what the transform needs, and the bits reckoned."""
+    px = np.ascontiguousarray(argb, "<u4").view(np.uint8).reshape(*argb.shape, 4)[..., :3]
+    blue, green, red = px[..., 0], px[..., 1], px[..., 2]
+    ways: dict[str, tuple[np.ndarray, tuple, int]] = {"none": (px, (), 0)}
+    ways["green"] = (np.stack([blue - green, green, red - green], -1), (), 3)
+    b, g, r = (px[..., k].ravel().view(np.int8).astype(float) for k in range(3))
+    by = (_slope(g, r), _slope(g, b), _slope(r, b))
+    delta = lambda m, v: (m * v.view(np.int8).astype(np.int16) >> 5).astype(np.uint8)
+    ways["colour"] = (np.stack([blue - delta(by[1], green) - delta(by[2], red), green, red - delta(by[0], green)], -1), by, 60)
     for mode in (1, 2):
-        guess = np.zeros_like(px)
-        guess[0, 1:], guess[1:, 0] = px[0, :-1], px[:-1, 0]
-        guess[1:, 1:] = px[1:, :-1] if mode == 1 else px[:-1, 1:]
-        guess[0, 0] = (255, 0, 0, 0)
-        ways[f"predict{mode}"] = (_join(px - guess & 0xFF), (mode,), 60)
-    colours, index = np.unique(argb, return_inverse=True)
+        ways[f"predict{mode}"] = (_residuals(px, mode), (mode,), 60)
+    colours = np.unique(argb)
     if len(colours) <= 256:
-        n, index = len(colours), index.reshape(argb.shape)
-        per_bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
-        per = 1 << per_bits
-        packed = np.zeros((argb.shape[0], -(-argb.shape[1] // per)), np.int64)
-        for k in range(per):
-            column = index[:, k::per]
-            packed[:, : column.shape[1]] |= column << (k * (8 >> per_bits))
-        ways["palette"] = (packed.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), (colours,), 24 * n + 40)
-    name = min(ways, key=lambda w: _reckoned(ways[w][0]) + ways[w][2])
-    return name, *ways[name][:2]
+        index = _packed(np.searchsorted(colours, argb), len(colours))
+        ways["palette"] = (np.stack([index * np.uint8(0), index, index * np.uint8(0)], -1), (colours,), 24 * len(colours) + 40)
+    bits = {w: _reckoned(samples) + more for w, (samples, _, more) in ways.items()}
+    name = min(bits, key=bits.get)
+    return name, _argb(0 if name.startswith("predict") else 255, ways[name][0]), ways[name][1], bits[name]
+
+
+def grey_transformed(grey: np.ndarray) -> tuple[str, np.ndarray, tuple, float]:
+    """The same for grey samples (row, column), of which one channel is coded."""
+    one = grey[..., None]
+    ways: dict[str, tuple[np.ndarray, tuple, int]] = {"green": (one, (), 3)}
+    for mode in (1, 2):
+        ways[f"predict{mode}"] = (_residuals(one, mode), (mode,), 63)
+    values = np.flatnonzero(np.bincount(grey.ravel(), minlength=256))
+    if len(values) <= 16:
+        colours = np.uint32(0xFF000000) | values.astype(np.uint32) * np.uint32(0x010101)
+        ways["palette"] = (_packed(np.searchsorted(values, grey), len(values))[..., None], (colours,), 24 * len(values) + 40)
+    bits = {w: _reckoned(samples) + more for w, (samples, _, more) in ways.items()}
+    name = min(bits, key=bits.get)
+    return name, _argb(0 if name.startswith("predict") else 255, ways[name][0]), ways[name][1], bits[name]
 
 
 def encode(samples: bytes) -> bytes:
-    """An image of width 64 from red, green, blue samples, a positive multiple of 192 of them."""
-    rgb = np.frombuffer(samples, np.uint8).reshape(-1, WIDTH, 3).astype(np.uint32)
-    argb = np.uint32(0xFF000000) | rgb[..., 0] << np.uint32(16) | rgb[..., 1] << np.uint32(8) | rgb[..., 2]
-    name, px, needs = transformed(argb)
+    """An image of 8-bit samples, a positive multiple of 192 of them: red, green, blue in rows of 64 pixels, or grey in rows of 192."""
+    flat = np.frombuffer(samples, np.uint8)
+    colour = flat.reshape(-1, WIDTH, 3)
+    name, px, needs, bits = transformed(_argb(255, colour[..., ::-1]))
+    if grey := (other := grey_transformed(flat.reshape(-1, GREY_WIDTH)))[3] < bits:
+        name, px, needs, _ = other
+    width, rows = GREY_WIDTH if grey else WIDTH, len(colour)
     out = BitsOut()
     out.put(SIGNATURE, 8)
-    out.put(WIDTH - 1, 14)
-    out.put(len(argb) - 1, 14)
+    out.put(width - 1, 14)
+    out.put(rows - 1, 14)
     out.put(0, 4)
-    if name != "none":
-        out.put(1, 1)
-        out.put({"predict1": 0, "predict2": 0, "colour": 1, "green": 2, "palette": 3}[name], 2)
     if name in ("predict1", "predict2", "colour"):
         side = 9  # the largest blocks
+        out.put(1, 1)
+        out.put(name == "colour", 2)
         out.put(side - 2, 3)
-        shape = (-(-len(argb) >> side), -(-WIDTH >> side))
+        shape = (-(-rows >> side), -(-width >> side))
         value = needs[0] << 8 if name != "colour" else (needs[2] & 0xFF) << 16 | (needs[1] & 0xFF) << 8 | needs[0] & 0xFF
         put_image(out, np.full(shape, 0xFF000000 | value, np.uint32), False)
-    elif name == "palette":
+    if name == "palette":
+        out.put(1, 1)
+        out.put(3, 2)
         out.put(len(needs[0]) - 1, 8)
         steps = _split(needs[0][None])
         steps[:, 1:] -= steps[:, :-1].copy()
         put_image(out, _join(steps & 0xFF), False)
+    elif grey or name == "green":
+        out.put(1, 1)
+        out.put(2, 2)
     out.put(0, 1)
-    put_image(out, px, True)
+    put_image(out, px, True, grey)
     return container(out.bytes())

@@ -66,14 +66,14 @@ def text_id(text: Column) -> Column:
 
 
 def met(found: DataFrame, session: str, order: str, text: str = "text") -> DataFrame:
-    """(session, order, of, start, end, category, key): the values met, stored once, so that texts are searched once. of names the text.
+    """(session, order, of, start, end, category, key, seen): the values met, stored once, so that texts are searched once. of names the text.
 
     These are few bytes against the texts; they go to the shared folder.
     """
     shared_folder(found.sparkSession)
     d = F.explode_outer("spans").alias("d")
     each = found.select(F.col(session).alias("a"), F.col(order).alias("b"), text_id(F.col(text)).alias("of"), d).filter("d is not null")
-    return each.select(F.col("a").alias(session), F.col("b").alias(order), "of", "d.start", "d.end", "d.category", strip(F.col("d.text")).alias("key")).checkpoint(eager=True)
+    return each.select(F.col("a").alias(session), F.col("b").alias(order), "of", "d.start", "d.end", "d.category", strip(F.col("d.text")).alias("key"), F.struct("d.confidence", "d.source").alias("seen")).checkpoint(eager=True)
 
 
 def few(rows: DataFrame, *texts: str) -> bool:
@@ -107,7 +107,7 @@ def brought(texts: DataFrame, side: DataFrame, session: str, text: str, what: st
     return texts.join(F.broadcast(there) if small else there, same, "left").drop("__session", "__of")
 
 
-def _alike(a: DataFrame, b: DataFrame, session: str, *names: str) -> DataFrame:
+def alike(a: DataFrame, b: DataFrame, session: str, *names: str) -> DataFrame:
     """Inner join by names and by session, null sessions alike."""
     b = b.withColumnsRenamed({session: "__session", **{n: f"__{n}" for n in names}})
     same = reduce(lambda x, n: x & (F.col(n) == F.col(f"__{n}")), names, F.col(session).eqNullSafe(F.col("__session")))
@@ -120,7 +120,7 @@ def tokenized(texts: DataFrame, values: DataFrame, tokens: DataFrame, session: s
     Up to BROADCAST_BYTES of values are sent to the texts; beyond, texts and values are shuffled to meet.
     """
     places = values.select(session, "of", "start", "end", "key").distinct()
-    pieces = _alike(places, tokens.select(session, "key", "token"), session, "key").groupBy(session, "of").agg(F.sort_array(F.collect_list(F.struct("start", "end", "token"))).alias("pieces"))
+    pieces = alike(places, tokens.select(session, "key", "token"), session, "key").groupBy(session, "of").agg(F.sort_array(F.collect_list(F.struct("start", "end", "token"))).alias("pieces"))
     both = brought(texts, pieces, session, text, "pieces", few(values, "category"))
     none = F.expr("cast(array() as array<struct<start:int,end:int,token:string>>)")
     return both.withColumn(to, T.splice(T.escape(F.col(text)), F.coalesce("__what", none))).drop("__what")
@@ -131,7 +131,7 @@ def held_values(masked: DataFrame, tokens: DataFrame, session: str, text: str =
     shared_folder(masked.sparkSession)
     each = F.explode(F.array_distinct(F.transform(T.tokens_in(F.col(text)), F.lower))).alias("t")
     held = masked.select(session, text_id(F.col(text)).alias("of"), each).distinct()
-    known = _alike(held, tokens.select(session, F.lower("token").alias("t"), "key"), session, "t")
+    known = alike(held, tokens.select(session, F.lower("token").alias("t"), "key"), session, "t")
     return known.groupBy(session, "of").agg(F.map_from_entries(F.collect_list(F.struct("t", "key"))).alias("values")).checkpoint(eager=True)
 
 

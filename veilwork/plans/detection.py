@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.config import Detect
+from veilwork.config import Detect, Mask
 from veilwork.functions import tokens as T
 from veilwork.functions.patterns import LOCALES, Pattern, registry
 from veilwork.functions.risk import DESCRIPTORS, RELATIONS, assess
 from veilwork.functions.shared import spread
+from veilwork.operators import guard as G
 from veilwork.operators import masking as M
 from veilwork.plans.sql import masked_sql, q, spans_sql
 
@@ -96,6 +97,21 @@ def tokenize_documents(spark: SparkSession, sf: str) -> DataFrame:
     return M.tokenized(*by_source(spark, sf), "source").select("doc_id", F.sha2("masked", 256).alias("masked_sha256"), F.length("masked").alias("n_chars"))
 
 
+def guard_sanitize(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of masking by session, as a log gets them."""
+    _, _, records = G.sanitized(docs(spark, sf), Mask(detect=PLAIN), session="source")
+    return records.select(F.col("key_doc_id").alias("doc_id"), "event_type", F.col("entity_count").cast("long").alias("entity_count"), "prompt_hash", "sanitized_hash", F.array_join("tokens_used", ",").alias("tokens"))
+
+
+def guard_desanitize(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of restoring what was masked by session; same tells whether the decision id is that of the masking and the text is back."""
+    masked, tokens, _ = G.sanitized(docs(spark, sf), Mask(detect=PLAIN), session="source")
+    rows, records = G.desanitized(masked.withColumn("asked", F.concat(F.lit("d"), "doc_id")).drop("decision_id").withColumnRenamed("asked", "decision_id"), tokens, session="source")
+    back = rows.select("doc_id", (F.col("restored") == F.col("text")).alias("same"))
+    said = records.select(F.col("key_doc_id").alias("doc_id"), "decision_id", F.col("entity_count").cast("long").alias("entity_count"), F.array_join("tokens_used", ",").alias("tokens"), "prompt_hash", (F.col("prompt_hash") == F.col("sanitized_hash")).alias("hides"))
+    return said.join(back, "doc_id")
+
+
 def restore_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """How many texts come back as they were after masking by session and restoring."""
     texts, values, tokens = by_source(spark, sf)
@@ -172,7 +188,7 @@ def text_digests(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "detect_email_by_lang": email_by_lang, "detect_spans": detect_spans, "detect_spans_all": detect_spans_all, "detect_pages_all": detect_pages_all,
     "detect_category_counts": category_counts, "detect_source_rollup": source_rollup, "custom_pattern": custom_pattern, "analyze": analyze,
-    "redact_documents": redact_documents, "session_tokens": session_tokens, "tokenize_documents": tokenize_documents,
+    "redact_documents": redact_documents, "session_tokens": session_tokens, "tokenize_documents": tokenize_documents, "guard_sanitize": guard_sanitize, "guard_desanitize": guard_desanitize,
     "restore_roundtrip": restore_roundtrip, "present_tokens": present_tokens, "entity_details": entity_details,
     "entity_hash_linkage": entity_hash_linkage, "token_summary": token_summary, "token_grammar": token_grammar,
     "escape_lookalikes": escape_lookalikes, "context_risk": context_risk, "masked_conversations": masked_conversations, "masked_odd_conversations": masked_odd_conversations,
@@ -200,6 +216,9 @@ def tokenized_sql(patterns) -> str:
 
 
 _session, _tokenized = session_sql(PLAIN.patterns()), tokenized_sql(PLAIN.patterns())
+_of_text = "m.doc_id, coalesce(array_to_string(list_sort(list_distinct(list(p.token))), ','), '') AS tokens"
+_hash = "CASE WHEN coalesce({0}, '') = '' THEN '' ELSE sha256({0}) END"
+_meet = "FROM masked m JOIN documents d ON d.doc_id = m.doc_id LEFT JOIN pieces p ON p.doc_id = m.doc_id GROUP BY m.doc_id, d.text, m.masked"
 _redacted = f"""{_plain},
 pieces AS (SELECT doc_id, "start", "end", '[' || category || '_REDACTED]' AS token FROM spans),{masked_sql()}"""
 
@@ -258,6 +277,10 @@ SQL = {
     "analyze": _plain + " SELECT d.doc_id, CAST(count(s.doc_id) AS INT) AS entity_count, coalesce(string_agg(category || ':' || \"start\" || ':' || \"end\" || ':[redacted]', ',' ORDER BY \"start\"), '') AS entities FROM documents d LEFT JOIN spans s ON d.doc_id = s.doc_id GROUP BY d.doc_id",
     "redact_documents": _redacted + " SELECT m.doc_id, sha256(masked) AS masked_sha256, CAST(length(masked) AS INT) AS n_chars, CAST((SELECT count(*) FROM spans s WHERE s.doc_id = m.doc_id) AS INT) AS entity_count FROM masked m",
     "session_tokens": _session + " SELECT source, key, category, token FROM tokens",
+    "guard_sanitize": f"""{_tokenized} SELECT {_of_text}, 'sanitize' AS event_type, count(p."start") AS entity_count, {_hash.format('d.text')} AS prompt_hash,
+  {_hash.format('m.masked')} AS sanitized_hash {_meet}""",
+    "guard_desanitize": f"""{_tokenized} SELECT {_of_text}, concat('d', m.doc_id) AS decision_id, count(DISTINCT p.token) AS entity_count, {_hash.format('m.masked')} AS prompt_hash,
+  true AS hides, true AS same {_meet}""",
     "tokenize_documents": _tokenized + " SELECT doc_id, sha256(masked) AS masked_sha256, CAST(length(masked) AS INT) AS n_chars FROM masked",
     "restore_roundtrip": _tokenized + " SELECT d.lang, count(*) AS documents, count(*) AS same, CAST(count(*) FILTER (m.masked <> d.text) AS BIGINT) AS masked FROM documents d JOIN masked m ON d.doc_id = m.doc_id GROUP BY d.lang",
     "present_tokens": _tokenized + ", held AS (SELECT DISTINCT doc_id, token FROM pieces) SELECT doc_id, string_agg(token, ',' ORDER BY token) AS tokens FROM held GROUP BY doc_id",

@@ -61,6 +61,24 @@ def test_texts_go_through_the_format(monkeypatch):
     assert min(met["copies"], met["cache"], met["lengths"]) > 0
 
 
+def test_texts_are_grey_images_and_come_back_whole():
+    """Each way of the grey layout is taken by some payload; copies that overlap themselves and images of one grey included."""
+    rnd = random.Random(5)
+    ways = Counter()
+    words = " ".join("word" + str(rnd.randrange(900)) for _ in range(2000)).encode()
+    ramp = bytes((3 * (i // 7) + rnd.randrange(2)) & 0xFF for i in range(192 * 60))
+    rows = bytearray(rnd.randrange(256) for _ in range(192))
+    for _ in range(60):
+        rows += bytes((b + rnd.randrange(3)) & 0xFF for b in rows[-192:])
+    few = bytes(rnd.choice(b"acgt") for _ in range(192 * 40))
+    for raw in (words, ramp, bytes(rows), few, b"", b"a" * 20_000, b"abcdefghijk" * 2000, words + words):
+        payload = media.padded(raw)
+        ways[webp.grey_transformed(np.frombuffer(payload, np.uint8).reshape(-1, 192))[0]] += 1
+        assert media.from_media(media.to_media(payload)) == payload
+    assert set(ways) == {"green", "predict1", "predict2", "palette"}
+    assert next(media.images(media.to_media(media.padded(words)))).shape[1] == webp.GREY_WIDTH
+
+
 def test_codes_of_every_length():
     """Counts that grow like Fibonacci numbers need all lengths up to the longest."""
     lengths = webp.code_lengths([1, 1, *(int(1.618**k) for k in range(2, 40)), 0, 0, 0, 0])

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from veilwork.__main__ import parser
 from veilwork.config import Detect, Mask
 from veilwork.errors import ConfigError, SchemaViolation
 from veilwork.operators import audit, guard
@@ -95,3 +96,19 @@ def test_events_and_alerts(spark):
     assert [r[0] for r in guard.checkpoints_due(rows, 3).orderBy("seq").collect()] == [2, 8]
     scored = spark.createDataFrame([(1, 0.7), (2, 0.71), (3, None)], "doc_id long, risk_score double")
     assert [r[0] for r in guard.alerts(scored).collect()] == [2]
+
+
+def test_keys_are_revoked_once(tmp_path, capsys):
+    def run(*words):
+        a = parser().parse_args(["key-manifest", "revoke", *words])
+        return a.run(a)
+
+    first = ["--deployer", "us", "--key-id", "k1", "--revoked-at", "2024-01-01T00:00:00Z", "--reason", "lost"]
+    assert run(*first) == 0
+    listing = capsys.readouterr().out
+    (tmp_path / "r").write_text(listing)
+    assert json.loads(listing)["entries"] == [{"key_id": "k1", "revoked_at": "2024-01-01T00:00:00Z", "reason": "lost"}]
+    assert run(*first, "--revocations", str(tmp_path / "r")) == 1
+    assert run("--deployer", "us", "--key-id", "k2", "--revocations", str(tmp_path / "r")) == 0
+    assert run("--deployer", "them", "--key-id", "k2", "--revocations", str(tmp_path / "r")) == 1
+    assert run("--deployer", "us", "--key-id", "k3", "--revoked-at", "yesterday") == 1

@@ -1,16 +1,18 @@
-"""Command line: scan, verify, stats, compliance-report, content-log, key-manifest. Exit code 1 tells of a failed check."""
+"""Command line: scan, verify, stats, compliance-report, content-log, key-manifest (generate, show, verify, revoke). Exit code 1 tells of a failed check."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.config import Detect
+from veilwork.errors import ConfigError
 from veilwork.functions.ed25519 import Keys
 from veilwork.functions.tokens import redact
 from veilwork.operators import attest, audit, masking, report
@@ -61,12 +63,26 @@ def content_log(a: argparse.Namespace) -> int:
 
 
 def manifest(a: argparse.Namespace) -> int:
-    keys = Keys(session())
+    if a.action in ("generate", "verify"):
+        keys = Keys(session())
     if a.action == "generate":
         private, public = keys.generate()
         attest.save_keys(a.keys, private, public)
         print(json.dumps(attest.derive_manifest(public, a.deployer, a.valid_from, a.valid_until), indent=2))
         return 0
+    if a.action == "revoke":  # without a root key, whose signature is made elsewhere
+        before = json.loads(Path(a.revocations).read_text()) if a.revocations else None
+        if before and before["deployer_id"] != a.deployer:
+            print("the list is another deployer's", file=sys.stderr)
+            return 1
+        at = a.revoked_at or datetime.now(UTC).isoformat()
+        try:
+            listing = attest.derive_revocations(a.deployer, [{"key_id": a.key_id, "revoked_at": at, "reason": a.reason}], datetime.now(UTC).isoformat(), before)
+        except ConfigError as e:
+            print(e, file=sys.stderr)
+            return 1
+        print(json.dumps(listing, indent=2))
+        return 0
     m = json.loads(Path(a.manifest).read_text())
     if a.action == "show":
         print(json.dumps(m, indent=2))
@@ -91,7 +107,7 @@ def parser() -> argparse.ArgumentParser:
     add("stats", stats, ("folder", {}))
     add("compliance-report", compliance, ("folder", {}), ("--start", {}), ("--end", {}), ("--article", {"action": "append"}), ("--decisions", {"action": "store_true"}), ("--revocations", {}), ("--format", {"choices": ["json", "markdown"], "default": "json"}), ("--out", {}))
     add("content-log", content_log, ("folder", {}))
-    add("key-manifest", manifest, ("action", {"choices": ["generate", "show", "verify"]}), ("--keys", {"default": "keys.json"}), ("--deployer", {"default": ""}), ("--valid-from", {}), ("--valid-until", {}), ("--manifest", {}), ("--certificate", {}), ("--revocations", {}))
+    add("key-manifest", manifest, ("action", {"choices": ["generate", "show", "verify", "revoke"]}), ("--keys", {"default": "keys.json"}), ("--deployer", {"default": ""}), ("--valid-from", {}), ("--valid-until", {}), ("--manifest", {}), ("--certificate", {}), ("--revocations", {}), ("--key-id", {}), ("--revoked-at", {}), ("--reason", {"default": ""}))
     return p
 
 

@@ -163,6 +163,32 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, paired, sampled):
     assert near_copies.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("known", [near_copies.KNOWN, 40, 0])
+def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch, known):
+    monkeypatch.setattr(near_copies, "KNOWN", known)
+    monkeypatch.setattr(near_copies, "CROWDED", 32)
+    compared, whole = [], near_copies._similar
+    monkeypatch.setattr(near_copies, "_similar", lambda pairs, *a: (compared.append(pairs.count()), whole(pairs, *a))[1])
+    rnd = random.Random(9)
+    base = [str(rnd.randrange(10**6)) for _ in range(150)]
+    texts = []
+    for k in range(400):  # some near the base, some apart, each changed on its own; every tenth has a copy near itself
+        words = list(base)
+        for _ in range(rnd.randint(0, 14)):
+            words[rnd.randrange(150)] = f"w{rnd.randrange(10**6)}"
+        texts.append(" ".join(words))
+        if k % 10 == 0:
+            words[rnd.randrange(150)] = f"again{k}"
+            texts.append(" ".join(words))
+    sets = {i: shingle_set(t) for i, t in enumerate(texts)}
+    want = classes(sorted(sets), lambda a, b: alike(sets[a], sets[b]))
+    assert 100 < len(set(want.values())) < 300
+    kept = near_copies.keep_one(frame(spark, texts))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    if known > 40:
+        assert sum(compared) < 5 * len(texts)
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(100, 180)] + [(7, i) for i in range(300, 400)] + [(5, 5), (2, 1)]
     got = {r[0]: r[1] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -1,7 +1,9 @@
 """Images, archives, chats and the pipeline: exact round trips and brute force."""
 
 import base64
+import cProfile
 import hashlib
+import pstats
 import random
 import re
 import struct
@@ -411,6 +413,17 @@ def jaccard_roots(texts):
     return root
 
 
+def test_images_are_read_by_many_jumps_at_once():
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(3000)]
+    payload = " ".join(rnd.choice(words) for _ in range(5000)).encode()[: 192 * 100]
+    stored = media.to_media(payload)
+    assert media.from_media(stored) == payload
+    profile = cProfile.Profile()
+    profile.runcall(media.from_media, stored)
+    assert pstats.Stats(profile).total_calls < len(payload) / 4  # some 15,000 when each token was followed alone
+
+
 def test_pipeline_of_odd_and_no_rows(spark):
     kind = "doc_id long, text string, lang string, source string, n_chars long"
     rnd = random.Random(4)

@@ -14,6 +14,7 @@ one channel. Equal stretches become back-references, and each image has prefix c
 from __future__ import annotations
 
 import functools
+import itertools
 import struct
 from collections import Counter
 
@@ -74,6 +75,11 @@ def _backwards() -> np.ndarray:
     return sum((n >> k & 1) << (14 - k) for k in range(15))
 
 
+@functools.cache
+def _backwards_list() -> list[int]:
+    return _backwards().tolist()
+
+
 class Code:
     """A canonical prefix code."""
 
@@ -99,12 +105,10 @@ class Code:
         if self.one is not None:
             return 0, np.array([self.one], np.int32), np.zeros(1, np.int32)
         wide = max(self.lengths)
-        symbol, length = np.zeros(1 << wide, np.int32), np.zeros(1 << wide, np.int32)
-        for n, (code, k, at) in self.first.items():
-            for i, back in enumerate((_backwards()[code : code + k] >> (15 - n)).tolist()):
-                symbol[back :: 1 << n] = self.symbols[at + i]
-                length[back :: 1 << n] = n
-        return (1 << wide) - 1, symbol, length
+        back = _backwards()[: 1 << wide] >> (15 - wide)
+        sizes = np.repeat(np.array(list(self.first), np.int32), [k for _, k, _ in self.first.values()])
+        times = 1 << (wide - sizes)  # by codes in order, then by their bits in reverse
+        return (1 << wide) - 1, np.array(self.symbols, np.int32).repeat(times)[back], sizes.repeat(times)[back]
 
     def read(self, bits: Bits) -> int:
         if self.one is not None:
@@ -118,13 +122,22 @@ class Code:
         raise ValueError("no such code")
 
 
+@functools.cache
+def _single(alphabet: int, symbol: int) -> Code:
+    """The code of one symbol."""
+    lengths = [0] * alphabet
+    lengths[symbol] = 1
+    return Code(lengths)
+
+
 def read_code(bits: Bits, alphabet: int) -> Code:
     lengths = [0] * alphabet
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        lengths[bits.read(8 if wide else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
+        symbol = bits.read(8 if wide else 1)
+        if not two:
+            return _single(alphabet, symbol)
+        lengths[symbol] = lengths[bits.read(8)] = 1
         return Code(lengths)
     of_lengths = [0] * 19
     for k in range(4 + bits.read(4)):
@@ -246,8 +259,7 @@ def _read_quick(bits: Bits, group: list[Code], total: int, width: int, cache_bit
         part[: len(have)] = have
         four = part.astype(np.uint32)
         four = four[:-3] | four[1:-2] << 8 | four[2:-1] << 16 | four[3:] << 24
-        ahead = (four[:, None] >> np.arange(8, dtype=np.uint32)).ravel() & np.uint32(0x1FFFFFF)  # what lies ahead of each bit
-        ahead = ahead.view(np.int32)
+        ahead = (four[:, None] >> np.arange(8, dtype=np.uint32)).ravel().view(np.int32)  # what lies ahead of each bit, 25 bits at least
 
         def look(k: int, at: np.ndarray, ahead: np.ndarray = ahead) -> tuple[np.ndarray, np.ndarray]:
             mask, symbol, length = tables[k]
@@ -263,29 +275,42 @@ def _read_quick(bits: Bits, group: list[Code], total: int, width: int, cache_bit
         blue, jump = look(2, jump)
         alpha, jump = look(3, jump)
         grows, far = None, None
-        copies = np.flatnonzero((first >= 256) & (first < 280))
+        copies = np.flatnonzero((first >= 256) & (first < 280) if cache_bits else first >= 256)
         if len(copies) or cache_bits:
             grows, far, jump = np.ones(len(every), np.int32), np.zeros(len(every), np.int32), jump.copy()
-            jump = np.where(first >= 280, after, jump)
+            if cache_bits:
+                jump = np.where(first >= 280, after, jump)
             grows[copies], extra = _values(first[copies] - 256, ahead[after[copies]])
             prefix, at = look(4, after[copies] + extra)
             far[copies], extra = _values(np.broadcast_to(prefix, at.shape), ahead[at])
             jump[copies] = at + extra
         at, left, end = place & 7, total - done, len(every)
-        seen, to = [], np.broadcast_to(jump, every.shape).tolist()
+        # Eight jumps at once; places beyond the end stay where they are.
+        one = np.arange(end + TOKEN, dtype=np.int32)
+        one[:end] = jump
+        two = one.take(one)
+        four_on = two.take(two)
+        seen, to = [], memoryview(four_on.take(four_on))
         follow = seen.append
-        for _ in range(left):  # every token makes a pixel at least
+        for _ in range(-(-left // 8)):  # every token makes a pixel at least
             follow(at)
             at = to[at]
             if at >= end:
                 break
-        tokens = np.array(seen, np.int64)
+        tokens = np.empty((len(seen), 8), np.int64)
+        tokens[:, 0] = seen
+        tokens[:, 4] = four_on.take(tokens[:, 0])
+        tokens[:, 2::4] = two.take(tokens[:, ::4])
+        tokens[:, 1::2] = one.take(tokens[:, ::2])
+        tokens = tokens.ravel()[:left]
+        tokens = tokens[: int(np.searchsorted(tokens, end))]
+        at = int(one[tokens[-1]]) if len(tokens) else at
         sizes = grows[tokens] if grows is not None else np.ones(len(tokens), np.int32)
         ends = np.cumsum(sizes)
         if len(ends) and ends[-1] > left:  # followed beyond the image
             tokens = tokens[: int(np.searchsorted(ends, left)) + 1]
             sizes, ends = sizes[: len(tokens)], ends[: len(tokens)]
-            at = to[int(tokens[-1])]
+            at = int(one[tokens[-1]])
         if not len(tokens) or (begin << 3) + at > len(data) * 8:
             raise ValueError("the stream ends too early")
         place = (begin << 3) + at
@@ -295,15 +320,14 @@ def _read_quick(bits: Bits, group: list[Code], total: int, width: int, cache_bit
         pick = lambda a, tokens=tokens: a[tokens] if len(a) > 1 else a
         pixels[starts] = pick(alpha).astype(np.uint32) << 24 | pick(red).astype(np.uint32) << 16 | (kind & 0xFF).astype(np.uint32) << 8 | pick(blue).astype(np.uint32)
         said = done
-        for t in np.flatnonzero(kind >= 256).tolist():
-            begun, length = int(starts[t]), int(sizes[t])
+        odd = np.flatnonzero(kind >= 256)
+        for symbol, begun, length, back in zip(kind[odd].tolist(), starts[odd].tolist(), sizes[odd].tolist(), far[tokens[odd]].tolist() if len(odd) else (), strict=True):
             if cache_bits:
                 remember(said, begun)
                 said = begun
-            if kind[t] >= 280:
-                pixels[begun] = cache[int(kind[t]) - 280]
+            if symbol >= 280:
+                pixels[begun] = cache[symbol - 280]
                 continue
-            back = int(far[tokens[t]])
             if back > 120:
                 back -= 120
             else:
@@ -341,11 +365,9 @@ def undo_cross_colour(px: np.ndarray, blocks: np.ndarray, size_bits: int) -> np.
     return out
 
 
-def undo_subtract_green(px: np.ndarray) -> np.ndarray:
-    out = px.copy()
-    out[..., 1] = px[..., 1] + px[..., 2] & 0xFF
-    out[..., 3] = px[..., 3] + px[..., 2] & 0xFF
-    return out
+def undo_subtract_green(argb: np.ndarray) -> np.ndarray:
+    """Red and blue, held apart in one number, get green each."""
+    return argb & np.uint32(0xFF00FF00) | (argb & np.uint32(0x00FF00FF)) + (argb >> np.uint32(8) & np.uint32(0xFF)) * np.uint32(0x00010001) & np.uint32(0x00FF00FF)
 
 
 def undo_palette(argb: np.ndarray, colours: np.ndarray, width: int) -> np.ndarray:
@@ -442,7 +464,7 @@ def decode_vp8l(data: bytes) -> np.ndarray:
             raise ValueError("a transform is given twice")
         seen.add(kind)
         if kind == 2:
-            undo.append(lambda argb: _join(undo_subtract_green(_split(argb))))
+            undo.append(undo_subtract_green)
         elif kind == 3:
             n = bits.read(8) + 1
             colours = _join(np.cumsum(_split(read_image(bits, n, 1, False)), 1) & 0xFF)[0]
@@ -457,7 +479,7 @@ def decode_vp8l(data: bytes) -> np.ndarray:
     argb = read_image(bits, coded, height, True)
     for f in reversed(undo):
         argb = f(argb)
-    out = _split(argb).astype(np.uint8)
+    out = np.ascontiguousarray(argb, "<u4").view(np.uint8).reshape(*argb.shape, 4)[..., ::-1].copy()
     if not has_alpha:
         out[..., 0] = 255
     return out
@@ -486,8 +508,12 @@ class BitsOut:
             v, n = values[at : at + (1 << 15)], sizes[at : at + (1 << 15)]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
-            place = np.arange(total) - np.repeat(ends - n, n)
-            self.flush(np.packbits(np.repeat(v, n) >> place & 1, bitorder="little").tobytes(), total)
+            starts = ends - n
+            # Words of 32 bits; a value of up to 32 lies in one or two, and sums of bits apart from one another are exact.
+            word, v = starts >> 5, v << (starts & 31)
+            words = np.bincount(word, v & 0xFFFFFFFF, (total >> 5) + 2)
+            words[1:] += np.bincount(word, v >> 32, len(words) - 1)
+            self.flush(words.astype("<u4").tobytes()[: -(-total // 8)], total)
 
     def flush(self, data: bytes, n: int) -> None:
         self.value |= int.from_bytes(data, "little") << self.n
@@ -509,10 +535,9 @@ def put_one(out: BitsOut, symbol: int) -> None:
 
 def put_lengths(out: BitsOut, lengths: list[int]) -> None:
     """A code by its lengths, runs of zeros and repeats shortened."""
-    array = np.array(lengths)
-    begins = np.concatenate(([0], np.flatnonzero(array[1:] != array[:-1]) + 1))
     tokens: list[tuple[int, int, int]] = []
-    for value, run in zip(array[begins].tolist(), np.diff(begins, append=len(array)).tolist(), strict=True):
+    for value, same in itertools.groupby(lengths):
+        run = len(list(same))
         if value:
             tokens.append((value, 0, 0))
             run -= 1
@@ -533,11 +558,11 @@ def put_lengths(out: BitsOut, lengths: list[int]) -> None:
         value |= size.get(s, 0) << n
         n += 3
     n += 1
-    code, at, last = {}, 0, width
+    code, at, last, backwards = {}, 0, width, _backwards_list()
     for s in sorted(coded, key=lambda s: (size[s], s)):
         at <<= size[s] - last
         last = size[s]
-        code[s] = int(_backwards()[at]) >> (15 - last)
+        code[s] = backwards[at] >> (15 - last)
         at += 1
     for symbol, extra, k in tokens:
         value |= (code[symbol] | extra << size[symbol]) << n
@@ -600,11 +625,12 @@ def put_prefix_code(out: BitsOut, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     lengths = code_lengths(counts.tolist())
     put_lengths(out, lengths)
     code = last = 0
+    of, backwards = [0] * len(lengths), _backwards_list()
     for n, symbol in sorted((n, symbol) for symbol, n in enumerate(lengths) if n):
         code <<= n - last
-        codes[symbol], sizes[symbol], last = int(_backwards()[code]) >> (15 - n), n, n
+        of[symbol], last = backwards[code] >> (15 - n), n
         code += 1
-    return codes, sizes
+    return np.array(of, np.int64), np.array(lengths, np.int64)
 
 
 def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -623,23 +649,46 @@ LEAST_COPY, SEED, MOST_COPY, CACHE_BITS, CACHE_PAYS = 3, 8, 4096, 6, 8
 def _copies(px: np.ndarray, grey: bool) -> list[tuple[int, int, int]]:
     """(place, length, distance) of back-references, from left to right: the latest place at which the next pixels (2, SEED grey ones) stood before."""
     seed, n = (SEED, len(px)) if grey else (2, len(px))
-    wide = (px >> np.uint32(8) & np.uint32(0xFF) if grey else px).astype(np.uint64)
+    green = px.view(np.uint8)[1::4] if grey else px
+    wide = green.astype(np.uint64)
     step = 8 if grey else 32
-    keys = wide[: n - seed + 1].copy()
-    for k in range(1, seed):
-        keys |= wide[k : n - seed + 1 + k] << np.uint64(step * k)
-    order = np.argsort(keys, kind="stable")
+    keys, k = wide, 1
+    while k < seed:  # seeds are powers of 2
+        keys = keys[:-k] | keys[k:] << np.uint64(step * k)
+        k *= 2
+    order = np.argsort(keys)
     found = keys[order]
     same = found[1:] == found[:-1]
-    places, befores = order[1:][same], order[:-1][same]
-    if not len(places):
+    if not same.any():
         return []
-    sort = np.argsort(places)
+    again = np.zeros(len(keys), bool)  # only places whose keys are met again are put in order
+    again[1:] = same
+    again[:-1] |= same
+    order = np.sort(order[again])
+    order = order[np.argsort(keys[order], kind="stable")]
+    found = keys[order]
+    same = found[1:] == found[:-1]
+    places, befores = order[1:][same], order[:-1][same]
+    before = np.full(n, -1)
+    before[places] = befores
+    places = np.flatnonzero(before >= 0)
     out, end = [], 0
-    for i, j in zip(places[sort].tolist(), befores[sort].tolist(), strict=True):
+    raw = green.tobytes() if grey else b""
+    for i, j in zip(places.tolist(), before[places].tolist(), strict=True):
         if i < end:
             continue
         most, length, step = min(n - i, MOST_COPY), seed, 32
+        if grey:  # a stretch of equal bytes, in its end one by one
+            while length + step <= most and raw[i + length : i + length + step] == raw[j + length : j + length + step]:
+                length += step
+                step *= 4
+            stop = min(most, length + step)
+            differ = int.from_bytes(raw[i + length : i + stop], "little") ^ int.from_bytes(raw[j + length : j + length + stop - length], "little")
+            if differ:
+                out.append((i, length + ((differ & -differ).bit_length() - 1) // 8, i - j))
+                end = i + out[-1][1]
+                continue
+            length = stop
         while length < most:
             size = min(step, most - length)
             wrong = px[i + length : i + length + size] != px[j + length : j + length + size]
@@ -660,11 +709,10 @@ def put_image(out: BitsOut, argb: np.ndarray, main: bool, grey: bool = False) ->
     px = argb.ravel().astype(np.uint32)
     n = len(px)
     copies = _copies(px, grey) if n > 8 else []
-    covered = np.zeros(n + 1, np.int64)
+    free = np.ones(n, bool)
     for at, length, _ in copies:
-        covered[at] += 1
-        covered[at + length] -= 1
-    alone = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+        free[at : at + length] = False
+    alone = np.flatnonzero(free)
     cache_bits = 0
     if n >= 64 and not grey:
         slot = (px * np.uint32(HASH) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
@@ -681,39 +729,58 @@ def put_image(out: BitsOut, argb: np.ndarray, main: bool, grey: bool = False) ->
     # Tokens in order of place, then their parts: green, red, blue, alpha or length, distance.
     cached = alone[held[alone]] if cache_bits else alone[:0]
     plain = alone[~held[alone]] if cache_bits else alone
-    places = np.array([c[0] for c in copies], np.int64)
-    length, length_bits, length_n = _prefixed(np.array([c[1] for c in copies], np.int64))
-    far, far_bits, far_n = _prefixed(np.array([c[2] for c in copies], np.int64) + 120)
+    places, length, far = np.array(copies, np.int64).reshape(-1, 3).T
+    prefix, extra, extra_n = _prefixed(np.concatenate([length, far + 120]))
+    (length, far), (length_bits, far_bits), (length_n, far_n) = (np.split(a, [len(places)]) for a in (prefix, extra, extra_n))
     channel = lambda shift: (px[plain] >> np.uint32(shift) & np.uint32(0xFF)).astype(np.int64)
     first = [channel(8), 256 + length, 280 + slot[cached] if cache_bits else cached]
-    rest = [channel(16), channel(0), channel(24)]
-    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    coded = [put_prefix_code(out, np.bincount(v, minlength=k)) for v, k in zip([np.concatenate(first), *rest, far], sizes, strict=True)]
-    parts = [(plain, 0, coded[0], first[0]), *((plain, 1 + k, coded[1 + k], v) for k, v in enumerate(rest)), (cached, 0, coded[0], first[2]), (places, 0, coded[0], first[1]), (places, 2, coded[4], far)]
-    parts = [part for part in parts if part[2][1].any()]  # a code of one symbol takes no bits
+    rest = [channel(16), channel(0), channel(24)] if not grey else [np.zeros(0, np.int64)] * 3
+    coded = [put_prefix_code(out, np.bincount(np.concatenate(first), minlength=280 + (1 << cache_bits if cache_bits else 0)))]
+    if grey:  # the other channels are the same in all pixels: codes of one symbol
+        for shift in (16, 0, 24):
+            put_one(out, int(px[0]) >> shift & 0xFF)
+    else:
+        coded += [put_prefix_code(out, np.bincount(v, minlength=256)) for v in rest]
+    coded.append(put_prefix_code(out, np.bincount(far, minlength=40)))
+    parts = [(plain, 0, coded[0], first[0]), *((plain, 1 + k, coded[1 + k], v) for k, v in enumerate(rest) if not grey), (cached, 0, coded[0], first[2]), (places, 0, coded[0], first[1]), (places, 2, coded[-1], far)]
+    parts = [part for part in parts if len(part[0]) and part[2][1].any()]  # a code of one symbol takes no bits
     key = [at * 4 + k for at, k, _, _ in parts] + [places * 4 + 1, places * 4 + 3]
     value = [c[v] for _, _, (c, _), v in parts] + [length_bits, far_bits]
     width = [w[v] for _, _, (_, w), v in parts] + [length_n, far_n]
-    order = np.argsort(np.concatenate(key), kind="stable")
-    out.put_all(np.concatenate(value)[order], np.concatenate(width)[order])
+    values, widths = np.zeros(4 * n, np.int64), np.zeros(4 * n, np.int64)
+    for k, v, w in zip(key, value, width, strict=True):
+        values[k], widths[k] = v, w
+    order = np.flatnonzero(widths)
+    out.put_all(values[order], widths[order])
+
+
+@functools.cache
+def _weights() -> np.ndarray:
+    """n times its binary logarithm, for n below 65536."""
+    n = np.arange(1 << 16)
+    return n * np.log2(np.maximum(n, 1))
 
 
-def _reckoned(samples: np.ndarray) -> float:
-    """Bits of the samples (..., channel) if each channel had a best code."""
-    channels = samples.shape[-1]
-    n = np.bincount((samples.reshape(-1, channels) + np.arange(0, 256 * channels, 256, dtype=np.int16)).ravel())
-    n = n[n > 0]
-    return float((n * np.log2(samples.size // channels / n)).sum()) + 6 * len(n)
+def _reckoned(ways: dict[str, tuple[list[np.ndarray], tuple, int]]) -> dict[str, float]:
+    """For each way the bits of its samples if each channel, given once for all ways that have it, had a best code, and what it needs besides."""
+    channels = {id(c): c for each, _, _ in ways.values() for c in each}
+    sizes = [c.size for c in channels.values()]
+    flat = np.concatenate([c.ravel() for c in channels.values()]) + np.repeat(np.arange(0, 256 * len(sizes), 256, dtype=np.int16), sizes)
+    n = np.bincount(flat, minlength=256 * len(sizes)).reshape(-1, 256)
+    weigh = _weights().take if max(sizes) < 1 << 16 else lambda n: n * np.log2(np.maximum(n, 1))
+    whole = np.array(sizes)
+    bits = dict(zip(channels, (weigh(whole) - weigh(n).sum(1) + 6 * np.count_nonzero(n, axis=1)).tolist(), strict=True))
+    return {w: sum(bits[id(c)] for c in each) + more for w, (each, _, more) in ways.items()}
 
 
 def _slope(a: np.ndarray, b: np.ndarray) -> int:
     """The multiplier, in 32nds, by which a tells most of b; both signed."""
-    square = float(a @ a)
-    return int(np.clip(round(32 * float(a @ b) / square), -128, 127)) if square else 0
+    square = float(np.einsum("i,i", a, a))  # in this thread; BLAS would take others for long ones
+    return max(-128, min(127, round(32 * float(np.einsum("i,i", a, b)) / square))) if square else 0
 
 
 def _residuals(samples: np.ndarray, mode: int) -> np.ndarray:
-    """samples (row, column, channel) less their neighbours to the left (1) or above (2)."""
+    """samples (row, column) less their neighbours to the left (1) or above (2)."""
     out = samples.copy()
     out[0, 1:] -= samples[0, :-1]
     out[1:, 0] -= samples[:-1, 0]
@@ -745,38 +812,37 @@ def _argb(alpha: int, samples: np.ndarray) -> np.ndarray:
 
 def transformed(argb: np.ndarray) -> tuple[str, np.ndarray, tuple, float]:
     """The shortest as reckoned: name, pixels to be coded, what the transform needs, and the bits reckoned."""
-    px = np.ascontiguousarray(argb, "<u4").view(np.uint8).reshape(*argb.shape, 4)[..., :3]
-    blue, green, red = px[..., 0], px[..., 1], px[..., 2]
-    ways: dict[str, tuple[np.ndarray, tuple, int]] = {"none": (px, (), 0)}
-    ways["green"] = (np.stack([blue - green, green, red - green], -1), (), 3)
-    b, g, r = (px[..., k].ravel().view(np.int8).astype(float) for k in range(3))
+    px = np.ascontiguousarray(argb, "<u4").view(np.uint8).reshape(*argb.shape, 4)
+    blue, green, red = (np.ascontiguousarray(px[..., k]) for k in range(3))
+    ways: dict[str, tuple[list[np.ndarray], tuple, int]] = {"none": ([blue, green, red], (), 0)}
+    ways["green"] = ([blue - green, green, red - green], (), 3)
+    b, g, r = (c.ravel().view(np.int8).astype(float) for c in (blue, green, red))
     by = (_slope(g, r), _slope(g, b), _slope(r, b))
     delta = lambda m, v: (m * v.view(np.int8).astype(np.int16) >> 5).astype(np.uint8)
-    ways["colour"] = (np.stack([blue - delta(by[1], green) - delta(by[2], red), green, red - delta(by[0], green)], -1), by, 60)
+    ways["colour"] = ([blue - delta(by[1], green) - delta(by[2], red), green, red - delta(by[0], green)], by, 60)
     for mode in (1, 2):
-        ways[f"predict{mode}"] = (_residuals(px, mode), (mode,), 60)
+        ways[f"predict{mode}"] = ([_residuals(c, mode) for c in (blue, green, red)], (mode,), 60)
     colours = np.unique(argb)
     if len(colours) <= 256:
         index = _packed(np.searchsorted(colours, argb), len(colours))
-        ways["palette"] = (np.stack([index * np.uint8(0), index, index * np.uint8(0)], -1), (colours,), 24 * len(colours) + 40)
-    bits = {w: _reckoned(samples) + more for w, (samples, _, more) in ways.items()}
+        ways["palette"] = ([none := np.zeros_like(index), index, none], (colours,), 24 * len(colours) + 40)
+    bits = _reckoned(ways)
     name = min(bits, key=bits.get)
-    return name, _argb(0 if name.startswith("predict") else 255, ways[name][0]), ways[name][1], bits[name]
+    return name, _argb(0 if name.startswith("predict") else 255, np.stack(ways[name][0], -1)), ways[name][1], bits[name]
 
 
 def grey_transformed(grey: np.ndarray) -> tuple[str, np.ndarray, tuple, float]:
     """The same for grey samples (row, column), of which one channel is coded."""
-    one = grey[..., None]
-    ways: dict[str, tuple[np.ndarray, tuple, int]] = {"green": (one, (), 3)}
+    ways: dict[str, tuple[list[np.ndarray], tuple, int]] = {"green": ([grey], (), 3)}
     for mode in (1, 2):
-        ways[f"predict{mode}"] = (_residuals(one, mode), (mode,), 63)
+        ways[f"predict{mode}"] = ([_residuals(grey, mode)], (mode,), 63)
     values = np.flatnonzero(np.bincount(grey.ravel(), minlength=256))
     if len(values) <= 16:
         colours = np.uint32(0xFF000000) | values.astype(np.uint32) * np.uint32(0x010101)
-        ways["palette"] = (_packed(np.searchsorted(values, grey), len(values))[..., None], (colours,), 24 * len(values) + 40)
-    bits = {w: _reckoned(samples) + more for w, (samples, _, more) in ways.items()}
+        ways["palette"] = ([_packed(np.searchsorted(values, grey), len(values))], (colours,), 24 * len(values) + 40)
+    bits = _reckoned(ways)
     name = min(bits, key=bits.get)
-    return name, _argb(0 if name.startswith("predict") else 255, ways[name][0]), ways[name][1], bits[name]
+    return name, _argb(0 if name.startswith("predict") else 255, ways[name][0][0][..., None]), ways[name][1], bits[name]
 
 
 def encode(samples: bytes) -> bytes:

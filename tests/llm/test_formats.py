@@ -11,8 +11,10 @@ import uuid
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 import corpus_pipeline
 from veilwork.llm import bpe, chat_format, media, mixing, quality_rules, secret_scan, simhash, warc, webp
@@ -424,6 +426,71 @@ def test_images_are_read_by_many_jumps_at_once():
     assert pstats.Stats(profile).total_calls < len(payload) / 4  # some 15,000 when each token was followed alone
 
 
+def odd_payloads():
+    rnd = random.Random(12)
+    prose = [" ".join("word" + str(rnd.randrange(300)) for _ in range(rnd.choice([3, 40, 200, 900]))).encode() for _ in range(60)]
+    ramp = bytes((3 * (i // 7) + rnd.randrange(2)) & 0xFF for i in range(192 * 60))
+    rows = bytearray(rnd.randrange(256) for _ in range(192))
+    for _ in range(600):
+        rows += bytes((b + rnd.randrange(3)) & 0xFF for b in rows[-192:])
+    bytes_of = lambda n: bytes(rnd.randrange(256) for _ in range(n))
+    tail = bytes_of(32)  # the end of one payload again at the beginning of the next
+    odd = [b"", b"a", b"x" * 191, b"x" * 40_000, b"abcdefghijk" * 2000, bytes(range(256)) * 40, bytes_of(20_000), ramp, bytes(rows[: 192 * 60]), bytes(rows), b"acgt" * 700 + bytes(17)]
+    odd += [bytes(rnd.choice(b"acgt") for _ in range(5000)), bytes_of(160) + tail, tail + bytes_of(160), b"".join(bytes([v] * 3) for v in bytes_of(3000)), prose[3] * 9, bytes_of(300) * 40, prose[5] * 400]
+    return [media.padded(raw) for raw in (*odd[:9], *prose, *odd[9:], *prose[:3])]
+
+
+def test_many_images_at_once_are_those_one_by_one():
+    """Stored bytes and what is read back, whatever images come together; grey, predicted, palettes, colours, long ones, copies across payloads."""
+    payloads = odd_payloads()
+    alone = [webp.encode(p) for p in payloads]
+    ways = Counter(webp.grey_transformed(np.frombuffer(p, np.uint8).reshape(-1, 192))[0] for p in payloads)
+    assert set(ways) == {"green", "predict1", "predict2", "palette"}
+    assert max(map(len, payloads)) >= webp.LARGE
+    assert webp.encode_all(payloads) == alone
+    assert webp.encode_all(payloads[::-1]) == alone[::-1]
+    assert [webp.encode_all([p])[0] for p in payloads] == alone
+    greys = webp.decode_greys(alone)
+    assert sum(g is not None for g in greys) > 50
+    assert all(g in (None, p) for g, p in zip(greys, payloads, strict=True))
+    assert media.from_media_all(media.to_media_all(payloads)) == payloads
+    long = b"ab" * media.AT_ONCE  # several images that are small when stored
+    assert media.from_media_all(media.to_media_all([payloads[0], long, payloads[1]])) == [payloads[0], long, payloads[1]]
+    assert webp.encode_all([]) == webp.decode_greys([]) == []
+
+
+def test_broken_images_among_others_are_refused():
+    good = [webp.encode(p) for p in odd_payloads()[9:30]]
+    for bad in (good[4][:-60], good[4][:20] + b"\0" + good[4][21:]):
+        with pytest.raises(ValueError):
+            webp.decode_greys([*good, bad[:4] + struct.pack("<I", len(bad) - 8) + bad[8:], *good])
+
+
+class Documents:
+    """Hands out the function that media_features runs over batches."""
+
+    schema = StructType().add("doc_id", "long").add("text", "string")
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run
+
+
+def test_texts_share_the_calls_of_numpy():
+    """Images of prose are made and read together: some 72 calls a text, 497 when each was made and read alone."""
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("etaoinshrdlucmfwypvbgkjqxz") for _ in range(rnd.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(300)) for _ in range(120)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    profile = cProfile.Profile()
+    (out,) = profile.runcall(lambda: list(media.media_features(Documents())(iter([batch]))))
+    assert out.column("payload_sha256").to_pylist() == [hashlib.sha256(media.padded(t.encode())).hexdigest() for t in texts]
+    calls = sum(made for name, (_, made, *_) in pstats.Stats(profile).stats.items() if "numpy" in name[0] + name[2])
+    assert calls < 100 * len(texts)
+
+
 def test_pipeline_of_odd_and_no_rows(spark):
     kind = "doc_id long, text string, lang string, source string, n_chars long"
     rnd = random.Random(4)

@@ -45,6 +45,33 @@ def from_media(media: bytes) -> bytes:
     return b"".join((px[..., 2] if px.shape[1] == webp.GREY_WIDTH else px[..., 1:]).tobytes() for px in images(media))
 
 
+def to_media_all(payloads: list[bytes]) -> list[bytes]:
+    """to_media of each; images are made together."""
+    images = iter(webp.encode_all([p for p in payloads if len(p) <= AT_ONCE]))
+    return [next(images) if len(p) <= AT_ONCE else to_media(p) for p in payloads]
+
+
+def from_media_all(stored: list[bytes]) -> list[bytes]:
+    """from_media of each; grey images that are alone are read together."""
+    alone = [len(m) == 8 + struct.unpack("<I", m[4:8])[0] for m in stored]
+    greys = iter(webp.decode_greys([m for m, one in zip(stored, alone, strict=True) if one]))
+    read = [next(greys) if one else None for one in alone]
+    return [from_media(m) if back is None else back for m, back in zip(stored, read, strict=True)]
+
+
+def _few(values: pa.Array) -> Iterator[list[bytes]]:
+    """Texts in UTF-8, as many at a time as are worked on together, so that memory is bounded."""
+    few, held = [], 0
+    for value in values:
+        few.append((value.as_py() or "").encode())
+        held += len(few[-1])
+        if held >= AT_ONCE:
+            yield few
+            few, held = [], 0
+    if few:
+        yield few
+
+
 def feature(payload: bytes) -> str:
     """Mean of the samples, and 64 bits: which of as many stretches are brighter than the mean."""
     samples = np.frombuffer(payload, np.uint8)
@@ -65,11 +92,10 @@ def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text", med
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for value in batch.column(1):
-                raw = (value.as_py() or "").encode()
-                stored = to_media(padded(raw))
-                back = from_media(stored)
-                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(back), *[stored] * media))
+            for few in _few(batch.column(1)):
+                images = to_media_all([padded(raw) for raw in few])
+                for raw, stored, back in zip(few, images, from_media_all(images), strict=True):
+                    rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(back), *[stored] * media))
             columns = list(zip(*rows, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [key, *(n for n, _ in fields)])
 

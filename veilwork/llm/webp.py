@@ -9,14 +9,17 @@ The encoder writes samples as red, green, blue or, if it reckons this shorter, e
 shortest of no transform, subtract-green, cross-colour, prediction from the left or from above, and a palette; repeated colours go
 by the cache. Grey: subtract-green leaves one channel, as it is or predicted, and few greys become a palette; a cache cannot shorten
 one channel. Equal stretches become back-references, and each image has prefix codes of its own.
+
+encode_all and decode_greys do many images at once and store and read the same bytes: numpy takes their samples, tokens and bits one
+after the other, so that its calls are shared. Images other than grey ones, and large ones, go one by one.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 import struct
 from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -34,6 +37,11 @@ def near_distances() -> list[tuple[int, int]]:
     return sorted(around, key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
 
+@functools.cache
+def _near_array() -> np.ndarray:
+    return np.array(near_distances())
+
+
 class Bits:
     """Bits of a byte string, the low ones first."""
 
@@ -436,21 +444,26 @@ def undo_predictor(px: np.ndarray, blocks: np.ndarray, size_bits: int) -> np.nda
     return out
 
 
-def decode(data: bytes) -> np.ndarray:
-    """Pixels (height, width, 4) as alpha, red, green, blue."""
+def _chunk(data: bytes) -> bytes:
+    """The lossless image of a file."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise ValueError("not a WebP file")
     at, end = 12, 8 + struct.unpack("<I", data[4:8])[0]
     while at + 8 <= end:
         name, n = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
         if name == b"VP8L":
-            return decode_vp8l(data[at + 8 : at + 8 + n])
+            return data[at + 8 : at + 8 + n]
         at += 8 + n + (n & 1)
     raise ValueError("no lossless image")
 
 
-def decode_vp8l(data: bytes) -> np.ndarray:
-    bits = Bits(data)
+def decode(data: bytes) -> np.ndarray:
+    """Pixels (height, width, 4) as alpha, red, green, blue."""
+    return decode_vp8l(_chunk(data))
+
+
+def _read_head(bits: Bits) -> tuple[int, int, int, list[Callable[[np.ndarray], np.ndarray]]]:
+    """Width as coded, height, whether there is alpha, and what undoes the transforms, the first one first."""
     if bits.read(8) != SIGNATURE:
         raise ValueError("no signature")
     width, height = bits.read(14) + 1, bits.read(14) + 1
@@ -476,6 +489,12 @@ def decode_vp8l(data: bytes) -> np.ndarray:
             blocks = read_image(bits, -(-coded >> size), -(-height >> size), False)
             inverse = undo_cross_colour if kind else undo_predictor
             undo.append(lambda argb, f=inverse, b=blocks, s=size: _join(f(_split(argb), b, s)))
+    return coded, height, has_alpha, undo
+
+
+def decode_vp8l(data: bytes) -> np.ndarray:
+    bits = Bits(data)
+    coded, height, has_alpha, undo = _read_head(bits)
     argb = read_image(bits, coded, height, True)
     for f in reversed(undo):
         argb = f(argb)
@@ -533,20 +552,23 @@ def put_one(out: BitsOut, symbol: int) -> None:
     out.put(symbol, 8 if symbol > 1 else 1)
 
 
-def put_lengths(out: BitsOut, lengths: list[int]) -> None:
-    """A code by its lengths, runs of zeros and repeats shortened."""
-    tokens: list[tuple[int, int, int]] = []
-    for value, same in itertools.groupby(lengths):
-        run = len(list(same))
-        if value:
-            tokens.append((value, 0, 0))
-            run -= 1
-        while run >= 3:
-            most, symbol, least, n = (6, 16, 3, 2) if value else (138, 18, 11, 7) if run >= 11 else (10, 17, 3, 3)
-            tokens.append((symbol, min(run, most) - least, n))
-            run -= min(run, most)
-        tokens += [(value, 0, 0)] * run
-    used = sorted({t[0] for t in tokens})
+@functools.cache
+def _run(value: int, run: int) -> list[tuple[int, int, int]]:
+    """Symbols, extra bits and how many, for so many equal lengths."""
+    tokens = []
+    if value:
+        tokens.append((value, 0, 0))
+        run -= 1
+    while run >= 3:
+        most, symbol, least, n = (6, 16, 3, 2) if value else (138, 18, 11, 7) if run >= 11 else (10, 17, 3, 3)
+        tokens.append((symbol, min(run, most) - least, n))
+        run -= min(run, most)
+    return tokens + [(value, 0, 0)] * run
+
+
+@functools.lru_cache(1 << 12)
+def _code_of_lengths(used: frozenset[int]) -> tuple[int, int, dict[int, int], dict[int, int]]:
+    """The code for these symbols of lengths: how it is written, in how many bits, and each symbol's code and its length."""
     # Codes of one width; of more than 16 symbols the last ones are a bit longer.
     width = min(4, max(1, (len(used) - 1).bit_length()))
     spare = (s for s in range(19) if s not in used)
@@ -557,16 +579,35 @@ def put_lengths(out: BitsOut, lengths: list[int]) -> None:
     for s in CODE_LENGTH_ORDER:
         value |= size.get(s, 0) << n
         n += 3
-    n += 1
     code, at, last, backwards = {}, 0, width, _backwards_list()
     for s in sorted(coded, key=lambda s: (size[s], s)):
         at <<= size[s] - last
         last = size[s]
         code[s] = backwards[at] >> (15 - last)
         at += 1
+    return value, n + 1, code, size
+
+
+def put_lengths(out: BitsOut, lengths: list[int]) -> None:
+    """A code by its lengths, runs of zeros and repeats shortened."""
+    tokens: list[tuple[int, int, int]] = []
+    at = 0
+    for symbol in [s for s, n in enumerate(lengths) if n]:
+        if symbol < at:
+            continue
+        if symbol > at:
+            tokens += _run(0, symbol - at)
+        value, at = lengths[symbol], symbol + 1
+        while at < len(lengths) and lengths[at] == value:
+            at += 1
+        tokens += _run(value, at - symbol)
+    if at < len(lengths):
+        tokens += _run(0, len(lengths) - at)
+    value, n, code, size = _code_of_lengths(frozenset([t[0] for t in tokens]))
     for symbol, extra, k in tokens:
-        value |= (code[symbol] | extra << size[symbol]) << n
-        n += size[symbol] + k
+        wide = size[symbol]
+        value |= (code[symbol] | extra << wide) << n
+        n += wide + k
     out.put(value, n)
 
 
@@ -590,18 +631,19 @@ def code_lengths(counts: list[int]) -> list[int]:
                 lengths[s] = 1
             return lengths
         # Two queues in order of weight: what is left of the leaves, and the joined ones. A node's parent is noted.
-        n, parent, weights = len(leaves), [0] * (2 * len(leaves) - 1), [w for w, _ in leaves]
-        i, j = 0, n
-        for k in range(n, 2 * n - 1):
-            weight = 0
-            for _ in range(2):
-                if i < n and (j >= k or weights[i] <= weights[j]):
-                    x, i = i, i + 1
-                else:
-                    x, j = j, j + 1
-                parent[x] = k
-                weight += weights[x]
-            weights.append(weight)
+        n, parent, none = len(leaves), [0] * (2 * len(leaves) - 1), float("inf")
+        weights, joined = [w for w, _ in leaves] + [none], [none] * len(leaves)
+        i = j = 0
+        for k in range(n - 1):
+            if weights[i] <= joined[j]:
+                weight, parent[i], i = weights[i], n + k, i + 1
+            else:
+                weight, parent[n + j], j = joined[j], n + k, j + 1
+            if weights[i] <= joined[j]:
+                weight, parent[i], i = weight + weights[i], n + k, i + 1
+            else:
+                weight, parent[n + j], j = weight + joined[j], n + k, j + 1
+            joined[k] = weight
         depth = [0] * (2 * n - 1)
         for x in range(2 * n - 3, -1, -1):
             depth[x] = depth[parent[x]] + 1
@@ -612,25 +654,41 @@ def code_lengths(counts: list[int]) -> list[int]:
         counts = [-(-c // 4) for c in counts]
 
 
-def put_prefix_code(out: BitsOut, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Writes the code for symbols of these counts; returns each symbol's code, first bit lowest, and its length."""
-    used = np.flatnonzero(counts)
-    codes, sizes = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
-    if len(used) <= 1 and (not len(used) or used[0] < 256):
-        put_one(out, int(used[0]) if len(used) else 0)
-        return codes, sizes
+def put_counts(out: BitsOut, counts: list[int]) -> list[int]:
+    """Writes the code for symbols of these counts; returns how many bits each takes."""
+    used = [s for s, n in enumerate(counts) if n]
+    if len(used) <= 1 and (not used or used[0] < 256):
+        put_one(out, used[0] if used else 0)
+        return [0] * len(counts)
     if len(used) == 1:  # beyond what a code of one symbol can name
-        counts = counts.copy()
-        counts[0] = 1
-    lengths = code_lengths(counts.tolist())
+        counts = [1, *counts[1:]]
+    lengths = code_lengths(counts)
     put_lengths(out, lengths)
-    code = last = 0
-    of, backwards = [0] * len(lengths), _backwards_list()
-    for n, symbol in sorted((n, symbol) for symbol, n in enumerate(lengths) if n):
-        code <<= n - last
-        of[symbol], last = backwards[code] >> (15 - n), n
-        code += 1
-    return np.array(of, np.int64), np.array(lengths, np.int64)
+    return lengths
+
+
+def codes_of(lengths: np.ndarray) -> np.ndarray:
+    """Codes, first bit lowest, by the lengths of their symbols; each row is a prefix code of its own."""
+    codes = np.zeros(lengths.shape, np.int64)
+    row, symbol = np.nonzero(lengths)
+    size = lengths[row, symbol].astype(np.int64)
+    key = row * 16 + size
+    order = np.argsort(key, kind="stable")
+    many = np.bincount(key, minlength=16 * len(lengths)).reshape(-1, 16)
+    first = np.zeros_like(many)
+    for n in range(2, 16):
+        first[:, n] = (first[:, n - 1] + many[:, n - 1]) << 1
+    many = many.ravel()
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.arange(len(key)) - np.repeat(np.cumsum(many) - many, many)
+    codes[row, symbol] = _backwards().take(first.ravel().take(key) + rank) >> (15 - size)
+    return codes
+
+
+def put_prefix_code(out: BitsOut, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes the code for symbols of these counts; returns each symbol's code, first bit lowest, and its length."""
+    lengths = np.array(put_counts(out, counts.tolist()))
+    return codes_of(lengths[None])[0], lengths
 
 
 def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -852,12 +910,16 @@ def encode(samples: bytes) -> bytes:
     name, px, needs, bits = transformed(_argb(255, colour[..., ::-1]))
     if grey := (other := grey_transformed(flat.reshape(-1, GREY_WIDTH)))[3] < bits:
         name, px, needs, _ = other
-    width, rows = GREY_WIDTH if grey else WIDTH, len(colour)
     out = BitsOut()
-    out.put(SIGNATURE, 8)
-    out.put(width - 1, 14)
-    out.put(rows - 1, 14)
-    out.put(0, 4)
+    _put_head(out, name, needs, len(colour), bool(grey))
+    put_image(out, px, True, grey)
+    return container(out.bytes())
+
+
+def _put_head(out: BitsOut, name: str, needs: tuple, rows: int, grey: bool) -> None:
+    """All that comes before the pixels."""
+    width = GREY_WIDTH if grey else WIDTH
+    out.put(SIGNATURE | (width - 1) << 8 | (rows - 1) << 22, 40)
     if name in ("predict1", "predict2", "colour"):
         side = 9  # the largest blocks
         out.put(1, 1)
@@ -877,5 +939,354 @@ def encode(samples: bytes) -> bytes:
         out.put(1, 1)
         out.put(2, 2)
     out.put(0, 1)
-    put_image(out, px, True, grey)
-    return container(out.bytes())
+
+
+# Many images at once. What they store is that of encode and decode one by one, without the small steps for each.
+
+#: So many samples are written together, so many bytes read; images of LARGE samples or bytes and more go alone. PLACE bits hold a place among those together.
+TOGETHER, READ_TOGETHER, LARGE, PLACE = 1 << 17, 1 << 14, 1 << 16, 22
+
+
+def _groups(sizes: list[int], most: int) -> Iterator[list[int]]:
+    """Indices of what goes together, in order."""
+    group, held = [], 0
+    for k, n in enumerate(sizes):
+        if group and held + n > most:
+            yield group
+            group, held = [], 0
+        group.append(k)
+        held += n
+    if group:
+        yield group
+
+
+def _residuals_together(samples: np.ndarray, begin: np.ndarray, mode: int) -> np.ndarray:
+    """_residuals of images below one another, which begin at these rows."""
+    out = samples.copy()
+    if mode == 1:
+        out[:, 1:] -= samples[:, :-1]
+        out[1:, 0] -= samples[:-1, 0]
+        out[begin, 0] = samples[begin, 0]
+    else:
+        out[1:] -= samples[:-1]
+        out[begin] = samples[begin]
+        out[begin, 1:] -= samples[begin, :-1]
+    return out
+
+
+def _grey_ways(flat: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each image the grey way reckoned shortest (0 green, 1 and 2 predicted), or -1 where it may be another; and the samples by way."""
+    n, begin = len(rows), np.cumsum(rows) - rows
+    base = np.repeat(np.arange(0, 256 * n, 256), rows)[:, None]
+    red, green, blue = (np.ascontiguousarray(flat.reshape(-1, WIDTH, 3)[..., k]) for k in range(3))
+    weigh = _weights()
+
+    def counts(c: np.ndarray) -> np.ndarray:
+        return np.bincount((c + base).ravel(), minlength=256 * n).reshape(n, 256)
+
+    def bits(each: np.ndarray, samples: np.ndarray) -> np.ndarray:
+        return weigh.take(samples) - weigh.take(each).sum(1) + 6 * np.count_nonzero(each, axis=1)
+
+    # Each as in transformed: sums in the same order, so that they round alike.
+    third = rows * WIDTH
+    of = [counts(c) for c in (blue, green, red)]
+    b, g, r = (bits(c, third) for c in of)
+    best = np.minimum(b + g + r, bits(counts(blue - green), third) + g + bits(counts(red - green), third) + 3)
+    tell = lambda x, y: np.add.reduceat(np.einsum("ij,ij->i", x, y), begin, dtype=float)  # noqa: E731  # a row's sum is exact
+    signed = lambda c: c.view(np.int8).astype(np.float32)
+    sb, sg, sr = (signed(c) for c in (blue, green, red))
+    gg, rr = tell(sg, sg), tell(sr, sr)
+    slope = lambda product, square: np.clip(np.rint(32 * product / np.maximum(square, 1)), -128, 127).astype(np.int16).repeat(rows)[:, None]
+    delta = lambda m, c: (m * c.view(np.int8) >> 5).astype(np.uint8)
+    on_blue = blue - delta(slope(tell(sg, sb), gg), green) - delta(slope(tell(sr, sb), rr), red)
+    best = np.minimum(best, bits(counts(on_blue), third) + g + bits(counts(red - delta(slope(tell(sg, sr), gg), green)), third) + 60)
+    for mode in (1, 2):
+        b, g, r = (bits(counts(_residuals_together(c, begin, mode)), third) for c in (blue, green, red))
+        best = np.minimum(best, b + g + r + 60)
+    grey = flat.reshape(-1, GREY_WIDTH)
+    samples = [grey, *(_residuals_together(grey, begin, mode) for mode in (1, 2))]
+    all_three = of[0] + of[1] + of[2]
+    reckoned = np.stack([bits(all_three, 3 * third) + 3, *(bits(counts(c), 3 * third) + 63 for c in samples[1:])])
+    way, least = reckoned.argmin(0), reckoned.min(0)
+    colours = red | green.astype(np.uint32) << 8 | blue.astype(np.uint32) << 16
+    for at, more in zip(begin.tolist(), rows.tolist(), strict=True):
+        colours[at : at + more].reshape(-1).sort()
+    colours = colours.ravel()
+    new = np.ones(len(colours), bool)
+    new[1:] = colours[1:] != colours[:-1]
+    new[begin * WIDTH] = True
+    met = np.add.reduceat(new, begin * WIDTH, dtype=np.int64)
+    # A palette of so many colours takes this at least: a code of its indices is shortest if all but one are met once.
+    palette = np.where(met <= 16, 24 * met + 51, 30 * met + 51 + weigh.take(third) - weigh.take(third - met + 1))
+    way[(least >= best) | (met <= 256) & (palette < least) | (np.count_nonzero(all_three, axis=1) <= 16)] = -1
+    return way, samples
+
+
+def _equal(raw: bytes, i: int, j: int, n: int, most: int) -> int:
+    """How many bytes from i on are those from j on, n at least."""
+    step = 32
+    while n < most:
+        stop = min(most, n + step)
+        if raw[i + n : i + stop] != raw[j + n : j + stop]:
+            differ = int.from_bytes(raw[i + n : i + stop], "little") ^ int.from_bytes(raw[j + n : j + stop], "little")
+            return n + ((differ & -differ).bit_length() - 1) // 8
+        n, step = stop, step * 4
+    return most
+
+
+def _copies_together(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_copies of grey images one after the other: places, lengths and distances."""
+    total, ends = len(flat), np.cumsum(sizes)
+    held = np.zeros(total + 40, np.uint8)
+    held[:total] = flat
+    keys = np.ndarray((total + 32,), "<u8", held, strides=(1,)).copy()  # SEED bytes from each place on
+    # Mixed keys above, places below: sorted, equal keys lie in order of place. Keys that only mix alike are told apart after that.
+    low = np.uint64((1 << PLACE) - 1)
+    mixed = keys[:total] * np.uint64(0x9E3779B97F4A7C15) & ~low | np.arange(total, dtype=np.uint64)
+    for end, n in zip(ends.tolist(), sizes.tolist(), strict=True):
+        mixed[end - n : end - SEED + 1].sort()
+    same = (mixed[1:] ^ mixed[:-1]) <= low
+    same[np.minimum(ends[:, None] - SEED + np.arange(SEED), total - 2)] = False  # the last places have no key
+    after = np.flatnonzero(same)
+    i, j = (mixed[after + k] & low for k in (1, 0))
+    before = np.full(total, -1)
+    real = keys.take(i.view(np.int64)) == keys.take(j.view(np.int64))
+    before[i[real].view(np.int64)] = j[real]
+    is_place = before >= 0
+    places = np.flatnonzero(is_place)
+    before = before[places]
+    most = np.minimum(np.repeat(ends, sizes)[places] - places, MOST_COPY)
+    length, left = np.full(len(places), 4 * SEED), np.arange(len(places))
+    for step in (SEED, 2 * SEED, 3 * SEED):
+        differ = keys.take(places[left] + step) ^ keys.take(before[left] + step)
+        ended = np.flatnonzero(differ)
+        x = differ[ended]
+        length[left[ended]] = step + (np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3)
+        left = left[differ == 0]
+    length = np.minimum(length, most)
+    rank = np.zeros(total + 1, np.int64)
+    np.cumsum(is_place, out=rank[1:])
+    taken, sizes_taken, raw = [], [], flat.tobytes()
+    at, where, back, long, limit, n, k = memoryview(rank), memoryview(places), memoryview(before), memoryview(length), memoryview(most), len(places), 0
+    while k < n:
+        i, size = where[k], long[k]
+        if size == 4 * SEED:
+            size = _equal(raw, i, back[k], size, limit[k])
+        taken.append(k)
+        sizes_taken.append(size)
+        k = at[i + size]
+    taken = np.array(taken, np.int64)
+    return places[taken], np.array(sizes_taken, np.int64), places[taken] - before[taken]
+
+
+def _encode_greys(flat: np.ndarray, sizes: np.ndarray, ways: list[int]) -> list[bytes]:
+    """Grey images one after the other, each of its way's samples."""
+    n, total = len(sizes), len(flat)
+    places, lengths, far = _copies_together(flat, sizes)
+    prefix, extra, extra_n = _prefixed(np.concatenate([lengths, far + 120]))
+    (lengths_p, far_p), (lengths_x, far_x), (lengths_n, far_n) = (np.split(a, [len(places)]) for a in (prefix, extra, extra_n))
+    step = np.zeros(total + 1, np.int8)
+    step[places] = 1
+    step[places + lengths] -= 1
+    token = np.cumsum(step[:-1], dtype=np.int8) == 0
+    token[places] = True
+    tokens = np.flatnonzero(token)
+    is_copy = np.searchsorted(tokens, places)
+    image = np.repeat(np.arange(n), np.diff(np.searchsorted(tokens, np.cumsum(sizes)), prepend=0))
+    symbol = flat.take(tokens).astype(np.int64)
+    symbol[is_copy] = 256 + lengths_p
+    symbol += image * 280
+    far_p += image[is_copy] * 40
+    of_green = np.bincount(symbol, minlength=280 * n).reshape(n, 280)
+    of_far = np.bincount(far_p, minlength=40 * n).reshape(n, 40)
+    heads, head_bits, of_lengths, of_far_lengths = [], [], [], []
+    of_green, of_far = of_green.tolist(), of_far.tolist()
+    for k, way in enumerate(ways):
+        out = BitsOut()
+        _put_head(out, "predict%d" % way if way else "green", (way,), int(sizes[k]) // GREY_WIDTH, True)
+        out.put(0, 2)
+        of_lengths.append(bytes(put_counts(out, of_green[k])))
+        for same in (0, 0, 0 if way else 255):
+            put_one(out, same)
+        of_far_lengths.append(bytes(put_counts(out, of_far[k])))
+        heads.append(out.bytes())
+        head_bits.append(8 * sum(map(len, out.done)) + out.n)
+    green_width, width = (np.frombuffer(b"".join(of), np.uint8).astype(np.int64).reshape(n, -1) for of in (of_lengths, of_far_lengths))
+    value, wide, code = codes_of(green_width).take(symbol).view(np.uint64), green_width.take(symbol), codes_of(width)
+    # A back-reference in one: length, its extra bits, distance, its extra bits; 55 bits at most.
+    v, w = value[is_copy], wide[is_copy]
+    for more, size in ((lengths_x, lengths_n), (code.take(far_p), width.take(far_p)), (far_x, far_n)):
+        v |= more.astype(np.uint64) << w.astype(np.uint64)
+        w += size
+    value[is_copy], wide[is_copy] = v, w
+    # Each image in words of 64 bits of its own, its head before.
+    ends = np.cumsum(wide)
+    last = np.searchsorted(image, np.arange(n), "right") - 1
+    bits = np.diff(ends[last], prepend=0) + head_bits
+    words = (bits >> 6) + 1
+    begin = np.cumsum(words) - words
+    starts = ends - wide + (begin * 64 + head_bits - (ends[last] - bits + head_bits))[image]
+    word, shift = starts >> 6, (starts & 63).view(np.uint64)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    packed = np.zeros(int(words.sum()) + 1, np.uint64)
+    packed[word[first]] = np.bitwise_or.reduceat(value << shift, first)
+    last = np.append(first[1:] - 1, len(word) - 1)  # of a word's tokens only the last one may reach into the next word
+    last = last[(starts[last] & 63) + wide[last] > 64]
+    packed[word[last] + 1] |= value[last] >> (np.uint64(64) - shift[last])
+    stored, out = packed.astype("<u8", copy=False).view(np.uint8), []
+    for head, at, n in zip(heads, (8 * begin).tolist(), bits.tolist(), strict=True):
+        part = stored[at : at + -(-n // 8)].tobytes()
+        joined = head[-1] | part[len(head) - 1] if len(part) >= len(head) else head[-1]
+        out.append(container(head[:-1] + bytes([joined]) + part[len(head) :]))
+    return out
+
+
+def encode_all(payloads: list[bytes]) -> list[bytes]:
+    """encode of each."""
+    out = [b""] * len(payloads)
+    small = [k for k, p in enumerate(payloads) if len(p) < LARGE]
+    for group in _groups([len(payloads[k]) for k in small], TOGETHER):
+        group = [small[k] for k in group]
+        flat = np.frombuffer(b"".join(payloads[k] for k in group), np.uint8)
+        rows = np.array([len(payloads[k]) for k in group]) // GREY_WIDTH
+        way, samples = _grey_ways(flat, rows)
+        row_way = way.repeat(rows)
+        chosen = samples[0].copy() if row_way.any() else samples[0]
+        for mode in (1, 2):
+            if (mine := row_way == mode).any():
+                chosen[mine] = samples[mode][mine]
+        grey = np.flatnonzero(way >= 0)
+        if len(grey):
+            for k, stored in zip(grey.tolist(), _encode_greys(chosen[row_way >= 0].ravel(), rows[grey] * GREY_WIDTH, way[grey].tolist()), strict=True):
+                out[group[k]] = stored
+    return [stored or encode(p) for stored, p in zip(out, payloads, strict=True)]
+
+
+_HELD = [np.zeros((5, 0), np.int64), np.zeros(0, np.int64)]
+
+
+def _scratch(n: int) -> np.ndarray:
+    """Five rows of n numbers, in memory that is used again."""
+    if _HELD[0].shape[1] < n:
+        _HELD[0] = np.zeros((5, n), np.int64)
+    return _HELD[0][:, :n]
+
+
+def _places(n: int) -> np.ndarray:
+    if len(_HELD[1]) < n:
+        _HELD[1] = np.arange(n)
+    return _HELD[1][:n]
+
+
+def _follow(images: list[tuple[bytes, int, Code, Code, int, int]]) -> list[bytes]:
+    """Green of images that have no other channel: of each the stream, the bit where pixels begin, codes of green and distances, pixels, width."""
+    n, pad, skip = len(images), TOKEN // 8, [place >> 3 for _, place, *_ in images]
+    parts = [data[k:] for (data, *_), k in zip(images, skip, strict=True)]
+    sizes = np.array([len(part) + pad for part in parts])
+    begin = np.cumsum(sizes) - sizes
+    stream = np.frombuffer(b"".join(part + bytes(pad) for part in parts) + b"\0\0\0", np.uint8).astype(np.int64)
+    four = stream[:-3] | stream[1:-2] << 8 | stream[2:-1] << 16 | stream[3:] << 24
+    masks, tables = [], []
+    for which in (2, 3):
+        mask, symbols, lengths = zip(*(image[which].table() for image in images), strict=True)
+        table = [s << 4 | k for s, k in zip(symbols, lengths, strict=True)]
+        at = np.cumsum([0, *map(len, table[:-1])])
+        masks.append((np.array(mask).repeat(sizes), at.repeat(sizes)))
+        tables.append(np.concatenate(table).astype(np.int64))
+    ahead = lambda at: four.take(at >> 3) >> (at & 7)
+    (mask, base), (far_mask, far_base) = masks
+    end = 8 * len(four)
+    key, entry, one, two, four_on = _scratch(end + TOKEN)
+    by_byte = key[:end].reshape(-1, 8)
+    np.right_shift(four[:, None], np.arange(8), out=by_byte)
+    by_byte &= mask[:, None]
+    by_byte += base[:, None]
+    entry = np.take(tables[0], key[:end], out=entry[:end], mode="clip")  # of each bit the symbol of a token that begins there, and the length of its code
+    one[:] = _places(end + TOKEN)
+    one[:end] += np.bitwise_and(entry, 15, out=key[:end])
+    copies = np.flatnonzero(entry >= 256 << 4)
+    at = np.minimum(one[copies], end - 64)
+    grows, extra = _values((entry[copies] >> 4) - 256, ahead(at))
+    at += extra
+    found = tables[1].take((ahead(at) & far_mask[at >> 3]) + far_base[at >> 3])
+    at += found & 15
+    far, extra = _values(found >> 4, ahead(at))
+    one[copies] = at + extra
+    np.take(one, one, out=two, mode="clip")
+    np.take(two, two, out=four_on, mode="clip")
+    seen, counts, to = [], [], memoryview(np.take(four_on, four_on, out=key, mode="clip"))
+    follow, stops = seen.append, [8 * (k + len(part)) for k, part in zip(begin.tolist(), parts, strict=True)]
+    for (_, place, _, _, total, _), start, stop in zip(images, (8 * begin).tolist(), stops, strict=True):
+        at, before = start + (place & 7), len(seen)
+        for _ in range(-(-total // 8)):  # every token makes a pixel at least
+            follow(at)
+            at = to[at]
+            if at >= stop:
+                break
+        counts.append(len(seen) - before)
+    tokens = np.empty((len(seen), 8), np.int64)
+    tokens[:, 0] = seen
+    tokens[:, 4] = four_on.take(tokens[:, 0])
+    tokens[:, 2::4] = two.take(tokens[:, ::4])
+    tokens[:, 1::2] = one.take(tokens[:, ::2])
+    tokens = np.minimum(tokens.ravel(), end - 1)
+    count = 8 * np.array(counts)
+    kind = entry.take(tokens) >> 4
+    made = np.ones(len(tokens), np.int64)
+    is_copy = np.flatnonzero(kind >= 256)
+    which = np.searchsorted(copies, tokens[is_copy])
+    made[is_copy] = grows[which]
+    ends, last = np.cumsum(made), np.cumsum(count)
+    totals = np.array([image[4] for image in images])
+    starts = ends - made - np.repeat(ends[last - count] - made[last - count], count)  # in its image
+    inside = starts < np.repeat(totals, count)
+    image = np.repeat(np.arange(n), count)
+    last = last - count + np.bincount(image[inside], minlength=n) - 1
+    if (one[tokens[last]] > stops).any() or (starts[last] + made[last] < totals).any():
+        raise ValueError("the stream ends too early")
+    if (starts[last] + made[last] > totals).any():
+        raise ValueError("a back-reference leaves the image")
+    first = np.cumsum(totals) - totals
+    out = np.zeros(int(totals.sum()), np.uint8)
+    out[(starts + first[image])[inside]] = kind[inside]
+    real = inside[is_copy]
+    is_copy, back = is_copy[real], far[which[real]]
+    image, starts, made = image[is_copy], starts[is_copy], made[is_copy]
+    width = np.array([w for *_, w in images])[image]
+    near = _near_array()[np.minimum(back, 120) - 1]
+    back = np.where(back > 120, back - 120, np.maximum(1, near[:, 0] + near[:, 1] * width))
+    if (back > starts).any():
+        raise ValueError("a back-reference leaves the image")
+    whole = bytearray(out)
+    for at, length, back in zip((starts + first[image]).tolist(), made.tolist(), back.tolist(), strict=True):
+        if back >= length:
+            whole[at : at + length] = whole[at - back : at - back + length]
+        else:  # it overlaps what it writes
+            whole[at : at + length] = (whole[at - back : at] * (length // back + 1))[:length]
+    return [bytes(whole[a : a + t]) for a, t in zip(first.tolist(), totals.tolist(), strict=True)]
+
+
+def decode_greys(files: list[bytes]) -> list[bytes | None]:
+    """Green of each image as wide as grey ones are, row by row; None where they have codes of other channels, cache, groups of codes or few pixels."""
+    out: list[bytes | None] = [None] * len(files)
+    heads = []
+    for k, data in enumerate(files):
+        if len(data) >= LARGE:
+            continue
+        bits = Bits(_chunk(data))
+        width, height, _, undo = _read_head(bits)
+        if (int.from_bytes(bits.data[1:3], "little") & 0x3FFF) + 1 != GREY_WIDTH or width * height < QUICK or bits.read(2):
+            continue
+        green, red, blue, alpha, distance = (read_code(bits, n) for n in (280, 256, 256, 256, 40))
+        if green.one is None and None not in (red.one, blue.one, alpha.one):
+            heads.append((k, (bits.data, bits.place(), green, distance, width * height, width), undo, alpha.one << 24 | red.one << 16 | blue.one, height))
+    for group in _groups([len(files[head[0]]) for head in heads], READ_TOGETHER):
+        for at, green in zip(group, _follow([heads[at][1] for at in group]), strict=True):
+            k, _, undo, others, height = heads[at]
+            if undo != [undo_subtract_green] and undo:
+                argb = np.frombuffer(green, np.uint8).reshape(height, -1).astype(np.uint32) << 8 | np.uint32(others)
+                for f in reversed(undo):
+                    argb = f(argb)
+                green = (argb >> 8).astype(np.uint8).tobytes()
+            out[k] = green
+    return out

@@ -30,7 +30,8 @@ other columns are carried along, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,25 @@ _odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 _fields = ", ".join(f"f{i} long" for i in range(WIDE))
 
 
+@dataclass(frozen=True)
+class Ratio:
+    """The least Jaccard similarity of a link, p / q. Two sets of n and m are linked if they share at least (n + m) p / (p + q)."""
+
+    p: int
+    q: int
+
+    @property
+    def both(self) -> int:
+        return self.p + self.q
+
+    @property
+    def apart(self) -> int:
+        return self.q - self.p
+
+
+FOUR_FIFTHS = Ratio(4, 5)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Each 64-bit number spread over all bits, one to one."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -162,10 +182,10 @@ def prefixes(rows: DataFrame, text: str) -> DataFrame:
     return rows.select("who", f"`{text}`").mapInArrow(run, f"who {rows.schema['who'].dataType.simpleString()}, node long, n int, prefix array<long>, {_fields}")
 
 
-def _paired(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """Distinct pairs (a, b) of members of a group whose sizes and places can reach 4/5, if this is the first shingle that they share."""
+def _paired(left: DataFrame, right: DataFrame, on: str, ratio: Ratio) -> DataFrame:
+    """Distinct pairs (a, b) of members of a group whose sizes and places can be linked, if this is the first shingle that they share."""
     x, y = left.alias("x"), right.alias("y")
-    out = x.join(y, F.expr(f"x.s = y.s and {on}") & F.expr("9 * least(x.n - x.at, y.n - y.at) >= 4 * (x.n + y.n)"))
+    out = x.join(y, F.expr(f"x.s = y.s and {on}") & F.expr(f"{ratio.both} * least(x.n - x.at, y.n - y.at) >= {ratio.p} * (x.n + y.n)"))
     return out.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
 
 
@@ -185,37 +205,51 @@ def near_copies(rows: DataFrame, text: str = "text") -> DataFrame:
     sizes = entries.groupBy("s").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("size")).filter("least <> most").select("s", "least", "size")
     members = stored(entries.join(sizes, "s").distinct(), "members")
 
+    return marked.join(connected(members, lambda pairs: _pruned(pairs, prints), rows, marked, text), "node", "left").select("who", F.coalesce("root", "node").alias("root"))
+
+
+def connected(members: DataFrame, pruned: Callable[[DataFrame], DataFrame], rows: DataFrame, marked: DataFrame, text: str, ratio: Ratio = FOUR_FIFTHS, merged: bool = False) -> DataFrame:
+    """node and root for each node with a link: what links between members(s, node, n, at, least, size) of the same group s connect.
+
+    Every two nodes that are linked share a group; at is the place of s in the node's set, 0 where groups tell nothing of places. least and
+    size are the group's least node and number of members. pruned drops pairs (a, b) that cannot be linked; whole sets tell of the others.
+    merged makes one of crowded groups that share members, so that a node has a set to tell apart once and not once for each group.
+    """
     small, large = members.filter(F.col("size") <= PAIRED), members.filter(F.col("size") > PAIRED)
-    first = _paired(small, small, "x.node < y.node").union(_paired(large.filter("node = least"), large, "y.node <> x.node")).distinct()
-    links = _similar(cut(_pruned(first, prints)), rows, marked, text)
+    first = _paired(small, small, "x.node < y.node", ratio).union(_paired(large.filter("node = least"), large, "y.node <> x.node", ratio)).distinct()
+    links = _similar(cut(pruned(first)), rows, marked, text, ratio)
     roots = cut(components(links))
     if large.head(1):
         rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = rooted.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("s")
         rest = cut(rooted.join(split, "s"))
         few = rest.filter((F.col("size") <= CROWDED) & F.expr("node <> least"))  # pairs with the least one of a group have been compared
-        more, apart = _paired(few, few, "x.node < y.node and x.root <> y.root"), None
-        crowd = cut(rest.filter(F.col("size") > CROWDED).select(F.col("least").alias("hub"), "node", "root").distinct())
+        more, apart = _paired(few, few, "x.node < y.node and x.root <> y.root", ratio), None
+        crowd = rest.filter(F.col("size") > CROWDED).select(F.col("least").alias("hub"), "node", "root").distinct()
+        if merged:
+            hubs = components(crowd.select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "hub")
+            crowd = crowd.select("node", "root").distinct().join(hubs, "node").select("hub", "node", "root")
+        crowd = cut(crowd)
         if crowd.head(1):
-            apart = _apart(crowd, _sets_of(crowd.select("node").distinct(), rows, marked, text))
+            apart = _apart(crowd, _sets_of(crowd.select("node").distinct(), rows, marked, text), ratio)
             more = more.union(_central(apart)).distinct()
-        more = cut(_pruned(more, prints))
+        more = cut(pruned(more))
         if more.head(1):
-            links = links.union(_similar(more, rows, marked, text))
+            links = links.union(_similar(more, rows, marked, text, ratio))
             roots = cut(components(links))
         if apart is not None:
             apart = apart.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            last = cut(_pruned(_distant(apart), prints))
+            last = cut(pruned(_distant(apart, ratio)))
             if last.head(1):
-                links = links.union(_similar(last, rows, marked, text))
+                links = links.union(_similar(last, rows, marked, text, ratio))
                 roots = cut(components(links))
-    return marked.join(roots, "node", "left").select("who", F.coalesce("root", "node").alias("root"))
+    return roots
 
 
 def _middles(held: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each hub the shingles met often in its group, sorted, how many members differ from the middle in them, and whether the middle has them."""
     met = held.select("hub", F.explode("shingles").alias("s")).groupBy("hub", "s").count().filter(F.col("count") >= SEEN)
-    top = met.orderBy(F.desc("count"), "hub", "s").limit(KNOWN).join(F.broadcast(held.groupBy("hub").agg(F.count("*").alias("size"))), "hub")
+    top = met.orderBy(F.desc("count"), "hub", "s").limit(KNOWN).join(held.groupBy("hub").agg(F.count("*").alias("size")), "hub")
     table = top.select("hub", "s", "count", "size").orderBy("hub", "s").toArrow()
     hubs, s, count, size = (table.column(k).to_numpy().astype(np.int64) for k in range(4))
     begins = np.concatenate(([0], np.flatnonzero(hubs[1:] != hubs[:-1]) + 1, [len(hubs)])) if len(hubs) else np.zeros(1, np.int64)
@@ -224,8 +258,8 @@ def _middles(held: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndar
     return {int(hubs[a]): (s[a:b], few[a:b], inside[a:b]) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)}
 
 
-def _apart(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """For each hub and member: n, d (shingles that set it apart from the group's middle), w = 9 d - n, the first of these in order, and the least (w, node) of the group."""
+def _apart(groups: DataFrame, sets: DataFrame, ratio: Ratio) -> DataFrame:
+    """For each hub and member: n, d (shingles that set it apart from the group's middle), w (9 d - n at 4/5), the first of these in order, and the least (w, node) of the group."""
     held = stored(groups.join(sets, "node").select("hub", "node", "root", "shingles"), "groups")
     shared = held.sparkSession.sparkContext.broadcast(_middles(held))
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
@@ -248,10 +282,10 @@ def _apart(groups: DataFrame, sets: DataFrame) -> DataFrame:
                 each, rank = np.concatenate([found[own], often[lacks]]), np.concatenate([rank[own], few[lacks]])
                 sizes.append(len(found))
                 apart.append(len(each))
-                firsts.append(each[np.lexsort((each, rank))][: len(found) // 4 + 2])
+                firsts.append(each[np.lexsort((each, rank))][: ratio.apart * len(found) // ratio.p + 2])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(apart, pa.int64()), _lists(firsts)], ["hub", "node", "root", "n", "d", "firsts"])
 
-    out = stored(held.mapInArrow(run, "hub long, node long, root long, n long, d long, firsts array<long>").withColumn("w", F.expr("9 * d - n")), "apart")
+    out = stored(held.mapInArrow(run, "hub long, node long, root long, n long, d long, firsts array<long>").withColumn("w", F.expr(f"{ratio.both} * d - {ratio.apart} * n")), "apart")
     return out.join(out.groupBy("hub").agg(F.min(F.struct("w", "node", "root")).alias("near")), "hub")
 
 
@@ -261,21 +295,22 @@ def _central(apart: DataFrame) -> DataFrame:
     return out.select(F.expr("least(node, near.node)").alias("a"), F.expr("greatest(node, near.node)").alias("b")).distinct()
 
 
-def _distant(apart: DataFrame) -> DataFrame:
+def _distant(apart: DataFrame, ratio: Ratio) -> DataFrame:
     """Distinct pairs (a, b) of members of a group not yet connected that share enough of what sets them apart, as far as sizes and places tell.
 
-    Two members share o of these, and are linked if and only if 18 o >= w + v. Since o is e at most, and their sizes are within 4/5,
-    v >= w - 2.5 n; v is that of the nearest one at least and, as those near it are connected, beyond minus that for their partners.
+    Two members share o of these, and are linked if and only if 2 (p + q) o >= w + v (18 o at 4/5). Since o is e at most, and their sizes
+    are within the ratio, v >= w - 2 (q - p) n q / p (2.5 n at 4/5); v is that of the nearest one at least and, as those near it are
+    connected, beyond minus that for their partners.
     """
     split = apart.groupBy("hub").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("hub")
     least = F.expr("case when w + near.w > 0 then near.w else 1 - near.w end")
-    o = F.greatest(F.lit(1), F.ceil((F.col("w") + F.greatest(least, F.floor(F.expr("w - 5 * n / 2")))) / 18))
+    o = F.greatest(F.lit(1), F.ceil((F.col("w") + F.greatest(least, F.floor(F.expr(f"w - {2 * ratio.apart * ratio.q} * n / {ratio.p}")))) / (2 * ratio.both)))
     rest = apart.join(split, "hub").withColumn("far", F.expr("w + near.w > 0")).withColumn("o", o).filter("o <= d")
     rest = cut(rest.select("hub", "node", "root", "n", "d", "w", "far", F.posexplode(F.slice("firsts", F.lit(1), (F.col("d") - F.col("o") + 1).cast("int"))).alias("at", "s")))
     meets = rest.groupBy("hub", "s").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.max("far").alias("any")).filter("a <> z and any").select("hub", "s")
     rest = cut(rest.join(meets, ["hub", "s"]))
     on = "x.hub = y.hub and x.s = y.s and x.root <> y.root and x.far and (not y.far or x.node < y.node)"
-    fits = "18 * least(x.d - x.at, y.d - y.at) >= x.w + y.w and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"
+    fits = f"{2 * ratio.both} * least(x.d - x.at, y.d - y.at) >= x.w + y.w and {ratio.q} * least(x.n, y.n) >= {ratio.p} * greatest(x.n, y.n)"
     out = rest.alias("x").join(rest.alias("y"), F.expr(on) & F.expr(fits))
     return out.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
 
@@ -291,20 +326,21 @@ def _sets_of(nodes: DataFrame, rows: DataFrame, marked: DataFrame, text: str) ->
     return stored(_sets(rows.join(listed(first, 64), "who", "left_semi"), text), "sets").dropDuplicates(["node"])
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, marked: DataFrame, text: str) -> DataFrame:
-    """Those of the pairs of nodes whose sets reach 4/5."""
+def _similar(pairs: DataFrame, rows: DataFrame, marked: DataFrame, text: str, ratio: Ratio) -> DataFrame:
+    """Those of the pairs of nodes whose sets reach the ratio."""
     sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), rows, marked, text)
     x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return cut(pairs.join(x, "a").join(y, "b").filter(both * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b"))
+    return cut(pairs.join(x, "a").join(y, "b").filter(both * ratio.both >= (F.size("x") + F.size("y")) * ratio.p).select("a", "b"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of docs for each group of near copies: that of the least id, nulls last; of several rows with that id, the one of the least digest."""
     rows = identified(docs, key)
     found = stored(near_copies(rows, text), "near")
-    least = found.groupBy("root").agg(F.min("who").alias("least"))
-    told = cut(found.join(least, "root").groupBy("who").agg(F.count("*").alias("n"), F.first(F.col("who") == F.col("least")).alias("stays")).filter("n > 1 or not stays"))
+    # Survivors are found by their own names: partial aggregates keep a large group out of any one task, and nothing is joined by root.
+    least = found.groupBy("root").agg(F.min("who").alias("who")).select("who", F.lit(True).alias("least"))
+    told = cut(found.groupBy("who").agg(F.count("*").alias("n")).join(least, "who", "left").select("who", "n", F.col("least").isNotNull().alias("stays")).filter("n > 1 or not stays"))
     gone, again = told.filter("not stays").select("who"), told.filter("stays").select("who")
     plain = [F.col(f"`{c}`") for c in docs.columns]
     out = rows.join(listed(gone, 64), "who", "left_anti")

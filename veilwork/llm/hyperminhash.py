@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.llm._common import cut, identified, stored, table
-from veilwork.llm.near_copies import Ratio, connected, mixed, shingles
+from veilwork.llm.near_copies import PAIRED, Ratio, connected, mixed, owners, shingles
 
 LINKED = Ratio(17, 20)
 BUCKETS, MANTISSA, ROWS = 128, 10, 4
@@ -139,14 +139,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     """key, n_shingles, component_id (the least key reachable) for each row."""
     rows = identified(docs, key)
     found = stored(sketches(rows, text), "sketches")
-    marked = found.select("who", "node")
+    owned = owners(found.filter("n > 0").select("who", "node"))
     held = found.filter("sketch is not null").select("node", "n", "sketch").dropDuplicates(["node"])
     entries = found.filter("bands is not null").select("node", "n", F.lit(0).alias("at"), F.explode("bands").alias("s"))
     sizes = entries.groupBy("s").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("size")).filter("least <> most").select("s", "least", "size")
     members = stored(entries.join(sizes, "s").distinct(), "members")
-    roots = connected(members, lambda pairs: likely(pairs, held, ratio), rows, marked, text, ratio, merged=True)
+    roots = connected(members, lambda pairs: likely(pairs, held, ratio), rows, owned, text, ratio, merged=True, crowded=PAIRED)
 
-    ids = found.filter("n > 0").groupBy("node").agg(F.min("who.id").alias("id"))
+    ids = owned.select("node", F.col("who.id").alias("id"))
     linked = stored(roots.join(ids, "node"), "linked")
     of_root = linked.groupBy("root").agg(F.min("id").alias("least"))
     of_node = stored(matched(linked.select("root", "node"), of_root, "root").select("node", "least").union(ids.join(linked, "node", "left_anti").select("node", "id")), "least")

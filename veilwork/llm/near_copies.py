@@ -205,43 +205,51 @@ def near_copies(rows: DataFrame, text: str = "text") -> DataFrame:
     sizes = entries.groupBy("s").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("size")).filter("least <> most").select("s", "least", "size")
     members = stored(entries.join(sizes, "s").distinct(), "members")
 
-    return marked.join(connected(members, lambda pairs: _pruned(pairs, prints), rows, marked, text), "node", "left").select("who", F.coalesce("root", "node").alias("root"))
+    return marked.join(connected(members, lambda pairs: _pruned(pairs, prints), rows, owners(marked), text), "node", "left").select("who", F.coalesce("root", "node").alias("root"))
 
 
-def connected(members: DataFrame, pruned: Callable[[DataFrame], DataFrame], rows: DataFrame, marked: DataFrame, text: str, ratio: Ratio = FOUR_FIFTHS, merged: bool = False) -> DataFrame:
+def owners(marked: DataFrame) -> DataFrame:
+    """node and its least who, stored; partial aggregates leave one a task, so a node may have any number of copies."""
+    return stored(marked.groupBy("node").agg(F.min("who").alias("who")), "owners")
+
+
+def connected(members: DataFrame, pruned: Callable[[DataFrame], DataFrame], rows: DataFrame, owned: DataFrame, text: str, ratio: Ratio = FOUR_FIFTHS, merged: bool = False, crowded: int | None = None) -> DataFrame:
     """node and root for each node with a link: what links between members(s, node, n, at, least, size) of the same group s connect.
 
     Every two nodes that are linked share a group; at is the place of s in the node's set, 0 where groups tell nothing of places. least and
     size are the group's least node and number of members. pruned drops pairs (a, b) that cannot be linked; whole sets tell of the others.
+    owned are the owners of the nodes, whose rows have their texts.
     merged makes one of crowded groups that share members, so that a node has a set to tell apart once and not once for each group.
+    Groups of more than `crowded` nodes (CROWDED where it is not given) are crowded.
     """
+    crowded = crowded or CROWDED
     small, large = members.filter(F.col("size") <= PAIRED), members.filter(F.col("size") > PAIRED)
     first = _paired(small, small, "x.node < y.node", ratio).union(_paired(large.filter("node = least"), large, "y.node <> x.node", ratio)).distinct()
-    links = _similar(cut(pruned(first)), rows, marked, text, ratio)
+    links = _similar(cut(pruned(first)), rows, owned, text, ratio)
     roots = cut(components(links))
     if large.head(1):
         rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = rooted.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("s")
         rest = cut(rooted.join(split, "s"))
-        few = rest.filter((F.col("size") <= CROWDED) & F.expr("node <> least"))  # pairs with the least one of a group have been compared
+        few = rest.filter((F.col("size") <= crowded) & F.expr("node <> least"))  # pairs with the least one of a group have been compared
         more, apart = _paired(few, few, "x.node < y.node and x.root <> y.root", ratio), None
-        crowd = rest.filter(F.col("size") > CROWDED).select(F.col("least").alias("hub"), "node", "root").distinct()
+        crowd = rest.filter(F.col("size") > crowded).select(F.col("least").alias("hub"), "node", "root").distinct()
         if merged:
             hubs = components(crowd.select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "hub")
             crowd = crowd.select("node", "root").distinct().join(hubs, "node").select("hub", "node", "root")
         crowd = cut(crowd)
         if crowd.head(1):
-            apart = _apart(crowd, _sets_of(crowd.select("node").distinct(), rows, marked, text), ratio)
+            apart = _apart(crowd, _sets_of(crowd.select("node").distinct(), rows, owned, text), ratio)
             more = more.union(_central(apart)).distinct()
         more = cut(pruned(more))
         if more.head(1):
-            links = links.union(_similar(more, rows, marked, text, ratio))
+            links = links.union(_similar(more, rows, owned, text, ratio))
             roots = cut(components(links))
         if apart is not None:
             apart = apart.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             last = cut(pruned(_distant(apart, ratio)))
             if last.head(1):
-                links = links.union(_similar(last, rows, marked, text, ratio))
+                links = links.union(_similar(last, rows, owned, text, ratio))
                 roots = cut(components(links))
     return roots
 
@@ -320,15 +328,15 @@ def listed(names: DataFrame, width: int) -> DataFrame:
     return F.broadcast(names) if names.count() * width <= BROADCAST_BYTES else names
 
 
-def _sets_of(nodes: DataFrame, rows: DataFrame, marked: DataFrame, text: str) -> DataFrame:
+def _sets_of(nodes: DataFrame, rows: DataFrame, owned: DataFrame, text: str) -> DataFrame:
     """node and shingles for each of the nodes."""
-    first = cut(marked.join(nodes, "node").groupBy("node").agg(F.min("who").alias("who")).select("who").distinct())
+    first = cut(owned.join(nodes, "node").select("who").distinct())
     return stored(_sets(rows.join(listed(first, 64), "who", "left_semi"), text), "sets").dropDuplicates(["node"])
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, marked: DataFrame, text: str, ratio: Ratio) -> DataFrame:
+def _similar(pairs: DataFrame, rows: DataFrame, owned: DataFrame, text: str, ratio: Ratio) -> DataFrame:
     """Those of the pairs of nodes whose sets reach the ratio."""
-    sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), rows, marked, text)
+    sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), rows, owned, text)
     x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return cut(pairs.join(x, "a").join(y, "b").filter(both * ratio.both >= (F.size("x") + F.size("y")) * ratio.p).select("a", "b"))

@@ -35,3 +35,7 @@ class SessionTimeout(SessionError):
 
 class SessionState(SessionError):
     """The session is not open."""
+
+
+class StreamTooLong(VeilError):
+    """A stream is over its cap."""

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from veilwork.config import Detect
 from veilwork.functions import tokens as T
-from veilwork.functions.shared import shared_folder
 from veilwork.functions.spans import SPAN, detect, strip
+from veilwork.functions.vault import vault
 from veilwork.operators.ranking import ranked
 
 #: Values and pieces up to so many bytes are sent to all tasks.
@@ -68,12 +68,11 @@ def text_id(text: Column) -> Column:
 def met(found: DataFrame, session: str, order: str, text: str = "text") -> DataFrame:
     """(session, order, of, start, end, category, key, seen): the values met, stored once, so that texts are searched once. of names the text.
 
-    These are few bytes against the texts; they go to the shared folder.
+    These are few bytes against the texts; they go to the vault in force, which deletes them.
     """
-    shared_folder(found.sparkSession)
     d = F.explode_outer("spans").alias("d")
     each = found.select(F.col(session).alias("a"), F.col(order).alias("b"), text_id(F.col(text)).alias("of"), d).filter("d is not null")
-    return each.select(F.col("a").alias(session), F.col("b").alias(order), "of", "d.start", "d.end", "d.category", strip(F.col("d.text")).alias("key"), F.struct("d.confidence", "d.source").alias("seen")).checkpoint(eager=True)
+    return vault(found.sparkSession).keep(each.select(F.col("a").alias(session), F.col("b").alias(order), "of", "d.start", "d.end", "d.category", strip(F.col("d.text")).alias("key"), F.struct("d.confidence", "d.source").alias("seen")))
 
 
 def few(rows: DataFrame, *texts: str) -> bool:
@@ -96,7 +95,7 @@ def session_tokens(values: DataFrame, session: str, order: str, keep: Callable[[
     if few(values, "key", "category"):
         placed = first.withColumn("rank", F.row_number().over(Window.partitionBy(session, "category").orderBy(*place)) - 1)
     else:  # a session may then be too large for one task
-        placed = ranked(first, [session, "category"], place, keep=keep)
+        placed = ranked(first, [session, "category"], place, keep=keep or vault(values.sparkSession).keep)
     return placed.select(session, "key", "category", token.alias("token"))
 
 
@@ -128,11 +127,10 @@ def tokenized(texts: DataFrame, values: DataFrame, tokens: DataFrame, session: s
 
 def held_values(masked: DataFrame, tokens: DataFrame, session: str, text: str = "masked") -> DataFrame:
     """(session, of, values): for each masked text the tokens that it holds, in lower case, and their values; stored."""
-    shared_folder(masked.sparkSession)
     each = F.explode(F.array_distinct(F.transform(T.tokens_in(F.col(text)), F.lower))).alias("t")
     held = masked.select(session, text_id(F.col(text)).alias("of"), each).distinct()
     known = alike(held, tokens.select(session, F.lower("token").alias("t"), "key"), session, "t")
-    return known.groupBy(session, "of").agg(F.map_from_entries(F.collect_list(F.struct("t", "key"))).alias("values")).checkpoint(eager=True)
+    return vault(masked.sparkSession).keep(known.groupBy(session, "of").agg(F.map_from_entries(F.collect_list(F.struct("t", "key"))).alias("values")))
 
 
 def restored(masked: DataFrame, tokens: DataFrame, session: str, text: str = "masked", to: str = "restored") -> DataFrame:

@@ -6,20 +6,25 @@ The driver's tables hold no audit records; a view of such records is made of `ev
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.config import Detect
-from veilwork.functions.shared import shared_folder, spread
+from veilwork.functions.shared import removed, shared_folder, spread
+from veilwork.functions.vault import passing, sealed, vault
 from veilwork.operators import attest as AT
 from veilwork.operators import audit as A
 from veilwork.operators import evaluate as E
 from veilwork.operators import masking as M
 from veilwork.operators import report as R
+from veilwork.plans import detection
 from veilwork.plans.detection import tokenized_sql
 from veilwork.plans.sql import spans_sql
 from veilwork.streaming.restore import restored_stream
+from veilwork.streaming.sessions import masked_stream
+from veilwork.streaming.state import drain
 
 #: Columns of the view in the language that Spark and DuckDB share; {ts} is the time as text.
 COMMON = {
@@ -212,28 +217,54 @@ def native_vs_reference_scan(spark: SparkSession, sf: str) -> DataFrame:
 STREAMED = Detect(max_chars=0, only=("EMAIL",), custom=(("CARD_DIGITS", r"\b[3-6]\d{15}\b"),))
 
 
+def _streamed(chunks: DataFrame, later: Column, change: Callable[[DataFrame], DataFrame], what: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """what(change(stream)) of rows that come in two parts, the second once the first has been taken; the stream's folder is gone then."""
+    spark = chunks.sparkSession
+    path, folder = passing(spark, "streamed"), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    try:
+        rows = vault(spark).keep(chunks.withColumn("later", later))
+        for part in (~F.col("later"), F.col("later")):
+            rows.filter(part).drop("later").write.mode("append").parquet(f"{folder}/in")
+            out = drain(change(spark.readStream.schema(chunks.schema).parquet(f"{folder}/in")), folder)
+        what(out).write.parquet(path)
+    finally:
+        removed(spark, folder)
+    return spark.read.parquet(path)
+
+
+@sealed
 def stream_restore(spark: SparkSession, sf: str) -> DataFrame:
-    """Masked texts cut to chunks, restored by the stateful stream and joined again; compared with the batch restore."""
+    """Masked texts cut to chunks, restored by the stateful stream and joined again. Second halves come later, and of some streams a chunk of the first half too."""
     docs = spread(spark.read.parquet(f"{sf}/documents.parquet")).select(F.col("doc_id").alias("stream_id"), "source", "text").filter("text is not null")
-    found = M.detected(docs, STREAMED)
-    values = M.met(found, "source", "stream_id")
+    values = M.met(M.detected(docs, STREAMED), "source", "stream_id")
     tokens = M.session_tokens(values, "source", "stream_id")
-    some = docs.join(values.select("source", "stream_id").distinct(), ["source", "stream_id"], "left_semi")
-    masked = M.tokenized(some, values, tokens, "source")
+    masked = M.tokenized(docs, values, tokens, "source")
     held = M.held_values(masked, tokens, "source")  # the tokens that a stream holds, no others
-    cuts = F.posexplode(F.regexp_extract_all("masked", F.lit(r"(?s).{1,7}"), F.lit(0))).alias("seq", "chunk")
-    rows = M.brought(masked, held, "source", "masked", "values", False).select("stream_id", F.length("masked").alias("n"), cuts, F.col("__what").alias("tokens"))
-    last = F.col("seq") == F.ceil(F.col("n") / 7) - 1
-    chunks = rows.select("stream_id", F.col("seq").cast("long"), "chunk", last.alias("last"), F.when(F.col("seq") == 0, F.col("tokens")).alias("tokens"))
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    chunks.write.parquet(f"{folder}/in")
-    source = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
-    q = restored_stream(source).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/out")
-    q.awaitTermination()
-    out = spark.read.parquet(f"{folder}/out")
-    joined = out.filter("not is_summary").groupBy("stream_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "chunk"))), lambda c: c["chunk"]), "").alias("restored"))
-    ends = out.filter("is_summary").groupBy("stream_id").agg(F.count("*").alias("summaries"), F.max("chars_processed").alias("chars"))
-    return joined.join(ends, "stream_id").join(docs, "stream_id").select("stream_id", (F.col("restored") == F.col("text")).alias("same"), "summaries", "chars")
+    rows = M.brought(masked, held, "source", "masked", "values", False).withColumn("cuts", F.regexp_extract_all("masked", F.lit(r"(?s).{1,37}"), F.lit(0)))
+    rows = rows.withColumn("cuts", F.when(F.size("cuts") == 0, F.array(F.lit(""))).otherwise(F.col("cuts")))
+    rows = rows.select("stream_id", F.size("cuts").alias("n"), F.posexplode("cuts").alias("seq", "chunk"), F.col("__what").alias("tokens"))
+    chunks = rows.select("stream_id", F.col("seq").cast("long"), "chunk", (F.col("seq") == F.col("n") - 1).alias("last"), F.when(F.col("seq") == 0, F.col("tokens")).alias("tokens"), "n")
+
+    def joined(out: DataFrame) -> DataFrame:
+        chunk = F.struct("is_summary", "seq", "chunk", "chars_processed", "stream_error")
+        whole = out.groupBy("stream_id").agg(F.sort_array(F.collect_list(chunk)).alias("c"))  # a stream's own chunks, as long as its text
+        ends = F.filter("c", lambda c: c["is_summary"])
+        text = F.array_join(F.transform("c", lambda c: c["chunk"]), "")
+        return whole.select("stream_id", F.sha2(text, 256).alias("restored_sha256"), F.size(ends).cast("long").alias("summaries"), F.get(ends, F.lit(0))["chars_processed"].alias("chars"), F.get(ends, F.lit(0))["stream_error"].alias("stream_error"))
+
+    later = (F.col("seq") * 2 >= F.col("n")) | ((F.col("stream_id") % 10 == 0) & (F.col("seq") == 1))
+    return _streamed(chunks, later, restored_stream, joined)
+
+
+@sealed
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations masked as they come, first every other turn, then those between; with the tokens that the batch gives."""
+    rows = spark.read.parquet(f"{sf}/conversations.parquet")
+    mail = F.when((F.col("role") == "user") & (F.col("conv_id") % 3 == 0), F.concat("text", F.lit(" user"), F.col("conv_id"), F.lit("@example.com"))).otherwise(F.col("text"))
+    ends = rows.groupBy("conv_id").agg(F.max("turn").alias("end"))
+    turns = rows.withColumn("text", mail).join(ends, "conv_id").withColumn("last", F.col("turn") == F.col("end")).drop("end")
+    done = lambda out: out.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.sha2("masked", 256).alias("text_sha256"))
+    return _streamed(turns, F.col("turn") % 2 == 0, lambda stream: masked_stream(stream, Detect(only=("EMAIL",), max_chars=0), secret=sf), done)
 
 
 QUERIES = {
@@ -242,7 +273,7 @@ QUERIES = {
     "category_sums": category_sums, "metrics_rollup": metrics_rollup, "latency_bucket": latency_bucket, "validity_window": validity_window,
     "revocation_rollup": revocation_rollup, "verify_chain_links": chain_links, "chain_roundtrip": chain_roundtrip, "merkle_root": merkle_root,
     "merkle_proofs": merkle_proofs, "eval_prf": eval_prf, "eval_coverage": eval_coverage, "native_vs_reference_scan": native_vs_reference_scan,
-    "stream_restore": stream_restore,
+    "stream_restore": stream_restore, "stream_sessions": stream_sessions,
 }
 
 _keys = ", ".join(f"('{k}', TIMESTAMP '{b[:-1].replace('T', ' ')}', {'NULL' if e is None else 'TIMESTAMP ' + chr(39) + e[:-1].replace('T', ' ') + chr(39)})" for k, b, e in KEYS)
@@ -292,6 +323,7 @@ h AS (SELECT c.doc_id, c.s, c.e, c.category, count(*) FILTER (EXISTS (SELECT 1 F
 SELECT category, CASE WHEN share >= 0.99 THEN 'scrubbed' WHEN share > 0 THEN 'partial' ELSE 'raw' END AS state, count(*) AS n, count(*) FILTER (ok) AS right_category, round(sum(share), 4) AS share FROM h GROUP BY 1, 2""",
     "chain_roundtrip": """WITH n AS (SELECT row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY event_id) AS k FROM events)
 SELECT 'as written' AS log, count(*) AS records, count(*) AS intact FROM n UNION ALL SELECT 'changed', count(*), count(*) FILTER (k % 500 <> 3) FROM n""",
-    "stream_restore": tokenized_sql(STREAMED.patterns()) + " SELECT m.doc_id AS stream_id, true AS same, 1::BIGINT AS summaries, CAST(length(masked) AS BIGINT) AS chars FROM masked m WHERE EXISTS (SELECT 1 FROM pieces p WHERE p.doc_id = m.doc_id)",
+    "stream_restore": tokenized_sql(STREAMED.patterns()) + " SELECT m.doc_id AS stream_id, sha256(d.text) AS restored_sha256, 1::BIGINT AS summaries, CAST(length(masked) AS BIGINT) AS chars, false AS stream_error FROM masked m JOIN documents d ON d.doc_id = m.doc_id WHERE d.text IS NOT NULL",
+    "stream_sessions": detection.SQL["masked_conversations"].split("UNION ALL SELECT DISTINCT conv_id, -1")[0],
     "native_vs_reference_scan": 'SELECT doc_id, 0 AS "start", 0 AS "end", text AS category, text AS side FROM documents WHERE false',
 }

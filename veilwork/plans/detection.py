@@ -10,6 +10,7 @@ from veilwork.functions import tokens as T
 from veilwork.functions.patterns import LOCALES, Pattern, registry
 from veilwork.functions.risk import DESCRIPTORS, RELATIONS, assess
 from veilwork.functions.shared import spread
+from veilwork.functions.vault import sealed
 from veilwork.operators import guard as G
 from veilwork.operators import masking as M
 from veilwork.plans.sql import masked_sql, q, spans_sql
@@ -93,25 +94,29 @@ def session_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return by_source(spark, sf)[2]
 
 
+@sealed
 def tokenize_documents(spark: SparkSession, sf: str) -> DataFrame:
     return M.tokenized(*by_source(spark, sf), "source").select("doc_id", F.sha2("masked", 256).alias("masked_sha256"), F.length("masked").alias("n_chars"))
 
 
+@sealed
 def guard_sanitize(spark: SparkSession, sf: str) -> DataFrame:
     """Records of masking by session, as a log gets them."""
     _, _, records = G.sanitized(docs(spark, sf), Mask(detect=PLAIN), session="source")
     return records.select(F.col("key_doc_id").alias("doc_id"), "event_type", F.col("entity_count").cast("long").alias("entity_count"), "prompt_hash", "sanitized_hash", F.array_join("tokens_used", ",").alias("tokens"))
 
 
+@sealed
 def guard_desanitize(spark: SparkSession, sf: str) -> DataFrame:
-    """Records of restoring what was masked by session; same tells whether the decision id is that of the masking and the text is back."""
+    """Records of restoring what was masked by session, with the digest of the text that came back."""
     masked, tokens, _ = G.sanitized(docs(spark, sf), Mask(detect=PLAIN), session="source")
     rows, records = G.desanitized(masked.withColumn("asked", F.concat(F.lit("d"), "doc_id")).drop("decision_id").withColumnRenamed("asked", "decision_id"), tokens, session="source")
-    back = rows.select("doc_id", (F.col("restored") == F.col("text")).alias("same"))
+    back = rows.select("doc_id", F.sha2("restored", 256).alias("restored_sha256"))
     said = records.select(F.col("key_doc_id").alias("doc_id"), "decision_id", F.col("entity_count").cast("long").alias("entity_count"), F.array_join("tokens_used", ",").alias("tokens"), "prompt_hash", (F.col("prompt_hash") == F.col("sanitized_hash")).alias("hides"))
     return said.join(back, "doc_id")
 
 
+@sealed
 def restore_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """How many texts come back as they were after masking by session and restoring."""
     texts, values, tokens = by_source(spark, sf)
@@ -119,6 +124,7 @@ def restore_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return back.groupBy("lang").agg(F.count("*").alias("documents"), F.sum((F.col("restored") == F.col("text")).cast("long")).alias("same"), F.sum((F.col("masked") != F.col("text")).cast("long")).alias("masked"))
 
 
+@sealed
 def present_tokens(spark: SparkSession, sf: str) -> DataFrame:
     texts, values, tokens = by_source(spark, sf)
     masked = M.tokenized(texts.join(values.select("source", "doc_id").distinct(), ["source", "doc_id"], "left_semi"), values, tokens, "source")
@@ -133,6 +139,7 @@ def entity_hash_linkage(spark: SparkSession, sf: str) -> DataFrame:
     return M.linked(plain(spark, sf), "doc_id", KEY)
 
 
+@sealed
 def token_summary(spark: SparkSession, sf: str) -> DataFrame:
     return session_tokens(spark, sf).groupBy("source", "category").agg(F.count("*").alias("n"), F.max(F.length("token")).alias("longest"), F.sum(T.valid_token(F.col("token")).cast("long")).alias("valid"))
 
@@ -148,7 +155,7 @@ def escape_lookalikes(spark: SparkSession, sf: str) -> DataFrame:
     """Texts with look-alikes of tokens put in, escaped and unescaped."""
     t = docs(spark, sf).select("doc_id", F.concat(F.lit("[EMAIL_0] "), F.coalesce("text", F.lit("")), F.lit(" [A_B2_REDACTED] [a_1]")).alias("t"))
     e = T.escape(F.col("t"))
-    return t.select("doc_id", F.sha2(e, 256).alias("escaped_sha256"), F.length(e).alias("n_chars"), (T.unescape(e) == F.col("t")).alias("back"))
+    return t.select("doc_id", F.sha2(e, 256).alias("escaped_sha256"), F.length(e).alias("n_chars"), F.sha2(T.unescape(e), 256).alias("back_sha256"))
 
 
 def context_risk(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,6 +163,7 @@ def context_risk(spark: SparkSession, sf: str) -> DataFrame:
     return masked.select("doc_id", "r.*").withColumn("warnings", F.array_join("warnings", "; "))
 
 
+@sealed
 def masked_conversations(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf}/conversations.parquet")
     mail = F.when((F.col("role") == "user") & (F.col("conv_id") % 3 == 0), F.concat("text", F.lit(" user"), F.col("conv_id"), F.lit("@example.com"))).otherwise(F.col("text"))
@@ -163,6 +171,7 @@ def masked_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return masked.select("conv_id", "turn", "role", F.sha2("text", 256).alias("text_sha256"))
 
 
+@sealed
 def masked_odd_conversations(spark: SparkSession, sf: str) -> DataFrame:
     """The same where conversations and turns are null or shared by several texts."""
     rows = spark.read.parquet(f"{sf}/conversations.parquet").selectExpr(*[f"{x.format(text='STRING')} AS {c}" for c, x in ODD.items()])
@@ -280,7 +289,7 @@ SQL = {
     "guard_sanitize": f"""{_tokenized} SELECT {_of_text}, 'sanitize' AS event_type, count(p."start") AS entity_count, {_hash.format('d.text')} AS prompt_hash,
   {_hash.format('m.masked')} AS sanitized_hash {_meet}""",
     "guard_desanitize": f"""{_tokenized} SELECT {_of_text}, concat('d', m.doc_id) AS decision_id, count(DISTINCT p.token) AS entity_count, {_hash.format('m.masked')} AS prompt_hash,
-  true AS hides, true AS same {_meet}""",
+  true AS hides, sha256(d.text) AS restored_sha256 {_meet}""",
     "tokenize_documents": _tokenized + " SELECT doc_id, sha256(masked) AS masked_sha256, CAST(length(masked) AS INT) AS n_chars FROM masked",
     "restore_roundtrip": _tokenized + " SELECT d.lang, count(*) AS documents, count(*) AS same, CAST(count(*) FILTER (m.masked <> d.text) AS BIGINT) AS masked FROM documents d JOIN masked m ON d.doc_id = m.doc_id GROUP BY d.lang",
     "present_tokens": _tokenized + ", held AS (SELECT DISTINCT doc_id, token FROM pieces) SELECT doc_id, string_agg(token, ',' ORDER BY token) AS tokens FROM held GROUP BY doc_id",
@@ -293,7 +302,7 @@ p AS (SELECT t, regexp_matches(t, '^\[([A-Z][A-Z0-9_]*)_([0-9]+|REDACTED)\]$') A
 SELECT ok AND length(t) <= 40 AS valid, ok AND ends_with(t, '_REDACTED]') AS is_redacted, CASE WHEN ok THEN regexp_extract(t, '_([0-9]+|REDACTED)\]$', 1) END AS suffix, count(*) AS n,
   max(CASE WHEN ok THEN regexp_extract(t, '^\[([A-Z][A-Z0-9_]*)_', 1) END) AS last_category FROM p GROUP BY 1, 2, 3""",
     "escape_lookalikes": rf"""WITH t AS (SELECT doc_id, '[EMAIL_0] ' || coalesce(text, '') || ' [A_B2_REDACTED] [a_1]' AS t FROM documents)
-SELECT doc_id, sha256(regexp_replace(t, '{T.TOKEN}', '［\1］', 'g')) AS escaped_sha256, CAST(length(t) AS INT) AS n_chars, true AS back FROM t""",
+SELECT doc_id, sha256(regexp_replace(t, '{T.TOKEN}', '［\1］', 'g')) AS escaped_sha256, CAST(length(t) AS INT) AS n_chars, sha256(t) AS back_sha256 FROM t""",
     "context_risk": _risk,
     "masked_conversations": _conv,
     "masked_odd_conversations": _odd,

@@ -5,20 +5,27 @@ The driver's tables hold no audit records; a view of such records is made of `ev
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.config import Detect
+from veilwork.functions.ed25519 import b64, key_id, public_of, signed
 from veilwork.functions.shared import removed, shared_folder, spread
 from veilwork.functions.vault import passing, sealed, vault
 from veilwork.operators import attest as AT
 from veilwork.operators import audit as A
+from veilwork.operators import blocktree as B
 from veilwork.operators import evaluate as E
 from veilwork.operators import masking as M
 from veilwork.operators import report as R
+from veilwork.operators.provenance import provenance
 from veilwork.plans import detection
 from veilwork.plans.detection import tokenized_sql
 from veilwork.plans.sql import spans_sql
@@ -162,17 +169,49 @@ def chain_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return whole.union(torn)
 
 
-def merkle_root(spark: SparkSession, sf: str) -> DataFrame:
+def _tree(spark: SparkSession, sf: str) -> B.Tree:
     docs = spread(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    levels = AT.merkle_levels(AT.numbered(docs, "doc_id", "h"))
-    return levels[-1].select(F.col("hash").alias("root"), F.lit(len(levels)).cast("long").alias("levels"))
+    return B.built(docs, "doc_id", "h", passing(spark, "tree"))
+
+
+def merkle_root(spark: SparkSession, sf: str) -> DataFrame:
+    tree = _tree(spark, sf)
+    return spark.createDataFrame([(tree.root(), tree.levels())] if tree.leaves else [], "root string, levels long")
 
 
 def merkle_proofs(spark: SparkSession, sf: str) -> DataFrame:
     """The root that each document's proof leads to: one root for all."""
-    docs = spread(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    proofs = AT.merkle_proofs(AT.numbered(docs, "doc_id", "h").cache())
-    return proofs.groupBy(AT.proven_root(F.col("hash"), F.col("proof")).alias("root")).agg(F.count("*").alias("leaves"))
+    return _tree(spark, sf).proofs().groupBy(AT.proven_root(F.col("hash"), F.col("proof")).alias("root")).agg(F.count("*").alias("leaves"))
+
+
+#: Keys of certificates made for documents: (seed, begin and end of each time in use); the last key has no manifest, and one is revoked.
+ISSUERS = (("k0", (("2025-01-01", None),)), ("k1", (("2025-01-01", "2025-01-20"), ("2025-02-01", None))), ("k2", (("2025-01-01", "2025-02-15"),)), ("k3", ()))
+GONE = "2025-01-25"
+
+
+def provenance_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """A certificate for each document, some of them changed afterwards, against the manifests of their keys and a revocation list."""
+    seeds = [hashlib.sha256(seed.encode()).digest() for seed, _ in ISSUERS]
+    publics = [public_of(s) for s in seeds]
+    day = lambda d: None if d is None else f"{d}T00:00:00Z"
+    manifests = [AT.derive_manifest(p, "d", day(b), day(e)) for p, (_, spans) in zip(publics, ISSUERS, strict=True) for b, e in spans]
+    revocations = AT.derive_revocations("d", [{"key_id": key_id(publics[2]), "revoked_at": day(GONE), "reason": "lost"}], day(GONE))
+
+    @F.pandas_udf("string")
+    def issued(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        out = []
+        for i, h in zip(ids, hashes, strict=True):
+            at = datetime(2025, 1, 1, tzinfo=UTC) + timedelta(hours=int(i) % 2000)
+            c = {"version": "1.0", "timestamp": at.isoformat(), "input_hash": h, "output_hash": h, "entity_count": 0, "categories": {}, "detection_passes": ["regex"], "mode": "tokenize", "key_id": key_id(publics[i % 4]), "nonce": str(i)}
+            c |= {"signature": b64(signed(seeds[i % 4], AT.signed_part(c))), "public_key": b64(publics[i % 4])}
+            out.append(json.dumps(c | {"entity_count": 1} if i % 7 == 3 else c))
+        return pd.Series(out, dtype=object)
+
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet"))
+    certificates = docs.select("doc_id", issued(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("certificate"))
+    out = provenance(certificates, spark.createDataFrame([(json.dumps(m),) for m in manifests], "manifest string"), revocations)
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c)
+    return out.select("doc_id", "manifest_found", said("signature_valid"), said("within_validity_window"), "revocation_status", said("overall_valid"))
 
 
 #: Labels for evaluation: a plain rule of our own for addresses and for 16 digits, against the patterns.
@@ -272,7 +311,7 @@ QUERIES = {
     "content_coverage": content_coverage, "unlabeled_content": unlabeled_content, "pii_violations": pii_violations, "audit_stats": audit_stats,
     "category_sums": category_sums, "metrics_rollup": metrics_rollup, "latency_bucket": latency_bucket, "validity_window": validity_window,
     "revocation_rollup": revocation_rollup, "verify_chain_links": chain_links, "chain_roundtrip": chain_roundtrip, "merkle_root": merkle_root,
-    "merkle_proofs": merkle_proofs, "eval_prf": eval_prf, "eval_coverage": eval_coverage, "native_vs_reference_scan": native_vs_reference_scan,
+    "merkle_proofs": merkle_proofs, "provenance_checks": provenance_checks, "eval_prf": eval_prf, "eval_coverage": eval_coverage, "native_vs_reference_scan": native_vs_reference_scan,
     "stream_restore": stream_restore, "stream_sessions": stream_sessions,
 }
 
@@ -280,9 +319,16 @@ _keys = ", ".join(f"('{k}', TIMESTAMP '{b[:-1].replace('T', ' ')}', {'NULL' if e
 _revoked = ", ".join(f"('{k}', '{t}')" for k, t in REVOKED)
 _each = f"{VIEW}, e AS (SELECT *, unnest(article_ref) AS article FROM p)"
 _sums = "UNION ALL".join(f" SELECT {{k}}, '{c}' AS category, {n} AS n FROM {{v}} WHERE {n} = floor({n}) " for c, n in (("EMAIL", "email_n"), ("PHONE", "phone_n")))
-_tree = """WITH RECURSIVE leaves AS (SELECT row_number() OVER (ORDER BY doc_id, h) - 1 AS idx, h FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents)),
+_levels = """WITH RECURSIVE leaves AS (SELECT row_number() OVER (ORDER BY doc_id, h) - 1 AS idx, h FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents)),
 up AS (SELECT 1 AS level, idx, h, (SELECT count(*) FROM leaves) AS n FROM leaves
 UNION ALL SELECT level + 1, idx // 2, CASE WHEN count(*) = 1 THEN any_value(h) ELSE sha256(max(h) FILTER (idx % 2 = 0) || max(h) FILTER (idx % 2 = 1)) END, (n + 1) // 2 FROM up WHERE n > 1 GROUP BY level, idx // 2, n)"""
+_issuers = ", ".join(f"({k}, TIMESTAMP '{b}', {'NULL' if e is None else f"TIMESTAMP '{e}'"})" for k, (_, spans) in enumerate(ISSUERS) for b, e in spans)
+_provenance = f"""WITH c AS (SELECT doc_id, doc_id % 4 AS k, TIMESTAMP '2025-01-01' + to_hours(CAST(doc_id % 2000 AS INT)) AS t, doc_id % 7 <> 3 AS good FROM documents),
+m(k, b, e) AS (VALUES {_issuers}),
+w AS (SELECT c.doc_id, count(m.k) > 0 AS manifest_found, coalesce(bool_or(t >= b - INTERVAL 5 MINUTE AND (e IS NULL OR t <= e + INTERVAL 5 MINUTE)), false) AS held FROM c LEFT JOIN m ON c.k = m.k GROUP BY c.doc_id)
+SELECT doc_id, manifest_found, CASE WHEN manifest_found THEN CAST(good AS VARCHAR) ELSE 'unknown' END AS signature_valid, CASE WHEN manifest_found THEN CAST(held AS VARCHAR) ELSE 'unknown' END AS within_validity_window,
+  CASE WHEN k <> 2 THEN 'NOT_REVOKED' WHEN t < TIMESTAMP '{GONE}' THEN 'PREDATES_REVOCATION' ELSE 'REVOKED' END AS revocation_status,
+  CASE WHEN manifest_found THEN CAST(good AND held AND NOT (k = 2 AND t >= TIMESTAMP '{GONE}') AS VARCHAR) ELSE 'unknown' END AS overall_valid FROM c JOIN w USING (doc_id)"""
 _made = "event_type = 'content_generation' AND synthetic"
 _eval_found = spans_sql(FOUND.patterns())
 _eval_labels = spans_sql([type(FOUND.patterns()[0])(c, p) for c, p in LABELS])
@@ -314,8 +360,9 @@ SELECT d.*, coalesce(categories, '') AS categories FROM d LEFT JOIN sj USING (de
 SELECT p.key_id, count(*) AS certified, count(*) FILTER ("timestamp" >= t) AS after_revocation FROM p JOIN r ON p.key_id = r.key_id WHERE certificate_hash IS NOT NULL GROUP BY p.key_id""",
     "verify_chain_links": """WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS file, event_id AS line_no, sha256(concat_ws('|', event_id, event_type, props)) AS stored FROM events)
 SELECT file, line_no, coalesce(lag(stored) OVER (ORDER BY file, line_no), repeat('0', 64)) AS expected, line_no % 101 = 7 AS broken FROM e""",
-    "merkle_root": f"{_tree} SELECT h AS root, CAST(level AS BIGINT) AS levels FROM up WHERE n = 1",
-    "merkle_proofs": f"{_tree} SELECT h AS root, (SELECT count(*) FROM leaves) AS leaves FROM up WHERE n = 1",
+    "provenance_checks": _provenance,
+    "merkle_root": f"{_levels} SELECT h AS root, CAST(level AS BIGINT) AS levels FROM up WHERE n = 1",
+    "merkle_proofs": f"{_levels} SELECT h AS root, (SELECT count(*) FROM leaves) AS leaves FROM up WHERE n = 1",
     "eval_coverage": f"""{_eval},
 c AS (SELECT l.doc_id, l."start" AS s, l."end" AS e, l.category, unnest(range(l."start", l."end")) AS ch FROM labels l),
 h AS (SELECT c.doc_id, c.s, c.e, c.category, count(*) FILTER (EXISTS (SELECT 1 FROM found f WHERE f.doc_id = c.doc_id AND c.ch >= f."start" AND c.ch < f."end")) / count(*) AS share,

@@ -14,6 +14,7 @@ from veilwork.functions.vault import sealed
 from veilwork.operators import guard as G
 from veilwork.operators import masking as M
 from veilwork.plans.sql import masked_sql, q, spans_sql
+from veilwork.sources import table_function
 
 #: Conversations with null and repeated keys, in the language that Spark and DuckDB share.
 ODD = {
@@ -45,6 +46,16 @@ def detect_spans(spark: SparkSession, sf: str) -> DataFrame:
     return M.entities(plain(spark, sf), "doc_id").select("doc_id", "start", "end", "category", "text", "confidence", "source")
 
 
+def detect_by_table_function(spark: SparkSession, sf: str) -> DataFrame:
+    """The same spans by the table function, in a lateral join."""
+    table_function.register(spark)
+    only, own = ",".join(PLAIN.only), PLAIN.custom[1]
+    return spark.sql(
+        "SELECT d.doc_id, s.start, s.`end`, s.category, s.text FROM {docs} d, LATERAL detect_spans(d.text, only => :only, custom => :custom) s",
+        {"only": only, "custom": f"{own[0]}={own[1]}"}, docs=docs(spark, sf).select("doc_id", "text"),
+    )
+
+
 def detect_spans_all(spark: SparkSession, sf: str) -> DataFrame:
     return M.entities(M.detected(docs(spark, sf), ALL), "doc_id")
 
@@ -195,7 +206,7 @@ def text_digests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "detect_email_by_lang": email_by_lang, "detect_spans": detect_spans, "detect_spans_all": detect_spans_all, "detect_pages_all": detect_pages_all,
+    "detect_email_by_lang": email_by_lang, "detect_spans": detect_spans, "detect_by_table_function": detect_by_table_function, "detect_spans_all": detect_spans_all, "detect_pages_all": detect_pages_all,
     "detect_category_counts": category_counts, "detect_source_rollup": source_rollup, "custom_pattern": custom_pattern, "analyze": analyze,
     "redact_documents": redact_documents, "session_tokens": session_tokens, "tokenize_documents": tokenize_documents, "guard_sanitize": guard_sanitize, "guard_desanitize": guard_desanitize,
     "restore_roundtrip": restore_roundtrip, "present_tokens": present_tokens, "entity_details": entity_details,
@@ -279,6 +290,7 @@ UNION ALL SELECT DISTINCT conv_id, -1, 'system', sha256({q(M.HINT)}) FROM tokens
 
 SQL = {
     "detect_email_by_lang": spans_sql([_email]) + " SELECT lang, CAST(count(s.doc_id) AS BIGINT) AS emails, count(DISTINCT d.doc_id) AS documents FROM documents d LEFT JOIN spans s ON d.doc_id = s.doc_id GROUP BY lang",
+    "detect_by_table_function": spans_sql(Detect(max_chars=0, only=PLAIN.only, custom=PLAIN.custom[1:2]).patterns()) + ' SELECT doc_id, "start", "end", category, text FROM spans',
     "detect_spans": _plain + ' SELECT *, 0.95::DOUBLE AS confidence, \'regex\' AS source FROM spans',
     "detect_category_counts": _plain + " SELECT category, count(*) AS n FROM spans GROUP BY category",
     "detect_source_rollup": _by_source + " SELECT source, category, count(*) AS n, count(DISTINCT doc_id) AS documents FROM spans GROUP BY source, category",

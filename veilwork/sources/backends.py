@@ -22,7 +22,8 @@ from pyspark.sql.types import ArrayType
 from veilwork.config import Detect
 from veilwork.errors import ConfigError
 from veilwork.functions.patterns import LLM_CATEGORIES, NER_LABELS, RESERVED, SPECIAL_CATEGORIES
-from veilwork.functions.spans import CONFIDENCE, SPAN, placed_values
+from veilwork.functions.spans import CONFIDENCE, SPAN
+from veilwork.sources.literals import Taken, placed
 
 Span = dict
 
@@ -48,14 +49,13 @@ class PatternBackend(Backend):
 
     def detect(self, text: str, covered: list[tuple[int, int]]) -> list[Span]:
         self.compiled = self.compiled or [(p.category, re.compile(p.regex)) for p in self.patterns]
-        taken, out = list(covered), []
+        taken, out = Taken(covered), []
         for category, regex in self.compiled:
             for m in regex.finditer(text):
-                if any(m.start() < e and m.end() > s for s, e in taken):
-                    continue
                 if category == "PHONE" and len(re.sub(r"[-. ]", "", m[0])) < 7:
                     continue
-                taken.append((m.start(), m.end()))
+                if not taken.take(m.start(), m.end()):
+                    continue
                 out.append({"start": m.start(), "end": m.end(), "category": category, "text": m[0], "confidence": CONFIDENCE, "source": self.name})
         return out
 
@@ -107,16 +107,8 @@ class LanguageModelBackend(Backend):
         return self.known[text]
 
     def detect(self, text: str, covered: list[tuple[int, int]]) -> list[Span]:
-        taken, out = list(covered), []
-        for value, category in sorted(self.answer(text), key=lambda a: -len(a[0])):
-            at = text.find(value) if value and category in self.allowed else -1
-            while at >= 0:
-                end = at + len(value)
-                if not any(at < e and end > s for s, e in taken):
-                    taken.append((at, end))
-                    out.append({"start": at, "end": end, "category": category, "text": value, "confidence": self.confidence, "source": self.name})
-                at = text.find(value, end)
-        return out
+        answers = [(v, c) for v, c in self.answer(text) if c in self.allowed]
+        return [{"start": a, "end": b, "category": c, "text": v, "confidence": self.confidence, "source": self.name} for a, b, c, v in placed(text, answers, Taken(covered))]
 
 
 def prompt(categories: list[str], locale: str | None = None) -> str:
@@ -125,47 +117,48 @@ def prompt(categories: list[str], locale: str | None = None) -> str:
     return f"List sensitive values of the text as JSON: [{{\"value\": ..., \"category\": ...}}]. Categories: {', '.join(sorted(categories))}. Copy values exactly.{where}"
 
 
+FIELDS = ("start", "end", "category", "text", "confidence", "source")
+_arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("category", pa.string()), ("text", pa.string()), ("confidence", pa.float64()), ("source", pa.string())]))
+
+
+def found_by(backends: list[Backend], text: str | None, known: list[Span] = ()) -> list[tuple]:
+    """The spans of all backends and those known, by place, as tuples of FIELDS; what overlaps an earlier one is passed over."""
+    out = [tuple(d[f] for f in FIELDS) for d in known or ()]
+    taken = Taken((d[0], d[1]) for d in out)
+    for backend in backends if text else ():
+        for d in backend.detect(text, [(o[0], o[1]) for o in out]):
+            if taken.take(d["start"], d["end"]):
+                out.append(tuple(d[f] for f in FIELDS))
+    return sorted(out, key=lambda d: d[0])
+
+
 def with_backends(texts: DataFrame, backends: list[Backend], text: str = "text", to: str = "spans") -> DataFrame:
     """texts with the spans of all backends by place; spans that are there already come first."""
     before = to in texts.columns
     kept = [c for c in texts.columns if c != to]
-    fields = ("start", "end", "category", "text", "confidence", "source")
-    arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("category", pa.string()), ("text", pa.string()), ("confidence", pa.float64()), ("source", pa.string())]))
     schema = texts.select(*kept).schema.add(to, ArrayType.fromDDL(f"array<{SPAN}>"))
     place = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known = batch.column(len(kept)).to_pylist() if before else [[]] * batch.num_rows
-            out = []
-            for value, spans in zip(batch.column(place).to_pylist(), known, strict=True):
-                found = list(spans or [])
-                for backend in backends:
-                    covered = [(d["start"], d["end"]) for d in found]
-                    for d in backend.detect(value, covered) if value else []:
-                        if not any(d["start"] < e and d["end"] > s for s, e in covered):
-                            found.append({f: d[f] for f in fields})
-                            covered.append((d["start"], d["end"]))
-                out.append(sorted(found, key=lambda d: d["start"]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(out, arrow)], [*kept, to])
+            out = [[dict(zip(FIELDS, d, strict=True)) for d in found_by(backends, value, spans)] for value, spans in zip(batch.column(place).to_pylist(), known, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(out, _arrow)], [*kept, to])
 
     return texts.select(*kept, *([to] if before else [])).mapInArrow(run, schema)
 
 
 def asked_once(texts: DataFrame, ask: Callable[[str], list[tuple[str, str]]], confidence: float = 0.8, text: str = "text") -> DataFrame:
-    """texts with `named`, the spans of a language model that is asked once for each distinct text: by digest, joined back."""
-    kind = "digest string, answers array<struct<value:string,category:string>>"
+    """texts with `named`, the spans of a language model that is asked once for each distinct text, placed there and joined back by digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            answers = [[{"value": v, "category": c} for v, c in ask(t)] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(answers, pa.list_(pa.struct([("value", pa.string()), ("category", pa.string())])))], ["digest", "answers"])
+            spans = [[dict(zip(FIELDS, (a, b, c, v, confidence, "llm"), strict=True)) for a, b, c, v in placed(t, sorted(ask(t)))] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _arrow)], ["digest", "named"])
 
     keyed = texts.withColumn("digest", F.sha2(text, 256))
-    answers = keyed.filter(F.col(text).isNotNull()).select("digest", text).dropDuplicates(["digest"]).mapInArrow(run, kind)
-    both = keyed.join(answers, "digest", "left").drop("digest")
-    none = F.expr("cast(array() as array<struct<value:string,category:string>>)")
-    return both.withColumn("named", placed_values(F.col(text), F.coalesce("answers", none), confidence)).drop("answers")
+    named = keyed.filter(F.col(text).isNotNull()).select("digest", text).dropDuplicates(["digest"]).mapInArrow(run, f"digest string, named array<{SPAN}>")
+    return keyed.join(named, "digest", "left").drop("digest").withColumn("named", F.coalesce("named", F.expr(f"cast(array() as array<{SPAN}>)")))
 
 
 #: Networks that a detector's address may not lie in, but for this machine if asked for.

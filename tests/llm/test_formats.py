@@ -533,3 +533,24 @@ def test_pipeline_keeps_one_of_near_copies_by_jaccard(spark, data):
     assert out.columns == docs.columns
     assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == sorted(set(root.values()))
     assert any((simhash.fingerprint(dict(good)[i] or "") ^ simhash.fingerprint(dict(good)[r] or "")).bit_count() > 2 for i, r in root.items())
+
+
+def test_shards_have_several_files_at_production_values(spark, tmp_path):
+    """Some 40 MiB of payload: files roll by compressed size within shards, and each shard is one partition."""
+    import random
+
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(20_000)]
+    rows = [(i, "u", " ".join(rnd.choices(words, k=2_000))) for i in range(2_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    warc.write_warc(pages, f"{tmp_path}/out")
+    files = spark.read.schema(warc.MANIFEST).parquet(f"{tmp_path}/out/manifest").collect()
+    by_shard = {}
+    for f in files:
+        by_shard.setdefault(f["shard"], []).append(f["bytes"])
+    assert len(by_shard) == 3
+    assert all(len(sizes) > 1 and max(sizes) <= warc.SHARD_BYTES // warc.ROLL_SHARE for sizes in by_shard.values())
+    attempts = {f["temporary"].split("/")[1] for f in files}
+    assert len(attempts) == 3
+    back = warc.read_warc(spark, f"{tmp_path}/out").groupBy("record_type").count().collect()
+    assert [tuple(r) for r in back] == [("response", 2_000)]

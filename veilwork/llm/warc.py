@@ -1,9 +1,11 @@
 """A deterministic, sharded WARC writer, and a reader.
 
-Records are put in ranges of page_id that hold about shard_bytes of payload each (more if there would be over MOST_SHARDS of them: at
-16 MiB a shard that is beyond some 320 GB); the ranges come from exact histograms, each finer where one cell still holds too much, so
-they are the same in every run and no far id spoils them. A task writes its ranges in order; within one, files are rolled by their compressed size. Headers and
-digests are made anew. Each attempt writes files of its own under temporary names and reports them in rows; Spark keeps the rows
+Records are put in ranges of page_id that hold about shard_bytes of payload each. The ranges come from exact histograms, each finer where one
+cell still holds too much, so they are the same in every run and no far id spoils them; the driver holds their bounds, so there are MOST_SHARDS of
+them at most and beyond some 3 TB (16 MiB each) shards grow, to 500 MB at 100 TB. A task's memory does not grow with its shard: it is sorted by
+Spark, which spills, and written record by record. Each shard is a partition of its own, no more and no less. Within a shard files are rolled by
+their compressed size, at an eighth of the shard's payload where no size is given, so a shard has several files at any scale. Headers and digests
+are made anew. Each attempt writes files of its own under temporary names and reports them in rows; Spark keeps the rows
 of one attempt per task, these become the manifest, and only files of the manifest are renamed to their final names (a renaming
 that is done again finds the final name and goes on). A reader looks at the manifest only, so what a lost attempt has left behind
 is never read.
@@ -34,9 +36,10 @@ from veilwork.llm._common import cut, passing, shared_dir, table
 
 DATE = "2024-01-01T00:00:00Z"
 SHARD_BYTES = 16 << 20
-ROLL_BYTES = 64 << 20
+#: A file ends at this share of its shard's payload, compressed.
+ROLL_SHARE = 8
 CELLS = 4096
-MOST_SHARDS = 20_000
+MOST_SHARDS = 200_000
 
 
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -114,7 +117,6 @@ def _bounds(sized: DataFrame, shard_bytes: int) -> list[int]:
     low, high, total = sized.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).head()
     if low is None:
         return []
-    shard_bytes = max(shard_bytes, total // MOST_SHARDS)
     cells = {low: (high, total)}  # least id: greatest id, bytes
     while heavy := sorted(a for a, (b, n) in cells.items() if n > shard_bytes and b > a):
         # Each heavy cell is cut into parts of one width. Distances are decimals: ids may lie as far apart as a long can say.
@@ -140,14 +142,16 @@ def _bounds(sized: DataFrame, shard_bytes: int) -> list[int]:
     return out
 
 
-def write_warc(pages: DataFrame, out: str, least: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> str:
+def write_warc(pages: DataFrame, out: str, least: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int | None = None) -> str:
     """Write pages (page_id, url, html) to the folder out; returns the path of the manifest there."""
     spark = pages.sparkSession
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("html"))
     keys = cut(rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("dg"), F.octet_length("html").cast("long").alias("n")))
-    bounds = _bounds(keys.select("page_id", (F.col("n") + 400).alias("n")), shard_bytes)
-    n_shards = len(bounds) + 1
+    sized = keys.select("page_id", (F.col("n") + 400).alias("n"))
+    shard_bytes = max(shard_bytes, (sized.agg(F.sum("n")).head()[0] or 0) // MOST_SHARDS)
+    bounds = _bounds(sized, shard_bytes)
+    n_shards, roll = len(bounds) + 1, roll_bytes or shard_bytes // ROLL_SHARE
     shard = F.coalesce(_below(bounds, F.col("page_id")), F.lit(0)).cast("long").alias("shard")
 
     shared = keys.filter(F.col("n") >= least).groupBy("dg").agg(F.max("page_id").alias("target"), F.count("*").alias("c"), F.sum(F.col("page_id").isNull().cast("int")).alias("nulls")).filter("c > 1")
@@ -155,8 +159,7 @@ def write_warc(pages: DataFrame, out: str, least: int = 0, shard_bytes: int = SH
     marks = keys.join(shared, "dg").select("page_id", "dg", "target").distinct()
     page = rows.select(shard, "page_id", F.sha1(F.col("html").cast("binary")).alias("dg"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("target"), "url", "html")
     mark = marks.select(shard, "page_id", "dg", F.lit(0).alias("kind"), "target", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
-    # More partitions than shards, so that few of them meet by hash; Spark puts empty ones together.
-    ordered = page.unionByName(mark).repartition(4 * n_shards, "shard").sortWithinPartitions("shard", "page_id", "dg", "kind", "url")
+    ordered = page.unionByName(mark).repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "dg", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -168,7 +171,7 @@ def write_warc(pages: DataFrame, out: str, least: int = 0, shard_bytes: int = SH
                     if roller is not None:
                         roller.close()
                         done += roller.done
-                    roller, last = Roller(out, attempt, shard, roll_bytes), None
+                    roller, last = Roller(out, attempt, shard, roll), None
                 if last is None or last != (page_id, dg):
                     # The response takes number 0 of its id: it is what revisits refer to.
                     nth = nth + 1 if last is not None and last[0] == page_id else 0
@@ -259,7 +262,8 @@ def read_warc(spark: SparkSession, out: str, payload: bool = False) -> DataFrame
                     yield pack(rows)
 
     files = spark.read.schema(MANIFEST).parquet(f"{out}/manifest").select("name", "shard")
-    return files.repartition(max(1, files.count()), "shard").select("name").mapInArrow(run, schema)
+    last = files.agg(F.max("shard")).head()[0] or 0
+    return files.repartitionById(last + 1, F.col("shard").cast("int")).select("name").mapInArrow(run, schema)
 
 
 SQL = """

@@ -20,7 +20,7 @@ of d and e shingles apart, of texts of n and m, differ from one another in d + e
 pairs of this kind are connected by links with the member nearest to the middle. Any other link needs shared ones among what sets the
 two apart, 2 of them for each that d + e is beyond (n + m) / 9, so it is found by an exact join by prefixes once more: the group's
 rarest come first, what few of the members have or lack. Copies with changes of their own thus meet where they share a change, not
-in pairs. No link is lost, whatever the middle and the order.
+in pairs. No link is lost, whatever the middle and the order, but for the chance of 1e-14 that the fingerprints' prune has.
 
 Defined results: words are those of the fingerprints (ASCII letters in lower case), a text of fewer than five is one shingle.
 Null texts and texts without words are copies of each other. Shingles and word sequences are told apart by 64-bit hashes. Rows with

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import operator
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,13 +12,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwork.functions.canonical import GENESIS, entry_hash
+from veilwork.functions.shared import shared_folder
 from veilwork.operators.audit_schema import violations
 
-HASHED = "file string, line_no int, ok boolean, seq long, prev_hash string, stored string, computed string, violations array<string>"
+HASHED = "file string, part long, line_no long, ok boolean, seq long, prev_hash string, stored string, computed string, violations array<string>"
 
 
 def hashed(lines: DataFrame) -> DataFrame:
-    """Each line with the hash it claims and the hash it has. The line itself is hashed, so what it lacks stays missing."""
+    """Each line with the hash it claims and the hash it has. The line itself is hashed, so what it lacks stays missing.
+
+    lines have file, line_no, line and, as read_lines gives it, the part of the file; without it a file is one part.
+    """
     types = [pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
     names = [x.split(" ")[0] for x in HASHED.split(", ")]
 
@@ -36,39 +42,56 @@ def hashed(lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*map(one, batch.column(2).to_pylist()), strict=True)) or [()] * len(types)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(rows, types, strict=True))], names)
+            rows = list(zip(*map(one, batch.column(3).to_pylist()), strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, t) for c, t in zip(rows, types, strict=True))], names)
 
-    return lines.select("file", "line_no", "line").mapInArrow(run, HASHED)
+    part = F.col("part") if "part" in lines.columns else F.lit(0)
+    return lines.select("file", part.cast("long").alias("part"), F.col("line_no").cast("long").alias("line_no"), "line").mapInArrow(run, HASHED)
 
 
-def linked(rows: DataFrame, order: str = "line_no", file: str = "file", stored: str = "stored") -> DataFrame:
+def linked(rows: DataFrame, order: str = "line_no", file: str = "file", stored: str = "stored", part: str | None = None) -> DataFrame:
     """rows with `expected`, the stored hash of the row before (as it is stored, right or not), or the genesis hash.
 
-    Files are windows of their own; only the last hash of each goes on to the next file, so no task holds the whole log.
+    Files, or with `part` the parts of files, are windows of their own; only the last hash of each goes on to the next, so no task holds the
+    whole log, nor the whole of a large file.
     """
-    within = Window.partitionBy(file).orderBy(order)
-    ends = rows.groupBy(file).agg(F.max_by(F.coalesce(F.col(stored), F.lit("")), order).alias("last"))
-    starts = ends.select(F.col(file).alias("f"), F.lag("last", 1, GENESIS).over(Window.orderBy(file)).alias("before"))  # a row for each file
-    both = rows.join(starts, rows[file] == starts["f"])
-    return both.withColumn("expected", F.coalesce(F.lag(F.coalesce(F.col(stored), F.lit("")), 1).over(within), F.col("before"))).drop("f", "before")
+    keys = [file] if part is None else [file, part]
+    within = Window.partitionBy(*keys).orderBy(order)
+    ends = rows.groupBy(*keys).agg(F.max_by(F.coalesce(F.col(stored), F.lit("")), order).alias("last"))
+    names = [f"__{k}" for k in keys]
+    starts = ends.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.lag("last", 1, GENESIS).over(Window.orderBy(*keys)).alias("before"))  # a row for each part
+    same = functools.reduce(operator.and_, [rows[k] == starts[n] for k, n in zip(keys, names, strict=True)])
+    both = rows.join(starts, same)
+    return both.withColumn("expected", F.coalesce(F.lag(F.coalesce(F.col(stored), F.lit("")), 1).over(within), F.col("before"))).drop(*names, "before")
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """rows written to the shared folder once, for several uses."""
+    shared_folder(rows.sparkSession)
+    return rows.checkpoint()
 
 
 def faults(lines: DataFrame) -> DataFrame:
     """(file, line_no, seq, fault): broken JSON, broken links, changed records. A line of broken JSON does not move the chain."""
-    rows = hashed(lines)
-    good = linked(rows.filter("ok"))
-    broken = rows.filter("not ok").select("file", "line_no", "seq", F.lit("invalid JSON").alias("fault"))
-    link = good.filter(~F.col("prev_hash").eqNullSafe(F.col("expected"))).select("file", "line_no", "seq", F.lit("chain broken").alias("fault"))
-    changed = good.filter(~F.coalesce("stored", F.lit("")).eqNullSafe(F.col("computed"))).select("file", "line_no", "seq", F.lit("entry tampered").alias("fault"))
-    return broken.union(link).union(changed)
+    return _faults(stored(hashed(lines)))
 
 
-def verify(lines: DataFrame) -> dict:
-    """valid, the faults in order, and the highest seq."""
-    found = [f"{r['file']}:{r['line_no']} seq={r['seq']} -- {r['fault']}" for r in faults(lines).orderBy("file", "line_no", "fault").collect()]
-    last = hashed(lines).agg(F.max("seq")).head()[0]
-    return {"valid": not found, "errors": found, "final_seq": last or 0}
+def _faults(rows: DataFrame) -> DataFrame:
+    good = linked(rows.filter("ok"), part="part")
+    broken = rows.filter("not ok").select("file", "line_no", "seq", F.lit("invalid JSON").alias("fault"))
+    link = F.when(~F.col("prev_hash").eqNullSafe(F.col("expected")), "chain broken")
+    changed = F.when(~F.coalesce("stored", F.lit("")).eqNullSafe(F.col("computed")), "entry tampered")
+    return broken.union(good.select("file", "line_no", "seq", F.explode(F.array_compact(F.array(link, changed))).alias("fault")))
+
+
+def verify(lines: DataFrame, most: int = 1000) -> dict:
+    """valid, the faults in order, and the highest seq; of many faults the first and error_count, how many there are. Lines are hashed once; `faults` is the whole table of faults."""
+    rows = stored(hashed(lines))
+    found = _faults(rows)
+    first = [f"{r['file']}:{r['line_no']} seq={r['seq']} -- {r['fault']}" for r in found.orderBy("file", "line_no", "fault").limit(most).collect()]
+    last = rows.agg(F.max("seq")).head()[0]
+    more = {"error_count": found.count()} if len(first) == most else {}
+    return {"valid": not first, "errors": first, "final_seq": last or 0} | more
 
 
 def stats(records: DataFrame) -> dict:

@@ -8,25 +8,37 @@ import os
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilwork.errors import ChainIntegrityError
 from veilwork.functions.canonical import GENESIS, entry_hash
 from veilwork.operators.audit_schema import checked
 
-LINE = "file string, line_no int, line string"
+LINE = "file string, part long, line_no long, line string"
+#: What is cut off the ends of a line: blanks, tabs, carriage returns (of CRLF), form feeds.
+BLANK = " \t\r\f\v"
 
 
 def read_lines(spark: SparkSession, folder: str, names: str = "audit_*.jsonl") -> DataFrame:
-    """file, line_no (from 1, blank lines counted), line; blank lines are left out. A folder without such files has no lines."""
+    """file, part, line_no (from 1, blank lines counted), line; blank lines are left out. A folder without such files has no lines.
+
+    Files are read by byte ranges (Spark's splits), many tasks to a file; `part` is where a line's range begins. Spark counts the rows of a range
+    one by one, so a line's number in its range is known without moving it. A first pass counts the lines of each range, one row for a range; their
+    sums in order of ranges give the numbers in the file. A line belongs to the range in which it begins. A last line without end is a line.
+    """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{names}")
     found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)
     if not found:
         return spark.createDataFrame([], LINE)
-    whole = spark.read.text(f"{folder}/{names}", wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    return lines.select("file", (F.col("n") + 1).cast("int").alias("line_no"), F.trim("line").alias("line")).filter("line <> ''")
+    raw = spark.read.text(f"{folder}/{names}", lineSep="\n").select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+    ranges = raw.groupBy("file", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.select("file", "part", (F.col("first") - earlier - 1).alias("zero"))
+    lines = raw.join(starts, ["file", "part"]).select("file", "part", (F.col("at") - F.col("zero")).alias("line_no"), F.btrim("value", F.lit(BLANK)).alias("line"))
+    return lines.filter("line <> ''")
 
 
 #: The fields of a record that reports read; what a line lacks is null.

@@ -49,17 +49,18 @@ def hashed(lines: DataFrame) -> DataFrame:
     return lines.select("file", part.cast("long").alias("part"), F.col("line_no").cast("long").alias("line_no"), "line").mapInArrow(run, HASHED)
 
 
-def linked(rows: DataFrame, order: str = "line_no", file: str = "file", stored: str = "stored", part: str | None = None) -> DataFrame:
+def linked(rows: DataFrame, order: str = "line_no", file: str = "file", stored: str = "stored", part: str | None = None, apart: bool = False) -> DataFrame:
     """rows with `expected`, the stored hash of the row before (as it is stored, right or not), or the genesis hash.
 
     Files, or with `part` the parts of files, are windows of their own; only the last hash of each goes on to the next, so no task holds the
-    whole log, nor the whole of a large file.
+    whole log, nor the whole of a large file. With `apart` each file is a chain of its own.
     """
     keys = [file] if part is None else [file, part]
     within = Window.partitionBy(*keys).orderBy(order)
     ends = rows.groupBy(*keys).agg(F.max_by(F.coalesce(F.col(stored), F.lit("")), order).alias("last"))
+    ordered = Window.partitionBy(file).orderBy(*keys) if apart else Window.orderBy(*keys)
     names = [f"__{k}" for k in keys]
-    starts = ends.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.lag("last", 1, GENESIS).over(Window.orderBy(*keys)).alias("before"))  # a row for each part
+    starts = ends.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.lag("last", 1, GENESIS).over(ordered).alias("before"))  # a row for each part
     same = functools.reduce(operator.and_, [rows[k] == starts[n] for k, n in zip(keys, names, strict=True)])
     both = rows.join(starts, same)
     return both.withColumn("expected", F.coalesce(F.lag(F.coalesce(F.col(stored), F.lit("")), 1).over(within), F.col("before"))).drop(*names, "before")
@@ -71,13 +72,14 @@ def stored(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
-def faults(lines: DataFrame) -> DataFrame:
-    """(file, line_no, seq, fault): broken JSON, broken links, changed records. A line of broken JSON does not move the chain."""
-    return _faults(stored(hashed(lines)))
+def faults(lines: DataFrame, apart: bool = False) -> DataFrame:
+    """(file, line_no, seq, fault): broken JSON, broken links, changed records. A line of broken JSON does not move the chain. With `apart` each
+    file is a chain of its own."""
+    return _faults(stored(hashed(lines)), apart)
 
 
-def _faults(rows: DataFrame) -> DataFrame:
-    good = linked(rows.filter("ok"), part="part")
+def _faults(rows: DataFrame, apart: bool = False) -> DataFrame:
+    good = linked(rows.filter("ok"), part="part", apart=apart)
     broken = rows.filter("not ok").select("file", "line_no", "seq", F.lit("invalid JSON").alias("fault"))
     link = F.when(~F.col("prev_hash").eqNullSafe(F.col("expected")), "chain broken")
     changed = F.when(~F.coalesce("stored", F.lit("")).eqNullSafe(F.col("computed")), "entry tampered")
@@ -115,24 +117,30 @@ def metrics(records: DataFrame) -> DataFrame:
     return records.groupBy("event_type").agg(F.count("*").alias("calls"), F.sum("latency_ms").alias("total_ms"), F.avg("latency_ms").alias("avg_ms"), F.sum("entity_count").alias("entities"))
 
 
-def chained(entries: DataFrame, order: str = "seq", chain: str | None = None) -> DataFrame:
+def chained(entries: DataFrame, order: str = "seq", chain: str | None = None, starts: DataFrame | None = None) -> DataFrame:
     """entries (order, entry as JSON text, and the chain's name) -> seq, entry, prev_hash, entry_hash.
 
-    Without a chain's name there is one chain; a chain is serial, so it is folded in order by one task that streams it.
+    Without a chain's name there is one chain; a chain is serial, so it is folded in order by one task that streams it (streaming.shards parts a
+    log into many). starts (chain, next, head) tells where chains go on; one that is not in it begins.
     """
     keys = [chain] if chain else []
     rows = entries.select(*keys, order, "entry")
-    rows = (rows.repartition(chain) if chain else rows.coalesce(1)).sortWithinPartitions(*keys, order)
+    begin = [F.lit(0).cast("long").alias("__next"), F.lit(GENESIS).alias("__head")]
+    if starts is not None:
+        rows = rows.join(starts.select(chain, F.col("next").alias("__n"), F.col("head").alias("__h")), chain, "left")
+        begin = [F.coalesce("__n", F.lit(0).cast("long")).alias("__next"), F.coalesce("__h", F.lit(GENESIS)).alias("__head")]
+    rows = rows.select(*keys, order, *begin, "entry")
+    rows = (rows.repartition(chain) if chain else rows.coalesce(1)).sortWithinPartitions(*keys, order, "entry").drop(order)
     fields = [f"{k} {entries.schema[k].dataType.simpleString()}" for k in keys] + ["seq long", "entry string", "prev_hash string", "entry_hash string"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, seq, last = None, 0, GENESIS
+        at, begun, seq, last = None, False, 0, GENESIS
         for batch in batches:
             seqs, texts, befores, hashes = [], [], [], []
             names = batch.column(0).to_pylist() if keys else [None] * batch.num_rows
-            for name, text in zip(names, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if name != at:
-                    at, seq, last = name, 0, GENESIS
+            for name, first, head, text in zip(names, *(batch.column(batch.num_columns - k).to_pylist() for k in (3, 2, 1)), strict=True):
+                if name != at or not begun:
+                    at, begun, seq, last = name, True, first, head
                 entry = {**json.loads(text), "seq": seq, "prev_hash": last}
                 befores.append(last)
                 entry["entry_hash"] = last = entry_hash(entry)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilwork.config import Detect
@@ -29,8 +29,10 @@ from veilwork.operators.provenance import provenance
 from veilwork.plans import detection
 from veilwork.plans.detection import tokenized_sql
 from veilwork.plans.sql import spans_sql
+from veilwork.sources.audit_log import read_lines
 from veilwork.streaming.restore import restored_stream
 from veilwork.streaming.sessions import masked_stream
+from veilwork.streaming.shards import ShardedLog
 from veilwork.streaming.state import drain
 
 #: Columns of the view in the language that Spark and DuckDB share; {ts} is the time as text.
@@ -169,6 +171,45 @@ def chain_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return whole.union(torn)
 
 
+SHARDS = 16
+
+
+def sharded_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of events appended by a stream to a log of 16 chains, in three batches of which the first comes twice: each chain's end and faults."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    entry = F.to_json(F.struct("event_type", F.struct(F.col("event_id").alias("event"), F.col("user_id").alias("user")).alias("metadata")))
+    entries = e.select(F.col("event_id").cast("string").alias("key"), F.col("event_id").alias("order"), entry.alias("entry"))
+    path, folder = passing(spark, "shards"), f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    try:
+        log = ShardedLog(spark, f"{folder}/log", SHARDS)
+        for k in range(3):
+            entries.filter(F.col("order") % 3 == k).write.mode("append").parquet(f"{folder}/in")
+            log.stream(spark.readStream.schema(entries.schema).parquet(f"{folder}/in"), f"{folder}/progress").awaitTermination()
+            log.append(entries.filter(F.col("order") % 3 == 0), 0)  # was committed: adds nothing
+        wrong = log.faults().groupBy("shard").agg(F.count("*").alias("n"))
+        heads = log.heads().join(wrong, "shard", "left")
+        heads.select("shard", F.col("next").alias("records"), "head", F.coalesce("n", F.lit(0)).cast("long").alias("faults")).write.parquet(path)
+    finally:
+        removed(spark, folder)
+    return spark.read.parquet(path)
+
+
+def log_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as lines of JSON in order of their ids, read back by byte ranges: each one's number in the whole, and its text's digest."""
+    path, folder = passing(spark, "ranges"), f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    try:
+        docs.orderBy("doc_id").select(F.to_json(F.struct("doc_id", "text")).alias("value")).write.text(f"{folder}/log")
+        lines = read_lines(spark, f"{folder}/log", "part-*")
+        sizes = lines.groupBy("file").agg(F.max("line_no").alias("n"))  # a row for each file
+        before = sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        got = lines.join(before, "file").select((F.col("before") + F.col("line_no")).alias("line_no"), F.from_json("line", "doc_id long, text string").alias("r"))
+        got.select("line_no", "r.doc_id", F.sha2("r.text", 256).alias("text_sha256")).write.parquet(path)
+    finally:
+        removed(spark, folder)
+    return spark.read.parquet(path)
+
+
 def _tree(spark: SparkSession, sf: str) -> B.Tree:
     docs = spread(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
     return B.built(docs, "doc_id", "h", passing(spark, "tree"))
@@ -312,7 +353,7 @@ QUERIES = {
     "category_sums": category_sums, "metrics_rollup": metrics_rollup, "latency_bucket": latency_bucket, "validity_window": validity_window,
     "revocation_rollup": revocation_rollup, "verify_chain_links": chain_links, "chain_roundtrip": chain_roundtrip, "merkle_root": merkle_root,
     "merkle_proofs": merkle_proofs, "provenance_checks": provenance_checks, "eval_prf": eval_prf, "eval_coverage": eval_coverage, "native_vs_reference_scan": native_vs_reference_scan,
-    "stream_restore": stream_restore, "stream_sessions": stream_sessions,
+    "stream_restore": stream_restore, "stream_sessions": stream_sessions, "sharded_chain": sharded_chain, "log_ranges": log_ranges,
 }
 
 _keys = ", ".join(f"('{k}', TIMESTAMP '{b[:-1].replace('T', ' ')}', {'NULL' if e is None else 'TIMESTAMP ' + chr(39) + e[:-1].replace('T', ' ') + chr(39)})" for k, b, e in KEYS)
@@ -360,6 +401,13 @@ SELECT d.*, coalesce(categories, '') AS categories FROM d LEFT JOIN sj USING (de
 SELECT p.key_id, count(*) AS certified, count(*) FILTER ("timestamp" >= t) AS after_revocation FROM p JOIN r ON p.key_id = r.key_id WHERE certificate_hash IS NOT NULL GROUP BY p.key_id""",
     "verify_chain_links": """WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS file, event_id AS line_no, sha256(concat_ws('|', event_id, event_type, props)) AS stored FROM events)
 SELECT file, line_no, coalesce(lag(stored) OVER (ORDER BY file, line_no), repeat('0', 64)) AS expected, line_no % 101 = 7 AS broken FROM e""",
+    "sharded_chain": f"""WITH RECURSIVE e AS (SELECT CAST(('0x' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 8))::BIGINT % {SHARDS} AS INT) AS shard, event_id,
+  '{{"event_type":"' || event_type || '","metadata":{{"event":' || event_id || ',"user":' || user_id || '}},"prev_hash":"' AS entry FROM events),
+n AS (SELECT shard, entry, row_number() OVER (PARTITION BY shard ORDER BY event_id % 3, event_id) - 1 AS seq FROM e),
+c AS (SELECT shard, seq, sha256(entry || repeat('0', 64) || '","seq":0}}') AS head FROM n WHERE seq = 0
+  UNION ALL SELECT n.shard, n.seq, sha256(n.entry || c.head || '","seq":' || n.seq || '}}') FROM c JOIN n ON n.shard = c.shard AND n.seq = c.seq + 1)
+SELECT shard, count(*) AS records, arg_max(head, seq) AS head, 0::BIGINT AS faults FROM c GROUP BY shard""",
+    "log_ranges": "SELECT row_number() OVER (ORDER BY doc_id) AS line_no, doc_id, sha256(text) AS text_sha256 FROM documents",
     "provenance_checks": _provenance,
     "merkle_root": f"{_levels} SELECT h AS root, CAST(level AS BIGINT) AS levels FROM up WHERE n = 1",
     "merkle_proofs": f"{_levels} SELECT h AS root, (SELECT count(*) FROM leaves) AS leaves FROM up WHERE n = 1",

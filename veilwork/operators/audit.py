@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from veilwork.functions.canonical import GENESIS, entry_hash
 from veilwork.functions.shared import shared_folder
 from veilwork.operators.audit_schema import violations
+from veilwork.operators.schema_columns import schema_faults  # noqa: F401
 
 HASHED = "file string, part long, line_no long, ok boolean, seq long, prev_hash string, stored string, computed string, violations array<string>"
 
@@ -154,11 +155,6 @@ def chained(entries: DataFrame, order: str = "seq", chain: str | None = None, st
     return rows.mapInArrow(run, ", ".join(fields))
 
 
-def schema_faults(lines: DataFrame) -> DataFrame:
-    """(file, line_no, violation), one row per violation."""
-    return hashed(lines).filter("ok").select("file", "line_no", F.explode("violations").alias("violation"))
-
-
 def latency_bucket(ms):
     """Rounded to ten milliseconds, half to even: finer times would tell what was restored."""
     return F.bround(ms / 10) * 10

@@ -22,12 +22,18 @@ MAX_DEPTH, MAX_TEXT = 3, 256
 Test = Callable[[object], bool]
 
 
+def named(test: Test, *rule) -> Test:
+    """test with the rule that it states, which `schema_columns` compiles to a column."""
+    test.rule = rule
+    return test
+
+
 def text(most: int = 256, least: int = 0) -> Test:
-    return lambda v: isinstance(v, str) and least <= len(v) <= most and "\0" not in v
+    return named(lambda v: isinstance(v, str) and least <= len(v) <= most and "\0" not in v, "text", most, least)
 
 
 def one_of(*values: str) -> Test:
-    return lambda v: isinstance(v, str) and v in values
+    return named(lambda v: isinstance(v, str) and v in values, "one_of", *values)
 
 
 def number(v: object) -> bool:
@@ -44,7 +50,7 @@ def flag(v: object) -> bool:
 
 def like(pattern: str, most: int) -> Test:
     compiled = re.compile(pattern)
-    return lambda v: isinstance(v, str) and len(v) <= most and compiled.fullmatch(v) is not None
+    return named(lambda v: isinstance(v, str) and len(v) <= most and compiled.fullmatch(v) is not None, "like", pattern, most)
 
 
 def metadata_faults(value: object, path: str, depth: int) -> Iterator[str]:
@@ -75,6 +81,9 @@ def _metrics(v: object) -> bool:
     return isinstance(v, dict) and len(v) <= 64 and not any(True for k, x in v.items() for _ in metadata_faults(x, k, 2))
 
 
+for _test, _rule in ((number, "number"), (whole, "whole"), (flag, "flag"), (_counts, "counts"), (_names, "names"), (_metrics, "metrics")):
+    named(_test, _rule)
+
 #: Part -> (event types that may carry it, required fields, a test for each allowed field).
 PARTS: dict[str, tuple[frozenset[str], frozenset[str], dict[str, Test]]] = {
     "bias_context": (
@@ -101,6 +110,9 @@ PARTS: dict[str, tuple[frozenset[str], frozenset[str], dict[str, Test]]] = {
 }
 
 
+DECISION, PIN = like(r"[\x21-\x7E]{1,64}", 64), text(256)
+
+
 def violations(entry: dict) -> list[str]:
     """Everything that the record may not hold; empty if it is fine."""
     return list(_violations(entry))
@@ -109,7 +121,11 @@ def violations(entry: dict) -> list[str]:
 def _violations(entry: dict) -> Iterator[str]:
     for k in sorted(set(entry) - FIELDS):
         yield f"{k}: unknown field"
-    for i, detail in enumerate(entry.get("entity_details") or []):
+    details = entry.get("entity_details")
+    if details and not isinstance(details, list):
+        yield "entity_details: no list"
+        details = None
+    for i, detail in enumerate(details or []):
         if not isinstance(detail, dict):
             yield f"entity_details[{i}]: no object"
             continue
@@ -121,9 +137,9 @@ def _violations(entry: dict) -> Iterator[str]:
     else:
         for k, v in metadata.items():
             yield from metadata_faults(v, f"metadata.{k}", 1)
-    if (i := entry.get("decision_id")) is not None and not like(r"[\x21-\x7E]{1,64}", 64)(i):
+    if (i := entry.get("decision_id")) is not None and not DECISION(i):
         yield "decision_id: not 1 to 64 printable characters"
-    if (p := entry.get("system_version_pin")) is not None and not text(256)(p):
+    if (p := entry.get("system_version_pin")) is not None and not PIN(p):
         yield "system_version_pin: no text of at most 256 characters"
     for part, (events, required, tests) in PARTS.items():
         got = entry.get(part)

@@ -26,6 +26,7 @@ from veilwork.operators import evaluate as E
 from veilwork.operators import masking as M
 from veilwork.operators import report as R
 from veilwork.operators.provenance import provenance
+from veilwork.operators.schema_columns import faults
 from veilwork.plans import detection
 from veilwork.plans.detection import tokenized_sql
 from veilwork.plans.sql import spans_sql
@@ -194,6 +195,28 @@ def sharded_chain(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: What every 13th record gets beyond its fields, and what is found in it. Each is a field of JSON text.
+PLANTED = {
+    1: ('"odd":1', "odd: unknown field"),
+    2: ('"decision_id":"a b"', "decision_id: not 1 to 64 printable characters"),
+    3: ('"metadata":{"a":{"b":{"c":{"d":1}}}}', "metadata.a.b.c.d: nested too deeply"),
+    4: ('"entity_details":[{"start":1},{"value":"x"}]', "entity_details[1].value: a value of the text"),
+    5: ('"content_context":{"modality":"text","synthetic":true,"labeled":1,"disclosure_method":"none","deepfake":false}', "content_context.labeled: bad value"),
+    6: ('"content_context":{"modality":"text","synthetic":true,"labeled":true,"disclosure_method":"none","body":"x"}', "content_context.body: content itself;content_context.deepfake: missing"),
+    7: ('"bias_context":{"session_id":null}', "bias_context.session_id: null;bias_context: not in a record of type content_generation"),
+    8: ('"checkpoint_context":[]', "checkpoint_context: no object"),
+}
+
+
+def schema_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of events with planted faults, checked by columns: what is found in each, joined in order."""
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", (F.col("event_id") % 13).alias("k"))
+    more = F.coalesce(F.get(F.array(*[F.lit("," + PLANTED[k][0] if k in PLANTED else "") for k in range(13)]), F.col("k").cast("int")), F.lit(""))
+    line = F.concat(F.lit('{"seq":'), F.col("event_id").cast("string"), F.lit(',"event_type":"content_generation"'), more, F.lit("}"))
+    found = e.select("event_id", line.alias("line")).select("event_id", faults(F.col("line")).alias("found"))
+    return found.select("event_id", F.array_join(F.array_sort("found"), ";").alias("violations"))
+
+
 def log_ranges(spark: SparkSession, sf: str) -> DataFrame:
     """Documents written as lines of JSON in order of their ids, read back by byte ranges: each one's number in the whole, and its text's digest."""
     path, folder = passing(spark, "ranges"), f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
@@ -353,7 +376,7 @@ QUERIES = {
     "category_sums": category_sums, "metrics_rollup": metrics_rollup, "latency_bucket": latency_bucket, "validity_window": validity_window,
     "revocation_rollup": revocation_rollup, "verify_chain_links": chain_links, "chain_roundtrip": chain_roundtrip, "merkle_root": merkle_root,
     "merkle_proofs": merkle_proofs, "provenance_checks": provenance_checks, "eval_prf": eval_prf, "eval_coverage": eval_coverage, "native_vs_reference_scan": native_vs_reference_scan,
-    "stream_restore": stream_restore, "stream_sessions": stream_sessions, "sharded_chain": sharded_chain, "log_ranges": log_ranges,
+    "stream_restore": stream_restore, "stream_sessions": stream_sessions, "sharded_chain": sharded_chain, "log_ranges": log_ranges, "schema_columns": schema_columns,
 }
 
 _keys = ", ".join(f"('{k}', TIMESTAMP '{b[:-1].replace('T', ' ')}', {'NULL' if e is None else 'TIMESTAMP ' + chr(39) + e[:-1].replace('T', ' ') + chr(39)})" for k, b, e in KEYS)
@@ -407,6 +430,7 @@ n AS (SELECT shard, entry, row_number() OVER (PARTITION BY shard ORDER BY event_
 c AS (SELECT shard, seq, sha256(entry || repeat('0', 64) || '","seq":0}}') AS head FROM n WHERE seq = 0
   UNION ALL SELECT n.shard, n.seq, sha256(n.entry || c.head || '","seq":' || n.seq || '}}') FROM c JOIN n ON n.shard = c.shard AND n.seq = c.seq + 1)
 SELECT shard, count(*) AS records, arg_max(head, seq) AS head, 0::BIGINT AS faults FROM c GROUP BY shard""",
+    "schema_columns": f"SELECT event_id, CASE event_id % 13 {' '.join(f'WHEN {k} THEN {chr(39)}{said}{chr(39)}' for k, (_, said) in PLANTED.items())} ELSE '' END AS violations FROM events",
     "log_ranges": "SELECT row_number() OVER (ORDER BY doc_id) AS line_no, doc_id, sha256(text) AS text_sha256 FROM documents",
     "provenance_checks": _provenance,
     "merkle_root": f"{_levels} SELECT h AS root, CAST(level AS BIGINT) AS levels FROM up WHERE n = 1",

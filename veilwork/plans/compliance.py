@@ -30,7 +30,7 @@ from veilwork.operators.schema_columns import faults
 from veilwork.plans import detection
 from veilwork.plans.detection import tokenized_sql
 from veilwork.plans.sql import spans_sql
-from veilwork.sources.audit_log import read_lines
+from veilwork.sources.audit_log import RANGES, read_lines
 from veilwork.streaming.restore import restored_stream
 from veilwork.streaming.sessions import masked_stream
 from veilwork.streaming.shards import ShardedLog
@@ -226,7 +226,7 @@ def log_ranges(spark: SparkSession, sf: str) -> DataFrame:
         lines = read_lines(spark, f"{folder}/log", "part-*")
         sizes = lines.groupBy("file").agg(F.max("line_no").alias("n"))  # a row for each file
         before = sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-        got = lines.join(before, "file").select((F.col("before") + F.col("line_no")).alias("line_no"), F.from_json("line", "doc_id long, text string").alias("r"))
+        got = lines.join(F.broadcast(before) if len(docs.sparkSession.read.text(f"{folder}/log").inputFiles()) <= RANGES else before, "file").select((F.col("before") + F.col("line_no")).alias("line_no"), F.from_json("line", "doc_id long, text string").alias("r"))
         got.select("line_no", "r.doc_id", F.sha2("r.text", 256).alias("text_sha256")).write.parquet(path)
     finally:
         removed(spark, folder)

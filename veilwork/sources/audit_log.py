@@ -19,6 +19,13 @@ LINE = "file string, part long, line_no long, line string"
 #: What is cut off the ends of a line: blanks, tabs, carriage returns (of CRLF), form feeds.
 BLANK = " \t\r\f\v"
 
+#: Ranges whose starts are broadcast, some 8 MB; a range has openCostInBytes at least (4 MB by default). Beyond that Spark chooses the join.
+RANGES = 100_000
+
+
+def _conf_bytes(spark: SparkSession, name: str) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+
 
 def read_lines(spark: SparkSession, folder: str, names: str = "audit_*.jsonl") -> DataFrame:
     """file, part, line_no (from 1, blank lines counted), line; blank lines are left out. A folder without such files has no lines.
@@ -37,7 +44,8 @@ def read_lines(spark: SparkSession, folder: str, names: str = "audit_*.jsonl") -
     ranges = raw.groupBy("file", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = ranges.select("file", "part", (F.col("first") - earlier - 1).alias("zero"))
-    lines = raw.join(starts, ["file", "part"]).select("file", "part", (F.col("at") - F.col("zero")).alias("line_no"), F.btrim("value", F.lit(BLANK)).alias("line"))
+    most = int(str(raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // max(1, _conf_bytes(spark, "spark.sql.files.openCostInBytes")) + len(found)
+    lines = raw.join(F.broadcast(starts) if most <= RANGES else starts, ["file", "part"]).select("file", "part", (F.col("at") - F.col("zero")).alias("line_no"), F.btrim("value", F.lit(BLANK)).alias("line"))
     return lines.filter("line <> ''")
 
 

@@ -13,9 +13,8 @@ committed raises. Other columns are left aside.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 from pyspark.sql.streaming import StreamingQuery
 
 from veilwork.errors import ChainIntegrityError, ConfigError
@@ -96,7 +95,8 @@ class ShardedLog:
         after = shards.join(before, "shard", "left").join(new, "shard", "left").select(
             "shard", F.coalesce("n", "next", F.lit(0).cast("long")).alias("next"), F.coalesce("h", "head", F.lit(GENESIS)).alias("head"), F.lit(batch).cast("long").alias("batch")
         )
-        both = after.join(_root(after), "batch").select("shard", "next", "head", "root", _seal(F.lit(seal), F.col("root")).alias("seal"))
+        root = _root(after).head()["root"]
+        both = after.select("shard", "next", "head", F.lit(root).alias("root"), _seal(F.lit(seal), F.lit(root)).alias("seal"))
         both.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/heads/batch={batch}")
 
     def stream(self, entries: DataFrame, progress: str, **trigger) -> StreamingQuery:

@@ -27,14 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwork.llm._common import cut, identified, stored, table
-from veilwork.llm.near_copies import PAIRED, Ratio, connected, mixed, owners, shingles
+from veilwork.llm._common import identified, stored, table
+from veilwork.llm.near_copies import PAIRED, Ratio, connected, matched, mixed, owners, shingles
 
 LINKED = Ratio(17, 20)
 BUCKETS, MANTISSA, ROWS = 128, 10, 4
 BANDS = BUCKETS // ROWS
-#: The share of a table's rows beyond which a key is heavy; at most so many keys are.
-HEAVY = 1000
 _salt = np.uint64(0x8EBC6AF09C88C6E3)
 #: For each bucket the order in which it looks for a register if it is empty: buckets by hash.
 _donors = np.argsort(mixed(np.arange(1, BUCKETS * BUCKETS + 1, dtype=np.uint64) * _salt).reshape(BUCKETS, BUCKETS), axis=1, kind="stable")
@@ -123,18 +121,6 @@ def likely(pairs: DataFrame, held: DataFrame, ratio: Ratio) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long")
 
 
-def matched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """left (stored) with the row of right (one for each key) that has its key, or nulls.
-
-    Keys with more than a thousandth of left's rows are at most a thousand, so their rows of right go to every task; no other key is hot.
-    """
-    total = left.count()
-    heavy = cut(left.groupBy(key).count().filter(F.col("count") * HEAVY > total).select(key))
-    some = F.broadcast(heavy)
-    of_heavy = F.broadcast(right.join(some, key, "left_semi"))
-    return left.join(some, key, "left_semi").join(of_heavy, key, "left").union(left.join(some, key, "left_anti").join(right, key, "left"))
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ratio: Ratio = LINKED) -> DataFrame:
     """key, n_shingles, component_id (the least key reachable) for each row."""
     rows = identified(docs, key)

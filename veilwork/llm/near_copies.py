@@ -50,6 +50,10 @@ WIDE, WIDE_BITS, SMALL = 4, 88, 17
 SAMPLED, SEEN, COMMON = 32, 3, 100_000
 #: In large groups shingles met in SEEN members count; the most frequent KNOWN of all groups are broadcast, other ones count as rare.
 KNOWN = 1_000_000
+#: Members, about, that tell the middle of a group that has been merged from others. Links are the same whatever the middle is.
+TOLD = 256
+#: The share of a table's rows beyond which a key is heavy; at most so many keys are.
+HEAVY = 1000
 #: Rows named by a list of up to so many bytes are found by sending the list about, by a shuffle join beyond.
 BROADCAST_BYTES = 32 << 20
 _odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -219,7 +223,8 @@ def connected(members: DataFrame, pruned: Callable[[DataFrame], DataFrame], rows
     Every two nodes that are linked share a group; at is the place of s in the node's set, 0 where groups tell nothing of places. least and
     size are the group's least node and number of members. pruned drops pairs (a, b) that cannot be linked; whole sets tell of the others.
     owned are the owners of the nodes, whose rows have their texts.
-    merged makes one of crowded groups that share members, so that a node has a set to tell apart once and not once for each group.
+    merged makes one of crowded groups that share members, so that a node has a set to tell apart once and not once for each group; the
+    middles of such groups, of any size, are those of TOLD members, and no row is joined by a group that holds many.
     Groups of more than `crowded` nodes (CROWDED where it is not given) are crowded.
     """
     crowded = crowded or CROWDED
@@ -239,7 +244,7 @@ def connected(members: DataFrame, pruned: Callable[[DataFrame], DataFrame], rows
             crowd = crowd.select("node", "root").distinct().join(hubs, "node").select("hub", "node", "root")
         crowd = cut(crowd)
         if crowd.head(1):
-            apart = _apart(crowd, _sets_of(crowd.select("node").distinct(), rows, owned, text), ratio)
+            apart = _apart(crowd, _sets_of(crowd.select("node").distinct(), rows, owned, text), ratio, sampled=merged)
             more = more.union(_central(apart)).distinct()
         more = cut(pruned(more))
         if more.head(1):
@@ -247,13 +252,19 @@ def connected(members: DataFrame, pruned: Callable[[DataFrame], DataFrame], rows
             roots = cut(components(links))
         if apart is not None:
             apart = apart.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            last = cut(pruned(_distant(apart, ratio)))
+            last = cut(pruned(_distant(apart, ratio, sampled=merged)))
             if last.head(1):
                 links = links.union(_similar(last, rows, owned, text, ratio))
                 roots = cut(components(links))
     return roots
 
 
+def _sampled(held: DataFrame) -> DataFrame:
+    """Of each hub's members some TOLD, chosen by hashes of their names; all of those that have no more."""
+    sizes = stored(held.groupBy("hub").agg(F.count("*").alias("size")), "sizes")
+    return matched(held, sizes, "hub").filter(F.pmod(F.xxhash64("node"), F.col("size")) < TOLD).drop("size")
+
+
 def _middles(held: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each hub the shingles met often in its group, sorted, how many members differ from the middle in them, and whether the middle has them."""
     met = held.select("hub", F.explode("shingles").alias("s")).groupBy("hub", "s").count().filter(F.col("count") >= SEEN)
@@ -266,10 +277,13 @@ def _middles(held: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndar
     return {int(hubs[a]): (s[a:b], few[a:b], inside[a:b]) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)}
 
 
-def _apart(groups: DataFrame, sets: DataFrame, ratio: Ratio) -> DataFrame:
-    """For each hub and member: n, d (shingles that set it apart from the group's middle), w (9 d - n at 4/5), the first of these in order, and the least (w, node) of the group."""
+def _apart(groups: DataFrame, sets: DataFrame, ratio: Ratio, sampled: bool = False) -> DataFrame:
+    """For each hub and member: n, d (shingles that set it apart from the group's middle), w (9 d - n at 4/5), the first of these in order, and the least (w, node) of the group.
+
+    If sampled, TOLD members a group tell of its middle and of the order, which change what the work costs and not what is linked.
+    """
     held = stored(groups.join(sets, "node").select("hub", "node", "root", "shingles"), "groups")
-    shared = held.sparkSession.sparkContext.broadcast(_middles(held))
+    shared = held.sparkSession.sparkContext.broadcast(_middles(_sampled(held) if sampled else held))
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +308,8 @@ def _apart(groups: DataFrame, sets: DataFrame, ratio: Ratio) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(apart, pa.int64()), _lists(firsts)], ["hub", "node", "root", "n", "d", "firsts"])
 
     out = stored(held.mapInArrow(run, "hub long, node long, root long, n long, d long, firsts array<long>").withColumn("w", F.expr(f"{ratio.both} * d - {ratio.apart} * n")), "apart")
-    return out.join(out.groupBy("hub").agg(F.min(F.struct("w", "node", "root")).alias("near")), "hub")
+    near = out.groupBy("hub").agg(F.min(F.struct("w", "node", "root")).alias("near"))
+    return matched(out, stored(near, "nearest"), "hub") if sampled else out.join(near, "hub")
 
 
 def _central(apart: DataFrame) -> DataFrame:
@@ -303,17 +318,19 @@ def _central(apart: DataFrame) -> DataFrame:
     return out.select(F.expr("least(node, near.node)").alias("a"), F.expr("greatest(node, near.node)").alias("b")).distinct()
 
 
-def _distant(apart: DataFrame, ratio: Ratio) -> DataFrame:
+def _distant(apart: DataFrame, ratio: Ratio, sampled: bool = False) -> DataFrame:
     """Distinct pairs (a, b) of members of a group not yet connected that share enough of what sets them apart, as far as sizes and places tell.
 
     Two members share o of these, and are linked if and only if 2 (p + q) o >= w + v (18 o at 4/5). Since o is e at most, and their sizes
     are within the ratio, v >= w - 2 (q - p) n q / p (2.5 n at 4/5); v is that of the nearest one at least and, as those near it are
     connected, beyond minus that for their partners.
     """
-    split = apart.groupBy("hub").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("hub")
     least = F.expr("case when w + near.w > 0 then near.w else 1 - near.w end")
     o = F.greatest(F.lit(1), F.ceil((F.col("w") + F.greatest(least, F.floor(F.expr(f"w - {2 * ratio.apart * ratio.q} * n / {ratio.p}")))) / (2 * ratio.both)))
-    rest = apart.join(split, "hub").withColumn("far", F.expr("w + near.w > 0")).withColumn("o", o).filter("o <= d")
+    apart = cut(apart) if sampled else apart
+    split = apart.groupBy("hub").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("hub")
+    rest = matched(apart, stored(split.withColumn("split", F.lit(True)), "split"), "hub").filter("split").drop("split") if sampled else apart.join(split, "hub")
+    rest = rest.withColumn("far", F.expr("w + near.w > 0")).withColumn("o", o).filter("o <= d")
     rest = cut(rest.select("hub", "node", "root", "n", "d", "w", "far", F.posexplode(F.slice("firsts", F.lit(1), (F.col("d") - F.col("o") + 1).cast("int"))).alias("at", "s")))
     meets = rest.groupBy("hub", "s").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.max("far").alias("any")).filter("a <> z and any").select("hub", "s")
     rest = cut(rest.join(meets, ["hub", "s"]))
@@ -323,6 +340,18 @@ def _distant(apart: DataFrame, ratio: Ratio) -> DataFrame:
     return out.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
 
 
+def matched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left (stored) with the row of right (one for each key) that has its key, or nulls.
+
+    Keys with more than a thousandth of left's rows are at most a thousand, so their rows of right go to every task; no other key is hot.
+    """
+    total = left.count()
+    heavy = cut(left.groupBy(key).count().filter(F.col("count") * HEAVY > total).select(key))
+    some = F.broadcast(heavy)
+    of_heavy = F.broadcast(right.join(some, key, "left_semi"))
+    return left.join(some, key, "left_semi").join(of_heavy, key, "left").union(left.join(some, key, "left_anti").join(right, key, "left"))
+
+
 def listed(names: DataFrame, width: int) -> DataFrame:
     """A stored list of rows of some width, marked to be sent about if it is small."""
     return F.broadcast(names) if names.count() * width <= BROADCAST_BYTES else names

@@ -10,6 +10,7 @@ from veilwork.functions import tokens as T
 from veilwork.functions.patterns import LOCALES, Pattern, registry
 from veilwork.functions.risk import DESCRIPTORS, RELATIONS, assess
 from veilwork.functions.shared import spread
+from veilwork.functions.spans import detect
 from veilwork.functions.vault import sealed
 from veilwork.operators import guard as G
 from veilwork.operators import masking as M
@@ -26,6 +27,19 @@ ODD = {
 #: Queries read whole tables and have no cap. The built-in patterns that RE2 can read too, and two patterns of ours: they stand for all wherever SQL checks a query.
 PLAIN = Detect(max_chars=0, only=("EMAIL", "IBAN", "API_KEY", "AWS_KEY", "JWT"), custom=(("DOTTED_QUAD", r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"), ("CARD_DIGITS", r"\b[3-6]\d{15}\b"), ("HEX_SECRET", r"\b[0-9a-f]{40}\b")))
 ALL = Detect(max_chars=0)
+EVERY = {"none": Detect(max_chars=0, only=PLAIN.only)} | {name: Detect(locale=name, only=(), max_chars=0) for name in LOCALES}
+#: Values that texts of the tables seldom have, made from doc_id: {m} are six digits of it without zeros.
+_M = "replace(lpad(CAST(doc_id % 1000000 AS {text}), 6, '0'), '0', '5')"
+VALUES = {
+    "VAT_DE": "'DE', {m}, '123'", "NIR_FR": "'1851299', {m}, '42'", "DNI_ES": "'12', {m}, 'H'", "NIE_ES": "'X1', {m}, 'L'", "POSTAL_NL": "substr({m}, 3, 4), ' AB'", "BSN_NL": "'bsn: ', {m}, '789'",
+    "NATIONAL_ID_CN": "{m}, '19900101123X'", "MY_NUMBER_JP": "'my number: ', {m}, {m}", "SNILS_RU": "'1', substr({m}, 1, 2), '-', substr({m}, 3, 3), '-789 12'", "INN_RU": "'ИНН ', {m}, '1234'",
+    "RRN_KR": "'900101-1', {m}", "CODICE_FISCALE_IT": "'RSSMRA', substr({m}, 1, 2), 'T10A', substr({m}, 3, 3), 'S'", "NIP_PL": "'NIP 1', substr({m}, 1, 2), '-', substr({m}, 3, 3), '-78-90'",
+    "CPF_BR": "'1', substr({m}, 1, 2), '.', substr({m}, 3, 3), '.789-09'", "PAN_IN": "'ABCPK', substr({m}, 1, 4), 'L'", "AADHAAR_IN": "'Aadhaar: 2', substr({m}, 1, 3), ' 1', substr({m}, 4, 3), ' 1234'",
+    "IBAN": "'GB82 WEST 12', substr({m}, 1, 2), ' 98', substr({m}, 3, 2), ' 76', substr({m}, 5, 2)", "API_KEY": "'sk-abcdefghij', {m}, 'klmnopqrst'", "AWS_KEY": "'AKIAABCDEFGHIJ', {m}",
+    "JWT": "'eyJhbGciOiJIUzI.eyJ', {m}, 'abcdef.sigsigs', {m}",
+}
+#: Each text with the values of all categories after it.
+PLANTED = "concat(coalesce(text, ''), " + ", ".join(f"' ; ', {v.format(m=_M)}" for v in VALUES.values()) + ")"
 KEY = "00112233445566778899aabbccddeeff00112233445566778899aabbccddeeff"
 
 
@@ -86,6 +100,14 @@ def locale(name: str):
     return run
 
 
+def locale_values(spark: SparkSession, sf: str) -> DataFrame:
+    """What each locale's patterns, and the built-in ones alone, find in whole texts that hold a value of every category; texts are read once."""
+    rows = docs(spark, sf).select("doc_id", F.expr(PLANTED.format(text="STRING")).alias("text"))
+    each = [F.struct(F.lit(name).alias("locale"), detect(F.col("text"), how.patterns()).alias("spans")) for name, how in EVERY.items()]
+    found = rows.select("doc_id", F.explode(F.array(*each)).alias("f")).select("doc_id", "f.locale", F.explode("f.spans").alias("s"))
+    return found.select("doc_id", "locale", "s.start", "s.end", "s.category", "s.text")
+
+
 def analyze(spark: SparkSession, sf: str) -> DataFrame:
     a = M.analysis(plain(spark, sf), "doc_id")
     return a.select("doc_id", "entity_count", F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["category"], e["start"], e["end"], e["text"])), ",").alias("entities"))
@@ -212,7 +234,7 @@ QUERIES = {
     "restore_roundtrip": restore_roundtrip, "present_tokens": present_tokens, "entity_details": entity_details,
     "entity_hash_linkage": entity_hash_linkage, "token_summary": token_summary, "token_grammar": token_grammar,
     "escape_lookalikes": escape_lookalikes, "context_risk": context_risk, "masked_conversations": masked_conversations, "masked_odd_conversations": masked_odd_conversations,
-    "skip_models": skip_models, "category_registry": category_registry, "prompt_hashes": text_digests,
+    "skip_models": skip_models, "category_registry": category_registry, "prompt_hashes": text_digests, "locale_values": locale_values,
 } | {f"locale_{name}": locale(name) for name in LOCALES}
 
 _plain = spans_sql(PLAIN.patterns())
@@ -269,6 +291,9 @@ SELECT doc_id, floor(density * 1000::DOUBLE + 0.5::DOUBLE) / 1000::DOUBLE AS tok
   floor(score * 1000::DOUBLE + 0.5::DOUBLE) / 1000::DOUBLE AS risk_score, CASE WHEN score > 0.7::DOUBLE THEN 'high' WHEN score > 0.3::DOUBLE THEN 'medium' ELSE 'low' END AS risk_level,
   coalesce(array_to_string(list_concat(list_transform(coalesce(dw, []), lambda w: 'Identifying descriptor ''' || w || ''' near a token'), list_transform(coalesce(rp, []), lambda p: 'Relationship ''' || p || ''' connects tokens'))[1:5], '; '), '') AS warnings FROM sc"""
 
+_values = "WITH planted AS MATERIALIZED (SELECT doc_id, " + PLANTED.format(text="VARCHAR") + " AS text FROM documents)\n" + "\nUNION ALL ".join(
+    f"SELECT doc_id, {q(name)} AS locale, \"start\", \"end\", category, text FROM ({spans_sql(how.patterns(), view='planted')} SELECT * FROM spans)" for name, how in EVERY.items())
+
 _email = Pattern("EMAIL", next(p.regex for p in ALL.patterns() if p.category == "EMAIL"))
 _conv = f"""WITH rows_ AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' AND conv_id % 3 = 0 THEN text || ' user' || conv_id || '@example.com' ELSE text END AS text FROM conversations),
 {spans_sql([_email], view="rows_", keys="conv_id, turn").removeprefix("WITH ")},
@@ -316,6 +341,7 @@ SELECT ok AND length(t) <= 40 AS valid, ok AND ends_with(t, '_REDACTED]') AS is_
     "escape_lookalikes": rf"""WITH t AS (SELECT doc_id, '[EMAIL_0] ' || coalesce(text, '') || ' [A_B2_REDACTED] [a_1]' AS t FROM documents)
 SELECT doc_id, sha256(regexp_replace(t, '{T.TOKEN}', '［\1］', 'g')) AS escaped_sha256, CAST(length(t) AS INT) AS n_chars, sha256(t) AS back_sha256 FROM t""",
     "context_risk": _risk,
+    "locale_values": _values,
     "masked_conversations": _conv,
     "masked_odd_conversations": _odd,
     "skip_models": "SELECT starts_with(source || '/model', 'src1') OR starts_with(source || '/model', 'local/') AS skipped, count(*) AS n FROM documents GROUP BY 1",

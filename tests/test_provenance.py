@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from veilwork.functions import ed25519
 from veilwork.functions.ed25519 import Keys, key_id, public_of, signed, verified
 from veilwork.operators import attest
 from veilwork.operators.provenance import moment_of, provenance
@@ -47,6 +48,22 @@ def test_integers_agree_with_the_jdk(spark):
     assert not verified(b"\xff" * 32, b"", b"\0" * 64)
 
 
+def test_keys_met_often_cost_no_doublings(monkeypatch):
+    """Points are added by tables: a row costs additions alone, whatever the number of rows."""
+    private, steps = b"k" * 32, []
+    public = public_of(private)
+    first = signed(private, b"0")
+    assert all(verified(public, b"0", first) for _ in range(4))
+    own = ed25519._sum
+    monkeypatch.setattr(ed25519, "_sum", lambda a, b: steps.append(1) or own(a, b))
+    for n in range(20):
+        data = str(n).encode()
+        s = signed(private, data)
+        assert verified(public, data, s)
+        assert not verified(public, data + b"x", s)
+    assert not steps
+
+
 CHECKS = ("signature_valid", "key_id_matches", "within_validity_window", "manifest_hash_consistent", "root_signature_status", "revocation_status", "overall_valid")
 TIMES = ["2026-01-05T00:00:00+00:00", "2026-01-05T00:00:00Z", "2025-12-31T23:56:00Z", "2025-12-31T23:54:59Z", "2026-02-01T00:04:59.5+00:00", "2026-02-01T02:05:01+02:00", "2026-01-20T10:00:00", "no time", None]
 

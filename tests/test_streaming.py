@@ -3,6 +3,7 @@ import time
 import uuid
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from veilwork.config import Detect
@@ -10,7 +11,7 @@ from veilwork.errors import VeilError
 from veilwork.functions.tokens import restore
 from veilwork.operators import masking as M
 from veilwork.operators.evaluate import coverage, matched, scores
-from veilwork.streaming.restore import Restorer, passed_stream, restored_stream, stream_records
+from veilwork.streaming.restore import Restorer, Restoring, passed_stream, restored_stream, stream_records
 from veilwork.streaming.sessions import masked_stream
 from veilwork.streaming.state import drain
 
@@ -93,6 +94,60 @@ def test_any_batches_equal_the_whole(spark, tmp_path):
     assert left(spark, folder, "turn", "early", "held", "tokens") == 0
 
 
+class Cell:
+    """A state that counts how often it is asked."""
+
+    def __init__(self, asked):
+        self.asked, self.kept = asked, {}
+
+    def __getattr__(self, name):
+        def call(key=(), value=None):
+            self.asked.append(name)
+            if name in ("update", "updateValue"):
+                self.kept[() if name == "update" else key] = key if name == "update" else value
+            if name in ("clear", "removeKey"):
+                [self.kept.pop(k, None) for k in (list(self.kept) if name == "clear" else [key])]
+            return {"get": self.kept.get(()), "exists": bool(self.kept), "getValue": self.kept.get(key), "containsKey": key in self.kept, "keys": iter(list(self.kept)), "iterator": iter(list(self.kept.items()))}.get(name)
+
+        return call
+
+
+class Handle:
+    def __init__(self):
+        self.asked, self.timers = [], set()
+
+    def getValueState(self, name, *schemas):
+        return Cell(self.asked)
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class Clock:
+    def getCurrentProcessingTimeInMs(self):
+        return 7
+
+
+def test_state_is_asked_for_once_a_key_not_once_a_row():
+    handle, row = Handle(), Row("seq", "chunk", "last", "tokens")
+    r = Restoring()
+    r.init(handle)
+    rows = [row(k, "[EMA" if k % 2 == 0 else "IL_0] ", k == 1999, '[{"key":"[EMAIL_0]","value":"a@b.co"}]' if k == 0 else None) for k in range(2000)]
+    first = list(r.handleInputRows((1,), iter(rows[:1000]), Clock()))
+    assert len(handle.asked) < 10
+    assert handle.timers
+    second = list(r.handleInputRows((1,), iter(rows[1000:]), Clock()))
+    assert len(handle.asked) < 20
+    assert not handle.timers
+    assert "".join(x["chunk"] for x in first + second) == "a@b.co " * 1000
+    assert not any(c.kept for c in (r.turn, r.early, r.held, r.tokens))
+
+
 def test_streams_without_tokens_pass_without_state(spark, tmp_path):
     folder = str(tmp_path / uuid.uuid4().hex)
     out = fed(spark, folder, [[(1, 0, "［A_1］ [", False, None), (1, 1, None, True, None)]], passed_stream, SCHEMA).orderBy("seq", "is_summary").collect()

@@ -7,6 +7,7 @@ stream (`streaming.state`), so nothing of it stays.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -79,21 +80,20 @@ _columns = tuple(f.split()[0] for f in OUTPUT.split(", "))
 class Restoring(InOrder):
     """State of a stream: what may still become a token, two counts, and its tokens; all of it goes with the last chunk, or when it is idle."""
 
-    fields = "chunk string, last boolean, tokens map<string,string>"
+    fields = "chunk string, last boolean, tokens string"
     columns = _columns
-    kinds = {c: "Int64" for c in ("chars_processed", "tokens_restored", "entity_count")} | {"stream_error": "boolean"}
 
     def __init__(self, cap: int = 0, idle: int = IDLE_MS) -> None:
         super().__init__(idle)
         self.cap = cap
 
     def opened(self, handle) -> None:
-        self.held = handle.getValueState("held", "held string, chars long, restored long, over boolean")
+        self.held = handle.getValueState("held", "held string, chars long, restored long, over boolean, known boolean")
         self.tokens = handle.getMapState("tokens", "token string", "value string, said string")
 
-    def begun(self) -> None:
-        held, chars, restored, self.over = self.held.get() if self.held.exists() else ("", 0, 0, False)
-        self.said = {k[0]: tuple(v) for k, v in self.tokens.iterator()}
+    def begun(self, new: bool) -> None:
+        held, chars, restored, self.over, self.known = (None if new else self.held.get()) or ("", 0, 0, False, False)
+        self.said = {k[0]: tuple(v) for k, v in self.tokens.iterator()} if self.known else {}
         self.new: dict[str, tuple[str, str]] = {}
         self.restorer = Restorer({k: v[0] for k, v in self.said.items()}, held, chars, self.cap, restored)
 
@@ -101,7 +101,7 @@ class Restoring(InOrder):
         chunk, last, tokens = row
         if self.over:  # only the end is awaited
             return [], bool(last)
-        for token, value in dict(tokens or {}).items():
+        for token, value in ((e["key"], e["value"]) for e in json.loads(tokens or "[]")):
             self.new[token.lower()] = self.said[token.lower()] = (value, token)
             self.restorer.values[token.lower()] = value
         try:
@@ -119,17 +119,20 @@ class Restoring(InOrder):
         return (key, seq, "", True, self.restorer.chars, self.restorer.restored, len(names), names, error is not None, error)
 
     def _forget(self) -> None:
-        self.tokens.clear()
+        if self.known:
+            self.tokens.clear()
+        self.known = False
         self.said, self.new, self.restorer.held, self.restorer.values = {}, {}, "", {}
 
     def kept(self) -> None:
         for token, value in self.new.items():
             self.tokens.updateValue((token,), value)
-        self.held.update((self.restorer.held, self.restorer.chars, self.restorer.restored, self.over))
+        self.held.update((self.restorer.held, self.restorer.chars, self.restorer.restored, self.over, self.known or bool(self.new)))
 
     def ended(self) -> None:
         self.held.clear()
-        self.tokens.clear()
+        if self.known:
+            self.tokens.clear()
 
     def expired(self, key, seq):
         """What is held comes out, then a summary that names the error; a stream over its cap has had its summary."""
@@ -147,7 +150,9 @@ def restored_stream(chunks: DataFrame, cap: int = 0, idle: int = IDLE_MS) -> Dat
     does if the stream breaks its cap or nothing comes for `idle` milliseconds, and then error_type names the error. The summary has what
     audit records say of the stream (`stream_records`) and no value. After it nothing is kept of a stream but, beyond the cap, that its end is awaited.
     """
-    return in_order(chunks, "stream_id", Restoring(cap, idle), OUTPUT)
+    # As text: Spark sizes its batches row by row, and for a map counts all rows of the batch each time.
+    entries = F.when(F.size("tokens") > 0, F.to_json(F.map_entries("tokens"), {"ignoreNullFields": "false"}))
+    return in_order(chunks.withColumn("tokens", entries), "stream_id", Restoring(cap, idle), OUTPUT)
 
 
 def passed_stream(chunks: DataFrame) -> DataFrame:

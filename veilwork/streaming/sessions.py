@@ -36,8 +36,8 @@ class Numbering(InOrder):
         self.tokens = handle.getMapState("tokens", "digest string", "token string")
         self.counts = handle.getMapState("counts", "category string", "n long")
 
-    def begun(self) -> None:
-        self.numbers = {k[0]: v[0] for k, v in self.counts.iterator()}
+    def begun(self, new: bool) -> None:
+        self.numbers = {} if new else {k[0]: v[0] for k, v in self.counts.iterator()}
 
     def taken(self, key, seq, row):
         role, text, found, last = row

@@ -3,19 +3,25 @@
 A stream's rows are numbered from 0 without gaps. Rows that come before their turn wait in state, rows that come again are dropped; so
 the cuts into micro-batches, and the order of rows within and between them, change nothing. State goes when the stream's last row has been
 taken, or when nothing has come for `idle` milliseconds: the timer then says so and clears it. Spark keeps this state in RocksDB.
+
+State is asked for over a socket, so a key asks as seldom as it can, never once a row: where a stream is, how many of its rows wait and when its
+timer ends are one value, and what a new stream cannot have is not asked for. Rows come and go as rows: a frame for each key would cost more than
+what is done to them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 IDLE_MS = 15 * 60 * 1000
+#: Rows of a key that are held and put in order at once.
+PART = 10_000
 _provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -33,15 +39,16 @@ class InOrder(StatefulProcessor):
 
     fields = ""
     columns: tuple[str, ...] = ()
-    kinds: dict[str, str] = {}
 
     def __init__(self, idle: int = IDLE_MS) -> None:
         self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.turn = handle.getValueState("turn", "next long")
+        self.turn = handle.getValueState("turn", "next long, waiting long, timer long")
         self.early = handle.getMapState("early", "seq long", self.fields)
+        self.names = [f.split()[0] for f in self.fields.split(", ")]
+        self.row = Row(*self.columns)
         self.opened(handle)
 
     # What subclasses say.
@@ -49,8 +56,8 @@ class InOrder(StatefulProcessor):
     def opened(self, handle: StatefulProcessorHandle) -> None:
         """Their own states."""
 
-    def begun(self) -> None:
-        """Their state is read."""
+    def begun(self, new: bool) -> None:
+        """Their state is read; a new key has none."""
 
     def taken(self, key: Any, seq: int, row: tuple) -> tuple[list[tuple], bool]:
         """Rows that come out for the key's next row, and whether it was the last."""
@@ -68,70 +75,75 @@ class InOrder(StatefulProcessor):
 
     # The order of rows.
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in self.fields.split(", ")]
-        turn = self.turn.get()[0] if self.turn.exists() else 0
-        self.begun()
-        out: list[tuple] = []
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        at = self.turn.get()
+        turn, count, timer = at or (0, 0, None)
+        self.begun(at is None)
+        waiting = {k[0] for k in self.early.keys()} if count else set()
+        gone: list[int] = []
         last = False
-        for frame in rows:  # one at a time, whatever a batch holds
-            for seq, *row in frame.sort_values("seq", kind="stable")[["seq", *names]].itertuples(index=False, name=None):
+        while part := list(islice(rows, PART)):
+            part.sort(key=lambda r: r["seq"])
+            for r in part:
+                seq = r["seq"]
                 if last or seq < turn:
                     continue
                 if seq > turn:
-                    self.early.updateValue((int(seq),), tuple(self._plain(v) for v in row))
+                    self.early.updateValue((seq,), tuple(r[n] for n in self.names))
+                    waiting.add(seq)
                     continue
-                got, last = self.taken(key[0], turn, tuple(self._plain(v) for v in row))
-                out += got
+                got, last = self.taken(key[0], turn, tuple(r[n] for n in self.names))
+                yield from map(self._said, got)
+                if turn in waiting:  # it came early before another part of the batch brought it again
+                    waiting.remove(turn)
+                    gone.append(turn)
                 turn += 1
-                while not last and self.early.containsKey((turn,)):
+                while not last and turn in waiting:
                     got, last = self.taken(key[0], turn, tuple(self.early.getValue((turn,))))
-                    out += got
-                    self.early.removeKey((turn,))
+                    yield from map(self._said, got)
+                    waiting.remove(turn)
+                    gone.append(turn)
                     turn += 1
-            if len(out) > 10_000:
-                yield self._frame(out)
-                out = []
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
+        if timer is not None:
+            self.handle.deleteTimer(timer)
         if last:
-            self._clear()
-        else:
-            self.turn.update((turn,))
-            self.kept()
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
-        yield self._frame(out)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.begun()
-        out = self.expired(key[0], self.turn.get()[0] if self.turn.exists() else 0)
-        self._clear()
-        yield self._frame(out)
+            self._clear(bool(waiting or gone))
+            return
+        if gone and not waiting:
+            self.early.clear()
+        elif gone:
+            for seq in gone:
+                self.early.removeKey((seq,))
+        timer = timerValues.getCurrentProcessingTimeInMs() + self.idle
+        self.turn.update((turn, len(waiting), timer))
+        self.kept()
+        self.handle.registerTimer(timer)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        self.begun(False)
+        turn, count, _ = self.turn.get() or (0, 0, None)
+        out = self.expired(key[0], turn)
+        self._clear(bool(count))
+        yield from map(self._said, out)
 
     def close(self) -> None:
         pass
 
-    @staticmethod
-    def _plain(value: Any) -> Any:
-        """A value as state takes it: null for what pandas has in its place."""
-        if value is None or (isinstance(value, float) and value != value):
-            return None
-        return value.item() if hasattr(value, "item") and getattr(value, "shape", None) == () else value
+    def _said(self, values: tuple) -> Row:
+        return self.row(*values)
 
-    def _clear(self) -> None:
+    def _clear(self, waiting: bool) -> None:
         self.turn.clear()
-        self.early.clear()
+        if waiting:
+            self.early.clear()
         self.ended()
 
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=list(self.columns)).astype(self.kinds)
-
 
 def in_order(rows: DataFrame, key: str, processor: InOrder, schema: str | StructType) -> DataFrame:
     """A stream's rows (key, seq and the processor's fields) through the processor, by key."""
     keep_state(rows.sparkSession)
     names = [f.split()[0] for f in processor.fields.split(", ")]
-    return rows.select(key, "seq", *names).groupBy(key).transformWithStateInPandas(processor, schema, "Append", "ProcessingTime")
+    return rows.select(key, "seq", *names).groupBy(key).transformWithState(processor, schema, "Append", "ProcessingTime")
 
 
 def drain(out: DataFrame, folder: str) -> DataFrame:

@@ -266,3 +266,15 @@ def test_first_characters_and_marks_change_nothing(spark):
         for r in rows.select("t", detect(F.col("t"), how.patterns()).alias("s")).collect():
             want = sorted((d["start"], d["end"], d["category"]) for d in scan.detect(r["t"], []))
             assert [(d["start"], d["end"], d["category"]) for d in r["s"]] == want, (name, r["t"])
+
+
+def test_risk_looks_at_words_only_beside_a_token(spark):
+    """The expression asks for a token before it cuts a text to words; results are those of the whole either way."""
+    texts = ["The CEO is married to the chief.", "[EMAIL_REDACTED] is CEO", "[email_0] married [PHONE_1]", "", None, "[KX_1] ceo", "[EMAIL_REDACTED"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [tuple(r[0]) for r in rows.select(assess(F.col("t"))).collect()]
+    low = (0.0, 0, 0, 0.0, "low", [])
+    assert [g == low for g in got] == [True, False, False, True, True, False, True]
+    assert (got[1][1], got[2][2], got[5][0], got[5][1]) == (1, 1, 0.0, 1)
+    plan = str(rows.select(assess(F.col("t")))._jdf.queryExecution().optimizedPlan())
+    assert 0 < plan.find("RLIKE") < plan.find("split(")

@@ -47,9 +47,10 @@ def assess(text: Column) -> Column:
 
         return let(F.struct(told.alias("d"), ties.alias("r")), result)
 
+    # A text without a token gives nothing away by this measure, and its words are not looked at.
     words = F.filter(F.split(lower, f"{SPACE}+"), lambda w: w != "")
     zero = F.struct(F.lit(0.0).alias("token_density"), F.lit(0).alias("identifying_descriptors"), F.lit(0).alias("relationship_edges"), F.lit(0.0).alias("risk_score"), F.lit("low").alias("risk_level"), F.expr("cast(array() as array<string>)").alias("warnings"))
-    return let(words, lambda w: F.when(F.size(F.coalesce(w, F.array())) < 1, zero).otherwise(scored(w)))
+    return F.when(F.coalesce(has_token(lower), F.lit(False)), let(words, scored)).otherwise(zero)
 
 
 def _ties(lower: Column, phrase: str) -> Column:

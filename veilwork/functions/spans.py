@@ -24,7 +24,7 @@ SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F
 #: What every match of a pattern holds; a text without it is not searched. Each is much quicker to look for than the pattern.
 NEEDS = {
     "EMAIL": "@", "JWT": "eyJ", "AWS_KEY": "AKIA|ASIA", "SSN": r"(?U)\d{3}", "CREDIT_CARD": r"(?U)\d{4}", "PHONE": r"(?U)\d\d",
-    "IBAN": r"(?U)[A-Z]{2}\d\d", "IP_ADDRESS": r"(?U)\d\.\d|[A-Fa-f0-9:]:", "API_KEY": "sk|pk|api|key|token|secret|bearer", "IL_ID": r"(?U)\d{9}",
+    "IBAN": r"(?U)[A-Z]{2}\d\d", "IP_ADDRESS": r"(?U)\d\.\d|[A-Fa-f0-9:]:", "API_KEY": "[a-zA-Z0-9_-]{22}", "IL_ID": r"(?U)\d{9}",
 }
 
 

@@ -264,3 +264,12 @@ def test_command_line(tmp_path, capsys, monkeypatch, spark):
     assert run("compliance-report", str(tmp_path), "--format", "markdown") == 0
     assert run("content-log", str(tmp_path)) == 0
     assert run("key-manifest", "generate", "--keys", str(tmp_path / "k"), "--deployer", "us", "--valid-from", "2024-01-01T00:00:00Z") == 0
+
+
+def test_a_roundtrip_makes_its_chain_once(spark, data):
+    from veilwork.plans.compliance import chain_roundtrip
+
+    out = chain_roundtrip(spark, data)
+    plan = str(out._jdf.queryExecution().executedPlan())
+    assert plan.count("MapInArrow run") == 2  # the chain, and the hashes of both logs
+    assert {r["log"]: r["records"] - r["intact"] > 0 for r in out.collect()} == {"as written": False, "changed": True}

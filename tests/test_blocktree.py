@@ -42,3 +42,11 @@ def test_nothing_and_nulls(spark, tmp_path):
     assert (tree.root(), tree.leaves, tree.levels(), tree.proofs().count()) == (None, 0, 0, 0)
     with pytest.raises(Exception, match="no hash"):
         blocktree.built(spark.createDataFrame([(1, None)], "id long, h string"), "id", "h", f"{tmp_path}/null").root()
+
+
+def test_levels_of_a_block_are_made_once_for_all_its_leaves(spark, tmp_path):
+    rows = spark.createDataFrame([(i, str(i)) for i in range(70)], "id long, h string")
+    plan = blocktree.built(rows, "id", "h", f"{tmp_path}/tree", k=3).proofs()._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    held = [i for i, line in enumerate(plan) if "aggregate(" in line]
+    assert held  # per leaf, it would stand in a projection above the Generate
+    assert all("Generate" in plan[i] for i in held)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.functions.shared import shared_folder
+from veilwork.functions.spans import let
 from veilwork.operators.attest import numbered, pair
 
 K = 12
@@ -36,17 +37,20 @@ def subtree(hashes: Column, k: int) -> Column:
     return F.get(F.aggregate(F.sequence(F.lit(1), F.lit(k)), hashes, lambda level, _: halved(level)), F.lit(0))
 
 
-def path_in(hashes: Column, at: Column, k: int) -> Column:
-    """The partners of the hash at a place on its way to the root of its block."""
-    start = F.struct(hashes.alias("level"), at.cast("int").alias("at"), F.expr(f"cast(array() as array<{_step}>)").alias("proof"))
+def paths(hashes: Column, k: int) -> Column:
+    """Each hash of a block of at most 2^k (at, hash, proof): the partners on its way to the block's root. The levels are made once for all."""
+    levels = F.aggregate(F.sequence(F.lit(1), F.lit(k - 1)), F.array(hashes), lambda ls, _: F.concat(ls, F.array(halved(F.element_at(ls, -1))))) if k > 1 else F.array(hashes)
 
-    def up(s: Column) -> Column:
-        other = F.get(s["level"], s["at"].bitwiseXOR(F.lit(1)))
-        step = F.struct(other.alias("hash"), F.when(s["at"] % 2 == 0, "right").otherwise("left").alias("side"))
-        more = F.when(other.isNull(), s["proof"]).otherwise(F.concat(s["proof"], F.array(step)))
-        return F.struct(halved(s["level"]).alias("level"), F.floor(s["at"] / 2).cast("int").alias("at"), more.alias("proof"))
+    def step(level: Column, i: Column, at: Column) -> Column:
+        place = F.call_function("shiftright", at, i)
+        other = F.get(level, place.bitwiseXOR(F.lit(1)))
+        return F.when(other.isNotNull(), F.struct(other.alias("hash"), F.when(place % 2 == 0, "right").otherwise("left").alias("side")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, lambda s, _: up(s), lambda s: s["proof"])
+    def own(ls: Column) -> Column:
+        proof = lambda at: F.filter(F.transform(ls, lambda level, i: step(level, i, at)), lambda s: s.isNotNull())
+        return F.transform(F.get(ls, F.lit(0)), lambda h, at: F.struct(at.cast("int").alias("at"), h.alias("hash"), proof(at).alias("proof")))
+
+    return let(levels, own)
 
 
 @dataclass
@@ -70,29 +74,28 @@ class Tree:
         """Levels of the whole tree, leaves and root included."""
         return (self.leaves - 1).bit_length() + 1 if self.leaves else 0
 
+    def _nodes(self, i: int, wanted: DataFrame | list[int] | None) -> DataFrame:
+        """(node, hash, proof) of a level: each node's proof within its block; of a list of leaves the blocks on their way alone."""
+        blocks = self.level(i)
+        if isinstance(wanted, list):
+            blocks = blocks.filter(F.col("block").isin(sorted({j >> (self.k * (i + 1)) for j in wanted})))
+        # explode() would put a filter on the array below itself, and the array would be computed for it once more.
+        each = blocks.select("block", F.explode_outer(paths(F.col("hashes"), self.k)).alias("p")).filter("p is not null")
+        return each.select((F.col("block") * (1 << self.k) + F.col("p.at")).alias("node"), "p.hash", "p.proof")
+
     def proofs(self, wanted: DataFrame | list[int] | None = None) -> DataFrame:
         """(leaf, hash, proof) of the leaves asked for: a list of numbers, whose blocks alone are read, a table with idx, or all."""
         if self.height == 0:
             return self.spark.createDataFrame([], f"leaf long, hash string, proof array<{_step}>")
-        width = 1 << self.k
-        if wanted is None:
-            out = self.level(0).select("block", "hashes", F.posexplode("hashes").alias("at", "hash")).withColumn("leaf", F.col("block") * width + F.col("at"))
-        else:
+        asked = None
+        if wanted is not None:
             asked = self.spark.createDataFrame([(i,) for i in wanted], "leaf long") if isinstance(wanted, list) else wanted.select(F.col("idx").cast("long").alias("leaf"))
-            blocks = self.level(0)
-            if isinstance(wanted, list):
-                blocks = blocks.filter(F.col("block").isin(sorted({i >> self.k for i in wanted})))
-            out = asked.withColumn("block", F.shiftright("leaf", self.k)).join(blocks, "block").withColumn("at", (F.col("leaf") % width).cast("int"))
-            out = out.withColumn("hash", F.get("hashes", F.col("at"))).filter("hash is not null")
-        out = out.select("leaf", "hash", "block", path_in(F.col("hashes"), F.col("at"), self.k).alias("proof"))
+        out = self._nodes(0, wanted).withColumnRenamed("node", "leaf")
+        out = out if asked is None else asked.join(out, "leaf")
         for i in range(1, self.height):
-            above = self.level(i)
-            if isinstance(wanted, list):
-                above = above.filter(F.col("block").isin(sorted({j >> (self.k * (i + 1)) for j in wanted})))
-            above = above.select(F.col("block").alias("above"), "hashes")
-            met = out.withColumn("above", F.shiftright("block", self.k)).join(above, "above")
-            more = path_in(F.col("hashes"), F.col("block") % width, self.k)
-            out = met.select("leaf", "hash", F.col("above").alias("block"), F.concat("proof", more).alias("proof"))
+            above = self._nodes(i, wanted).select(F.col("node").alias("block"), F.col("proof").alias("more"))
+            met = out.withColumn("block", F.shiftright("leaf", self.k * i)).join(above, "block")
+            out = met.select("leaf", "hash", F.concat("proof", "more").alias("proof"))
         return out.select("leaf", "hash", "proof")
 
 

@@ -278,3 +278,14 @@ def test_risk_looks_at_words_only_beside_a_token(spark):
     assert (got[1][1], got[2][2], got[5][0], got[5][1]) == (1, 1, 0.0, 1)
     plan = str(rows.select(assess(F.col("t")))._jdf.queryExecution().optimizedPlan())
     assert 0 < plan.find("RLIKE") < plan.find("split(")
+
+
+def test_differences_read_each_side_once(spark):
+    from veilwork.operators.evaluate import differences
+
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (1, "x"), (2, None), (3, "c")], "i int, t string")
+    b = spark.createDataFrame([(1, "x"), (2, None), (3, "d"), (3, "d")], "i int, t string")
+    out = differences(a, b)
+    assert sorted(map(tuple, out.collect())) == [(1, "x", "a"), (1, "x", "a"), (3, "c", "a"), (3, "d", "b"), (3, "d", "b")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+    assert differences(a, a).count() == 0

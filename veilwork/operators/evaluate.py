@@ -70,5 +70,8 @@ def coverage(labels: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFr
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of either side that the other lacks, with the side."""
-    return a.exceptAll(b).withColumn("side", F.lit("a")).union(b.exceptAll(a).withColumn("side", F.lit("b")))
+    """Rows of either side that the other lacks, with the side; each side is read once. Rows alike count as often as they are there."""
+    both = a.withColumn("__n", F.lit(1)).union(b.withColumn("__n", F.lit(-1)))
+    left = both.groupBy(*a.columns).agg(F.sum("__n").alias("__n")).filter("__n <> 0")
+    side = F.when(F.col("__n") > 0, "a").otherwise("b").alias("side")
+    return left.select(*a.columns, side, F.explode(F.sequence(F.lit(1).cast("long"), F.abs("__n"))).alias("__k")).drop("__k")

@@ -112,3 +112,16 @@ def test_keys_are_revoked_once(tmp_path, capsys):
     assert run("--deployer", "us", "--key-id", "k2", "--revocations", str(tmp_path / "r")) == 0
     assert run("--deployer", "them", "--key-id", "k2", "--revocations", str(tmp_path / "r")) == 1
     assert run("--deployer", "us", "--key-id", "k3", "--revoked-at", "yesterday") == 1
+
+
+def test_restoring_reads_texts_that_were_masked_once(spark, data, monkeypatch):
+    from veilwork.functions import tokens
+    from veilwork.operators import guard
+    from veilwork.plans.detection import guard_desanitize
+
+    plans, own = [], guard.desanitized
+    monkeypatch.setattr(guard, "desanitized", lambda masked, *a, **b: plans.append(masked._jdf.queryExecution().optimizedPlan().toString()) or own(masked, *a, **b))
+    assert guard_desanitize(spark, data).count() > 0
+    assert len(plans) == 1
+    assert "regexp_replace" not in plans[0]  # the escape of masking
+    assert tokens.OPEN not in plans[0]

@@ -11,7 +11,7 @@ from veilwork.functions.patterns import LOCALES, Pattern, registry
 from veilwork.functions.risk import DESCRIPTORS, RELATIONS, assess
 from veilwork.functions.shared import spread
 from veilwork.functions.spans import detect
-from veilwork.functions.vault import sealed
+from veilwork.functions.vault import sealed, vault
 from veilwork.operators import guard as G
 from veilwork.operators import masking as M
 from veilwork.plans.sql import masked_sql, q, spans_sql
@@ -143,7 +143,8 @@ def guard_sanitize(spark: SparkSession, sf: str) -> DataFrame:
 def guard_desanitize(spark: SparkSession, sf: str) -> DataFrame:
     """Records of restoring what was masked by session, with the digest of the text that came back."""
     masked, tokens, _ = G.sanitized(docs(spark, sf), Mask(detect=PLAIN), session="source")
-    rows, records = G.desanitized(masked.withColumn("asked", F.concat(F.lit("d"), "doc_id")).drop("decision_id").withColumnRenamed("asked", "decision_id"), tokens, session="source")
+    asked = vault(spark).keep(masked.select("doc_id", "source", "masked", F.concat(F.lit("d"), "doc_id").alias("decision_id")))  # masked once for all that follows
+    rows, records = G.desanitized(asked, tokens, session="source")
     back = rows.select("doc_id", F.sha2("restored", 256).alias("restored_sha256"))
     said = records.select(F.col("key_doc_id").alias("doc_id"), "decision_id", F.col("entity_count").cast("long").alias("entity_count"), F.array_join("tokens_used", ",").alias("tokens"), "prompt_hash", (F.col("prompt_hash") == F.col("sanitized_hash")).alias("hides"))
     return said.join(back, "doc_id")

@@ -1,6 +1,7 @@
 """The table function and the automaton, against columns and loops."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from veilwork.config import Detect
 from veilwork.functions.spans import placed_values
 from veilwork.operators import masking as M
 from veilwork.sources import table_function
-from veilwork.sources.backends import LanguageModelBackend
+from veilwork.sources.backends import Backend, LanguageModelBackend
 from veilwork.sources.literals import Taken, placed
 
 TEXTS = ["mail a@example.com or +49 170 1234567, T-123456", "", None, "no span", "a@b.co a@b.co T-1 4111111111111111", "x" * 5000 + " a@example.com"]
@@ -45,6 +46,32 @@ def test_backends_of_the_callers_come_after_the_patterns(spark):
     assert [tuple(r) for r in got] == [("USERNAME", "Ada", "llm"), ("EMAIL", "a@example.com", "regex")]
 
 
+def test_short_and_long_texts_have_the_spans_of_the_columns(spark):
+    edge = [" a@example.com".rjust(n, "ä") for n in (table_function.SHORT // 2 + 7, table_function.SHORT // 2 + 8)]  # at the bound, and one letter beyond it
+    rows = spark.createDataFrame(list(enumerate([*TEXTS, *edge, "y" * 300_000 + " T-654321 a@b.co"])), "id int, text string")
+    want = M.entities(M.detected(rows, Detect(locale="de", custom=(("TICKET", r"T-\d{6}"),), max_chars=0)), "id")
+    got = table_function.entities(rows, "id", locale="de", custom=r"TICKET=T-\d{6}")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.columns == want.columns
+
+
+def test_a_worker_holds_few_texts_at_a_time(spark):
+    class Held(Backend):
+        name = "held"
+
+        def detect(self, text, covered):
+            mb = int(Path("/proc/self/statm").read_text().split()[1]) * 4096 // 1_000_000
+            return [{"start": 0, "end": 1, "category": "MB", "text": str(mb), "confidence": 1.0, "source": self.name}]
+
+    def most(n):
+        rows = spark.range(0, n, 1, 1).select("id", F.concat(F.lit("x"), F.repeat(F.lit("lorem ipsum "), 1700), F.col("id").cast("string")).alias("text"))
+        return table_function.entities(rows, "id", more=(Held(),), only="EMAIL").agg(F.count("*"), F.max(F.expr("try_cast(text as int)"))).head()
+
+    few, many = most(10), most(4000)  # 4,000 texts are 82 MB
+    assert (few[0], many[0]) == (10, 4000)
+    assert many[1] - few[1] < 40
+
+
 def test_the_automaton_places_as_the_columns_do(spark):
     rnd = random.Random(7)
     rows = []

@@ -61,13 +61,10 @@ def detect_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def detect_by_table_function(spark: SparkSession, sf: str) -> DataFrame:
-    """The same spans by the table function, in a lateral join."""
-    table_function.register(spark)
-    only, own = ",".join(PLAIN.only), PLAIN.custom[1]
-    return spark.sql(
-        "SELECT d.doc_id, s.start, s.`end`, s.category, s.text FROM {docs} d, LATERAL detect_spans(d.text, only => :only, custom => :custom) s",
-        {"only": only, "custom": f"{own[0]}={own[1]}"}, docs=docs(spark, sf).select("doc_id", "text"),
-    )
+    """The same spans by the table function, in lateral joins."""
+    own = PLAIN.custom[1]
+    found = table_function.entities(docs(spark, sf), "doc_id", only=",".join(PLAIN.only), custom=f"{own[0]}={own[1]}")
+    return found.select("doc_id", "start", "end", "category", "text")
 
 
 def detect_spans_all(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,6 +6,10 @@ The arguments beside the text are constants. They are read, checked and compiled
 it there, and what was made of them reaches the workers as part of the plan. A text needs nothing of any other, so a lateral join is one pass
 over the table without a shuffle, in Arrow batches. Spans are those of `masking.detected`, by place; a null or empty text has none. (LEFT JOIN
 LATERAL does not keep texts without a span: Spark runs Python table functions as inner joins.)
+
+An Arrow batch has up to 10,000 texts or 64 MB, and a worker holds it with its strings and those of the batch before. Rows without Arrow are pickled a
+hundred at a time, whatever their bytes: little for short texts, but more than an executor's heap for texts of megabytes. So `entities` sends
+short texts by rows and long ones in Arrow batches; the function and the spans are the same.
 """
 
 from __future__ import annotations
@@ -13,7 +17,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
@@ -23,6 +28,9 @@ from veilwork.errors import ConfigError
 from veilwork.sources.backends import Backend, PatternBackend, found_by
 
 NAME = "detect_spans"
+BY_ROW = "detect_spans_by_row"
+#: Bytes of a text that goes by rows: a hundred of them are 13 MB at most.
+SHORT = 1 << 17
 
 
 def span_schema() -> StructType:
@@ -74,8 +82,8 @@ class DetectSpans:
         yield from found_by(self.backends, text)
 
 
-def register(spark: SparkSession, name: str = NAME, more: tuple[Backend, ...] = ()) -> None:
-    """The table function under a name of SQL; more: backends of the caller's, which come after the patterns."""
+def register(spark: SparkSession, name: str = NAME, more: tuple[Backend, ...] = (), arrow: bool = True) -> None:
+    """The table function under a name of SQL; more: backends of the caller's, which come after the patterns; arrow: in Arrow batches, not by rows."""
 
     class Detecting(DetectSpans):
         def __init__(self, result: Planned) -> None:
@@ -89,4 +97,15 @@ def register(spark: SparkSession, name: str = NAME, more: tuple[Backend, ...] =
         def eval(self, text: str, only: str | None = None, locale: str | None = None, custom: str | None = None) -> Iterator[tuple]:
             yield from found_by(self.backends, text)
 
-    spark.udtf.register(name, udtf(Detecting if more else DetectSpans, useArrow=True))
+    spark.udtf.register(name, udtf(Detecting if more else DetectSpans, useArrow=arrow))
+
+
+def entities(rows: DataFrame, key: str, text: str = "text", more: tuple[Backend, ...] = (), **said: str) -> DataFrame:
+    """A row for each span with the key of its text, by lateral joins; said: the constants. Workers' memory does not grow with the batches that splits fill."""
+    spark = rows.sparkSession
+    call = "".join(f", {name} => :{name}" for name in said)
+    found = []
+    for name, arrow, where in ((BY_ROW, False, F.octet_length(text) <= SHORT), (NAME, True, F.octet_length(text) > SHORT)):
+        register(spark, name, more, arrow)
+        found.append(spark.sql(f"SELECT r.`{key}`, s.* FROM {{rows}} r, LATERAL {name}(r.`{text}`{call}) s", said, rows=rows.select(key, text).filter(where)))
+    return found[0].unionAll(found[1])
